@@ -59,3 +59,35 @@ def spare_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def running_sums(sizes: Column, block: int = 256) -> Column:
+    """For array<int> sizes: the sum of what stands before each element. Sums of blocks keep the work near-linear."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(sizes), F.lit(1)) - 1) / block).cast("int")), lambda k: total(F.slice(sizes, k * block + 1, F.lit(block))))
+    return F.transform(sizes, lambda _, i: total(F.slice(blocks, F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(sizes, (i - i % block + 1).cast("int"), (i % block).cast("int"))))
+
+
+def with_matches(df: DataFrame, text: str, pattern: str, into: str, guard: Column | None = None, around: int = 48) -> DataFrame:
+    """df with `into`: array<struct<start, end, match, before, after>> of the leftmost non-overlapping matches, in code points.
+
+    What stands between matches (split) and the matches alternate, so positions are sums of lengths. The pattern must
+    not match the empty string. before and after: up to `around` characters beside a match. guard: where it is false there are none.
+    """
+    t, gaps, found, at = F.col(text), into + "_gaps", into + "_found", into + "_at"
+    ok = F.coalesce(guard, F.lit(False)) if guard is not None else t.isNotNull()
+    hits = F.when(ok, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    df = df.withColumn(found, hits)
+    df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split(t, pattern, -1)))
+    lengths = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+    df = df.withColumn(at, F.when(F.size(found) > 0, lengths))
+    df = df.withColumn(at, F.when(F.size(found) > 0, running_sums(F.col(at))))
+    one = lambda m, i: F.struct(
+        (F.get(at, i) + F.length(F.get(gaps, i))).cast("int").alias("start"),
+        (F.get(at, i) + F.length(F.get(gaps, i)) + F.length(m)).cast("int").alias("end"),
+        m.alias("match"),
+        F.right(F.get(gaps, i), F.lit(around)).alias("before"),
+        F.left(F.get(gaps, i + 1), F.lit(around)).alias("after"),
+    )
+    kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+    return df.withColumn(into, F.when(F.size(found) > 0, F.transform(found, one)).otherwise(F.array().cast(kind))).drop(gaps, found, at)

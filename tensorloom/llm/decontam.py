@@ -4,8 +4,8 @@ A window is `size` consecutive words of a benchmark item; an item of fewer words
 Words are maximal runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. Every document window is hashed
 and looked up; a hit counts only if the words themselves agree. A word inside any occurrence is hit.
 
-Scale: the text is tokenised and scanned once, where it lies. Windows are generated and dropped inside one
-stage by a hash join with the benchmark's windows, which Spark broadcasts if their counted number is
+Scale: the text is tokenised and scanned once, where it lies. Windows around a word of the benchmark's anchors (the longest
+word of each of its windows) are hashed, and dropped inside one stage by a hash join with the benchmark's windows, which Spark broadcasts if their counted number is
 at most `BROADCAST_WINDOWS`; a larger benchmark is cut into that many parts, each broadcast in a scan of its own.
 Only hits and one row for each document are shuffled, by a row number, so no passage or document can make a hot partition.
 
@@ -30,22 +30,18 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(f"({WORDS})"), 1), F.array().cast("array<string>"))
 
 
-def _starts(w: Column, size: int) -> Column:
-    """1, 2, ... of the windows of `size` words; empty if there are fewer words."""
-    return F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
-
-
-def _hashes(w: Column, size: int) -> Column:
-    return F.transform(_starts(w, size), lambda i: F.xxhash64(F.lit(size), F.slice(w, i, F.lit(size))))
+def _anchor(v: Column) -> Column:
+    """The word of a window that stands for it in the first look: its longest, of these the greatest."""
+    return F.array_max(F.transform(v, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """(hash, length, window, item): the distinct windows of the benchmark."""
+    """(hash, length, window, anchor, item): the distinct windows of the benchmark."""
     w = F.col("w")
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).filter(F.size(w) > 0)
     items = items.withColumn("length", F.least(F.size(w), F.lit(size)))
     out = items.select("item", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - F.col("length") + 1), lambda i: F.slice(w, i, F.col("length")))).alias("v"))
-    return out.select(F.xxhash64("length", "v").alias("hash"), "length", F.concat_ws(" ", "v").alias("window"), "item").distinct()
+    return out.select(F.xxhash64("length", "v").alias("hash"), "length", F.concat_ws(" ", "v").alias("window"), _anchor(F.col("v")).alias("anchor"), "item").distinct()
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -56,35 +52,39 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     parts = -(-shape["n"] // BROADCAST_WINDOWS) or 1
     hits = None
     for i in range(parts):
-        part = known if parts == 1 else known.filter(F.pmod("hash", F.lit(parts)) == i)
-        hits = _scan(docs, part, doc_id, text, lengths) if hits is None else hits.union(_scan(docs, part, doc_id, text, lengths))
+        part = known if parts == 1 else known.filter(F.pmod(F.xxhash64("anchor"), F.lit(parts)) == i)
+        anchors = [r[0] for r in part.select("anchor").distinct().collect()]  # no more than BROADCAST_WINDOWS words
+        here = _scan(docs, part.drop("anchor"), anchors, doc_id, text, lengths)
+        hits = here if hits is None else hits.union(here)
     return hits.groupBy("row", "doc_id", "n_words").agg(F.collect_list("h").alias("hits"))
 
 
-def _scan(docs: DataFrame, known: DataFrame, doc_id: str, text: str, lengths: list[int]) -> DataFrame:
-    """(row, doc_id, n_words, h): a row for each hit, and one with null for each document. row is the place in the scan."""
-    w = F.col("w")
+def _scan(docs: DataFrame, known: DataFrame, anchors: list[str], doc_id: str, text: str, lengths: list[int]) -> DataFrame:
+    """(row, doc_id, n_words, h): a row for each hit, and one with null for each document. row is the place in the scan.
+
+    A window can only occur around its anchor, so only windows that hold a word of the anchor set are hashed.
+    """
+    w, none = F.col("w"), F.lit(None).cast("struct<at:int,length:int,hash:bigint>")
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
-    # One more entry at the end, which fits no window, keeps every document in the result.
-    base = base.select("row", "doc_id", "w", F.concat(*[_hashes(w, n) for n in lengths], F.array(F.lit(None).cast("long"))).alias("hs"))
-    each = base.select("row", "doc_id", "w", F.posexplode("hs").alias("k", "hash"))
-    hit = each.join(F.broadcast(known), "hash", "left").filter(F.col("item").isNotNull() | (F.col("k") == _entries(w, lengths)))
-    # Where an entry came from: entries of the first length, then of the next.
-    at, length, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
-    for n in lengths:
-        n_here = F.greatest(F.size(w) - (n - 1), F.lit(0))
-        here = at.isNull() & (F.col("k") >= before) & (F.col("k") < before + n_here)
-        at, length, before = F.when(here, F.col("k") - before).otherwise(at), F.when(here, F.lit(n)).otherwise(length), before + n_here
-    hit = hit.select("row", "doc_id", F.size(w).cast("long").alias("n_words"), at.alias("at"), length.alias("found"), "item", "length", "window", "w")
-    same = (F.col("found") == F.col("length")) & (F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("length"))) == F.col("window"))
-    return hit.select("row", "doc_id", "n_words", F.when(same, F.struct("at", "length", "item")).alias("h"))
-
-
-def _entries(w: Column, lengths: list[int]) -> Column:
-    total = F.lit(0)
-    for n in lengths:
-        total = total + F.greatest(F.size(w) - (n - 1), F.lit(0))
-    return total
+    marks = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(anchors), i))) if anchors else F.array().cast("array<int>")
+    base = base.select("row", "doc_id", "w", F.size(w).alias("size"), marks.alias("marks"))
+
+    def around(n: int) -> Column:
+        first = lambda p: F.greatest(p - (n - 1), F.lit(0))
+        last = lambda p: F.least(p, F.col("size") - n)
+        return F.transform(
+            F.array_distinct(F.flatten(F.transform("marks", lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(F.array().cast("array<int>"))))),
+            lambda i: F.struct(i.alias("at"), F.lit(n).alias("length"), F.xxhash64(F.lit(n), F.slice(w, i + 1, F.lit(n))).alias("hash")),
+        )
+
+    # One more entry, which fits no window, keeps every document in the result.
+    tries = F.when(F.size("marks") > 0, F.concat(*[around(n) for n in lengths], F.array(none))).otherwise(F.array(none))
+    base = base.select("row", "doc_id", "w", "size", tries.alias("tries"))
+    each = base.select("row", "doc_id", "w", F.col("size").cast("long").alias("n_words"), F.explode("tries").alias("try"))
+    each = each.select("*", F.col("try.hash").alias("hash"), F.col("try.length").alias("length"))
+    hit = each.join(F.broadcast(known), ["hash", "length"], "left").filter(F.col("item").isNotNull() | F.col("try").isNull())
+    same = F.concat_ws(" ", F.slice("w", F.col("try.at") + 1, F.col("length"))) == F.col("window")
+    return hit.select("row", "doc_id", "n_words", F.when(same, F.struct("try.at", "length", "item")).alias("h"))
 
 
 def covered(hits: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, edit_embed, mixing, pu_quality, simhash, suffix_tree, url_filter
+from . import decontam, edit_embed, mixing, pii, pu_quality, secrets, simhash, suffix_tree, url_filter
 from .common import table
 
 
@@ -24,10 +24,18 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embed.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -38,5 +46,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_decontaminate, op3_simhash, op4_suffix_tree, op6_edit_embedding, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_decontaminate, op3_simhash, op4_suffix_tree, op5_secret_scan, op6_edit_embedding, op8_personal_data, op9_mixing, op10_url_filter)}
 ORACLE_SQL = {"op2_decontaminate": decontam.ORACLE, "op9_mixing": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}

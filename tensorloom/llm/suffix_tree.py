@@ -159,7 +159,7 @@ def learn(words: DataFrame, depth: int = DEPTH, least: float = LEAST, divergence
     enough = materialise(totals.filter(F.col("total") >= F.greatest(F.lit(1), F.lit(float(symbols * least)))), "pst-enough")
     # P(next | context) against P(next | context less its oldest symbol).
     own = counts.join(enough, ["d", "ctx"])
-    mask = F.when(F.col("d") > 0, F.shiftleft(F.lit(1).cast("long"), (8 * (F.col("d") - 1)).cast("int")) - 1).otherwise(F.lit(0).cast("long"))
+    mask = F.get(F.array(*[F.lit((1 << 8 * max(d - 1, 0)) - 1).cast("long") for d in range(depth + 1)]), F.col("d"))
     own = own.withColumn("up", F.col("ctx").bitwiseAND(mask)).withColumn("up_d", F.col("d") - 1)
     parent = counts.join(totals, ["d", "ctx"]).select(F.col("d").alias("up_d"), F.col("ctx").alias("up"), "sym", (n / F.col("total")).alias("up_p"))
     test = own.filter("d > 0").join(parent, ["up_d", "up", "sym"]).groupBy("d", "ctx", "total").agg((2 * F.sum(n * F.log((n / F.col("total")) / F.col("up_p")))).alias("g"))
