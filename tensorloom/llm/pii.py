@@ -55,7 +55,7 @@ def _base_rule(kind: str, m: Column) -> Column:
         return F.forall(F.split(m, r"\."), lambda x: F.coalesce(F.length(F.ltrim(x, F.lit("0"))) <= 3, F.lit(False)) & (F.lpad(F.right(x, F.lit(3)), 3, "0") <= "255"))
     n = F.length(_digits(m))
     if kind == "card":
-        return (n >= 13) & (n <= 19) & F.luhn_check(F.when(n <= 19, _digits(m)).otherwise("1"))
+        return (n >= 13) & (n <= 19) & F.call_function("luhn_check", F.when(n <= 19, _digits(m)).otherwise(F.lit("1")))
     return (n >= 9) & (n <= 15)
 
 
@@ -73,6 +73,14 @@ def _votes(kind: str, x: Column, strict: Column) -> Column:
     return F.struct(F.when(strict, 1).otherwise(-1).alias("pattern"), gazetteer.alias("gazetteer"), context.alias("context"), edges.alias("edges"))
 
 
+def _item(k: int, kind: str, loose: bool):
+    def item(x: Column) -> Column:
+        strict = F.lit(False) if loose else _base_rule(kind, x["match"])
+        return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), strict.alias("base"), _votes(kind, x, strict).alias("v"))
+
+    return item
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `found`: array<struct<kind, start, end, base, v>> of base spans and other candidates, v their votes."""
     out = docs.withColumn("pii_text", F.coalesce(F.col(text), F.lit("")))
@@ -84,9 +92,8 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         for loose, pattern, guard in ((False, BASE[kind], guards[kind]), (True, LOOSE[kind], more[kind])):
             name = f"pii_{kind}_{int(loose)}"
             out = with_matches(out, "pii_text", pattern, name, guard)
-            strict = (lambda x: F.lit(False)) if loose else (lambda x, kind=kind: _base_rule(kind, x["match"]))
-            item = lambda x, kind=kind, k=k, s=strict: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), s(x).alias("base"), _votes(kind, x, s(x)).alias("v"))
-            parts.append(F.transform(name, item) if loose else F.filter(F.transform(name, item), lambda y: y["base"]))
+            each = F.transform(name, _item(k, kind, loose))
+            parts.append(each if loose else F.filter(each, lambda y: y["base"]))
     out = out.withColumn("found", F.concat(*parts)).drop(*[f"pii_{kind}_{i}" for kind in KINDS for i in (0, 1)], "pii_text")
     clash = lambda y: F.exists("found", lambda z: z["base"] & (z["start"] < y["end"]) & (y["start"] < z["end"]))
     # A looser candidate that touches a base span, of whatever kind, is no news.
@@ -163,7 +170,8 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs."""
     found = materialise(candidates(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "found"), "pii-found")
     out = found.withColumn("spans", admitted(fit(found))).withColumn("bases", F.filter("spans", lambda x: x["base"]))
-    counts = [F.size(F.filter("bases", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    of = lambda k: F.filter("bases", lambda x: x["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(_written(F.col("bases")).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, edit_embed, mixing, pii, pu_quality, secrets, simhash, suffix_tree, url_filter
+from . import chat_hmm, decontam, edit_embed, mixing, pii, pu_quality, secrets, simhash, suffix_tree, url_filter
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embed.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat_hmm.recover_roles(turns.select("conv_id", "turn", "text"), turns)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -46,5 +51,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_decontaminate, op3_simhash, op4_suffix_tree, op5_secret_scan, op6_edit_embedding, op8_personal_data, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_decontaminate, op3_simhash, op4_suffix_tree, op5_secret_scan, op6_edit_embedding, op7_chat_format, op8_personal_data, op9_mixing, op10_url_filter)}
 ORACLE_SQL = {"op2_decontaminate": decontam.ORACLE, "op9_mixing": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}
