@@ -1,14 +1,15 @@
 """LM scoring by a probabilistic suffix tree over the bytes of words.
 
 A text is a sequence of tokens, words (ASCII lower-cased, split at ASCII white space) and then one end; a token is spelled
-byte by byte after a start mark and closed by a space, the end is a mark of its own. The tree's contexts are the last
-0 to `depth` symbols of a token. A context becomes a state if it occurs in at least the share `least` of all symbols and its
+byte by byte and closed by a space, the end is a mark of its own. The tree's contexts are the last 0 to `depth` symbols; near a token's
+start (its first `HEAD` symbols) they reach up to `TAIL` symbols into the token before. A context becomes a state if it occurs in at least the share `least` of all symbols and its
 next-symbol distribution diverges from its parent's (the context less its oldest symbol): 2 N KL >= `divergence`, a
 likelihood-ratio test. A state's distribution is smoothed with its longest state suffix, down to a uniform one, so every
 text has a probability, and each symbol is scored in the longest state that is a suffix of what precedes it.
 
-Scale: the corpus is tokenised twice, once for counts and once for scores. A token's spelling does not depend on its
-neighbours, so the tree is learnt from the table of distinct words with counts, and each distinct word is scored once.
+Scale: the corpus is tokenised twice, once for counts and once for scores. Past its first symbols a token's spelling does not depend on
+its neighbours, so the tree is learnt from the table of distinct words and that of (tail, head) pairs of neighbours, with counts; each distinct
+word's rest is scored once, and heads where the text lies.
 At most depth / least states exist, which bounds what is broadcast. The `HOT` commonest words (a bounded table)
 are scored where the text lies; other words meet their scores in a shuffled join, so no word makes a hot partition.
 
@@ -24,14 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import held_out, materialise
 
-DEPTH, LEAST, DIVERGENCE, WEIGHT, HOT = 5, 2e-6, 30.0, 8.0, 100_000
-#: Marks outside words: start of a token, end of a word, end of the text.
-START, CLOSE, END = b"\r", b" ", b"\n"
+DEPTH, LEAST, DIVERGENCE, WEIGHT, HOT = 6, 1e-6, 12.0, 4.0, 100_000
+HEAD, TAIL = 3, 3
+#: Marks outside words: before the first token, end of a word (and so what stands before each token), end of the text.
+FIRST, CLOSE, END = b"\r", b" ", b"\n"
 SYMBOLS = 257 - 6  # bytes of words, the close and the end
 #: Distinct words, and symbols, that a task holds before it passes its counts on.
 FLUSH, FLUSH_SYMBOLS = 300_000, 5_000_000
@@ -41,35 +44,80 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def neighbours(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of the texts, ends included: (tail of the token before, head of this one) packed in 48 bits, and its text's number."""
+    streams = [b"\r " + b"".join(w + b" " for w in ws) + b"\n" for ws in texts]
+    flat = np.frombuffer(b"\0" * TAIL + b"".join(streams) + b"\0" * HEAD, np.uint8)
+    at = np.flatnonzero(flat == 32)
+    owner = np.repeat(np.arange(len(texts)), [len(ws) + 1 for ws in texts])
+    key, open_ = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+    for i in range(1, TAIL + 1):  # the nearest symbol lowest; nothing beyond the text's start
+        x = np.where(open_, flat[at - i], 0)
+        key |= x.astype(np.uint64) << np.uint64(8 * (HEAD + i - 1))
+        open_ &= x != 13
+    open_[:] = True
+    for i in range(HEAD):  # nothing beyond the token's close
+        x = np.where(open_, flat[at + 1 + i], 0)
+        key |= x.astype(np.uint64) << np.uint64(8 * (HEAD - 1 - i))
+        open_ &= (x != 32) & (x != 10)
+    return key, owner
+
+
 def word_counts(docs: DataFrame, doc_id: str, text: str, mod: int) -> DataFrame:
-    """(word, c, seen): distinct tokens of all texts, their count in training texts and in all; the end is a token."""
+    """(word, c): distinct tokens of all texts with their count in training texts; the end is a token.
+
+    Also a row for each pair of neighbours in training texts: its name is the end mark and 8 bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest = Counter(), Counter()
+        train, rest, open_, size = Counter(), set(), [], 0
+
+        def pairs() -> pa.RecordBatch:
+            u, n = np.unique(neighbours(open_)[0], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([END + x for x in _eights(u)], pa.binary()), pa.array(n.astype(np.int64))], ["word", "c"])
 
-        def out():
-            words = list(train | rest)
-            cols = [pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64()), pa.array([rest[w] for w in words], pa.int64())]
+        def out() -> pa.RecordBatch:
+            words = list(train) + [w for w in rest if w not in train]
+            got = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64())], ["word", "c"])
             train.clear()
             rest.clear()
-            return pa.RecordBatch.from_arrays(cols, ["word", "c", "other"])
+            return got
 
         for b in batches:
             for held, t in zip(b.column("held").to_pylist(), b.column("text").to_pylist(), strict=True):
-                into = rest if held else train
-                into.update(tokens(t))
-                into[END] += 1
+                ws = tokens(t)
+                if held:
+                    rest.update(ws)
+                    continue
+                train.update(ws)
+                train[END] += 1
+                open_.append(ws)
+                size += len(ws)
+                if size > FLUSH_SYMBOLS // 4:
+                    yield pairs()
+                    open_, size = [], 0
                 if len(train) + len(rest) > FLUSH:
                     yield out()
+        if open_:
+            yield pairs()
         yield out()
 
     kept = docs.select(held_out(F.col(doc_id), mod).alias("held"), F.col(text).alias("text"))
-    return kept.mapInArrow(run, "word binary, c long, other long").groupBy("word").agg(F.sum("c").alias("c"))
+    return kept.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _eights(keys: np.ndarray) -> list[bytes]:
+    raw = keys.astype(">u8").tobytes()
+    return [raw[i : i + 8] for i in range(0, len(raw), 8)]
+
+
+def is_pair() -> Column:
+    return (F.length("word") > 1) & (F.substring("word", 1, 1) == F.lit(bytearray(END)))
 
 
 def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all words in a row, and for each its place in its token, counted from the start mark."""
-    whole = [START + w + (b"" if w == END else CLOSE) for w in words]
+    """The symbols of all words in a row, and for each its place in its token, counted from the mark before it."""
+    whole = [CLOSE + w + (b"" if w == END else CLOSE) for w in words]
     flat = np.frombuffer(b"".join(whole), np.uint8)
     sizes = np.array([len(x) for x in whole], np.int64)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -88,6 +136,20 @@ def packed(flat: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
     return out
 
 
+def reaching(keys: np.ndarray, depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, d, context and symbol packed, where both exist) of the head symbols i of pairs, for each context length d from 0."""
+    byte = lambda k: (keys >> np.uint64(8 * k)) & np.uint64(255)
+    line = [byte(HEAD + TAIL - 1 - i) for i in range(TAIL)] + [np.full(len(keys), 32, np.uint64)] + [byte(HEAD - 1 - i) for i in range(HEAD)]
+    for i in range(HEAD):
+        at = TAIL + 1 + i
+        key, ok = line[at].copy(), line[at] > 0
+        yield i, 0, key, ok
+        for d in range(1, min(depth, at) + 1):
+            key = key | (line[at - d] << np.uint64(8 * d))
+            ok = ok & (line[at - d] > 0)
+            yield i, d, key, ok
+
+
 def context_counts(words: DataFrame, depth: int) -> DataFrame:
     """(d, ctx, sym, n): how often a symbol follows each context of d symbols in training text."""
 
@@ -99,20 +161,37 @@ def context_counts(words: DataFrame, depth: int) -> DataFrame:
             if ok.any():
                 u, inverse = np.unique(key[ok], return_inverse=True)
                 n = np.bincount(inverse, weight[ok]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), d, np.int32)), pa.array((u >> np.uint64(8)).view(np.int64)), pa.array((u & np.uint64(255)).astype(np.int32)), pa.array(n)], ["d", "ctx", "sym", "n"])
+                yield rows(d, u, n)
+
+    def across(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, d, packed_, ok in reaching(keys, depth):
+            if d > i + 1 and ok.any():
+                u, inverse = np.unique(packed_[ok], return_inverse=True)
+                yield rows(d, u, np.bincount(inverse, n[ok]).astype(np.int64))
+
+    def rows(d: int, u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), d, np.int32)), pa.array((u >> np.uint64(8)).view(np.int64)), pa.array((u & np.uint64(255)).astype(np.int32)), pa.array(n)], ["d", "ctx", "sym", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled, times, size = [], [], 0
+        spelled, times, size, pairs = [], [], 0, []
         for b in batches:
-            new = b.column("word").to_pylist()
-            spelled += new
-            times += b.column("c").to_pylist()
-            size += sum(map(len, new)) + 2 * len(new)
+            for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
+                if w[:1] == END and len(w) > 1:
+                    pairs.append((int.from_bytes(w[1:], "big"), c))
+                else:
+                    spelled.append(w)
+                    times.append(c)
+                    size += len(w) + 2
             if size > FLUSH_SYMBOLS:
                 yield from count(spelled, times)
                 spelled, times, size = [], [], 0
+            if len(pairs) > FLUSH:
+                yield from across(np.array([k for k, _ in pairs], np.uint64), np.array([c for _, c in pairs], np.float64))
+                pairs = []
         if spelled:
             yield from count(spelled, times)
+        if pairs:
+            yield from across(np.array([k for k, _ in pairs], np.uint64), np.array([c for _, c in pairs], np.float64))
 
     counts = words.filter("c > 0").select("word", "c").mapInArrow(run, "d int, ctx long, sym int, n long")
     return counts.groupBy("d", "ctx", "sym").agg(F.sum("n").alias("n"))
@@ -130,24 +209,36 @@ class SuffixTree:
     def n_states(self) -> int:
         return sum(len(s) for s, _ in self.states)
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each token."""
+    def _refine(self, p: np.ndarray, d: int, keys: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        """Probabilities given contexts of d symbols, where these are states, from those given shorter ones."""
+        (ctx, total), (edge, n) = self.states[d], self.edges[d]
+        if not len(ctx):
+            return p
+        i = np.minimum(np.searchsorted(ctx, keys >> np.uint64(8)), len(ctx) - 1)
+        j = np.minimum(np.searchsorted(edge, keys), len(edge) - 1)
+        c = np.where(edge[j] == keys, n[j], 0)
+        return np.where((ctx[i] == keys >> np.uint64(8)) & ok, (c + self.weight * p) / (total[i] + self.weight), p)
+
+    def rest(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each token past its head."""
         if not words:
             return np.zeros(0)
         flat, at = spell(words)
         keys, p = packed(flat, at, self.depth), np.full(len(flat), 1 / SYMBOLS)
         for d in range(self.depth + 1):
-            (ctx, total), (edge, n) = self.states[d], self.edges[d]
-            if not len(ctx):
-                continue
-            i = np.minimum(np.searchsorted(ctx, keys[d] >> np.uint64(8)), len(ctx) - 1)
-            is_state = (ctx[i] == keys[d] >> np.uint64(8)) & (at >= max(d, 1))
-            j = np.minimum(np.searchsorted(edge, keys[d]), len(edge) - 1)
-            c = np.where(edge[j] == keys[d], n[j], 0)
-            p = np.where(is_state, (c + self.weight * p) / (total[i] + self.weight), p)
-        first = np.flatnonzero(at == 0)
-        p[first] = 1.0  # the start mark is given
-        return np.add.reduceat(np.log10(p), first)
+            p = self._refine(p, d, keys[d], at >= max(d, 1))
+        p[at <= HEAD] = 1.0  # the mark before it is given, and the head scored with what stands before
+        return np.add.reduceat(np.log10(p), np.flatnonzero(at == 0))
+
+    def heads(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of the head of each pair, given its tail."""
+        out, p, seen = np.zeros(len(keys)), None, None
+        for i, d, packed_, ok in reaching(keys, self.depth):
+            if d == 0:
+                out += 0 if p is None else np.where(seen, np.log10(p), 0)
+                p, seen = np.full(len(keys), 1 / SYMBOLS), ok
+            p = self._refine(p, d, packed_, ok)
+        return out + np.where(seen, np.log10(p), 0)
 
 
 def learn(words: DataFrame, depth: int = DEPTH, least: float = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> SuffixTree:
@@ -183,57 +274,71 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     spark = docs.sparkSession
     words = materialise(word_counts(docs, doc_id, text, mod), "pst-words")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    tokens_ = words.filter(~is_pair())
+    n, v = tokens_.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     tree = learn(words, **kw)
     shared = spark.sparkContext.broadcast(tree)
     base = F.log10((F.col("c") + 0.1) / F.lit(n + 0.1 * (v + 1)))
 
     def spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = pa.array(shared.value.log10(b.column("word").to_pylist()), pa.float64())
+            ok = pa.array(shared.value.rest(b.column("word").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), ok], ["word", "c", "lp"])
 
-    known = words.select("word", "c").mapInArrow(spell_out, "word binary, c long, lp double").withColumn("base", base)
+    known = tokens_.select("word", "c").mapInArrow(spell_out, "word binary, c long, lp double").withColumn("base", base)
     known = materialise(known, "pst-scored")
     hot = known.filter("c > 0").orderBy(F.col("c").desc(), "word").limit(HOT).toArrow()
     table = {w: (b, lp) for w, b, lp in zip(hot.column("word").to_pylist(), hot.column("base").to_pylist(), hot.column("lp").to_pylist(), strict=True)}
     common = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "word", "n", "known", "base", "score", "own"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-        done = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
-        for b in batches:
-            out: list[tuple] = []
-            for row, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-                counts = Counter(tokens(t))
+        names = ["row", "doc_id", "word", "n", "known", "base", "score"]
+        kinds = [pa.int64(), id_arrow, pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+        def done(held: list[tuple]) -> pa.RecordBatch:
+            texts, rows = [ws for *_, ws in held], []
+            keys, owner = neighbours(texts)
+            u, inverse = np.unique(keys, return_inverse=True)
+            heads = np.bincount(owner, shared.value.heads(u)[inverse], len(texts))
+            for (row, id_, ws), head in zip(held, heads.tolist(), strict=True):
+                counts = Counter(ws)
                 counts[END] += 1
-                seen, s_base, s_score = 0, 0.0, 0.0
+                seen, s_base = 0, 0.0
                 for w, c in counts.items():
                     if hit := common.value.get(w):
                         seen += c
                         s_base += c * hit[0]
-                        s_score += c * hit[1]
+                        head += c * hit[1]
                     else:
-                        out.append((row, w, c, 0, 0.0, 0.0, False))
+                        rows.append((row, None, w, c, 0, 0.0, 0.0))
                 # The text's own row, under a name that is no word.
-                out.append((row, b"\n%d" % row, sum(counts.values()), seen, s_base, s_score, True))
-                if len(out) > 50_000:
-                    yield done(out)
-                    out = []
-            yield done(out)
+                rows.append((row, id_, b"\n%d" % row, len(ws) + 1, seen, s_base, head))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for b in batches:
+            held, size = [], 0
+            for row, id_, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                held.append((row, id_, tokens(t)))
+                size += len(held[-1][2])
+                if size > 200_000:
+                    yield done(held)
+                    held, size = [], 0
+            if held:
+                yield done(held)
 
     # One row for each text, and one for each of its words that isn't common; the row number is the place in the scan.
+    kind = docs.schema[doc_id].dataType
+    id_arrow = to_arrow_type(kind)
     each = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ids = materialise(each.select("row", "doc_id"), "pst-ids")
-    parts = each.select("row", "text").mapInArrow(run, "row long, word binary, n long, known long, base double, score double, own boolean")
+    parts = each.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, word binary, n long, known long, base double, score double")
     k = known.select(F.col("word").alias("k_word"), "c", F.col("base").alias("k_base"), "lp")
     met = parts.join(k, parts["word"] == k["k_word"], "left")
-    rare = ~F.col("own")
+    rare = F.col("c").isNotNull()  # the texts' own rows meet no word
     sums = met.groupBy("row").agg(
-        F.max(F.when(F.col("own"), F.col("n"))).alias("n_tokens"),
+        F.max("doc_id").alias("doc_id"),
+        F.max(F.when(~rare, F.col("n"))).alias("n_tokens"),
         F.sum(F.when(rare & (F.col("c") > 0), F.col("n")).otherwise(F.col("known"))).alias("n_known"),
         F.sum(F.when(rare, F.col("n") * F.col("k_base")).otherwise(F.col("base"))).alias("base_score"),
         F.sum(F.when(rare, F.col("n") * F.col("lp")).otherwise(F.col("score"))).alias("score"),
     )
-    return ids.join(sums, "row").select("doc_id", held_out(F.col("doc_id"), mod).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select("doc_id", held_out(F.col("doc_id"), mod).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
