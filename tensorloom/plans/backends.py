@@ -155,6 +155,26 @@ class CellBackend:
         return out
 
 
+    def moments(self, sizes: list[int]) -> MomentBackend:
+        """The same data as sums of products, for Gaussian fits with many more cells than tensor entries."""
+        dummy = State([np.zeros((1, p, 1)) for p in sizes], np.zeros(self.block.z.shape[1]))
+
+        def sums(be: CellBackend) -> dict:
+            out: dict = {}
+            for at in range(0, len(be.block.y), 4096):  # tiles, so that no wide design is held whole
+                mask = np.zeros(len(be.block.y), bool)
+                mask[at : at + 4096] = True
+                tile = CellBackend(be.block.take(mask), be.counts[mask], be.within[mask])
+                for k, v in (tile.total(Request("tensor", states=[dummy])) | tile.total(Request("size"))).items():
+                    out[k] = out[k] + v if k in out else v
+            return out
+
+        if self.block.fold is None:
+            return MomentBackend(sizes, sums(self))
+        by = {f: sums(self.part(f, True)) for f in self.folds}
+        return MomentBackend(sizes, {k: sum(v[k] for v in by.values()) for k in next(iter(by.values()))}, by)
+
+
 class MomentBackend:
     """Gaussian sums of products of the whole tensor basis and the additive block; folds are held apart and subtracted."""
 
@@ -268,7 +288,8 @@ def build(df: DataFrame, knots: list[Knots], x: list[str], y: str, family: str,
     if first["wrong"]:
         raise ValueError(f"{first['wrong']} responses outside the {family} family")
     folds, entries = sorted(first["folds"]) if fold else [], int(np.prod([k.k for k in knots], dtype=float))
-    if kind == "auto":
+    auto = kind == "auto"
+    if auto:
         kind = "cells" if first["cells"] <= CELLS else "moments" if family == "gaussian" and entries <= MOMENTS else "rows"
     if kind == "cells":
         ylny = F.sum(F.when(F.col("y") > 0, F.col("w") * F.col("y") * F.ln(F.when(F.col("y") > 0, F.col("y"))))) if family == "poisson" else F.lit(0.0)
@@ -280,7 +301,8 @@ def build(df: DataFrame, knots: list[Knots], x: list[str], y: str, family: str,
         w, mean = col("w"), col("wy") / col("w")
         block = Block([k.evaluate(col(f"x{i}")) for i, k in enumerate(knots)], np.stack([np.ones(t.num_rows)] + [col(f"z{i}") for i in range(len(z))], axis=1), mean, w, col("off"), t.column("fold").to_numpy() if fold else None)
         own = np.where(mean > 0, w * mean * np.log(np.where(mean > 0, mean, 1)), 0.0)
-        return CellBackend(block, col("n"), np.maximum(col("wyy") - w * mean**2, 0), 2 * (np.nan_to_num(col("ylny")) - own) if family == "poisson" else None)
+        out = CellBackend(block, col("n"), np.maximum(col("wyy") - w * mean**2, 0), 2 * (np.nan_to_num(col("ylny")) - own) if family == "poisson" else None)
+        return out.moments([k.k for k in knots]) if auto and family == "gaussian" and 4 * entries < t.num_rows and entries <= MOMENTS else out
     if kind == "moments":
         if family != "gaussian" or entries > MOMENTS:
             raise ValueError(f"moments need a Gaussian response and at most {MOMENTS} tensor entries")

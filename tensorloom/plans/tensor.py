@@ -63,11 +63,13 @@ def unpack_all(g: np.ndarray, shapes) -> list[np.ndarray]:
 
 
 def contract_left(left: np.ndarray, basis: np.ndarray, core: np.ndarray) -> np.ndarray:
-    return np.einsum("na,nj,ajb->nb", left, basis, core, optimize=True)
+    a, p, b = core.shape
+    return (left[:, :, None] * basis[:, None, :]).reshape(len(left), -1) @ core.reshape(a * p, b)
 
 
 def contract_right(right: np.ndarray, basis: np.ndarray, core: np.ndarray) -> np.ndarray:
-    return np.einsum("nb,nj,ajb->na", right, basis, core, optimize=True)
+    a, p, b = core.shape
+    return (basis[:, :, None] * right[:, None, :]).reshape(len(right), -1) @ core.transpose(1, 2, 0).reshape(p * b, a)
 
 
 def interfaces(bases, cores) -> tuple[list[np.ndarray], list[np.ndarray]]:
