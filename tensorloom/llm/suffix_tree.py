@@ -209,36 +209,42 @@ class SuffixTree:
     def n_states(self) -> int:
         return sum(len(s) for s, _ in self.states)
 
-    def _refine(self, p: np.ndarray, d: int, keys: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        """Probabilities given contexts of d symbols, where these are states, from those given shorter ones."""
+    def _refine(self, p: np.ndarray, d: int, keys: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Puts probabilities given contexts of d symbols in place of those given shorter ones; returns which of `live` go on."""
         (ctx, total), (edge, n) = self.states[d], self.edges[d]
-        if not len(ctx):
-            return p
-        i = np.minimum(np.searchsorted(ctx, keys >> np.uint64(8)), len(ctx) - 1)
-        j = np.minimum(np.searchsorted(edge, keys), len(edge) - 1)
-        c = np.where(edge[j] == keys, n[j], 0)
-        return np.where((ctx[i] == keys >> np.uint64(8)) & ok, (c + self.weight * p) / (total[i] + self.weight), p)
+        if not len(ctx) or not len(live):
+            return live[:0]
+        own = keys[live]
+        i = np.minimum(np.searchsorted(ctx, own >> np.uint64(8)), len(ctx) - 1)
+        at = ctx[i] == own >> np.uint64(8)
+        live, own, i = live[at], own[at], i[at]
+        j = np.minimum(np.searchsorted(edge, own), len(edge) - 1)
+        p[live] = (np.where(edge[j] == own, n[j], 0) + self.weight * p[live]) / (total[i] + self.weight)
+        return live
 
     def rest(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each token past its head."""
         if not words:
             return np.zeros(0)
         flat, at = spell(words)
-        keys, p = packed(flat, at, self.depth), np.full(len(flat), 1 / SYMBOLS)
+        keys, p = packed(flat, at, self.depth), np.ones(len(flat))  # the mark before it is given, and the head scored with what stands before
+        live = np.flatnonzero(at > HEAD)
+        p[live] = 1 / SYMBOLS
         for d in range(self.depth + 1):
-            p = self._refine(p, d, keys[d], at >= max(d, 1))
-        p[at <= HEAD] = 1.0  # the mark before it is given, and the head scored with what stands before
+            live = self._refine(p, d, keys[d], live[at[live] >= max(d, 1)])
         return np.add.reduceat(np.log10(p), np.flatnonzero(at == 0))
 
     def heads(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the head of each pair, given its tail."""
-        out, p, seen = np.zeros(len(keys)), None, None
-        for i, d, packed_, ok in reaching(keys, self.depth):
+        out, p, live = np.zeros(len(keys)), None, None
+        for _, d, packed_, ok in reaching(keys, self.depth):
             if d == 0:
-                out += 0 if p is None else np.where(seen, np.log10(p), 0)
-                p, seen = np.full(len(keys), 1 / SYMBOLS), ok
-            p = self._refine(p, d, packed_, ok)
-        return out + np.where(seen, np.log10(p), 0)
+                if p is not None:
+                    out += np.log10(p)
+                live = np.flatnonzero(ok)
+                p = np.where(ok, 1 / SYMBOLS, 1.0)
+            live = self._refine(p, d, packed_, live[ok[live]])
+        return out + np.log10(p)
 
 
 def learn(words: DataFrame, depth: int = DEPTH, least: float = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> SuffixTree:
@@ -254,8 +260,11 @@ def learn(words: DataFrame, depth: int = DEPTH, least: float = LEAST, divergence
     own = own.withColumn("up", F.col("ctx").bitwiseAND(mask)).withColumn("up_d", F.col("d") - 1)
     parent = counts.join(totals, ["d", "ctx"]).select(F.col("d").alias("up_d"), F.col("ctx").alias("up"), "sym", (n / F.col("total")).alias("up_p"))
     test = own.filter("d > 0").join(parent, ["up_d", "up", "sym"]).groupBy("d", "ctx", "total").agg((2 * F.sum(n * F.log((n / F.col("total")) / F.col("up_p")))).alias("g"))
-    kept = test.filter(F.col("g") >= divergence).select("d", "ctx", "total").union(enough.filter("d = 0").select("d", "ctx", "total"))
-    kept = materialise(kept, "pst-states")
+    kept = test.filter(F.col("g") >= divergence).select("d", "ctx").union(enough.filter("d = 0").select("d", "ctx"))
+    # Every suffix of a state is a state, so a look for the longest one can stop at the first that isn't.
+    masks = F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(depth + 1)])
+    closed = kept.select("ctx", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("d")).select("d", F.col("ctx").bitwiseAND(F.get(masks, F.col("d"))).alias("ctx")).distinct()
+    kept = materialise(closed.join(enough, ["d", "ctx"]).select("d", "ctx", "total"), "pst-states")
     s = kept.toArrow()  # at most depth / least rows
     e = counts.join(kept, ["d", "ctx"]).select("d", "ctx", "sym", "n").toArrow()
     states, edges = [], []
@@ -295,11 +304,18 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
         names = ["row", "doc_id", "word", "n", "known", "base", "score"]
         kinds = [pa.int64(), id_arrow, pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
+        known_keys, known_heads = np.zeros(0, np.uint64), np.zeros(0)  # what this task has looked up
+
         def done(held: list[tuple]) -> pa.RecordBatch:
+            nonlocal known_keys, known_heads
             texts, rows = [ws for *_, ws in held], []
             keys, owner = neighbours(texts)
             u, inverse = np.unique(keys, return_inverse=True)
-            heads = np.bincount(owner, shared.value.heads(u)[inverse], len(texts))
+            new = np.setdiff1d(u, known_keys, assume_unique=True)
+            if len(new):
+                order = np.argsort(both := np.concatenate([known_keys, new]), kind="stable")
+                known_keys, known_heads = both[order], np.concatenate([known_heads, shared.value.heads(new)])[order]
+            heads = np.bincount(owner, known_heads[np.searchsorted(known_keys, u)][inverse], len(texts))
             for (row, id_, ws), head in zip(held, heads.tolist(), strict=True):
                 counts = Counter(ws)
                 counts[END] += 1
@@ -320,7 +336,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
             for row, id_, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 held.append((row, id_, tokens(t)))
                 size += len(held[-1][2])
-                if size > 200_000:
+                if size > 800_000:
                     yield done(held)
                     held, size = [], 0
             if held:
