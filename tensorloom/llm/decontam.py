@@ -111,17 +111,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     if remove == "documents":
         bad = score_documents(docs, benchmark, doc_id, text, size).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-        return docs.join(materialise(bad, "decontam-bad"), docs[doc_id].eqNullSafe(F.col("bad_id")), "left_anti")
+        bad = materialise(bad, "decontam-bad")
+        return docs.join(bad, docs[doc_id].eqNullSafe(bad["bad_id"]), "left_anti")
     found = find_windows(docs, benchmark, doc_id, text, size).filter(F.size("hits") > 0)
     hit_words = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1))))
     found = materialise(found.groupBy(F.col("doc_id").alias("bad_id")).agg(F.array_distinct(F.flatten(F.collect_list(hit_words))).alias("bad_words")), "decontam-spans")
-    joined = docs.join(found, docs[doc_id].eqNullSafe(F.col("bad_id")), "left")
-    t = F.col(text)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    joined = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), whole)
+    joined = joined.join(found, joined["id"].eqNullSafe(found["bad_id"]), "left")
+    t = F.col("t")
     gaps, tokens = F.split(t, _any_case(), -1), F.regexp_extract_all(t, F.lit(f"({_any_case()})"), 1)
     hit = lambda i: F.array_contains("bad_words", i)
     piece = lambda x, i: F.concat(F.when((i > 0) & hit(i - 1) & hit(i), F.lit("")).otherwise(x), F.when(i >= F.size(tokens), F.lit("")).when(hit(i), F.when((i > 0) & hit(i - 1), F.lit("")).otherwise(F.lit(placeholder))).otherwise(F.get(tokens, i)))
     cut = F.array_join(F.transform(gaps, piece), "")
-    return joined.select(*[F.when(F.col("bad_words").isNotNull(), cut).otherwise(t).alias(c) if c == text else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col("bad_words").isNotNull(), cut).otherwise(t).alias(c) if c == text else F.col(f"whole.`{c}`") for c in docs.columns])
 
 
 def _any_case() -> str:

@@ -178,10 +178,11 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; of spans that overlap the first to start counts, then the longest."""
     model = fit(materialise(candidates(docs.select(F.col(text).alias("text"))).select("found"), "pii-found"))
-    out = candidates(docs, text).withColumn("pii_spans", F.array_sort(F.transform(admitted(model), lambda x: F.struct(x["start"].alias("a"), (-x["end"]).alias("b"), x["kind"].alias("k")))))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    out = candidates(docs.select(F.col(text).alias("t"), whole), "t").withColumn("pii_spans", F.array_sort(F.transform(admitted(model), lambda x: F.struct(x["start"].alias("a"), (-x["end"]).alias("b"), x["kind"].alias("k")))))
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    t = F.col(text)
+    t = F.col("t")
     step = lambda s, x: F.when(x["a"] < s["at"], s).otherwise(F.struct(F.concat(s["done"], F.substr(t, s["at"] + 1, x["a"] - s["at"]), F.get(names, x["k"])).alias("done"), (-x["b"]).alias("at")))
     cut = F.aggregate("pii_spans", start, step, lambda s: F.concat(s["done"], F.substr(t, s["at"] + 1)))
-    return out.select(*[F.when(F.size("pii_spans") > 0, cut).otherwise(t).alias(c) if c == text else docs[c] for c in docs.columns])
+    return out.select(*[F.when(F.size("pii_spans") > 0, cut).otherwise(t).alias(c) if c == text else F.col(f"whole.`{c}`") for c in docs.columns])

@@ -172,9 +172,10 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
 def redact_secrets(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, placeholder: str = "[SECRET]", forest: list | None = None) -> DataFrame:
     """docs with every secret in text replaced; texts without one stay as they are."""
-    out = find_secrets(docs, text, forest).withColumn("secret_cut", F.filter("secret_candidates", lambda x: x["score"] >= threshold))
-    t = F.col(text)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    out = find_secrets(docs.select(F.col(text).alias("t"), whole), "t", forest).withColumn("secret_cut", F.filter("secret_candidates", lambda x: x["score"] >= threshold))
+    t = F.col("t")
     keep = lambda x, i: F.concat(F.substr(t, F.when(i == 0, F.lit(0)).otherwise(F.get("secret_cut", i - 1)["end"]) + 1, x["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get("secret_cut", i - 1)["end"])), F.lit(placeholder))
     cut = F.concat(F.array_join(F.transform("secret_cut", keep), ""), F.substr(t, F.element_at("secret_cut", -1)["end"] + 1))
     new = F.when(F.size("secret_cut") > 0, cut).otherwise(t)
-    return out.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[new.alias(c) if c == text else F.col(f"whole.`{c}`") for c in docs.columns])

@@ -206,9 +206,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """docs with one document of each component: the one with the smallest doc_id. Of rows that share this id one stays."""
     found = materialise(near_duplicates(docs, doc_id, text, **kw), "simhash-result")
     drop = materialise(found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("dropped_id")).distinct(), "simhash-drop")
-    kept = docs.join(drop, docs[doc_id].eqNullSafe(F.col("dropped_id")), "left_anti")
+    kept = docs.join(drop, docs[doc_id].eqNullSafe(drop["dropped_id"]), "left_anti")
     again = materialise(found.groupBy(F.col("doc_id").alias("repeated_id")).count().filter("count > 1").select("repeated_id"), "simhash-again")
     if again.isEmpty():  # the usual case: no text need be compared
         return kept
-    repeated = kept[doc_id].eqNullSafe(F.col("repeated_id"))
+    repeated = kept[doc_id].eqNullSafe(again["repeated_id"])
     return kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated, "left_semi").dropDuplicates([doc_id]))

@@ -60,7 +60,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     # Written first, so that both sides of the join are dealt anew and a hot pair can be split.
     best = materialise(best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("e.rule").alias("rule"), F.col("e.v").alias("verdict")), "url-rules")
     out = base.join(best, (base["host"] == best["b_host"]) & (base["path"] == best["b_path"]), "left")
-    return out.select(*[f"`{c}`" for c in base.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return out.select(*[base[c] for c in base.columns], best["rule"], F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
 
 
 def _digest(host: Column, path: Column) -> Column:
