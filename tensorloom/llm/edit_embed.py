@@ -119,8 +119,8 @@ def with_following(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    bounds = np.array(sorted(set(kept.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or [])))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    bounds = np.array(sorted(set([] if parts == 1 else kept.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or [])))
     place = _numbers(lambda ids, known: np.where(known, np.searchsorted(bounds, ids, side="right"), 0) if len(bounds) else np.zeros(len(ids)))
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("first")
     firsts = kept.select("doc_id").groupBy(place(F.col("doc_id")).alias("range")).agg(first).collect()  # a row for each range
@@ -137,7 +137,8 @@ def with_following(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = kept.withColumn("range", place(F.col("doc_id"))).withColumn("prev", _numbers(copied)(F.col("doc_id")))
     copies = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("copy")), F.when(F.col("prev") >= 0, F.struct(F.col("prev").alias("range"), F.lit(True).alias("copy")))))
     rows = rows.select(F.explode(copies).alias("e"), "doc_id", "text").select("e.range", "e.copy", F.col("doc_id").cast(kind), "text")
-    return rows.repartition(parts // 4, "range").sortWithinPartitions("range", "copy", F.col("doc_id").asc_nulls_first(), "text")
+    # A range is a partition, so that partitions are as even as the ranges.
+    return rows.repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("range", "copy", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def _numbers(f):
