@@ -88,3 +88,28 @@ def age_year_counts(spark: SparkSession, ages=range(20, 61), years=range(1980, 2
     rate = F.exp(-7.0 + 0.07 * (F.col("age") - 20) - 0.015 * (F.col("year") - 1980) + 0.2 * F.sin(F.col("year") / 4.0))
     noise = 1 + 0.1 * normal(F.col("id"), seed, 7)
     return df.withColumn("y", F.floor(F.greatest(F.col("exposure") * rate * noise, F.lit(0.0)) + 0.5)).drop("id")
+
+
+def lab_design(spark: SparkSession, scenario: str, n: int = 200, d: int = 2, seed: int = 1) -> DataFrame:
+    """Designs of the smoothing laboratory: truth of known anisotropy on the unit cube.
+
+    d = 2: smooth_smooth, smooth_rough, strong_aniso, weak_signal; more columns: mixed (roughness grows along the columns), sparse (only the first two matter).
+    """
+    tau = F.lit(2 * math.pi)
+    two = {
+        "smooth_smooth": (lambda x: F.sin(tau * x[0]) * F.cos(tau * x[1]), 0.35),
+        "smooth_rough": (lambda x: F.sin(tau * x[0]) + F.sin(4 * tau * x[1]), 0.40),
+        "strong_aniso": (lambda x: 0.3 * x[0] + F.sin(3 * tau * x[1]) * (1 + 0.5 * x[0]), 0.45),
+        "weak_signal": (lambda x: 0.3 * F.sin(tau * x[0]) * F.sin(tau * x[1]), 1.0),
+    }
+    if d == 2:
+        if scenario not in two:
+            raise ValueError(f"unknown scenario {scenario!r}")
+        f, sigma = two[scenario]
+    elif scenario == "mixed":
+        f, sigma = lambda x: reduce(lambda a, b: a + b, [F.sin((1.0 + i) * tau * v) / (1.0 + i) for i, v in enumerate(x)]) + x[0] * x[1], 0.4
+    elif scenario == "sparse":
+        f, sigma = lambda x: F.sin(tau * x[0]) * F.cos(tau * x[1]), 0.4
+    else:
+        raise ValueError(f"unknown scenario {scenario!r}")
+    return simulate(spark, n, d, f, 0.0, 1.0, sigma, seed)

@@ -164,6 +164,50 @@ def summarise_comparisons(rows: DataFrame) -> DataFrame:
     return rows.groupBy("d", "n_grid", "k").pivot("method").agg(F.avg("rmse"))
 
 
+def compare_scale(spark: SparkSession, designs=((2, 12, 6), (3, 8, 5)), lam: float = 1.0, ranks=(1, 2), sigma: float = 0.2, seed: int = 1) -> DataFrame:
+    """Comparisons over designs (d, points on each axis, k): d, n_grid, k, method, rank, rmse, edf, seconds."""
+    from ..functions.surfaces import grid_truth, normal
+
+    out = []
+    for d, n, k in designs:
+        axes = {f"x{i + 1}": np.linspace(0, 1, n).tolist() for i in range(d)}
+        df = axes_product(spark, axes).withColumn("truth", grid_truth([F.col(c) for c in axes])).withColumn("y", F.col("truth") + sigma * normal(F.col("row_id"), seed, 0)).cache()
+        out += [(d, n, k, r["method"], r["rank"], r["rmse"], r["edf"], r["seconds"]) for r in compare(df, list(axes), "truth", k, lam, ranks, select=False)]
+        df.unpersist()
+    return spark.createDataFrame(out, "d int, n_grid int, k int, method string, rank int, rmse double, edf double, seconds double")
+
+
+def prepare_array(df: DataFrame, axes: dict[str, list[float]], spec: TensorSpline):
+    """A full grid table as a prepared Gaussian fit: the Gram matrix is a Kronecker product of the axes', and rows are read for B'y alone.
+
+    Only for a whole grid with even weights; equal to the scattered fit of the same rows.
+    """
+    from ..functions.basis import make_knots
+    from ..plans.backends import MomentBackend, collect_sums
+    from .spline import Prepared
+
+    knots = spec.knots or make_knots(df, spec.x, spec.k, spec.degree)
+    bases = [k.evaluate(np.asarray(axes[c], float)) for c, k in zip(spec.x, knots, strict=True)]
+    n = int(np.prod([len(axes[c]) for c in spec.x]))
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(spec.x)], F.col(spec.y).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0.0).alias("off"))
+
+    def sums(b) -> dict:
+        x = b.bases[0]
+        for other in b.bases[1:]:
+            x = (x[:, :, None] * other[:, None, :]).reshape(len(x), -1)
+        return {"b": x.T @ b.y, "zz": (b.y**2).sum(), "m": np.array([b.y.sum()]), "n": float(len(b.y))}
+
+    m = collect_sums(rows, sums, knots, 0)
+    if int(m["n"]) != n:
+        raise ValueError(f"a whole grid has {n} rows, not {int(m['n'])}")
+    cross = np.ones(1)
+    for b in bases:
+        cross = np.kron(cross, b.sum(axis=0))
+    y = np.atleast_1d(m["m"])
+    full = {"S": axis_gram(bases), "b": m["b"], "C": cross[:, None], "M": np.array([[float(n)]]), "m": y, "zz": m["zz"], "w": float(n), "n": float(n), "wy": float(y[0]), "we": float(n), "yy": m["zz"]}
+    return Prepared(spec, "gaussian", knots, [], 1, MomentBackend([k.k for k in knots], full))
+
+
 # Profiled null space: what no difference penalty sees, fitted without shrinkage.
 
 

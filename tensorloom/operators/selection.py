@@ -124,8 +124,8 @@ class RankSelection:
         return spark.createDataFrame([(r["rank"], float(r["mean_cv"]), float(r["se_cv"])) for r in self.table], "rank int, mean_cv double, se_cv double")
 
 
-def rank_select(df: DataFrame, spec: TensorSpline, ranks=(1, 2, 3, 4, 5), folds: int = 5, fold: str | None = None, key: str | None = None, rule: str = "1se", metric: str = "auto", n_starts: int = 1, seed: int = 1) -> RankSelection:
-    """K-fold CV over ranks. Knots come from all rows and are shared; training data is the total less a fold; smoothing is chosen within."""
+def rank_select(df: DataFrame, spec: TensorSpline, ranks=(1, 2, 3, 4, 5), folds: int = 5, fold: str | None = None, key: str | None = None, rule: str = "1se", metric: str = "auto", n_starts: int = 1, seed: int = 1, fit_fun=None) -> RankSelection:
+    """K-fold CV over ranks. fit_fun(prepared, rank, seed) replaces the fit of a training part. Knots come from all rows and are shared; training data is the total less a fold; smoothing is chosen within."""
     if fold is None:
         cols = [key] if key else [*spec.x, spec.y]
         df, fold = df.withColumn("__fold", fold_id(F.struct(*cols), folds, seed)), "__fold"
@@ -138,7 +138,7 @@ def rank_select(df: DataFrame, spec: TensorSpline, ranks=(1, 2, 3, 4, 5), folds:
             best = None
             for start in range(n_starts):
                 try:
-                    m = train.fit(rank=r, seed=seed + start, control=fast)
+                    m = fit_fun(train, r, seed + start) if fit_fun else train.fit(rank=r, seed=seed + start, control=fast)
                     if np.isfinite(m.objective) and (best is None or m.objective < best.objective):
                         best = m
                 except (np.linalg.LinAlgError, FloatingPointError):

@@ -201,6 +201,24 @@ class TensorSplineModel:
         self.vcov_ = {"cores": gauge.cores, "bayes": self.scale * inverse, "freq": self.scale * inverse @ full @ inverse, "edf": total_edf, "H": full}
         return self
 
+    def conditional_edf(self, backend) -> np.ndarray:
+        """Trace of each core's own smoother with the others held; not additive."""
+        pens, out = [difference_penalty(k.k, self.spec.penalty_order, k.cyclic) for k in self.knots], []
+        for k in range(len(self.cores)):
+            s = backend.total(Request("core", self.family, [self.state], None if self.family == "gaussian" else self.state, k))["S"]
+            own, other = tensor.core_penalty(self.cores, pens, self.lam, k)
+            out.append(np.trace(np.linalg.solve(s + self.lam[k] * own + other + ridge_scale(s) * np.eye(len(s)), s)))
+        return np.array(out, float)
+
+    def edf_weights(self) -> np.ndarray:
+        """Shares of the joint EDF by margin."""
+        return self.margin_edf / self.margin_edf.sum()
+
+    def trace_frame(self, spark) -> DataFrame:
+        """Smoothing by outer step and margin."""
+        rows = [(t["outer"], t["margin"], t["old"], t["proposal"], t["new"]) for t in self.trace]
+        return spark.createDataFrame(rows, "outer int, margin int, old double, proposal double, new double")
+
     def vcov(self, freq: bool = False, unconditional: bool = False) -> np.ndarray:
         if unconditional:
             raise NotImplementedError("covariance is conditional on the smoothing")

@@ -21,6 +21,7 @@ from .operators.optimizers import frozen_curves
 from .operators.spline import SmoothTerm, TensorSpline
 from .plans import tensor
 from .plans.backends import Request, State
+from .sources import io
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -547,3 +548,67 @@ def profiled_null(spark, sf_dir):
 def global_gcv(spark, sf_dir):
     rows = lab.lambda_grid(_price(spark, sf_dir), TensorSpline(XS, rank=1, k=5, lam=1.0, control=FAST), (-1.0, 1.0))
     return spark.createDataFrame([tuple(map(float, (*r["log10_lambda"], r["gdf"], r["rss"], r["gcv"]))) for r in rows], "l1 double, l2 double, gdf double, rss double, gcv double")
+
+
+@query("SELECT doc_id, dense_rank() OVER (ORDER BY lang)::INT AS fold_id FROM documents WHERE lang IS NOT NULL")
+def cv_folds_from_labels(spark, sf_dir):
+    return selection.normalise_folds(t(spark, sf_dir, "documents").select("doc_id", "lang"), "lang").select("doc_id", "fold_id")
+
+
+@query("SELECT sum(CASE WHEN quality IS NULL THEN 1 ELSE 0 END)::BIGINT AS quality, sum(CASE WHEN toxic IS NULL THEN 1 ELSE 0 END)::BIGINT AS toxic FROM labels")
+def missing_values(spark, sf_dir):
+    return io.missing_counts(t(spark, sf_dir, "labels"), ["quality", "toxic"])
+
+
+@query("SELECT l_returnflag, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END)::DOUBLE AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::DOUBLE AS r FROM lineitem GROUP BY 1")
+def factor_dummies(spark, sf_dir):
+    df, names = io.dummies(t(spark, sf_dir, "lineitem").select("l_returnflag"), "l_returnflag", ["A", "N", "R"])
+    return df.groupBy("l_returnflag").agg(*[F.sum(n).alias(n[-1].lower()) for n in names])
+
+
+_AX1, _AX1T = basis_sql(Knots(0.0, 1.0, 5), "(SELECT i, i / 11.0::DOUBLE AS x FROM range(12) r(i))", "x", "i", "a")
+_AX2, _AX2T = basis_sql(Knots(0.0, 1.0, 4), "(SELECT i, i / 9.0::DOUBLE AS x FROM range(10) r(i))", "x", "i", "b")
+
+
+@query(f"""
+WITH {_AX1}, {_AX2}, g AS (SELECT [{', '.join(f'a{i} * b{j}' for i in range(1, 6) for j in range(1, 5))}] AS x, row_number() OVER () AS id FROM {_AX1T} p, {_AX2T} q),
+u AS (SELECT id, k, x[k] AS v FROM g, range(1, 21) r(k))
+SELECT a.k::INT AS i, b.k::INT AS j, {sq('sum(a.v * b.v)', 8)} AS value FROM u a JOIN u b ON a.id = b.id GROUP BY a.k, b.k
+""")
+def gram_array(spark, sf_dir):
+    """The Gram matrix of a whole grid from its axes alone."""
+    axes = {"x1": [i / 11.0 for i in range(12)], "x2": [i / 9.0 for i in range(10)]}
+    df = grid.axes_product(spark, axes).withColumn("y", F.col("x1") * F.col("x2"))
+    p = grid.prepare_array(df, axes, TensorSpline(["x1", "x2"], knots=[Knots(0.0, 1.0, 5), Knots(0.0, 1.0, 4)]))
+    m = p.backend.m["S"]
+    return spark.createDataFrame([(i + 1, j + 1, float(m[i, j])) for i in range(20) for j in range(20)], "i int, j int, value double").select("i", "j", q(F.col("value"), 8).alias("value"))
+
+
+@query(f"""
+WITH e AS (SELECT event_id, value::DOUBLE AS value, (event_id % 4)::DOUBLE AS y FROM events), m AS (SELECT *, exp(greatest(least({_ETA}, 20.0), -20.0)) AS mu FROM e)
+SELECT {sq('sum(mu - y * ' + _ETA + ') / count(*)')} AS nll, {sq('sum(2 * (CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END - (y - mu))) / count(*)')} AS deviance FROM m
+""")
+def glm_objective(spark, sf_dir):
+    df = t(spark, sf_dir, "events").select(F.col("value").cast("double").alias("value"), (F.col("event_id") % 4).cast("double").alias("y"))
+    mu = fam_.inverse_link("poisson", _eta())
+    return df.agg(q(F.sum(mu - F.col("y") * _eta()) / F.count("*")).alias("nll"), q(F.sum(fam_.unit_deviance("poisson", F.col("y"), mu)) / F.count("*")).alias("deviance"))
+
+
+@query()
+def compare_baselines(spark, sf_dir):
+    return grid.summarise_comparisons(grid.compare_scale(spark))
+
+
+@query()
+def lab_designs(spark, sf_dir):
+    out = None
+    for d, s in ((2, "smooth_smooth"), (2, "smooth_rough"), (2, "strong_aniso"), (2, "weak_signal"), (3, "mixed"), (4, "sparse")):
+        r = surfaces.lab_design(spark, s, d=d).agg(F.lit(s).alias("scenario"), F.lit(d).alias("d"), F.stddev_samp("f").alias("signal"), F.stddev_samp(F.col("y") - F.col("f")).alias("noise"))
+        out = r if out is None else out.union(r)
+    return out
+
+
+@query()
+def joint_smoothing(spark, sf_dir):
+    o = lab.optimise(_price(spark, sf_dir), TensorSpline(XS, rank=1, k=5, lam=1.0, control=FAST), n_global=6, starts=1, probes=2, local=6, expand=False)
+    return spark.createDataFrame([(x, float(v), s) for x, v, s in zip(XS, o["lambda"], o["identifiability"])], "margin string, lambda double, status string")

@@ -187,3 +187,14 @@ def test_gaussian_requests_need_no_data(spark, wave):
     assert be.total(Request("size"))["n"] == 240
     with pytest.raises(ValueError):
         be.total(Request("loss", "poisson", [State([], np.zeros(1))]))
+
+
+def test_array_mode_equals_scattered_fit(spark):
+    axes = {"x1": np.linspace(0, 1, 12).tolist(), "x2": np.linspace(0, 1, 10).tolist()}
+    df = grid.axes_product(spark, axes).withColumn("y", F.sin(6 * F.col("x1")) * F.col("x2"))
+    spec = TensorSpline(["x1", "x2"], rank=2, k=6, lam=0.5, control=FAST)
+    a, b = grid.prepare_array(df, axes, spec).fit(), spec.fit(df)
+    assert a.deviance == pytest.approx(b.deviance, rel=1e-8) and np.allclose(a.cores[0], b.cores[0], atol=1e-6)
+    with pytest.raises(ValueError):
+        grid.prepare_array(df.filter("row_id > 0"), axes, spec)
+    assert b.conditional_edf(spec.prepare(df).backend).sum() >= b.edf - 1e-6 and b.edf_weights().sum() == pytest.approx(1)
