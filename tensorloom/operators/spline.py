@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import families as fam_
 from ..functions.basis import Knots, difference_penalty, domains, make_knots
 from ..plans import tensor
-from ..plans.backends import Request, State, build
+from ..plans.backends import Request, RowBackend, State, build
 from ..plans.linalg import ridge_scale, t_two_sided
 from . import optimizers as opt
 from .control import Control, boundary_status, parse_lambda
@@ -75,7 +75,12 @@ class TensorSpline:
         return Prepared(self, fam, knots, terms, 1 + len(z), be)
 
     def fit(self, df: DataFrame, seed: int | None = None) -> TensorSplineModel:
-        return self.prepare(df).fit(seed=seed)
+        ready = self.prepare(df)
+        try:
+            return ready.fit(seed=seed)
+        finally:
+            if isinstance(ready.backend, RowBackend):
+                ready.backend.close()
 
 
 @dataclass

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,6 +231,9 @@ class RowBackend:
         df = self.df.filter((F.col("fold") == fold) if inside else (F.col("fold") != fold))
         return RowBackend(df, self.knots, self.n_z, float(df.count()))
 
+    def close(self) -> None:
+        self.df.unpersist()
+
     def total(self, q: Request) -> dict[str, np.ndarray]:
         return collect_sums(self.df, lambda b: answer(b, q), self.knots, self.n_z)
 
@@ -259,7 +263,9 @@ def collect_sums(df: DataFrame, f, knots: list[Knots], n_z: int, by_fold: bool =
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.float64()))], ["fold", "name", "i", "v"])
 
-    parts = df.mapInArrow(run, "fold int, name string, i int, v array<double>")
+    # Two tasks for each core: what is shuffled grows with the cluster and the model, not with the number of splits.
+    few = df.coalesce(max(1, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    parts = few.mapInArrow(run, "fold int, name string, i int, v array<double>")
     total = parts.select("fold", "name", "i", F.posexplode("v").alias("j", "v")).groupBy("fold", "name", "i", "j").agg(F.sum("v").alias("v"))
     total = total.groupBy("fold", "name", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("v"))
     out: dict = {}
@@ -311,4 +317,5 @@ def build(df: DataFrame, knots: list[Knots], x: list[str], y: str, family: str,
         by = collect_sums(rows, both, knots, len(z), by_fold=bool(fold))
         sums = by if not fold else {k: sum(v[k] for v in by.values()) for k in next(iter(by.values()))}
         return MomentBackend([k.k for k in knots], sums, by if fold else None)
-    return RowBackend(rows, knots, len(z), float(first["n"]), folds=folds)
+    # Every question reads the rows again: what is kept are a few doubles for each, on disk where memory ends.
+    return RowBackend(rows.persist(StorageLevel.MEMORY_AND_DISK), knots, len(z), float(first["n"]), folds=folds)
