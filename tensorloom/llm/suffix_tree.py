@@ -46,7 +46,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 def neighbours(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """For each token of the texts, ends included: (tail of the token before, head of this one) packed in 48 bits, and its text's number."""
-    streams = [b"\r " + b"".join(w + b" " for w in ws) + b"\n" for ws in texts]
+    streams = [b"\r " + b" ".join([*ws, b"\n"]) for ws in texts]
     flat = np.frombuffer(b"\0" * TAIL + b"".join(streams) + b"\0" * HEAD, np.uint8)
     at = np.flatnonzero(flat == 32)
     owner = np.repeat(np.arange(len(texts)), [len(ws) + 1 for ws in texts])
@@ -93,7 +93,7 @@ def word_counts(docs: DataFrame, doc_id: str, text: str, mod: int) -> DataFrame:
                 train[END] += 1
                 open_.append(ws)
                 size += len(ws)
-                if size > FLUSH_SYMBOLS // 4:
+                if size > FLUSH_SYMBOLS // 8:
                     yield pairs()
                     open_, size = [], 0
                 if len(train) + len(rest) > FLUSH:
@@ -214,12 +214,14 @@ class SuffixTree:
         (ctx, total), (edge, n) = self.states[d], self.edges[d]
         if not len(ctx) or not len(live):
             return live[:0]
-        own = keys[live]
+        own, back = np.unique(keys[live], return_inverse=True)  # each key is looked up once, in order
         i = np.minimum(np.searchsorted(ctx, own >> np.uint64(8)), len(ctx) - 1)
         at = ctx[i] == own >> np.uint64(8)
-        live, own, i = live[at], own[at], i[at]
         j = np.minimum(np.searchsorted(edge, own), len(edge) - 1)
-        p[live] = (np.where(edge[j] == own, n[j], 0) + self.weight * p[live]) / (total[i] + self.weight)
+        seen, weight = np.where(edge[j] == own, n[j], 0), total[i] + self.weight
+        here = at[back]
+        live, back = live[here], back[here]
+        p[live] = (seen[back] + self.weight * p[live]) / weight[back]
         return live
 
     def rest(self, words: list[bytes]) -> np.ndarray:
@@ -227,11 +229,14 @@ class SuffixTree:
         if not words:
             return np.zeros(0)
         flat, at = spell(words)
-        keys, p = packed(flat, at, self.depth), np.ones(len(flat))  # the mark before it is given, and the head scored with what stands before
+        p = np.ones(len(flat))  # the mark before it is given, and the head scored with what stands before
         live = np.flatnonzero(at > HEAD)
         p[live] = 1 / SYMBOLS
+        keys = np.zeros(len(flat), np.uint64)
         for d in range(self.depth + 1):
-            live = self._refine(p, d, keys[d], live[at[live] >= max(d, 1)])
+            live = live[at[live] >= max(d, 1)]
+            keys[live] |= flat[live - d].astype(np.uint64) << np.uint64(8 * d)
+            live = self._refine(p, d, keys, live)
         return np.add.reduceat(np.log10(p), np.flatnonzero(at == 0))
 
     def heads(self, keys: np.ndarray) -> np.ndarray:
@@ -336,7 +341,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
             for row, id_, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 held.append((row, id_, tokens(t)))
                 size += len(held[-1][2])
-                if size > 800_000:
+                if size > 400_000:
                     yield done(held)
                     held, size = [], 0
             if held:
