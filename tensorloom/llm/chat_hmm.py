@@ -31,7 +31,7 @@ ROLES = ("system", "user", "assistant")
 CHUNK = 1024
 #: What speakers are called.
 CALLED = {"system": "system|instructions?|context", "user": "user|human|question|q|customer|me|prompter", "assistant": "assistant|bot|ai|answer|a|agent|model|gpt"}
-MARKER = r"^\s*(?:[#>*]+\s*)?(?:<\|?|\[|\*\*)?({})(?:\|?>|\]|\*\*)?\s*(?::|(?<=[>\]])|\n)\s*(?:\*\*)?"
+MARKER = r"^[ \t]*(?:[#>*]+\s*)?(?:<\|?|\[|\*\*)?({})(?:\|?>|\]|\*\*)?\s*(?::|(?<=[>\]])|\n)\s*(?:\*\*)?"
 FEATURES = {"marker": 4, "length": 8, "lines": 4, "question": 2, "code": 2, "opening": 3}
 
 
@@ -54,7 +54,7 @@ def observed(text: Column) -> Column:
     return F.array(
         marker(t),
         F.greatest(F.least(F.floor(F.log2(n + F.lit(1.0))).cast("int") - 4, F.lit(7)), F.lit(0)),
-        F.least(F.regexp_count(t, F.lit("\n")), F.lit(3)),
+        F.least(n - F.length(F.replace(t, F.lit("\n"), F.lit(""))), F.lit(3)),
         t.contains("?").cast("int"),
         t.rlike(r"```|(?m)^\s*(?:[-*]|[0-9]+\.)\s").cast("int"),
         F.when(t == "", 2).when(t.rlike("^[a-z]"), 1).otherwise(0),
@@ -217,6 +217,6 @@ def format_transcripts(docs: DataFrame, training: DataFrame, id_: str = "id", te
     marked = "(?im)^(?=" + MARKER[1:].format("|".join(CALLED.values())) + ")"
     t = F.trim(F.coalesce(F.col(text), F.lit("")))
     pieces = F.split(t, F.when(t.rlike(marked), F.lit(marked)).otherwise(F.lit(r"\n\s*\n")))
-    units = docs.select(F.col(id_).alias("id"), F.posexplode(F.filter(F.transform(pieces, lambda x: F.rtrim(x)), lambda x: F.trim(x) != "")).alias("turn", "text"))
+    units = docs.select(F.col(id_).alias("id"), F.posexplode(F.filter(F.transform(pieces, lambda x: F.rtrim(x)), lambda x: x.rlike(r"\S"))).alias("turn", "text"))
     out = recover_roles(units, training, "id", "turn", "text")
     return out.select("id", "turn", F.col("recovered").alias("role"), F.trim(F.regexp_replace("bare", r"^\s+|\s+$", "")).alias("text"), render(F.col("recovered"), F.regexp_replace("bare", r"^\s+|\s+$", "")).alias("rendered"))

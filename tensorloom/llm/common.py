@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A maximal run of characters other than ASCII white space.
+#: Pieces in a block of `with_matches`; a maximal run of characters other than ASCII white space.
+BLOCK = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,8 +55,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def split_words(text: Column, between: str, lower: bool = False) -> Column:
+    """Maximal runs of other characters than `between`, none of null; optionally with A-Z lower-cased.
+
+    One character map and a split at spaces: far cheaper than regexp_extract_all, whose work for each match grows with the text.
+    """
+    others = [c for c in between if not (lower and c in UPPER)]
+    source, target = "".join(others) + (UPPER if lower else ""), " " * len(others) + (LOWER if lower else "")
+    return F.coalesce(F.array_remove(F.split(F.translate(text, source, target), " "), ""), F.array().cast("array<string>"))
+
+
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(split_words(text, "\t\n\x0b\x0c\r ")).cast("long")
 
 
 def held_out(doc_id: Column, mod: int) -> Column:
@@ -71,33 +82,34 @@ def spare_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def running_sums(sizes: Column, block: int = 256) -> Column:
-    """For array<int> sizes: the sum of what stands before each element. Sums of blocks keep the work near-linear."""
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(sizes), F.lit(1)) - 1) / block).cast("int")), lambda k: total(F.slice(sizes, k * block + 1, F.lit(block))))
-    return F.transform(sizes, lambda _, i: total(F.slice(blocks, F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(sizes, (i - i % block + 1).cast("int"), (i % block).cast("int"))))
-
-
 def with_matches(df: DataFrame, text: str, pattern: str, into: str, guard: Column | None = None, around: int = 48) -> DataFrame:
     """df with `into`: array<struct<start, end, match, before, after>> of the leftmost non-overlapping matches, in code points.
 
-    What stands between matches (split) and the matches alternate, so positions are sums of lengths. The pattern must
-    not match the empty string. before and after: up to `around` characters beside a match. guard: where it is false there are none.
+    Matches are put between marks that hold the text's own digest, so that no text can hold them, and the text is split at
+    the marks: pieces at odd places are matches, and positions are sums of lengths. The work is linear in the text. The pattern must not match
+    the empty string. before and after: up to `around` characters beside a match. guard: where it is false there are none.
     """
-    t, gaps, found, at = F.col(text), into + "_gaps", into + "_found", into + "_at"
+    t, pieces, at, n = F.col(text), into + "_pieces", into + "_at", into + "_n"
     ok = F.coalesce(guard, F.lit(False)) if guard is not None else t.isNotNull()
-    hits = F.when(ok, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
-    df = df.withColumn(found, hits)
-    df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split(t, pattern, -1)))
-    lengths = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
-    df = df.withColumn(at, F.when(F.size(found) > 0, lengths))
-    df = df.withColumn(at, F.when(F.size(found) > 0, running_sums(F.col(at))))
-    one = lambda m, i: F.struct(
-        (F.get(at, i) + F.length(F.get(gaps, i))).cast("int").alias("start"),
-        (F.get(at, i) + F.length(F.get(gaps, i)) + F.length(m)).cast("int").alias("end"),
-        m.alias("match"),
-        F.right(F.get(gaps, i), F.lit(around)).alias("before"),
-        F.left(F.get(gaps, i + 1), F.lit(around)).alias("after"),
+    mark = F.concat(F.lit("\x01"), F.md5(t.cast("binary")), F.lit("\x02"))
+    df = df.withColumn(pieces, F.when(ok, F.split(F.regexp_replace(t, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark, -1)))
+    df = df.withColumn(n, F.when(F.size(pieces) > 1, (F.floor(F.size(pieces) / 2) - 1).cast("int")))  # the last match
+    # Where each piece starts: sums of whole blocks of pieces and of what is left. Each step is a column that is named
+    # more than once, so that the optimiser keeps it and nothing is worked out anew for each piece.
+    sizes, blocks = into + "_sizes", into + "_blocks"
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+    df = df.withColumn(sizes, F.when(F.col(n).isNotNull(), F.transform(pieces, lambda x: F.length(x))))
+    df = df.withColumn(blocks, F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), lambda k: total(F.slice(sizes, k * BLOCK + 1, F.lit(BLOCK))))))
+    begin = lambda _, i: total(F.slice(blocks, F.lit(1), F.floor(i / BLOCK).cast("int"))) + total(F.slice(sizes, (i - i % BLOCK + 1).cast("int"), (i % BLOCK).cast("int")))
+    df = df.withColumn(at, F.when(F.size(blocks) > 0, F.transform(sizes, begin)))
+    piece = lambda i: F.get(pieces, i)
+    one = lambda i: F.struct(
+        F.get(at, 2 * i + 1).cast("int").alias("start"),
+        (F.get(at, 2 * i + 1) + F.length(piece(2 * i + 1))).cast("int").alias("end"),
+        piece(2 * i + 1).alias("match"),
+        F.right(piece(2 * i), F.lit(around)).alias("before"),
+        F.left(piece(2 * i + 2), F.lit(around)).alias("after"),
     )
     kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
-    return df.withColumn(into, F.when(F.size(found) > 0, F.transform(found, one)).otherwise(F.array().cast(kind))).drop(gaps, found, at)
+    found = F.when(F.col(n).isNotNull(), F.transform(F.sequence(F.lit(0), F.col(n)), one)).otherwise(F.array().cast(kind))
+    return df.withColumn(into, found).drop(pieces, n, at, sizes, blocks)

@@ -15,19 +15,23 @@ benchmark hits nothing; an empty table gives an empty result; further columns pa
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import materialise, split_words
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The characters of WORDS' complement, which stand between words.
+BETWEEN = "".join(chr(c) for c in range(128) if not re.fullmatch(WORDS, chr(c).lower()))
 SIZE = 10
 #: Windows (some 200 bytes each in a hash table) up to which the benchmark is broadcast.
 BROADCAST_WINDOWS = 250_000
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(f"({WORDS})"), 1), F.array().cast("array<string>"))
+    return split_words(text, BETWEEN, lower=True)
 
 
 def _anchor(v: Column) -> Column:
@@ -120,10 +124,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     joined = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), whole)
     joined = joined.join(found, joined["id"].eqNullSafe(found["bad_id"]), "left")
     t = F.col("t")
-    gaps, tokens = F.split(t, _any_case(), -1), F.regexp_extract_all(t, F.lit(f"({_any_case()})"), 1)
+    mark = F.concat(F.lit("\x01"), F.md5(t.cast("binary")), F.lit("\x02"))
+    joined = joined.withColumn("pieces", F.when(F.col("bad_words").isNotNull(), F.split(F.regexp_replace(t, F.lit(_any_case()), F.concat(mark, F.lit("$0"), mark)), mark, -1)))
     hit = lambda i: F.array_contains("bad_words", i)
-    piece = lambda x, i: F.concat(F.when((i > 0) & hit(i - 1) & hit(i), F.lit("")).otherwise(x), F.when(i >= F.size(tokens), F.lit("")).when(hit(i), F.when((i > 0) & hit(i - 1), F.lit("")).otherwise(F.lit(placeholder))).otherwise(F.get(tokens, i)))
-    cut = F.array_join(F.transform(gaps, piece), "")
+    odd, word = (lambda i: i % 2 == 1), (lambda i: F.floor(i / 2).cast("int"))
+    # Pieces at odd places are words, those at even places what stands before the next word.
+    cut_word = lambda i: F.when(hit(word(i) - 1), F.lit("")).otherwise(F.lit(placeholder))
+    piece = lambda x, i: F.when(odd(i), F.when(hit(word(i)), cut_word(i)).otherwise(x)).otherwise(F.when(hit(word(i) - 1) & hit(word(i)), F.lit("")).otherwise(x))
+    cut = F.array_join(F.transform("pieces", piece), "")
     return joined.select(*[F.when(F.col("bad_words").isNotNull(), cut).otherwise(t).alias(c) if c == text else F.col(f"whole.`{c}`") for c in docs.columns])
 
 
