@@ -2,16 +2,17 @@
 
 A text is a sequence of tokens, words (ASCII lower-cased, split at ASCII white space) and then one end; a token is spelled
 byte by byte and closed by a space, the end is a mark of its own. The tree's contexts are the last 0 to `depth` symbols; near a token's
-start (its first `HEAD` symbols) they reach up to `TAIL` symbols into the token before. A context becomes a state if it occurs in at least the share `least` of all symbols and its
+start (its first `HEAD` symbols) they reach up to `TAIL` symbols into the token before. A context becomes a state if it occurs at least `least` times, whatever the corpus's size, and its
 next-symbol distribution diverges from its parent's (the context less its oldest symbol): 2 N KL >= `divergence`, a
 likelihood-ratio test. A state's distribution is smoothed with its longest state suffix, down to a uniform one, so every
 text has a probability, and each symbol is scored in the longest state that is a suffix of what precedes it.
 
 Scale: the corpus is tokenised twice, once for counts and once for scores. Past its first symbols a token's spelling does not depend on
 its neighbours, so the tree is learnt from the table of distinct words and that of (tail, head) pairs of neighbours, with counts; each distinct
-word's rest is scored once, and heads where the text lies.
-At most depth / least states exist, which bounds what is broadcast. The `HOT` commonest words (a bounded table)
-are scored where the text lies; other words meet their scores in a shuffled join, so no word makes a hot partition.
+word's rest and each distinct pair's head is scored once.
+States and their edges grow with the corpus and stay in written tables: each context length takes its probabilities from the one before in
+a join. The `HOT` commonest words and up to `HOT_PAIRS` commonest pairs (bounded tables of scores) are scored where the text lies; others
+meet their scores in a shuffled join, so no word makes a hot partition.
 
 Defined results: null counts as an empty text, which is one end; a null doc_id counts as training; without training text
 counts are 0, the base is 0 and the tree is uniform; repeated rows are scored each; an empty table gives an empty result.
@@ -31,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import held_out, materialise
 
-DEPTH, LEAST, DIVERGENCE, WEIGHT, HOT = 6, 1e-6, 12.0, 4.0, 100_000
+DEPTH, LEAST, DIVERGENCE, WEIGHT, HOT, HOT_PAIRS = 6, 2, 12.0, 4.0, 100_000, 1_000_000
 HEAD, TAIL = 3, 3
 #: Marks outside words: before the first token, end of a word (and so what stands before each token), end of the text.
 FIRST, CLOSE, END = b"\r", b" ", b"\n"
@@ -66,14 +67,15 @@ def neighbours(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 def word_counts(docs: DataFrame, doc_id: str, text: str, mod: int) -> DataFrame:
     """(word, c): distinct tokens of all texts with their count in training texts; the end is a token.
 
-    Also a row for each pair of neighbours in training texts: its name is the end mark and 8 bytes.
+    Also a row for each pair of neighbours, with its count in training texts: its name is the end mark and 8 bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest, open_, size = Counter(), set(), [], 0
+        train, rest, open_, aside, size = Counter(), set(), [], [], 0
 
-        def pairs() -> pa.RecordBatch:
-            u, n = np.unique(neighbours(open_)[0], return_counts=True)
+        def pairs(texts: list[list[bytes]], times: int) -> pa.RecordBatch:
+            u, n = np.unique(neighbours(texts)[0], return_counts=True)
+            n *= times
             return pa.RecordBatch.from_arrays([pa.array([END + x for x in _eights(u)], pa.binary()), pa.array(n.astype(np.int64))], ["word", "c"])
 
         def out() -> pa.RecordBatch:
@@ -88,18 +90,20 @@ def word_counts(docs: DataFrame, doc_id: str, text: str, mod: int) -> DataFrame:
                 ws = tokens(t)
                 if held:
                     rest.update(ws)
-                    continue
-                train.update(ws)
-                train[END] += 1
-                open_.append(ws)
+                    rest.add(END)
+                else:
+                    train.update(ws)
+                    train[END] += 1
+                (aside if held else open_).append(ws)
                 size += len(ws)
                 if size > FLUSH_SYMBOLS // 8:
-                    yield pairs()
-                    open_, size = [], 0
+                    yield pairs(open_, 1)
+                    yield pairs(aside, 0)
+                    open_, aside, size = [], [], 0
                 if len(train) + len(rest) > FLUSH:
                     yield out()
-        if open_:
-            yield pairs()
+        yield pairs(open_, 1)
+        yield pairs(aside, 0)
         yield out()
 
     kept = docs.select(held_out(F.col(doc_id), mod).alias("held"), F.col(text).alias("text"))
@@ -151,7 +155,7 @@ def reaching(keys: np.ndarray, depth: int) -> Iterator[tuple[int, int, np.ndarra
 
 
 def context_counts(words: DataFrame, depth: int) -> DataFrame:
-    """(d, ctx, sym, n): how often a symbol follows each context of d symbols in training text."""
+    """(d, ctx, sym, n): how often a symbol follows each context of d symbols in training text; n is 0 for what only held-out text has."""
 
     def count(spelled: list[bytes], times: list[int]) -> Iterator[pa.RecordBatch]:
         flat, at = spell(spelled)
@@ -193,8 +197,8 @@ def context_counts(words: DataFrame, depth: int) -> DataFrame:
         if pairs:
             yield from across(np.array([k for k, _ in pairs], np.uint64), np.array([c for _, c in pairs], np.float64))
 
-    counts = words.filter("c > 0").select("word", "c").mapInArrow(run, "d int, ctx long, sym int, n long")
-    return counts.groupBy("d", "ctx", "sym").agg(F.sum("n").alias("n"))
+    counts = words.select("word", "c").mapInArrow(run, "d int, ctx long, sym int, n long")
+    return counts.groupBy("ctx", "sym", "d").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -252,26 +256,34 @@ class SuffixTree:
         return out + np.log10(p)
 
 
-def learn(words: DataFrame, depth: int = DEPTH, least: float = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> SuffixTree:
-    """The tree of the training words (word, c)."""
+def grow(words: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+    """(d, ctx, sym, n, total): every context and symbol of the words, with the context's count where it is a state, else null."""
     n = F.col("n")
-    counts = materialise(context_counts(words, depth), "pst-counts")
-    totals = materialise(counts.groupBy("d", "ctx").agg(F.sum("n").alias("total")), "pst-totals")
-    symbols = totals.filter("d = 0").agg(F.sum("total")).first()[0] or 0
-    enough = materialise(totals.filter(F.col("total") >= F.greatest(F.lit(1), F.lit(float(symbols * least)))), "pst-enough")
+    every = materialise(context_counts(words, depth), "pst-counts")
+    counts = every.filter("n > 0")
+    totals = materialise(counts.groupBy("ctx", "d").agg(F.sum("n").alias("total")), "pst-totals")
+    enough = totals.filter(F.col("total") >= least)
     # P(next | context) against P(next | context less its oldest symbol).
-    own = counts.join(enough, ["d", "ctx"])
-    mask = F.get(F.array(*[F.lit((1 << 8 * max(d - 1, 0)) - 1).cast("long") for d in range(depth + 1)]), F.col("d"))
-    own = own.withColumn("up", F.col("ctx").bitwiseAND(mask)).withColumn("up_d", F.col("d") - 1)
-    parent = counts.join(totals, ["d", "ctx"]).select(F.col("d").alias("up_d"), F.col("ctx").alias("up"), "sym", (n / F.col("total")).alias("up_p"))
-    test = own.filter("d > 0").join(parent, ["up_d", "up", "sym"]).groupBy("d", "ctx", "total").agg((2 * F.sum(n * F.log((n / F.col("total")) / F.col("up_p")))).alias("g"))
+    own = counts.filter("d > 0").join(enough, ["ctx", "d"])
+    own = own.withColumn("up", F.col("ctx").bitwiseAND(_mask(F.col("d") - 1, depth))).withColumn("up_d", F.col("d") - 1)
+    parent = counts.join(totals, ["ctx", "d"]).select(F.col("d").alias("up_d"), F.col("ctx").alias("up"), "sym", (n / F.col("total")).alias("up_p"))
+    test = own.join(parent, ["up", "sym", "up_d"]).groupBy("ctx", "d").agg((2 * F.sum(n * F.log((n / F.col("total")) / F.col("up_p")))).alias("g"))
     kept = test.filter(F.col("g") >= divergence).select("d", "ctx").union(enough.filter("d = 0").select("d", "ctx"))
     # Every suffix of a state is a state, so a look for the longest one can stop at the first that isn't.
-    masks = F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(depth + 1)])
-    closed = kept.select("ctx", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("d")).select("d", F.col("ctx").bitwiseAND(F.get(masks, F.col("d"))).alias("ctx")).distinct()
-    kept = materialise(closed.join(enough, ["d", "ctx"]).select("d", "ctx", "total"), "pst-states")
-    s = kept.toArrow()  # at most depth / least rows
-    e = counts.join(kept, ["d", "ctx"]).select("d", "ctx", "sym", "n").toArrow()
+    closed = kept.select("ctx", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("d")).select(F.col("ctx").bitwiseAND(_mask(F.col("d"), depth)).alias("ctx"), "d").distinct()
+    return materialise(every.join(closed.join(totals, ["ctx", "d"]), ["ctx", "d"], "left").select("d", "ctx", "sym", "n", "total"), "pst-tree")
+
+
+def _mask(d: Column, depth: int) -> Column:
+    """The bits of a context's last d symbols."""
+    return F.get(F.array(*[F.lit((1 << 8 * k) - 1).cast("long") for k in range(depth + 1)]), d)
+
+
+def learn(words: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> SuffixTree:
+    """The tree of the training words (word, c), in the driver's memory: for small corpora. `score_texts` leaves it in its table."""
+    tree = grow(words, depth, least, divergence).filter("total is not null")
+    s = tree.select("d", "ctx", "total").distinct().toArrow()
+    e = tree.filter("n > 0").select("d", "ctx", "sym", "n").toArrow()
     states, edges = [], []
     sd, ed = s.column("d").to_numpy(), e.column("d").to_numpy()
     sc, st = s.column("ctx").to_numpy().view(np.uint64), s.column("total").to_numpy().astype(np.float64)
@@ -284,23 +296,91 @@ def learn(words: DataFrame, depth: int = DEPTH, least: float = LEAST, divergence
     return SuffixTree(depth, weight, states, edges)
 
 
+def probabilities(tree: DataFrame, depth: int = DEPTH, weight: float = WEIGHT) -> DataFrame:
+    """(d, ctx, sym, p) for each row of the tree: a state smooths with the context less its oldest symbol, any other context takes its probability."""
+    found = None
+    for d in range(depth + 1):
+        here = tree.filter(F.col("d") == d)
+        if d == 0:
+            here = here.withColumn("up_p", F.lit(1 / SYMBOLS))
+        else:
+            up = last.select(F.col("ctx").alias("up"), "sym", F.col("p").alias("up_p"))
+            here = here.withColumn("up", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1).cast("long"))).join(up, ["up", "sym"])
+        p = F.when(F.col("total").isNotNull(), (F.col("n") + weight * F.col("up_p")) / (F.col("total") + weight)).otherwise(F.col("up_p"))
+        last = materialise(here.select("d", "ctx", "sym", p.alias("p")), "pst-p")
+        found = last if found is None else found.union(last)
+    return found
+
+
+def asked(words: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(word, c, d, ctx, sym): a row for each symbol of a word's rest and of a pair's head, with its longest context."""
+
+    def out(b: pa.RecordBatch, owner: list[np.ndarray], d: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        at, u = pa.array(np.concatenate(owner)), np.concatenate(keys)
+        sym, ctx = (u & np.uint64(255)).astype(np.int32), (u >> np.uint64(8)).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column("word").take(at), b.column("c").take(at), pa.array(np.concatenate(d).astype(np.int32)), pa.array(ctx), pa.array(sym)], ["word", "c", "d", "ctx", "sym"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words_ = b.column("word").to_pylist()
+            pair = np.array([len(w) > 1 and w[:1] == END for w in words_], bool)
+            which = np.flatnonzero(~pair)
+            if len(which):
+                flat, at = spell([words_[i] for i in which])
+                of, live, keys = which[np.cumsum(at == 0) - 1], at > HEAD, flat.astype(np.uint64)
+                for d, key in enumerate(packed(flat, at, depth)):
+                    keys[at >= d] = key[at >= d]
+                if live.any():
+                    yield out(b, [of[live]], [np.minimum(at[live], depth)], [keys[live]])
+            which = np.flatnonzero(pair)
+            if len(which):
+                pairs = np.array([int.from_bytes(words_[i][1:], "big") for i in which], np.uint64)
+                keys, most, used = [np.zeros(len(pairs), np.uint64) for _ in range(HEAD)], np.full((HEAD, len(pairs)), -1), range(HEAD)
+                for i, d, packed_, ok in reaching(pairs, depth):
+                    keys[i][ok], most[i][ok] = packed_[ok], d
+                if (most >= 0).any():
+                    yield out(b, [which[most[i] >= 0] for i in used], [most[i][most[i] >= 0] for i in used], [keys[i][most[i] >= 0] for i in used])
+
+    return words.select("word", "c").mapInArrow(run, "word binary, c long, d int, ctx long, sym int")
+
+
+def score_words(words: DataFrame, depth: int = DEPTH, weight: float = WEIGHT, **kw) -> DataFrame:
+    """(word, c, lp): log10 probability of each word's rest and of each pair's head."""
+    p = probabilities(grow(words, depth, **kw), depth, weight)
+    met = asked(words, depth).join(p, ["ctx", "sym", "d"])
+    some = met.groupBy("word", "c").agg(F.sum(F.log10("p")).alias("lp"))
+    # Words that are all head; pairs whose head starts with a zero byte, which counts as nothing.
+    none = F.when(is_pair(), F.substring("word", 10 - HEAD, 1) == F.lit(bytearray(1))).otherwise(F.length("word") < HEAD)
+    return some.union(words.filter(none).select("word", "c", F.lit(0.0).alias("lp")))
+
+
+def common_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs with a count above the least bound (eight to a doubling) that no more than `most` pairs exceed."""
+    bins = sorted(pairs.filter("c > 0").groupBy(F.floor(8 * F.log2("c")).cast("int").alias("b")).count().collect(), reverse=True)  # some hundred rows
+    low, n = 1 << 30, 0
+    for r in bins:
+        n += r["count"]
+        if n > most:
+            break
+        low = r["b"]
+    return pairs.filter((F.col("c") > 0) & (F.floor(8 * F.log2("c")).cast("int") >= low))
+
+
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = 10, **kw) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     spark = docs.sparkSession
     words = materialise(word_counts(docs, doc_id, text, mod), "pst-words")
     tokens_ = words.filter(~is_pair())
     n, v = tokens_.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    tree = learn(words, **kw)
-    shared = spark.sparkContext.broadcast(tree)
     base = F.log10((F.col("c") + 0.1) / F.lit(n + 0.1 * (v + 1)))
 
-    def spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = pa.array(shared.value.rest(b.column("word").to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), ok], ["word", "c", "lp"])
-
-    known = tokens_.select("word", "c").mapInArrow(spell_out, "word binary, c long, lp double").withColumn("base", base)
-    known = materialise(known, "pst-scored")
+    scored = materialise(score_words(words, **kw), "pst-scored")
+    known = scored.filter(~is_pair()).withColumn("base", base)
+    pairs = scored.filter(is_pair())
+    often = common_pairs(pairs, HOT_PAIRS).select("word", "lp").toArrow()  # HOT_PAIRS rows at most
+    codes = np.array([int.from_bytes(w[1:], "big") for w in often.column("word").to_pylist()], np.uint64)
+    order = np.argsort(codes)
+    shared = spark.sparkContext.broadcast((codes[order], often.column("lp").to_numpy()[order]))
     hot = known.filter("c > 0").orderBy(F.col("c").desc(), "word").limit(HOT).toArrow()
     table = {w: (b, lp) for w, b, lp in zip(hot.column("word").to_pylist(), hot.column("base").to_pylist(), hot.column("lp").to_pylist(), strict=True)}
     common = spark.sparkContext.broadcast(table)
@@ -309,27 +389,27 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
         names = ["row", "doc_id", "word", "n", "known", "base", "score"]
         kinds = [pa.int64(), id_arrow, pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-        known_keys, known_heads = np.zeros(0, np.uint64), np.zeros(0)  # what this task has looked up
-
         def done(held: list[tuple]) -> pa.RecordBatch:
-            nonlocal known_keys, known_heads
             texts, rows = [ws for *_, ws in held], []
             keys, owner = neighbours(texts)
             u, inverse = np.unique(keys, return_inverse=True)
-            new = np.setdiff1d(u, known_keys, assume_unique=True)
-            if len(new):
-                order = np.argsort(both := np.concatenate([known_keys, new]), kind="stable")
-                known_keys, known_heads = both[order], np.concatenate([known_heads, shared.value.heads(new)])[order]
-            heads = np.bincount(owner, known_heads[np.searchsorted(known_keys, u)][inverse], len(texts))
+            often, lp = shared.value
+            at = np.minimum(np.searchsorted(often, u), max(len(often) - 1, 0))
+            hit = often[at] == u if len(often) else np.zeros(len(u), bool)
+            heads = np.bincount(owner, (np.where(hit, lp[at], 0.0) if len(often) else np.zeros(len(u)))[inverse], len(texts))
+            far = ~hit[inverse]
+            each, times = np.unique(owner[far] * len(u) + inverse[far], return_counts=True)
+            for i, name, c in zip((each // len(u)).tolist(), _eights(u[each % len(u)]), times.tolist(), strict=True):
+                rows.append((held[i][0], None, END + name, c, 0, 0.0, 0.0))
             for (row, id_, ws), head in zip(held, heads.tolist(), strict=True):
                 counts = Counter(ws)
                 counts[END] += 1
                 seen, s_base = 0, 0.0
                 for w, c in counts.items():
-                    if hit := common.value.get(w):
+                    if got := common.value.get(w):
                         seen += c
-                        s_base += c * hit[0]
-                        head += c * hit[1]
+                        s_base += c * got[0]
+                        head += c * got[1]
                     else:
                         rows.append((row, None, w, c, 0, 0.0, 0.0))
                 # The text's own row, under a name that is no word.
@@ -347,12 +427,13 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
             if held:
                 yield done(held)
 
-    # One row for each text, and one for each of its words that isn't common; the row number is the place in the scan.
+    # One row for each text, and one for each of its words and pairs that isn't common; the row number is the place in the scan.
     kind = docs.schema[doc_id].dataType
     id_arrow = to_arrow_type(kind)
     each = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts = each.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, word binary, n long, known long, base double, score double")
     k = known.select(F.col("word").alias("k_word"), "c", F.col("base").alias("k_base"), "lp")
+    k = k.union(pairs.select("word", F.lit(0).cast("long"), F.lit(0.0), "lp"))
     met = parts.join(k, parts["word"] == k["k_word"], "left")
     rare = F.col("c").isNotNull()  # the texts' own rows meet no word
     sums = met.groupBy("row").agg(
