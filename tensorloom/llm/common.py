@@ -44,6 +44,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written once with a number of its own for each row, and the name of that column."""
+    row = spare_name(df, "row_number")
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes every table that `materialise` wrote to the shared folder; results that still read them become unreadable."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tensorloom")

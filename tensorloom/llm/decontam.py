@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, split_words
+from .common import materialise, number_rows, split_words
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The characters of WORDS' complement, which stand between words.
@@ -110,19 +110,19 @@ def score_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, remove: str = "documents", placeholder: str = " ") -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with each hit run of words replaced.
 
-    Documents are matched by doc_id: of rows that share one, all go if any is hit. Removing spans cuts from the first
+    Rows go by their number: of rows that share a doc_id, or have none, only those that are hit go. Removing spans cuts from the first
     hit word of a run to its last, punctuation between them included; texts are otherwise unchanged.
     """
+    numbered, row = number_rows(docs, "decontam-rows")
     if remove == "documents":
-        bad = score_documents(docs, benchmark, doc_id, text, size).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-        bad = materialise(bad, "decontam-bad")
-        return docs.join(bad, docs[doc_id].eqNullSafe(bad["bad_id"]), "left_anti")
-    found = find_windows(docs, benchmark, doc_id, text, size).filter(F.size("hits") > 0)
+        bad = score_documents(numbered, benchmark, row, text, size).filter("contaminated").select(F.col("doc_id").alias(row))
+        return numbered.join(materialise(bad, "decontam-bad"), row, "left_anti").drop(row)
+    found = find_windows(numbered, benchmark, row, text, size).filter(F.size("hits") > 0)
     hit_words = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1))))
-    found = materialise(found.groupBy(F.col("doc_id").alias("bad_id")).agg(F.array_distinct(F.flatten(F.collect_list(hit_words))).alias("bad_words")), "decontam-spans")
+    found = materialise(found.select(F.col("doc_id").alias("bad_id"), hit_words.alias("bad_words")), "decontam-spans")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    joined = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), whole)
-    joined = joined.join(found, joined["id"].eqNullSafe(found["bad_id"]), "left")
+    joined = numbered.select(F.col(row).alias("id"), F.col(text).alias("t"), whole)
+    joined = joined.join(found, joined["id"] == found["bad_id"], "left")
     t = F.col("t")
     mark = F.concat(F.lit("\x01"), F.md5(t.cast("binary")), F.lit("\x02"))
     joined = joined.withColumn("pieces", F.when(F.col("bad_words").isNotNull(), F.split(F.regexp_replace(t, F.lit(_any_case()), F.concat(mark, F.lit("$0"), mark)), mark, -1)))

@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, number_rows
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints in a tile; a group's tile pairs hold twice as many.
@@ -190,25 +190,33 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs; component_id: the smallest doc_id reachable over links."""
-    each = materialise(fingerprints(docs, doc_id, text, shingle, seed), "simhash-docs")
-    fps = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
+def _lowest(each: DataFrame, of: Column, radius: int) -> DataFrame:
+    """(fp, best): for each distinct fingerprint the smallest value of `of` in its component."""
+    fps = materialise(each.groupBy("fp").agg(F.min(of).alias("low")), "simhash-fps")
     roots = components(links(fps.select("fp"), radius))
     lows = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = materialise(lows, "simhash-roots")
-    best = materialise(lows.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-best")
-    of = materialise(lows.join(best, "root").select("fp", "component_id"), "simhash-of")
+    best = materialise(lows.groupBy("root").agg(F.min("low").alias("best")), "simhash-best")
+    return materialise(lows.join(best, "root").select("fp", "best"), "simhash-of")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs; component_id: the smallest doc_id reachable over links."""
+    each = materialise(fingerprints(docs, doc_id, text, shingle, seed), "simhash-docs")
+    of = _lowest(each, F.col("doc_id"), radius).withColumnRenamed("best", "component_id")
     return each.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Of rows that share this id one stays."""
-    found = materialise(near_duplicates(docs, doc_id, text, **kw), "simhash-result")
-    drop = materialise(found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("dropped_id")).distinct(), "simhash-drop")
-    kept = docs.join(drop, docs[doc_id].eqNullSafe(drop["dropped_id"]), "left_anti")
-    again = materialise(found.groupBy(F.col("doc_id").alias("repeated_id")).count().filter("count > 1").select("repeated_id"), "simhash-again")
-    if again.isEmpty():  # the usual case: no text need be compared
-        return kept
-    repeated = kept[doc_id].eqNullSafe(again["repeated_id"])
-    return kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated, "left_semi").dropDuplicates([doc_id]))
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """docs with exactly one row of each component: the one with the smallest doc_id, null after all others.
+
+    Of rows of a component that share this id, the one with the smallest fingerprint and then the first stays. Rows go by their number, so
+    that rows of other components with the same doc_id, or with none, are left alone.
+    """
+    numbered, row = number_rows(docs, "simhash-rows")
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
+    each = fingerprints(numbered.select(key.alias("key"), F.col(text).alias("text")), "key", "text", shingle, seed)
+    each = materialise(each.select("doc_id.none", "doc_id.id", "doc_id.row", "fp"), "simhash-docs")
+    of = _lowest(each, F.struct("none", "id", "fp", "row"), radius)
+    drop = each.join(of, "fp").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
+    return numbered.join(materialise(drop, "simhash-drop"), row, "left_anti").drop(row)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tensorloom.llm import suffix_tree
+from tensorloom.llm import decontam, simhash, suffix_tree
 
 
 def plain_score(tree, text):
@@ -33,3 +33,22 @@ def test_suffix_tree_keeps_rare_contexts_however_large_the_corpus(spark):
         tree = suffix_tree.learn(words)
         ctx = np.uint64(int.from_bytes(b"qm", "big"))
         assert ctx in tree.states[2][0]
+
+
+PROSE = {k: " ".join(f"{k}{i * i % 97}" for i in range(40)) for k in "abcde"}
+
+
+def test_dedup_drops_rows_and_not_ids(spark):
+    """One row of each component stays, also where ids are repeated or null over different texts."""
+    rows = [(1, "a"), (5, "a"), (5, "b"), (6, "b"), (None, "a"), (None, "c"), (None, "d"), (None, "d"), (7, "e"), (7, "e")]
+    docs = spark.createDataFrame([(i, PROSE[k]) for i, k in rows], "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"][0]) for r in simhash.drop_near_duplicates(docs).collect()), key=lambda x: x[1])
+    assert got == [(1, "a"), (5, "b"), (None, "c"), (None, "d"), (7, "e")]
+
+
+def test_decontamination_drops_rows_and_not_ids(spark):
+    bench = spark.createDataFrame([(1, PROSE["a"])], "item_id long, text string")
+    docs = spark.createDataFrame([(None, PROSE["a"]), (None, PROSE["b"]), (3, PROSE["a"]), (3, PROSE["c"]), (4, PROSE["d"])], "doc_id long, text string").repartition(3)
+    assert sorted(r["text"][0] for r in decontam.decontaminate(docs, bench).collect()) == ["b", "c", "d"]
+    cut = {r["text"] for r in decontam.decontaminate(docs, bench, remove="spans").collect()}
+    assert cut == {" ", PROSE["b"], PROSE["c"], PROSE["d"]}
