@@ -9,8 +9,9 @@ A slot holds a byte hashed from its character; 0 is kept for the empty text. The
 share of equal slots, which estimates the share of equal steps.
 
 Scale: fingerprints need one text (two for the edited text, which is handed to its predecessor by a range partition of
-doc_id whose boundaries are a bounded sample). Candidate pairs come from bands of sampled slots; each band links its
-members to its smallest, and links are verified by likeness, so a group of copies makes links and not pairs.
+doc_id whose boundaries are a bounded sample). Candidate pairs come from bands of sampled slots; all members of a
+bucket are compared, in tiles of some `TILE` whose pairs are separate tasks, and each task returns a spanning forest of the verified links,
+so a group of copies makes links and not pairs.
 
 Defined results: null counts as an empty text; empty texts are alike to each other (1) and to no other text (0); the order
 is doc_id, nulls first, then the text; a table of one row follows itself; an empty table gives an empty result.
@@ -32,6 +33,8 @@ from .common import materialise
 
 SLOTS, PERIOD, SEED = 64, 4096, 20160627
 BANDS, BAND_SLOTS, ALIKE = 16, 8, 0.8
+#: Fingerprints in a tile of a bucket, and of these compared at once.
+TILE, SUBTILE = 512, 128
 #: Characters walked together in one vectorised pass.
 PASS_CHARS = 12_000_000
 _RNG = np.random.default_rng(SEED)
@@ -204,21 +207,80 @@ def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+def band_slots() -> list[list[int]]:
+    """The slots of each band, a fixed sample."""
+    rng = np.random.default_rng(SEED + 1)
+    return [sorted(rng.choice(SLOTS, BAND_SLOTS, replace=False).tolist()) for _ in range(BANDS)]
+
+
+def forest(fps: np.ndarray, side: np.ndarray, same_tile: bool, alike: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, near): a spanning forest of the links alike enough among the rows of fps; between two tiles only of links across them."""
+    xs, ys, nears = [], [], []
+    for i in range(0, len(fps), SUBTILE):
+        near = likeness(fps[i : i + SUBTILE, None], fps[None, i:])
+        x, y = np.nonzero(near >= alike)
+        ok = (x < y) if same_tile else (x < y) & (side[x + i] != side[y + i])
+        x, y = x[ok], y[ok]
+        xs.append(x + i)
+        ys.append(y + i)
+        nears.append(near[x, y])
+    x, y, near = np.concatenate(xs), np.concatenate(ys), np.concatenate(nears)
+    root, taken = np.arange(len(fps)), []
+    while True:  # every root takes one link to a smaller one, so links taken never close a circle
+        high, low = np.maximum(root[x], root[y]), np.minimum(root[x], root[y])
+        across = np.flatnonzero(high != low)
+        if not len(across):
+            break
+        which, first = np.unique(high[across], return_index=True)
+        taken.append(across[first])
+        root[which] = low[across[first]]
+        while (root[root] != root).any():
+            root = root[root]
+    t = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+    return x[t], y[t], near[t]
+
+
 def band_links(fps: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """(a, b, near): verified links among distinct fingerprints, each band's members to its smallest.
+    """(a, b, near): verified links among distinct fingerprints that span all those between members of a band's bucket; a < b.
 
     A band is a fixed sample of BAND_SLOTS slots. Two fingerprints alike in the share s of their slots meet in a band with
-    probability 1 - (1 - s^BAND_SLOTS)^BANDS, 0.95 at s = 0.8; what meets only by way of others is linked by way of others.
+    probability 1 - (1 - s^BAND_SLOTS)^BANDS, 0.95 at s = 0.8; those that meet and are alike are always linked, directly or by way of others.
     """
-    rng = np.random.default_rng(SEED + 1)
-    samples = [sorted(rng.choice(SLOTS, BAND_SLOTS, replace=False).tolist()) for _ in range(BANDS)]
     fp = F.col("fingerprint")
-    keys = F.array(*[F.concat(*[F.substring(fp, 2 * k + 1, 2) for k in ks]) for ks in samples])
+    keys = F.array(*[F.concat(*[F.substring(fp, 2 * k + 1, 2) for k in ks]) for ks in band_slots()])
     keyed = materialise(fps.select("fingerprint").distinct().select("fingerprint", F.posexplode(keys).alias("band", "key")), "edit-bands")
-    low = materialise(keyed.groupBy("band", "key").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "edit-lows")
-    met = keyed.join(low, ["band", "key"]).filter(F.col("a") < fp).select("a", fp.alias("b")).distinct()
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, k: n + (F.substr("a", 2 * k + 1, F.lit(2)) == F.substr("b", 2 * k + 1, F.lit(2))).cast("int"))
-    return met.withColumn("near", same / F.lit(SLOTS)).filter(F.col("near") >= alike)
+    sizes = materialise(keyed.groupBy("band", "key").count().filter("count > 1"), "edit-buckets")
+    tiles = F.ceil(F.col("count") / F.lit(TILE)).cast("int")
+    met = keyed.join(sizes, ["band", "key"]).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64(fp), F.col("tiles")).cast("int"))
+    dealt = met.select("band", "key", "fingerprint", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("upper"), "fingerprint")
+    group = ["band", "key", "i", "j"]
+    dealt = dealt.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
+
+    def compare(at: tuple, texts: list[str], side: list[int]) -> list[tuple[str, str, float]]:
+        x, y, near = forest(np.frombuffer(bytes.fromhex("".join(texts)), np.uint8).reshape(-1, SLOTS), np.array(side), at[2] == at[3], alike)
+        return [(*sorted((texts[i], texts[j])), n) for i, j, n in zip(x.tolist(), y.tolist(), near.tolist(), strict=True)]
+
+    def out(links: list[tuple[str, str, float]]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in links], k) for i, k in enumerate(kinds)], ["a", "b", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, side = None, [], []  # the open group: two tiles at most
+        for b in batches:
+            done = []
+            for *at, upper, x in zip(*(b.column(c).to_pylist() for c in (*group, "upper", "fingerprint")), strict=True):
+                if at != now:
+                    if len(texts) > 1:
+                        done += compare(now, texts, side)
+                    now, texts, side = at, [], []
+                texts.append(x)
+                side.append(upper)
+            yield out(done)
+        if len(texts) > 1:
+            yield out(compare(now, texts, side))
+
+    return dealt.mapInArrow(run, "a string, b string, near double").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: float = ALIKE) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tensorloom.llm import decontam, simhash, suffix_tree
+from tensorloom.llm import decontam, edit_embed, simhash, suffix_tree
 
 
 def plain_score(tree, text):
@@ -52,3 +52,28 @@ def test_decontamination_drops_rows_and_not_ids(spark):
     assert sorted(r["text"][0] for r in decontam.decontaminate(docs, bench).collect()) == ["b", "c", "d"]
     cut = {r["text"] for r in decontam.decontaminate(docs, bench, remove="spans").collect()}
     assert cut == {" ", PROSE["b"], PROSE["c"], PROSE["d"]}
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_band_links_against_brute_force(spark, monkeypatch, tile):
+    """All that meet in a bucket and are alike are linked, also in a bucket whose smallest member is a stranger to them."""
+    monkeypatch.setattr(edit_embed, "TILE", tile)
+    rng, bands = np.random.default_rng(5), edit_embed.band_slots()
+    fps = rng.integers(0, 256, (150, edit_embed.SLOTS), dtype=np.uint8)
+    fps[:, bands[0]] = 7  # one bucket holds all
+    more = fps.copy()
+    for row in more:
+        row[rng.choice(np.setdiff1d(np.arange(edit_embed.SLOTS), bands[0]), 12, replace=False)] ^= 255
+    fps = np.unique(np.concatenate([fps, more]), axis=0)  # in the order of their digits
+    meet = np.logical_or.reduce([(fps[:, None, ks] == fps[None, :, ks]).all(axis=2) for ks in bands])
+    link = meet & ((fps[:, None] == fps[None]).mean(axis=2) >= edit_embed.ALIKE)
+    root = np.arange(len(fps))
+    while (low := np.where(link, root[None], len(fps)).min(axis=1)).tolist() != root.tolist():
+        root = low
+    names = [x.tobytes().hex() for x in fps]
+    links = edit_embed.band_links(spark.createDataFrame([(x,) for x in names], "fingerprint string"))
+    for r in links.collect():
+        i, j = names.index(r["a"]), names.index(r["b"])
+        assert i < j and link[i, j] and r["near"] == (fps[i] == fps[j]).mean()
+    found = {r["node"]: r["root"] for r in simhash.components(links.select("a", "b")).collect()}
+    assert [found.get(x, x) for x in names] == [names[k] for k in root]
