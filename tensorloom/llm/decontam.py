@@ -9,7 +9,8 @@ word of each of its windows) are hashed, and dropped inside one stage by a hash
 at most `BROADCAST_WINDOWS`; a larger benchmark is cut into that many parts, each broadcast in a scan of its own.
 Only hits and one row for each document are shuffled, by a row number, so no passage or document can make a hot partition.
 
-Defined results: null or empty text has no words and no hits; repeated rows are judged each; an empty
+Defined results: null or empty text has no words and no hits; repeated rows are judged each; items with a null item_id
+hit like any other and count as one item without an id (n_items holds it, items_sha256 does not); an empty
 benchmark hits nothing; an empty table gives an empty result; further columns pass through `decontaminate`.
 """
 
@@ -86,7 +87,7 @@ def _scan(docs: DataFrame, known: DataFrame, anchors: list[str], doc_id: str, te
     base = base.select("row", "doc_id", "w", "size", tries.alias("tries"))
     each = base.select("row", "doc_id", "w", F.col("size").cast("long").alias("n_words"), F.explode("tries").alias("try"))
     each = each.select("*", F.col("try.hash").alias("hash"), F.col("try.length").alias("length"))
-    hit = each.join(F.broadcast(known), ["hash", "length"], "left").filter(F.col("item").isNotNull() | F.col("try").isNull())
+    hit = each.join(F.broadcast(known), ["hash", "length"], "left").filter(F.col("window").isNotNull() | F.col("try").isNull())
     same = F.concat_ws(" ", F.slice("w", F.col("try.at") + 1, F.col("length"))) == F.col("window")
     return hit.select("row", "doc_id", "n_words", F.when(same, F.struct("try.at", "length", "item")).alias("h"))
 

@@ -1,5 +1,7 @@
 """Cases in which an operator did less than the whole job."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -77,3 +79,12 @@ def test_band_links_against_brute_force(spark, monkeypatch, tile):
         assert i < j and link[i, j] and r["near"] == (fps[i] == fps[j]).mean()
     found = {r["node"]: r["root"] for r in simhash.components(links.select("a", "b")).collect()}
     assert [found.get(x, x) for x in names] == [names[k] for k in root]
+
+
+def test_decontamination_counts_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, PROSE["a"]), (2, PROSE["b"])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, PROSE["a"]), (2, PROSE["a"] + " " + PROSE["b"]), (3, PROSE["c"])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.score_documents(docs, bench).collect()}
+    assert {d: (r["n_hit"], r["n_items"], r["contaminated"]) for d, r in got.items()} == {1: (40, 1, True), 2: (80, 2, True), 3: (0, 0, False)}
+    assert [got[d]["items_sha256"] for d in (1, 2)] == [hashlib.sha256(x).hexdigest() for x in (b"", b"2")]
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [3]
