@@ -50,6 +50,11 @@ def number_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so once their plans are collected as garbage."""
+    spark._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes every table that `materialise` wrote to the shared folder; results that still read them become unreadable."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tensorloom")

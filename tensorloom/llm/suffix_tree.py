@@ -1,446 +1,296 @@
-"""LM scoring by a probabilistic suffix tree over the bytes of words.
-
-A text is a sequence of tokens, words (ASCII lower-cased, split at ASCII white space) and then one end; a token is spelled
-byte by byte and closed by a space, the end is a mark of its own. The tree's contexts are the last 0 to `depth` symbols; near a token's
-start (its first `HEAD` symbols) they reach up to `TAIL` symbols into the token before. A context becomes a state if it occurs at least `least` times, whatever the corpus's size, and its
-next-symbol distribution diverges from its parent's (the context less its oldest symbol): 2 N KL >= `divergence`, a
-likelihood-ratio test. A state's distribution is smoothed with its longest state suffix, down to a uniform one, so every
-text has a probability, and each symbol is scored in the longest state that is a suffix of what precedes it.
-
-Scale: the corpus is tokenised twice, once for counts and once for scores. Past its first symbols a token's spelling does not depend on
-its neighbours, so the tree is learnt from the table of distinct words and that of (tail, head) pairs of neighbours, with counts; each distinct
-word's rest and each distinct pair's head is scored once.
-States and their edges grow with the corpus and stay in written tables: each context length takes its probabilities from the one before in
-a join. The `HOT` commonest words and up to `HOT_PAIRS` commonest pairs (bounded tables of scores) are scored where the text lies; others
-meet their scores in a shuffled join, so no word makes a hot partition.
+"""LM scoring by a probabilistic suffix tree over tokens.
+
+A text is a sequence of tokens, words (A-Z lower-cased, split at ASCII white space) and then one end; a mark stands before the first. The
+tree's contexts are the last 1 to `depth` tokens, the mark included. A context becomes a state if it occurs at least `least` times in training
+text, whatever the corpus's size, and its next-token distribution diverges from that of its longest shorter state: 2 N KL >= `divergence`.
+The divergence is a deleted estimate, each occurrence held against a distribution learnt from all others, so that a context whose tokens merely
+differ is not taken for one that predicts them. A state's distribution is smoothed by that of its longest shorter state, in the end by the
+root (c + 0.1) / (N + 0.1 (V + 1)); each token is scored in the longest state that is a suffix of what precedes it.
+
+Scale: texts are tokenised once, into chunks of some `CHUNK` tokens in written form (word numbers and 64-bit word hashes, some 2.5 bytes a token).
+The tree stays on the executors, dealt by hash: in each round a chunk asks for the counts of its own grams, a bucket of hashes adds up what
+all chunks have and answers, and longer contexts are only asked for where the shorter ones occur `least` times. A gram is one entry for each chunk however
+frequent it is, so no word or document makes a hot bucket; buckets and tasks grow with the number of tokens. Keys go sorted, as differences, in
+compressed byte planes. Nothing but N, V and the numbers of chunks and tokens comes to the driver, and nothing is broadcast. Counts of equal 64-bit hashes are added.
 
 Defined results: null counts as an empty text, which is one end; a null doc_id counts as training; without training text
-counts are 0, the base is 0 and the tree is uniform; repeated rows are scored each; an empty table gives an empty result.
+counts are 0, the base is 0 and there are no states; repeated rows are scored each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import held_out, materialise
+from .common import free_shuffles, held_out, materialise
 
-DEPTH, LEAST, DIVERGENCE, WEIGHT, HOT, HOT_PAIRS = 6, 2, 12.0, 4.0, 100_000, 1_000_000
-HEAD, TAIL = 3, 3
-#: Marks outside words: before the first token, end of a word (and so what stands before each token), end of the text.
-FIRST, CLOSE, END = b"\r", b" ", b"\n"
-SYMBOLS = 257 - 6  # bytes of words, the close and the end
-#: Distinct words, and symbols, that a task holds before it passes its counts on.
-FLUSH, FLUSH_SYMBOLS = 300_000, 5_000_000
+DEPTH, LEAST, DIVERGENCE, WEIGHT, ADDED, SEED = 3, 2, 6.0, 8.0, 0.1, 42
+#: Tokens of a chunk, unless one document has more; and of a bucket, on average.
+CHUNK, BUCKET = 1_000_000, 2_000_000
+#: Marks outside words, and the fixed point of divergences.
+FIRST, END, SCALE = b"\r", b"\n", 1 << 12
+#: Kinds of rows: a chunk, counts of grams of 1 + d tokens (d), and divergences of contexts of d tokens (TEST + d).
+ITSELF, TEST = -1, 100
+_ROW = "chunk long, kind int, bucket int, a binary, b binary, c binary"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
 
 
-def neighbours(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each token of the texts, ends included: (tail of the token before, head of this one) packed in 48 bits, and its text's number."""
-    streams = [b"\r " + b" ".join([*ws, b"\n"]) for ws in texts]
-    flat = np.frombuffer(b"\0" * TAIL + b"".join(streams) + b"\0" * HEAD, np.uint8)
-    at = np.flatnonzero(flat == 32)
-    owner = np.repeat(np.arange(len(texts)), [len(ws) + 1 for ws in texts])
-    key, open_ = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
-    for i in range(1, TAIL + 1):  # the nearest symbol lowest; nothing beyond the text's start
-        x = np.where(open_, flat[at - i], 0)
-        key |= x.astype(np.uint64) << np.uint64(8 * (HEAD + i - 1))
-        open_ &= x != 13
-    open_[:] = True
-    for i in range(HEAD):  # nothing beyond the token's close
-        x = np.where(open_, flat[at + 1 + i], 0)
-        key |= x.astype(np.uint64) << np.uint64(8 * (HEAD - 1 - i))
-        open_ &= (x != 32) & (x != 10)
-    return key, owner
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def word_counts(docs: DataFrame, doc_id: str, text: str, mod: int) -> DataFrame:
-    """(word, c): distinct tokens of all texts with their count in training texts; the end is a token.
+def unpack(b: bytes, dtype=np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
-    Also a row for each pair of neighbours, with its count in training texts: its name is the end mark and 8 bytes.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest, open_, aside, size = Counter(), set(), [], [], 0
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
-        def pairs(texts: list[list[bytes]], times: int) -> pa.RecordBatch:
-            u, n = np.unique(neighbours(texts)[0], return_counts=True)
-            n *= times
-            return pa.RecordBatch.from_arrays([pa.array([END + x for x in _eights(u)], pa.binary()), pa.array(n.astype(np.int64))], ["word", "c"])
 
-        def out() -> pa.RecordBatch:
-            words = list(train) + [w for w in rest if w not in train]
-            got = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64())], ["word", "c"])
-            train.clear()
-            rest.clear()
-            return got
-
-        for b in batches:
-            for held, t in zip(b.column("held").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ws = tokens(t)
-                if held:
-                    rest.update(ws)
-                    rest.add(END)
-                else:
-                    train.update(ws)
-                    train[END] += 1
-                (aside if held else open_).append(ws)
-                size += len(ws)
-                if size > FLUSH_SYMBOLS // 8:
-                    yield pairs(open_, 1)
-                    yield pairs(aside, 0)
-                    open_, aside, size = [], [], 0
-                if len(train) + len(rest) > FLUSH:
-                    yield out()
-        yield pairs(open_, 1)
-        yield pairs(aside, 0)
-        yield out()
-
-    kept = docs.select(held_out(F.col(doc_id), mod).alias("held"), F.col(text).alias("text"))
-    return kept.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _eights(keys: np.ndarray) -> list[bytes]:
-    raw = keys.astype(">u8").tobytes()
-    return [raw[i : i + 8] for i in range(0, len(raw), 8)]
-
-
-def is_pair() -> Column:
-    return (F.length("word") > 1) & (F.substring("word", 1, 1) == F.lit(bytearray(END)))
-
-
-def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all words in a row, and for each its place in its token, counted from the mark before it."""
-    whole = [CLOSE + w + (b"" if w == END else CLOSE) for w in words]
-    flat = np.frombuffer(b"".join(whole), np.uint8)
-    sizes = np.array([len(x) for x in whole], np.int64)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return flat, at
-
-
-def packed(flat: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For d = 0..depth: context of d symbols and the next one, packed in 64 bits, for symbols with so long a past."""
-    key, out = flat.astype(np.uint64), []
-    out.append(key.copy())
-    for d in range(1, depth + 1):
-        before = np.zeros(len(flat), np.uint64)
-        before[d:] = flat[:-d] if d < len(flat) else 0
-        key = key | (before << np.uint64(8 * d))
-        out.append(key.copy())
-    return out
-
-
-def reaching(keys: np.ndarray, depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, d, context and symbol packed, where both exist) of the head symbols i of pairs, for each context length d from 0."""
-    byte = lambda k: (keys >> np.uint64(8 * k)) & np.uint64(255)
-    line = [byte(HEAD + TAIL - 1 - i) for i in range(TAIL)] + [np.full(len(keys), 32, np.uint64)] + [byte(HEAD - 1 - i) for i in range(HEAD)]
-    for i in range(HEAD):
-        at = TAIL + 1 + i
-        key, ok = line[at].copy(), line[at] > 0
-        yield i, 0, key, ok
-        for d in range(1, min(depth, at) + 1):
-            key = key | (line[at - d] << np.uint64(8 * d))
-            ok = ok & (line[at - d] > 0)
-            yield i, d, key, ok
-
-
-def context_counts(words: DataFrame, depth: int) -> DataFrame:
-    """(d, ctx, sym, n): how often a symbol follows each context of d symbols in training text; n is 0 for what only held-out text has."""
-
-    def count(spelled: list[bytes], times: list[int]) -> Iterator[pa.RecordBatch]:
-        flat, at = spell(spelled)
-        weight = np.repeat(np.array(times, np.float64), [len(w) + 1 + (w != END) for w in spelled])
-        for d, key in enumerate(packed(flat, at, depth)):
-            ok = at >= max(d, 1)
-            if ok.any():
-                u, inverse = np.unique(key[ok], return_inverse=True)
-                n = np.bincount(inverse, weight[ok]).astype(np.int64)
-                yield rows(d, u, n)
-
-    def across(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, d, packed_, ok in reaching(keys, depth):
-            if d > i + 1 and ok.any():
-                u, inverse = np.unique(packed_[ok], return_inverse=True)
-                yield rows(d, u, np.bincount(inverse, n[ok]).astype(np.int64))
-
-    def rows(d: int, u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), d, np.int32)), pa.array((u >> np.uint64(8)).view(np.int64)), pa.array((u & np.uint64(255)).astype(np.int32)), pa.array(n)], ["d", "ctx", "sym", "n"])
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled, times, size, pairs = [], [], 0, []
-        for b in batches:
-            for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
-                if w[:1] == END and len(w) > 1:
-                    pairs.append((int.from_bytes(w[1:], "big"), c))
-                else:
-                    spelled.append(w)
-                    times.append(c)
-                    size += len(w) + 2
-            if size > FLUSH_SYMBOLS:
-                yield from count(spelled, times)
-                spelled, times, size = [], [], 0
-            if len(pairs) > FLUSH:
-                yield from across(np.array([k for k, _ in pairs], np.uint64), np.array([c for _, c in pairs], np.float64))
-                pairs = []
-        if spelled:
-            yield from count(spelled, times)
-        if pairs:
-            yield from across(np.array([k for k, _ in pairs], np.uint64), np.array([c for _, c in pairs], np.float64))
-
-    counts = words.select("word", "c").mapInArrow(run, "d int, ctx long, sym int, n long")
-    return counts.groupBy("ctx", "sym", "d").agg(F.sum("n").alias("n"))
+
+def extend(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a gram with one more word."""
+    x = (key ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass
+class Chunk:
+    """Tokens of some documents, a mark before each: place in the document, number of the word, and the words' keys in order."""
+
+    place: np.ndarray
+    word: np.ndarray
+    keys: np.ndarray
+    train: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def read(cls, words: bytes, keys: bytes, shape: bytes) -> Chunk:
+        raw, own = unpack(words, np.uint32).astype(np.int64), unpack(keys, np.uint64)
+        order = np.argsort(own)
+        rank = np.empty(len(own), np.int64)
+        rank[order] = np.arange(len(own))
+        shapes = unpack(shape)  # tokens, negative where the document is held out
+        sizes = np.abs(shapes) + 1
+        starts = np.cumsum(sizes) - sizes
+        return cls(np.arange(len(raw)) - np.repeat(starts, sizes), rank[raw], own[order], np.repeat(shapes > 0, sizes), starts)
 
 
 @dataclass
-class SuffixTree:
+class Setting:
     depth: int
+    least: int
+    divergence: float
     weight: float
-    #: For each depth: sorted contexts that are states, their counts; sorted (context, symbol) keys, their counts.
-    states: list[tuple[np.ndarray, np.ndarray]]
-    edges: list[tuple[np.ndarray, np.ndarray]]
-
-    @property
-    def n_states(self) -> int:
-        return sum(len(s) for s, _ in self.states)
-
-    def _refine(self, p: np.ndarray, d: int, keys: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Puts probabilities given contexts of d symbols in place of those given shorter ones; returns which of `live` go on."""
-        (ctx, total), (edge, n) = self.states[d], self.edges[d]
-        if not len(ctx) or not len(live):
-            return live[:0]
-        own, back = np.unique(keys[live], return_inverse=True)  # each key is looked up once, in order
-        i = np.minimum(np.searchsorted(ctx, own >> np.uint64(8)), len(ctx) - 1)
-        at = ctx[i] == own >> np.uint64(8)
-        j = np.minimum(np.searchsorted(edge, own), len(edge) - 1)
-        seen, weight = np.where(edge[j] == own, n[j], 0), total[i] + self.weight
-        here = at[back]
-        live, back = live[here], back[here]
-        p[live] = (seen[back] + self.weight * p[live]) / weight[back]
-        return live
-
-    def rest(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each token past its head."""
-        if not words:
-            return np.zeros(0)
-        flat, at = spell(words)
-        p = np.ones(len(flat))  # the mark before it is given, and the head scored with what stands before
-        live = np.flatnonzero(at > HEAD)
-        p[live] = 1 / SYMBOLS
-        keys = np.zeros(len(flat), np.uint64)
-        for d in range(self.depth + 1):
-            live = live[at[live] >= max(d, 1)]
-            keys[live] |= flat[live - d].astype(np.uint64) << np.uint64(8 * d)
-            live = self._refine(p, d, keys, live)
-        return np.add.reduceat(np.log10(p), np.flatnonzero(at == 0))
-
-    def heads(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the head of each pair, given its tail."""
-        out, p, live = np.zeros(len(keys)), None, None
-        for _, d, packed_, ok in reaching(keys, self.depth):
-            if d == 0:
-                if p is not None:
-                    out += np.log10(p)
-                live = np.flatnonzero(ok)
-                p = np.where(ok, 1 / SYMBOLS, 1.0)
-            live = self._refine(p, d, packed_, live[ok[live]])
-        return out + np.log10(p)
-
-
-def grow(words: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
-    """(d, ctx, sym, n, total): every context and symbol of the words, with the context's count where it is a state, else null."""
-    n = F.col("n")
-    every = materialise(context_counts(words, depth), "pst-counts")
-    counts = every.filter("n > 0")
-    totals = materialise(counts.groupBy("ctx", "d").agg(F.sum("n").alias("total")), "pst-totals")
-    enough = totals.filter(F.col("total") >= least)
-    # P(next | context) against P(next | context less its oldest symbol).
-    own = counts.filter("d > 0").join(enough, ["ctx", "d"])
-    own = own.withColumn("up", F.col("ctx").bitwiseAND(_mask(F.col("d") - 1, depth))).withColumn("up_d", F.col("d") - 1)
-    parent = counts.join(totals, ["ctx", "d"]).select(F.col("d").alias("up_d"), F.col("ctx").alias("up"), "sym", (n / F.col("total")).alias("up_p"))
-    test = own.join(parent, ["up", "sym", "up_d"]).groupBy("ctx", "d").agg((2 * F.sum(n * F.log((n / F.col("total")) / F.col("up_p")))).alias("g"))
-    kept = test.filter(F.col("g") >= divergence).select("d", "ctx").union(enough.filter("d = 0").select("d", "ctx"))
-    # Every suffix of a state is a state, so a look for the longest one can stop at the first that isn't.
-    closed = kept.select("ctx", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("d")).select(F.col("ctx").bitwiseAND(_mask(F.col("d"), depth)).alias("ctx"), "d").distinct()
-    return materialise(every.join(closed.join(totals, ["ctx", "d"]), ["ctx", "d"], "left").select("d", "ctx", "sym", "n", "total"), "pst-tree")
-
-
-def _mask(d: Column, depth: int) -> Column:
-    """The bits of a context's last d symbols."""
-    return F.get(F.array(*[F.lit((1 << 8 * k) - 1).cast("long") for k in range(depth + 1)]), d)
-
-
-def learn(words: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> SuffixTree:
-    """The tree of the training words (word, c), in the driver's memory: for small corpora. `score_texts` leaves it in its table."""
-    tree = grow(words, depth, least, divergence).filter("total is not null")
-    s = tree.select("d", "ctx", "total").distinct().toArrow()
-    e = tree.filter("n > 0").select("d", "ctx", "sym", "n").toArrow()
-    states, edges = [], []
-    sd, ed = s.column("d").to_numpy(), e.column("d").to_numpy()
-    sc, st = s.column("ctx").to_numpy().view(np.uint64), s.column("total").to_numpy().astype(np.float64)
-    ek = (e.column("ctx").to_numpy().view(np.uint64) << np.uint64(8)) | e.column("sym").to_numpy().astype(np.uint64)
-    en = e.column("n").to_numpy().astype(np.float64)
-    for d in range(depth + 1):
-        for keys, values, into in ((sc[sd == d], st[sd == d], states), (ek[ed == d], en[ed == d], edges)):
-            order = np.argsort(keys)
-            into.append((keys[order], values[order]))
-    return SuffixTree(depth, weight, states, edges)
-
-
-def probabilities(tree: DataFrame, depth: int = DEPTH, weight: float = WEIGHT) -> DataFrame:
-    """(d, ctx, sym, p) for each row of the tree: a state smooths with the context less its oldest symbol, any other context takes its probability."""
-    found = None
-    for d in range(depth + 1):
-        here = tree.filter(F.col("d") == d)
-        if d == 0:
-            here = here.withColumn("up_p", F.lit(1 / SYMBOLS))
+    n: int = 0
+    v: int = 0
+
+
+def replay(c: Chunk, told: dict[int, np.ndarray], s: Setting) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray | None, np.ndarray | None, np.ndarray | None]:
+    """What the chunk asks next, given what it was told: {kind: (sorted keys, values)}; and counts, root and final probabilities of its tokens."""
+    ask: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    rank, keys = c.word, c.keys
+    if 0 not in told:
+        ask[0] = keys, np.bincount(rank[c.train], minlength=len(keys))
+        n = seen = root = p = None
+    else:
+        n = told[0]
+        seen = n[rank]
+        root = (seen + ADDED) / (s.n + ADDED * (s.v + 1))
+        p = root.copy()
+    at = np.flatnonzero(c.place >= 1)
+    for d in range(1, s.depth + 1):
+        if not len(at):
+            break
+        # The grams that end at `at`; their numbers follow the order of their keys.
+        before = rank[at - 1]
+        _, first, back = np.unique(before * len(c.keys) + c.word[at], return_index=True, return_inverse=True)
+        own = extend(keys[before[first]], c.keys[c.word[at[first]]])
+        order = np.argsort(own)
+        number = np.empty(len(own), np.int64)
+        number[order] = np.arange(len(own))
+        gram, own = number[back], own[order]
+        train = c.train[at]
+        if d not in told:
+            ask[d] = own, np.bincount(gram[train], minlength=len(own))
+            break
+        # Contexts that occur often enough, and whether they are states.
+        counts, total = told[d], n[before]
+        often = total >= s.least
+        i, ctx = at[often], before[often]
+        which, of = np.unique(ctx, return_inverse=True)
+        if TEST + d not in told:
+            ours = train[often]
+            q = p[i[ours]]
+            loo = (counts[gram[often][ours]] - 1 + s.weight * q) / (total[often][ours] - 1 + s.weight)
+            gain = np.rint(SCALE * np.log(loo / q))
+            ask[TEST + d] = keys[which], np.bincount(of[ours], gain, len(which)).astype(np.int64)
         else:
-            up = last.select(F.col("ctx").alias("up"), "sym", F.col("p").alias("up_p"))
-            here = here.withColumn("up", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1).cast("long"))).join(up, ["up", "sym"])
-        p = F.when(F.col("total").isNotNull(), (F.col("n") + weight * F.col("up_p")) / (F.col("total") + weight)).otherwise(F.col("up_p"))
-        last = materialise(here.select("d", "ctx", "sym", p.alias("p")), "pst-p")
-        found = last if found is None else found.union(last)
-    return found
+            state = told[TEST + d][of].astype(bool)
+            j = i[state]
+            p[j] = (counts[gram[often][state]] + s.weight * p[j]) / (total[often][state] + s.weight)
+        # Longer contexts: this gram is the next token's context, if it occurs often enough.
+        here = np.full(len(c.word), -1, np.int64)
+        here[at] = gram
+        rank, keys, n = here, own, counts
+        at = np.flatnonzero(c.place >= d + 1)
+        at = at[rank[at - 1] >= 0]
+        at = at[n[rank[at - 1]] >= s.least]
+    return ask, seen, root, p
+
+
+def chunks(docs: DataFrame, doc_id: str, text: str, mod: int) -> DataFrame:
+    """(chunk, tokens, a, b, c, doc_ids): documents as packed word numbers, word keys and sizes."""
+    kind = docs.schema[doc_id].dataType
+    arrow = to_arrow_type(kind)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, part = count(), TaskContext.get().partitionId()
+        ids, shape, seq, names = [], [], [], None
 
-def asked(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, c, d, ctx, sym): a row for each symbol of a word's rest and of a pair's head, with its longest context."""
+        def fresh() -> defaultdict:
+            d = defaultdict(count().__next__)
+            return d if d[FIRST] < d[END] else d
 
-    def out(b: pa.RecordBatch, owner: list[np.ndarray], d: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
-        at, u = pa.array(np.concatenate(owner)), np.concatenate(keys)
-        sym, ctx = (u & np.uint64(255)).astype(np.int32), (u >> np.uint64(8)).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column("word").take(at), b.column("c").take(at), pa.array(np.concatenate(d).astype(np.int32)), pa.array(ctx), pa.array(sym)], ["word", "c", "d", "ctx", "sym"])
+        def out() -> pa.RecordBatch:
+            flat = np.array(seq, np.int64)
+            order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")  # frequent words get small numbers
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            key = np.array([xxhash.xxh64_intdigest(w, SEED) for w in names], np.uint64)[order]
+            got = [pa.array([(part << 32) + next(number)], pa.int64()), pa.array([len(seq) - len(ids)], pa.int64())]
+            got += [pa.array([x], pa.binary()) for x in (pack(place[flat]), pack(key), pack(np.array(shape, np.int64)))]
+            return pa.RecordBatch.from_arrays([*got, pa.array([ids], pa.list_(arrow))], ["chunk", "tokens", "a", "b", "c", "doc_ids"])
+
+        names = fresh()
+        for batch in batches:
+            for id_, held, t in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ws = tokens(t)
+                seq.append(0)
+                seq.extend(map(names.__getitem__, ws))
+                seq.append(1)
+                ids.append(id_)
+                shape.append(-(len(ws) + 1) if held else len(ws) + 1)
+                if len(seq) >= CHUNK:
+                    yield out()
+                    ids, shape, seq, names = [], [], [], fresh()
+        if ids:
+            yield out()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words_ = b.column("word").to_pylist()
-            pair = np.array([len(w) > 1 and w[:1] == END for w in words_], bool)
-            which = np.flatnonzero(~pair)
-            if len(which):
-                flat, at = spell([words_[i] for i in which])
-                of, live, keys = which[np.cumsum(at == 0) - 1], at > HEAD, flat.astype(np.uint64)
-                for d, key in enumerate(packed(flat, at, depth)):
-                    keys[at >= d] = key[at >= d]
-                if live.any():
-                    yield out(b, [of[live]], [np.minimum(at[live], depth)], [keys[live]])
-            which = np.flatnonzero(pair)
-            if len(which):
-                pairs = np.array([int.from_bytes(words_[i][1:], "big") for i in which], np.uint64)
-                keys, most, used = [np.zeros(len(pairs), np.uint64) for _ in range(HEAD)], np.full((HEAD, len(pairs)), -1), range(HEAD)
-                for i, d, packed_, ok in reaching(pairs, depth):
-                    keys[i][ok], most[i][ok] = packed_[ok], d
-                if (most >= 0).any():
-                    yield out(b, [which[most[i] >= 0] for i in used], [most[i][most[i] >= 0] for i in used], [keys[i][most[i] >= 0] for i in used])
-
-    return words.select("word", "c").mapInArrow(run, "word binary, c long, d int, ctx long, sym int")
-
-
-def score_words(words: DataFrame, depth: int = DEPTH, weight: float = WEIGHT, **kw) -> DataFrame:
-    """(word, c, lp): log10 probability of each word's rest and of each pair's head."""
-    p = probabilities(grow(words, depth, **kw), depth, weight)
-    met = asked(words, depth).join(p, ["ctx", "sym", "d"])
-    some = met.groupBy("word", "c").agg(F.sum(F.log10("p")).alias("lp"))
-    # Words that are all head; pairs whose head starts with a zero byte, which counts as nothing.
-    none = F.when(is_pair(), F.substring("word", 10 - HEAD, 1) == F.lit(bytearray(1))).otherwise(F.length("word") < HEAD)
-    return some.union(words.filter(none).select("word", "c", F.lit(0.0).alias("lp")))
-
-
-def common_pairs(pairs: DataFrame, most: int) -> DataFrame:
-    """The pairs with a count above the least bound (eight to a doubling) that no more than `most` pairs exceed."""
-    bins = sorted(pairs.filter("c > 0").groupBy(F.floor(8 * F.log2("c")).cast("int").alias("b")).count().collect(), reverse=True)  # some hundred rows
-    low, n = 1 << 30, 0
-    for r in bins:
-        n += r["count"]
-        if n > most:
-            break
-        low = r["b"]
-    return pairs.filter((F.col("c") > 0) & (F.floor(8 * F.log2("c")).cast("int") >= low))
+    kept = docs.select(F.col(doc_id).alias("id"), held_out(F.col(doc_id), mod).alias("held"), F.col(text).cast("binary").alias("text"))
+    return kept.mapInArrow(run, f"chunk long, tokens long, a binary, b binary, c binary, doc_ids array<{kind.simpleString()}>")
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = 10, **kw) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
-    spark = docs.sparkSession
-    words = materialise(word_counts(docs, doc_id, text, mod), "pst-words")
-    tokens_ = words.filter(~is_pair())
-    n, v = tokens_.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    base = F.log10((F.col("c") + 0.1) / F.lit(n + 0.1 * (v + 1)))
-
-    scored = materialise(score_words(words, **kw), "pst-scored")
-    known = scored.filter(~is_pair()).withColumn("base", base)
-    pairs = scored.filter(is_pair())
-    often = common_pairs(pairs, HOT_PAIRS).select("word", "lp").toArrow()  # HOT_PAIRS rows at most
-    codes = np.array([int.from_bytes(w[1:], "big") for w in often.column("word").to_pylist()], np.uint64)
-    order = np.argsort(codes)
-    shared = spark.sparkContext.broadcast((codes[order], often.column("lp").to_numpy()[order]))
-    hot = known.filter("c > 0").orderBy(F.col("c").desc(), "word").limit(HOT).toArrow()
-    table = {w: (b, lp) for w, b, lp in zip(hot.column("word").to_pylist(), hot.column("base").to_pylist(), hot.column("lp").to_pylist(), strict=True)}
-    common = spark.sparkContext.broadcast(table)
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "kind", "bucket", "a", "b", "c"])
+
+
+def _met(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(n).to_pylist() for n in names), strict=True)
+
+
+def _told(rows: list[tuple]) -> dict[int, np.ndarray]:
+    """Answers of one chunk by kind, in the order of their keys; rows: (chunk, kind, bucket, a, ...) sorted."""
+    return {k: np.concatenate([unpack(r[3], np.uint8 if k > TEST else np.int64) for r in g]) for k, g in groupby(rows, key=lambda r: r[1])}
+
+
+def answer(asked: DataFrame, buckets: int, divergence: float) -> DataFrame:
+    """Adds up what all chunks ask of a bucket; one row for each chunk, and for words one (chunk -1) with N and V of the bucket."""
+    marks = [np.uint64(xxhash.xxh64_intdigest(FIRST, SEED))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "word", "n", "known", "base", "score"]
-        kinds = [pa.int64(), id_arrow, pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-        def done(held: list[tuple]) -> pa.RecordBatch:
-            texts, rows = [ws for *_, ws in held], []
-            keys, owner = neighbours(texts)
-            u, inverse = np.unique(keys, return_inverse=True)
-            often, lp = shared.value
-            at = np.minimum(np.searchsorted(often, u), max(len(often) - 1, 0))
-            hit = often[at] == u if len(often) else np.zeros(len(u), bool)
-            heads = np.bincount(owner, (np.where(hit, lp[at], 0.0) if len(often) else np.zeros(len(u)))[inverse], len(texts))
-            far = ~hit[inverse]
-            each, times = np.unique(owner[far] * len(u) + inverse[far], return_counts=True)
-            for i, name, c in zip((each // len(u)).tolist(), _eights(u[each % len(u)]), times.tolist(), strict=True):
-                rows.append((held[i][0], None, END + name, c, 0, 0.0, 0.0))
-            for (row, id_, ws), head in zip(held, heads.tolist(), strict=True):
-                counts = Counter(ws)
-                counts[END] += 1
-                seen, s_base = 0, 0.0
-                for w, c in counts.items():
-                    if got := common.value.get(w):
-                        seen += c
-                        s_base += c * got[0]
-                        head += c * got[1]
-                    else:
-                        rows.append((row, None, w, c, 0, 0.0, 0.0))
-                # The text's own row, under a name that is no word.
-                rows.append((row, id_, b"\n%d" % row, len(ws) + 1, seen, s_base, head))
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-        for b in batches:
-            held, size = [], 0
-            for row, id_, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                held.append((row, id_, tokens(t)))
-                size += len(held[-1][2])
-                if size > 400_000:
-                    yield done(held)
-                    held, size = [], 0
-            if held:
-                yield done(held)
-
-    # One row for each text, and one for each of its words and pairs that isn't common; the row number is the place in the scan.
+        for (bucket, kind), group in groupby(_met(batches, ("bucket", "kind", "chunk", "a", "b")), key=lambda r: r[:2]):
+            whose, keys, values = [], [], []
+            for _, _, chunk, a, b in group:
+                whose.append(chunk)
+                keys.append(unpack_sorted(a))
+                values.append(unpack(b))
+            u, back = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(back, np.concatenate(values), len(u)).astype(np.int64)
+            told = sums if kind < TEST else (2 * sums >= divergence * SCALE).astype(np.uint8)
+            ends = np.cumsum([len(k) for k in keys])
+            for chunk, e, k in zip(whose, ends, keys, strict=True):
+                yield _rows([(chunk, kind, bucket, pack(told[back[e - len(k) : e]]), None, None)])
+            if kind == 0:
+                own = sums[~np.isin(u, marks)]
+                yield _rows([(-1, kind, bucket, pack(np.array([own.sum(), (own > 0).sum()], np.int64)), None, None)])
+
+    return asked.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(run, _ROW)
+
+
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = 10, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
+    spark, s = docs.sparkSession, Setting(depth, least, divergence, weight)
+    own = materialise(chunks(docs, doc_id, text, mod), "pst-chunks")
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-size["tokens"] // BUCKET))
+    parts = max(-(-size["n"] // 2), 1)
+    itself = own.select("chunk", F.lit(ITSELF).alias("kind"), F.lit(0).alias("bucket"), "a", "b", "c", "doc_ids")
+
+    def gathered(answers: DataFrame | None) -> DataFrame:
+        """Each chunk, followed by what it was told."""
+        if answers is None:
+            return itself
+        told = answers.withColumn("doc_ids", F.lit(None).cast(own.schema["doc_ids"].dataType))
+        return itself.unionByName(told).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in groupby(_met(batches, ("chunk", "kind", "bucket", "a", "b", "c")), key=lambda r: r[0]):
+            rows = list(rows)
+            c = Chunk.read(*rows[0][3:])
+            for kind, (keys, values) in replay(c, _told(rows[1:]), s)[0].items():
+                of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # in the order of the keys
+                cuts = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    x, y = cuts[b], cuts[b + 1]
+                    yield _rows([(chunk, kind, b, pack_sorted(keys[x:y]), pack(values[x:y].astype(np.int64)), None)])
+
+    answers = None
+    for step in range(depth + 1):
+        new = materialise(answer(gathered(answers).mapInArrow(ask, _ROW), buckets, divergence), f"pst-told-{step}")
+        free_shuffles(spark)
+        if step == 0:
+            totals = [unpack(r["a"]) for r in new.filter("chunk = -1").select("a").collect()]  # a row for each bucket
+            s.n, s.v = (int(sum(t[i] for t in totals)) for i in (0, 1))
+            new = new.filter("chunk >= 0")
+        answers = new if answers is None else answers.unionByName(new)
     kind = docs.schema[doc_id].dataType
-    id_arrow = to_arrow_type(kind)
-    each = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    parts = each.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, word binary, n long, known long, base double, score double")
-    k = known.select(F.col("word").alias("k_word"), "c", F.col("base").alias("k_base"), "lp")
-    k = k.union(pairs.select("word", F.lit(0).cast("long"), F.lit(0.0), "lp"))
-    met = parts.join(k, parts["word"] == k["k_word"], "left")
-    rare = F.col("c").isNotNull()  # the texts' own rows meet no word
-    sums = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max(F.when(~rare, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(rare & (F.col("c") > 0), F.col("n")).otherwise(F.col("known"))).alias("n_known"),
-        F.sum(F.when(rare, F.col("n") * F.col("k_base")).otherwise(F.col("base"))).alias("base_score"),
-        F.sum(F.when(rare, F.col("n") * F.col("lp")).otherwise(F.col("score"))).alias("score"),
-    )
-    return sums.select("doc_id", held_out(F.col("doc_id"), mod).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    arrow, total = to_arrow_type(kind), s.n
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(_met(batches, ("chunk", "kind", "bucket", "a", "b", "c", "doc_ids")), key=lambda r: r[0]):
+            rows = list(rows)
+            c = Chunk.read(*rows[0][3:6])
+            _, seen, root, p = replay(c, _told(rows[1:]), s)
+            token = c.place > 0
+            each = lambda x: np.add.reduceat(np.where(token, x, 0), c.starts)  # noqa: E731, B023
+            held = pa.array(~c.train[c.starts])
+            n = len(c.starts)
+            out = [pa.array(rows[0][6], arrow), held, pa.array(each(1)), pa.array(each(seen > 0)), pa.array(np.full(n, total)), pa.array(each(np.log10(root))), pa.array(each(np.log10(p)))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    shape = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return gathered(answers).mapInArrow(score, shape)

@@ -5,36 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tensorloom.llm import decontam, edit_embed, simhash, suffix_tree
-
-
-def plain_score(tree, text):
-    ws = suffix_tree.tokens(text)
-    return tree.rest(ws).sum() + tree.heads(suffix_tree.neighbours([ws])[0]).sum()
-
-
-@pytest.mark.parametrize("hot", [0, 5, 1000])
-def test_suffix_tree_table_agrees_with_tree_in_memory(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_tree, "HOT_PAIRS", hot)
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).select("doc_id", "text")
-    odd = [(-1, None), (-2, ""), (-3, "\0ab a\0b abc\0"), (-4, "é" * 20), (None, "never seen zzzzqqqq")]
-    docs = docs.union(spark.createDataFrame(odd, docs.schema))
-    tree = suffix_tree.learn(suffix_tree.word_counts(docs, "doc_id", "text", 10))
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    got = suffix_tree.score_texts(docs).collect()
-    assert len(got) == len(texts)
-    for r in got:
-        assert r["score"] == pytest.approx(plain_score(tree, texts[r["doc_id"]]), rel=1e-9), texts[r["doc_id"]]
-
-
-def test_suffix_tree_keeps_rare_contexts_however_large_the_corpus(spark):
-    """A context that is seen some times and diverges is a state beside a hundred thousand or ten million other symbols."""
-    few = [(b"qmzzz", 12), (b"common", 20_000), (b"comma", 9_000)]
-    for times in (1, 1000):
-        words = spark.createDataFrame([(bytearray(w), c * (times if w[:1] == b"c" else 1)) for w, c in few], "word binary, c long")
-        tree = suffix_tree.learn(words)
-        ctx = np.uint64(int.from_bytes(b"qm", "big"))
-        assert ctx in tree.states[2][0]
+from tensorloom.llm import decontam, edit_embed, simhash
 
 
 PROSE = {k: " ".join(f"{k}{i * i % 97}" for i in range(40)) for k in "abcde"}

@@ -168,22 +168,6 @@ def test_suffix_tree_contract(spark, docs):
         assert r["score"] < 0
 
 
-def test_suffix_tree_is_a_distribution(spark, docs):
-    """Given any past, the next symbols' probabilities sum to one, and scores are sums over symbols."""
-    import numpy as np
-
-    tree = suffix_tree.learn(suffix_tree.word_counts(frame(spark, docs), "doc_id", "text", 10))
-    assert tree.n_states > 50
-    symbols = [x for x in range(1, 256) if x not in (9, 11, 12, 13)]
-    for tail in (b"\0\0\r", b"the", b"\0\0\xff"):
-        keys = np.array([int.from_bytes(b"\0\0" + tail + bytes([x, 0, 0]), "big") for x in symbols], np.uint64)
-        assert 0.98 < (10 ** tree.heads(keys)).sum() <= 1.001
-    a, b = tree.rest([b"thel", b"thelx"])
-    assert b < 0 and a < 0
-    held = [r for r in suffix_tree.score_texts(frame(spark, docs)).collect() if r["held_out"] and r["n_tokens"] > 50]
-    assert held
-
-
 def test_mixing_targets(spark, docs):
     got = mixing.mix_documents(frame(spark, docs)).toPandas()
     by = got.groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
