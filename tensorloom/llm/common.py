@@ -14,6 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Pieces in a block of `with_matches`; a maximal run of characters other than ASCII white space.
 BLOCK = 256
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again; lost executors then cost no recomputation."""
+    """Writes df as Parquet to the shared folder and reads it again; lost executors then cost no recomputation.
+
+    Nothing reads the shuffle files of the job again once the table is written, so Spark is told to delete them then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tensorloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,11 +59,6 @@ def number_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now: it does so once their plans are collected as garbage."""
-    spark._jvm.System.gc()
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes every table that `materialise` wrote to the shared folder; results that still read them become unreadable."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tensorloom")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import free_shuffles, held_out, materialise
+from .common import held_out, materialise
 
 DEPTH, LEAST, DIVERGENCE, WEIGHT, ADDED, SEED = 3, 2, 6.0, 8.0, 0.1, 42
 #: Tokens of a chunk, unless one document has more; and of a bucket, on average.
@@ -75,6 +75,16 @@ def extend(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, in the order of the values, and for each place the number of its value."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.concatenate([[True], y[1:] != y[:-1]])
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 @dataclass
 class Chunk:
     """Tokens of some documents, a mark before each: place in the document, number of the word, and the words' keys in order."""
@@ -125,7 +135,7 @@ def replay(c: Chunk, told: dict[int, np.ndarray], s: Setting) -> tuple[dict[int,
             break
         # The grams that end at `at`; their numbers follow the order of their keys.
         before = rank[at - 1]
-        _, first, back = np.unique(before * len(c.keys) + c.word[at], return_index=True, return_inverse=True)
+        first, back = distinct(before * len(c.keys) + c.word[at])
         own = extend(keys[before[first]], c.keys[c.word[at[first]]])
         order = np.argsort(own)
         number = np.empty(len(own), np.int64)
@@ -139,7 +149,9 @@ def replay(c: Chunk, told: dict[int, np.ndarray], s: Setting) -> tuple[dict[int,
         counts, total = told[d], n[before]
         often = total >= s.least
         i, ctx = at[often], before[often]
-        which, of = np.unique(ctx, return_inverse=True)
+        met = np.zeros(len(keys), bool)
+        met[ctx] = True
+        which, of = np.flatnonzero(met), (np.cumsum(met) - 1)[ctx]
         if TEST + d not in told:
             ours = train[often]
             q = p[i[ours]]
@@ -228,8 +240,9 @@ def answer(asked: DataFrame, buckets: int, divergence: float) -> DataFrame:
                 whose.append(chunk)
                 keys.append(unpack_sorted(a))
                 values.append(unpack(b))
-            u, back = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(back, np.concatenate(values), len(u)).astype(np.int64)
+            every = np.concatenate(keys)
+            first, back = distinct(every)
+            u, sums = every[first], np.bincount(back, np.concatenate(values), len(first)).astype(np.int64)
             told = sums if kind < TEST else (2 * sums >= divergence * SCALE).astype(np.uint8)
             ends = np.cumsum([len(k) for k in keys])
             for chunk, e, k in zip(whose, ends, keys, strict=True):
@@ -271,7 +284,6 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     answers = None
     for step in range(depth + 1):
         new = materialise(answer(gathered(answers).mapInArrow(ask, _ROW), buckets, divergence), f"pst-told-{step}")
-        free_shuffles(spark)
         if step == 0:
             totals = [unpack(r["a"]) for r in new.filter("chunk = -1").select("a").collect()]  # a row for each bucket
             s.n, s.v = (int(sum(t[i] for t in totals)) for i in (0, 1))
