@@ -11,7 +11,8 @@ Scale: texts are tokenised once, into chunks of some `CHUNK` tokens in written f
 The tree stays on the executors, dealt by hash: in each round a chunk asks for the counts of its own grams, a bucket of hashes adds up what
 all chunks have and answers, and longer contexts are only asked for where the shorter ones occur `least` times. A gram is one entry for each chunk however
 frequent it is, so no word or document makes a hot bucket; buckets and tasks grow with the number of tokens. Keys go sorted, as differences, in
-compressed byte planes. Nothing but N, V and the numbers of chunks and tokens comes to the driver, and nothing is broadcast. Counts of equal 64-bit hashes are added.
+compressed byte planes. Nothing but N, V and the numbers of chunks and tokens comes to the driver, and nothing is broadcast. Counts of equal hashes are added: words
+have 64 bits; longer grams as many as leave a gram a chance under 2^-`SPARE` to share its hash with another, whatever the corpus's size.
 
 Defined results: null counts as an empty text, which is one end; a null doc_id counts as training; without training text
 counts are 0, the base is 0 and there are no states; repeated rows are scored each; an empty table gives an empty result.
@@ -37,9 +38,9 @@ from .common import held_out, materialise
 
 DEPTH, LEAST, DIVERGENCE, WEIGHT, ADDED, SEED = 3, 2, 6.0, 8.0, 0.1, 42
 #: Tokens of a chunk, unless one document has more; and of a bucket, on average.
-CHUNK, BUCKET = 1_000_000, 2_000_000
+CHUNK, BUCKET, SPARE = 1_000_000, 1_000_000, 20
 #: Marks outside words, and the fixed point of divergences.
-FIRST, END, SCALE = b"\r", b"\n", 1 << 12
+FIRST, END, SCALE = b"\r", b"\n", 1 << 8
 #: Kinds of rows: a chunk, counts of grams of 1 + d tokens (d), and divergences of contexts of d tokens (TEST + d).
 ITSELF, TEST = -1, 100
 _ROW = "chunk long, kind int, bucket int, a binary, b binary, c binary"
@@ -60,6 +61,15 @@ def unpack(b: bytes, dtype=np.int64) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def pack_signed(x: np.ndarray) -> bytes:
+    return pack((x << 1) ^ (x >> 63))
+
+
+def unpack_signed(b: bytes) -> np.ndarray:
+    x = unpack(b)
+    return (x >> 1) ^ -(x & 1)
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=np.uint64(0)))
 
@@ -80,8 +90,9 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(x)
     y = x[order]
     new = np.concatenate([[True], y[1:] != y[:-1]])
-    back = np.empty(len(x), np.int64)
-    back[order] = np.cumsum(new) - 1
+    del y
+    back = np.empty(len(x), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
     return order[new], back
 
 
@@ -97,14 +108,15 @@ class Chunk:
 
     @classmethod
     def read(cls, words: bytes, keys: bytes, shape: bytes) -> Chunk:
-        raw, own = unpack(words, np.uint32).astype(np.int64), unpack(keys, np.uint64)
+        own = unpack(keys, np.uint64)
         order = np.argsort(own)
-        rank = np.empty(len(own), np.int64)
-        rank[order] = np.arange(len(own))
+        rank = np.empty(len(own), np.int32)
+        rank[order] = np.arange(len(own), dtype=np.int32)
         shapes = unpack(shape)  # tokens, negative where the document is held out
         sizes = np.abs(shapes) + 1
         starts = np.cumsum(sizes) - sizes
-        return cls(np.arange(len(raw)) - np.repeat(starts, sizes), rank[raw], own[order], np.repeat(shapes > 0, sizes), starts)
+        place = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+        return cls(place, rank[unpack(words, np.uint32)], own[order], np.repeat(shapes > 0, sizes), starts)
 
 
 @dataclass
@@ -115,6 +127,7 @@ class Setting:
     weight: float
     n: int = 0
     v: int = 0
+    bits: int = 64
 
 
 def replay(c: Chunk, told: dict[int, np.ndarray], s: Setting) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray | None, np.ndarray | None, np.ndarray | None]:
@@ -129,18 +142,18 @@ def replay(c: Chunk, told: dict[int, np.ndarray], s: Setting) -> tuple[dict[int,
         seen = n[rank]
         root = (seen + ADDED) / (s.n + ADDED * (s.v + 1))
         p = root.copy()
-    at = np.flatnonzero(c.place >= 1)
+    at = np.flatnonzero(c.place >= 1).astype(np.int32)
     for d in range(1, s.depth + 1):
         if not len(at):
             break
         # The grams that end at `at`; their numbers follow the order of their keys.
         before = rank[at - 1]
-        first, back = distinct(before * len(c.keys) + c.word[at])
-        own = extend(keys[before[first]], c.keys[c.word[at[first]]])
+        first, gram = distinct(before.astype(np.int64) * len(c.keys) + c.word[at])
+        own = extend(keys[before[first]], c.keys[c.word[at[first]]]) >> np.uint64(64 - s.bits) << np.uint64(64 - s.bits)
         order = np.argsort(own)
-        number = np.empty(len(own), np.int64)
-        number[order] = np.arange(len(own))
-        gram, own = number[back], own[order]
+        number = np.empty(len(own), np.int32)
+        number[order] = np.arange(len(own), dtype=np.int32)
+        gram, own = number[gram], own[order]
         train = c.train[at]
         if d not in told:
             ask[d] = own, np.bincount(gram[train], minlength=len(own))
@@ -151,7 +164,7 @@ def replay(c: Chunk, told: dict[int, np.ndarray], s: Setting) -> tuple[dict[int,
         i, ctx = at[often], before[often]
         met = np.zeros(len(keys), bool)
         met[ctx] = True
-        which, of = np.flatnonzero(met), (np.cumsum(met) - 1)[ctx]
+        which, of = np.flatnonzero(met), (np.cumsum(met, dtype=np.int32) - 1)[ctx]
         if TEST + d not in told:
             ours = train[often]
             q = p[i[ours]]
@@ -163,10 +176,10 @@ def replay(c: Chunk, told: dict[int, np.ndarray], s: Setting) -> tuple[dict[int,
             j = i[state]
             p[j] = (counts[gram[often][state]] + s.weight * p[j]) / (total[often][state] + s.weight)
         # Longer contexts: this gram is the next token's context, if it occurs often enough.
-        here = np.full(len(c.word), -1, np.int64)
+        here = np.full(len(c.word), -1, np.int32)
         here[at] = gram
         rank, keys, n = here, own, counts
-        at = np.flatnonzero(c.place >= d + 1)
+        at = np.flatnonzero(c.place >= d + 1).astype(np.int32)
         at = at[rank[at - 1] >= 0]
         at = at[n[rank[at - 1]] >= s.least]
     return ask, seen, root, p
@@ -239,7 +252,7 @@ def answer(asked: DataFrame, buckets: int, divergence: float) -> DataFrame:
             for _, _, chunk, a, b in group:
                 whose.append(chunk)
                 keys.append(unpack_sorted(a))
-                values.append(unpack(b))
+                values.append(unpack_signed(b))
             every = np.concatenate(keys)
             first, back = distinct(every)
             u, sums = every[first], np.bincount(back, np.concatenate(values), len(first)).astype(np.int64)
@@ -259,6 +272,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     spark, s = docs.sparkSession, Setting(depth, least, divergence, weight)
     own = materialise(chunks(docs, doc_id, text, mod), "pst-chunks")
     size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    s.bits = min(64, SPARE + max(int(size["tokens"]), 1).bit_length())
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-size["tokens"] // BUCKET))
     parts = max(-(-size["n"] // 2), 1)
     itself = own.select("chunk", F.lit(ITSELF).alias("kind"), F.lit(0).alias("bucket"), "a", "b", "c", "doc_ids")
@@ -279,7 +293,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
                 cuts = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     x, y = cuts[b], cuts[b + 1]
-                    yield _rows([(chunk, kind, b, pack_sorted(keys[x:y]), pack(values[x:y].astype(np.int64)), None)])
+                    yield _rows([(chunk, kind, b, pack_sorted(keys[x:y]), pack_signed(values[x:y].astype(np.int64)), None)])
 
     answers = None
     for step in range(depth + 1):
