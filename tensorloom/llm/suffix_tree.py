@@ -44,6 +44,7 @@ FIRST, END, SCALE = b"\r", b"\n", 1 << 8
 #: Kinds of rows: a chunk, counts of grams of 1 + d tokens (d), and divergences of contexts of d tokens (TEST + d).
 ITSELF, TEST = -1, 100
 _ROW = "chunk long, kind int, bucket int, a binary, b binary, c binary"
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -53,11 +54,11 @@ def tokens(text: bytes | None) -> list[bytes]:
 def pack(x: np.ndarray) -> bytes:
     """Whole numbers as compressed byte planes."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _ZIP.compress(planes.tobytes())
 
 
 def unpack(b: bytes, dtype=np.int64) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    planes = np.frombuffer(_UNZIP.decompress(b), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
@@ -258,11 +259,11 @@ def answer(asked: DataFrame, buckets: int, divergence: float) -> DataFrame:
             u, sums = every[first], np.bincount(back, np.concatenate(values), len(first)).astype(np.int64)
             told = sums if kind < TEST else (2 * sums >= divergence * SCALE).astype(np.uint8)
             ends = np.cumsum([len(k) for k in keys])
-            for chunk, e, k in zip(whose, ends, keys, strict=True):
-                yield _rows([(chunk, kind, bucket, pack(told[back[e - len(k) : e]]), None, None)])
+            out = [(chunk, kind, bucket, pack(told[back[e - len(k) : e]]), None, None) for chunk, e, k in zip(whose, ends, keys, strict=True)]
             if kind == 0:
                 own = sums[~np.isin(u, marks)]
-                yield _rows([(-1, kind, bucket, pack(np.array([own.sum(), (own > 0).sum()], np.int64)), None, None)])
+                out.append((-1, kind, bucket, pack(np.array([own.sum(), (own > 0).sum()], np.int64)), None, None))
+            yield _rows(out)
 
     return asked.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(run, _ROW)
 
@@ -291,9 +292,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
             for kind, (keys, values) in replay(c, _told(rows[1:]), s)[0].items():
                 of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # in the order of the keys
                 cuts = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    x, y = cuts[b], cuts[b + 1]
-                    yield _rows([(chunk, kind, b, pack_sorted(keys[x:y]), pack_signed(values[x:y].astype(np.int64)), None)])
+                some, values = np.flatnonzero(np.diff(cuts)).tolist(), values.astype(np.int64)
+                if some:
+                    yield _rows([(chunk, kind, b, pack_sorted(keys[cuts[b] : cuts[b + 1]]), pack_signed(values[cuts[b] : cuts[b + 1]]), None) for b in some])
 
     answers = None
     for step in range(depth + 1):
