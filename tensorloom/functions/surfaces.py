@@ -72,44 +72,86 @@ def simulate_friedman(spark, n=800, sigma=1.0, seed=1, family="gaussian"):
 
 def grid_truth(xs: list[Column]) -> Column:
     """An interactive surface on the unit cube for 2 to 7 columns."""
-    tau, out = F.lit(2 * math.pi), None
-    for i, (a, b) in enumerate(zip(xs, xs[1:])):
-        term = F.sin(tau * a) * F.cos(tau * b) / F.lit(1.0 + i)
-        out = term if out is None else out + term
-    return out
+    if not 2 <= len(xs) <= 7:
+        raise ValueError("2 to 7 columns")
+    tau = F.lit(2 * math.pi)
+    out = F.sin(tau * xs[0]) * F.cos(tau * xs[1]) + 0.5 * F.sin(tau * xs[min(2, len(xs) - 1)]) + 0.35 * (xs[0] - 0.5) * (xs[1] - 0.5)
+    more = (
+        lambda x: 0.25 * F.sin(tau * x[3]) * F.cos(tau * x[1]),
+        lambda x: 0.2 * x[4] * F.sin(tau * x[0]),
+        lambda x: 0.15 * F.cos(tau * x[5]) * (x[1] - 0.5),
+        lambda x: 0.12 * F.sin(tau * x[6]) * F.cos(tau * x[2]),
+    )
+    return reduce(lambda total, term: total + term(xs), more[: max(0, len(xs) - 3)], out)
+
+
+def age_year_mean(spark: SparkSession, n_age: int = 41, n_year: int = 31) -> DataFrame:
+    """A mortality-like grid: i1, i2, age 20..60, year 1980..2010, exposure, eta (log rate) and mu; ages vary fastest."""
+    df = spark.range(n_age * n_year).select("id", (F.col("id") % n_age + 1).cast("int").alias("i1"), (F.floor(F.col("id") / n_age) + 1).cast("int").alias("i2"))
+    df = df.withColumn("age", F.lit(20.0) + F.lit(40.0 / (n_age - 1)) * (F.col("i1") - 1)).withColumn("year", F.lit(1980.0) + F.lit(30.0 / (n_year - 1)) * (F.col("i2") - 1))
+
+    def scaled(c: str, lo: float, hi: float, n: int) -> Column:  # mean and sample deviation of n even steps
+        return (F.col(c) - F.lit((lo + hi) / 2)) / F.lit((hi - lo) / (n - 1) * math.sqrt(n * (n + 1) / 12))
+
+    a, y, tau = scaled("age", 20.0, 60.0, n_age), scaled("year", 1980.0, 2010.0, n_year), 2 * math.pi
+    eta = (0.15 * a + 0.35 * a * a) * (-0.25 * y) + F.sin(F.lit(tau / 40) * (F.col("age") - 20)) * 0.4 * F.cos(F.lit(tau / 30) * (F.col("year") - 1980))
+    df = df.withColumn("eta", eta).withColumn("exposure", 200.0 * (1 + 0.02 * (F.col("year") - 1980)))
+    mean = df.agg(F.avg("eta")).first()[0]
+    df = df.withColumn("eta", F.col("eta") - F.lit(mean) + F.lit(math.log(2.0)))
+    return df.withColumn("mu", F.col("exposure") * F.exp("eta"))
+
+
+def age_year_counts(spark: SparkSession, n_age: int = 41, n_year: int = 31, seed: int = 44) -> DataFrame:
+    """`age_year_mean` with Poisson counts y, each drawn from a generator of its own cell."""
+    import numpy as np
+    import pandas as pd
 
+    @F.pandas_udf("double")
+    def draw(cell, mu):
+        return pd.Series([float(np.random.default_rng([seed, int(i)]).poisson(m)) for i, m in zip(cell, mu, strict=True)])
 
-def age_year_counts(spark: SparkSession, ages=range(20, 61), years=range(1980, 2011), seed: int = 1) -> DataFrame:
-    """A mortality-like grid: i1, i2, age, year, exposure, y; ages vary fastest."""
-    n1, n2 = len(ages), len(years)
-    df = spark.range(n1 * n2).select((F.col("id") % n1 + 1).cast("int").alias("i1"), (F.floor(F.col("id") / n1) + 1).cast("int").alias("i2"), "id")
-    df = df.withColumn("age", (F.lit(float(ages[0])) + F.col("i1") - 1)).withColumn("year", (F.lit(float(years[0])) + F.col("i2") - 1))
-    df = df.withColumn("exposure", F.lit(1000.0) + 500.0 * F.sin(F.col("i1") / 7.0))
-    rate = F.exp(-7.0 + 0.07 * (F.col("age") - 20) - 0.015 * (F.col("year") - 1980) + 0.2 * F.sin(F.col("year") / 4.0))
-    noise = 1 + 0.1 * normal(F.col("id"), seed, 7)
-    return df.withColumn("y", F.floor(F.greatest(F.col("exposure") * rate * noise, F.lit(0.0)) + 0.5)).drop("id")
+    return age_year_mean(spark, n_age, n_year).withColumn("y", draw("id", "mu")).drop("id")
 
 
-def lab_design(spark: SparkSession, scenario: str, n: int = 200, d: int = 2, seed: int = 1) -> DataFrame:
-    """Designs of the smoothing laboratory: truth of known anisotropy on the unit cube.
+def lab_truth(scenario: str, d: int):
+    """(truth as a function of the columns, noise) of a laboratory design on the unit cube.
 
-    d = 2: smooth_smooth, smooth_rough, strong_aniso, weak_signal; more columns: mixed (roughness grows along the columns), sparse (only the first two matter).
+    d = 2: smooth_smooth, smooth_rough, strong_aniso, weak_signal; more columns: smooth_smooth and strong_aniso, whose second column is rough.
     """
-    tau = F.lit(2 * math.pi)
-    two = {
-        "smooth_smooth": (lambda x: F.sin(tau * x[0]) * F.cos(tau * x[1]), 0.35),
-        "smooth_rough": (lambda x: F.sin(tau * x[0]) + F.sin(4 * tau * x[1]), 0.40),
-        "strong_aniso": (lambda x: 0.3 * x[0] + F.sin(3 * tau * x[1]) * (1 + 0.5 * x[0]), 0.45),
-        "weak_signal": (lambda x: 0.3 * F.sin(tau * x[0]) * F.sin(tau * x[1]), 1.0),
+    pi, tau = F.lit(math.pi), F.lit(2 * math.pi)
+    rough = lambda x: F.sin(4 * tau * x[1]) * F.cos(pi * x[0])
+    total = lambda terms: reduce(lambda a, b: a + b, terms)
+    designs = {
+        2: {
+            "smooth_smooth": (lambda x: F.sin(tau * x[0]) + F.cos(tau * x[1]), 0.35),
+            "smooth_rough": (lambda x: 0.8 * F.sin(tau * x[0]) + 1.2 * F.sin(3 * tau * x[1]), 0.40),
+            "strong_aniso": (lambda x: 0.4 * x[0] + rough(x), 0.45),
+            "weak_signal": (lambda x: 0.15 * (F.sin(tau * x[0]) + F.sin(tau * x[1])), 1.0),
+        },
+        3: {
+            "smooth_smooth": (lambda x: F.sin(tau * x[0]) + F.cos(tau * x[1]) + 0.7 * F.sin(tau * x[2]), 0.40),
+            "strong_aniso": (lambda x: 0.3 * x[0] + rough(x) + 0.5 * F.cos(tau * x[2]), 0.50),
+        },
     }
-    if d == 2:
-        if scenario not in two:
-            raise ValueError(f"unknown scenario {scenario!r}")
-        f, sigma = two[scenario]
-    elif scenario == "mixed":
-        f, sigma = lambda x: reduce(lambda a, b: a + b, [F.sin((1.0 + i) * tau * v) / (1.0 + i) for i, v in enumerate(x)]) + x[0] * x[1], 0.4
-    elif scenario == "sparse":
-        f, sigma = lambda x: F.sin(tau * x[0]) * F.cos(tau * x[1]), 0.4
-    else:
-        raise ValueError(f"unknown scenario {scenario!r}")
-    return simulate(spark, n, d, f, 0.0, 1.0, sigma, seed)
+    many = {
+        "smooth_smooth": (lambda x: total([F.sin(tau * v + 0.3 * j) / math.sqrt(j) for j, v in enumerate(x, 1)]), 0.45),
+        "strong_aniso": (lambda x: total([0.25 * F.sin(tau * x[0]) + 1.2 * rough(x) + 0.5 * F.cos(tau * x[2])] + [0.35 / math.sqrt(j) * F.sin(tau * v) for j, v in enumerate(x, 1) if j > 3]), 0.55),
+    }
+    known = designs.get(d, many) if d >= 2 else {}
+    if scenario not in known:
+        raise ValueError(f"unknown scenario {scenario!r} for {d} columns")
+    return known[scenario]
+
+
+def lab_design(spark: SparkSession, scenario: str, n: int | None = None, d: int = 2, seed: int = 1) -> DataFrame:
+    """Rows of a laboratory design: uniform columns, the truth f and y with its noise."""
+    f, sigma = lab_truth(scenario, d)
+    return simulate(spark, n or (200 if d == 2 else 250), d, f, 0.0, 1.0, sigma, seed)
+
+
+def packaged(spark: SparkSession, name: str) -> DataFrame:
+    """The named example tables: ishigami, sobol_g and friedman (800 rows each), glam_poisson (41 x 31 cells)."""
+    known = {"ishigami": simulate_ishigami, "sobol_g": simulate_sobol_g, "friedman": simulate_friedman, "glam_poisson": age_year_counts}
+    if name not in known:
+        raise ValueError(f"unknown table {name!r}; known: {', '.join(known)}")
+    return known[name](spark)

@@ -45,12 +45,28 @@ class Control:
     cgcv_damping: float = 0.25
     cgcv_max_log10_step: float = 1.0
     cgcv_parameterization: str = "free"
+    cgcv_lambda0_method: str = "fixed_start"
     cgcv_lambda0_grid: tuple[float, ...] | None = None
     cgcv_margin_order: tuple[int, ...] | None = None
     margin_order: str = "ltr"
     penalty: str = "global"
     refit_intercept: bool = True
 
+    def __post_init__(self):
+        known = {
+            "cgcv_update": ("outer_simultaneous", "sequential"),
+            "cgcv_parameterization": ("free", "scale_anisotropy"),
+            "cgcv_lambda0_method": ("fixed_start", "log_grid"),
+            "margin_order": ("ltr", "rtl"),
+            "penalty": ("global", "own"),
+        }
+        for name, values in known.items():
+            if getattr(self, name) not in values:
+                raise ValueError(f"{name} must be one of {', '.join(values)}")
+        lo, hi = self.lambda_bounds
+        if not 0 < lo < hi:
+            raise ValueError("lambda_bounds must be positive and ascending")
+
 
 def parse_lambda(spec, d: int, control: Control) -> tuple[str, np.ndarray]:
     """(method, start values): a number or d of them is fixed, "cGCV" is automatic."""
@@ -84,3 +100,10 @@ def scale_anisotropy(lam) -> tuple[float, np.ndarray]:
     """lambda = scale * omega with the product of omega 1."""
     log = np.log(np.asarray(lam, float))
     return float(np.exp(log.mean())), np.exp(log - log.mean())
+
+
+def anisotropy_step(old, proposal, damping: float, max_log10_step: float, bounds) -> np.ndarray:
+    """The update under scale times anisotropy: the scale is held, log omega is damped, and the step is trusted and bounded as a whole."""
+    scale, now = scale_anisotropy(old)
+    log = (1 - damping) * np.log(now) + damping * np.log(scale_anisotropy(proposal)[1])
+    return damped_step(old, scale * np.exp(log - log.mean()), 1.0, max_log10_step, bounds)

@@ -1,4 +1,4 @@
-"""Distributed-lag surfaces: sum over lags of h(x_{t-l}, l) for several exposures, each a two-margin tensor train."""
+"""Distributed-lag surfaces: the sum over lags of h(x1_{t-l}, ..., xp_{t-l}, l), h one tensor train over all exposures and the lag."""
 
 from __future__ import annotations
 
@@ -9,37 +9,84 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
 from ..functions import families as fam_
 from ..functions.basis import Knots, difference_penalty, domains
 from ..plans import tensor
-from ..plans.backends import deviance
-from ..plans.linalg import ridge_scale, solve_spd
+from ..plans.backends import MOMENTS, deviance, tree_sums
+from ..plans.linalg import brent, ridge_scale, root, solve_spd
 from .control import Control
+from .optimizers import Spectral
 from .spline import SmoothTerm
 
+#: Ordered rows that a task works through at once.
+RANGE = 1 << 20
+
 
 def lag_columns(df: DataFrame, column: str, lag: int, order_by: str, series: str | None = None, prefix: str | None = None) -> DataFrame:
-    """df with prefix0..prefixL, null in the burn-in. One window over each series; without series the table is one ordered series."""
+    """df with prefix0..prefixL, null in the burn-in, by one window over each series; without series over the whole table in one task."""
     w = Window.partitionBy(series).orderBy(order_by) if series else Window.orderBy(order_by)
     return df.select("*", *[F.lag(F.col(column).cast("double"), i).over(w).alias(f"{prefix or column + '_lag'}{i}") for i in range(lag + 1)])
 
 
+def ordered_ranges(df: DataFrame, lag: int, order_by: str) -> tuple[DataFrame, str]:
+    """df cut into ranges of some `RANGE` ordered rows, each with the `lag` rows before it as a halo (column __halo), and the range's column.
+
+    Ranges of the order column (a number, date or time) come from approximate quantiles; counts for each range number the rows, and blocks of the
+    numbers overlap by the halo. So a long series needs no task that holds more than a block.
+    """
+    n = df.count()
+    blocks = max(1, -(-n // RANGE))
+    cuts = df.agg(F.percentile_approx(order_by, [i / blocks for i in range(1, blocks)] or [0.5], 10_000)).first()[0] if blocks > 1 else []
+    at = F.lit(0)
+    for c in sorted(set(cuts or [])):
+        at = at + F.coalesce(F.col(order_by) > F.lit(c), F.lit(False)).cast("int")
+    work = df.withColumn("__range", at)
+    sizes = dict(sorted(map(tuple, work.groupBy("__range").count().collect())))  # a row for each range
+    before, total = {}, 0
+    for r, c in sizes.items():
+        before[r], total = total, total + c
+    start = F.get(F.array(*[F.lit(before.get(r, 0)).cast("long") for r in range(max(sizes, default=0) + 1)]), F.col("__range"))
+    number = start + F.row_number().over(Window.partitionBy("__range").orderBy(order_by)) - 1
+    step = max(RANGE, lag)
+    work = work.withColumn("__row", number).drop("__range")
+    block, none = F.floor(F.col("__row") / step), F.lit(None).cast("long")
+    both = F.array_compact(F.array(block, F.when((F.col("__row") % step >= step - lag) & F.lit(lag > 0), block + 1).otherwise(none)))
+    work = work.withColumn("__block", F.explode(both))
+    return work.withColumn("__halo", F.col("__block") != F.floor(F.col("__row") / step)), "__block"
+
+
 def lag_windows(df: DataFrame, exposures: list[str], lag: int, order_by: str, series: str | None = None, complete: bool = True) -> DataFrame:
-    """All lag columns, and with `complete` only rows whose windows have no null."""
-    for e in exposures:
-        df = lag_columns(df, e, lag, order_by, series, f"{e}__lag")
+    """All lag columns, and with `complete` only rows whose windows have no null.
+
+    Without series the table is one ordered series; where its order is a number, date or time it is worked through in overlapping ranges.
+    """
+    kind = df.schema[order_by].dataType
+    ranged = not series and isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType))
+    columns = df.columns
+    if ranged:
+        df, series = ordered_ranges(df, lag, order_by)
+    w = Window.partitionBy(series).orderBy("__row" if ranged else order_by) if series else Window.orderBy(order_by)
+    lags = [F.lag(F.col(e).cast("double"), i).over(w).alias(f"{e}__lag{i}") for e in exposures for i in range(lag + 1)]
+    df = df.select("*", *lags)
+    if ranged:
+        df = df.filter(~F.col("__halo")).select(*[F.col(f"`{c}`") for c in columns], *[F.col(f"`{e}__lag{i}`") for e in exposures for i in range(lag + 1)])
     if complete:
         for e in exposures:
             for i in range(lag + 1):
-                df = df.filter(F.col(f"{e}__lag{i}").isNotNull())
+                df = df.filter(F.col(f"`{e}__lag{i}`").isNotNull())
     return df
 
 
 @dataclass
 class DistributedLagSpline:
-    """Estimator. exposures: ordered series; order_by: the time column. Poisson by default, as counts in time are the usual response."""
+    """Estimator of sum over lags of h(x1_{t-l}, ..., xp_{t-l}, l), h one tensor train over all exposures and the lag.
+
+    exposures: ordered series; order_by: the time column. Poisson by default, as counts in time are the usual response. lam: a number, one for each
+    exposure and the lag, or "cGCV" (each core's own, Gaussian or within each PIRLS step).
+    """
 
     exposures: list[str]
     y: str
@@ -50,20 +97,20 @@ class DistributedLagSpline:
     rank: int = 1
     k: int = 8
     k_lag: int = 4
-    lam: float = 1.0
+    lam: float | list | str = 1.0
     penalty: str = "own"
     linear: list[str] = field(default_factory=list)
     smooth: list[SmoothTerm] = field(default_factory=list)
     offset: str | None = None
+    weight: str | None = None
     control: Control = field(default_factory=Control)
 
     def fit(self, df: DataFrame) -> DistributedLagModel:
-        """Sums of summed tensor bases, one Arrow job for Gaussian and one for each PIRLS step else; rows stay on the executors."""
+        """Where the whole tensor has at most `MOMENTS` entries one Arrow job gives the sums of a Gaussian fit or a PIRLS step; else one for each core."""
         fam = fam_.family(self.family)
         spans = domains(df, self.exposures)  # from the whole series, before lagging
-        knots = [Knots(*s, self.k) for s in spans]
-        lag_knots = Knots(0.0, float(self.lag), min(self.k_lag, self.lag + 1), min(3, min(self.k_lag, self.lag + 1) - 1))
-        basis_lag = lag_knots.evaluate(np.arange(self.lag + 1.0))
+        lag_knots = Knots(0.0, float(max(self.lag, 1)), min(self.k_lag, self.lag + 1), min(3, min(self.k_lag, self.lag + 1) - 1))
+        knots = [Knots(*s, self.k) for s in spans] + [lag_knots]
         work = lag_windows(df, self.exposures, self.lag, self.order_by, self.series)
         terms, z = [], list(self.linear)
         for i, (t, s) in enumerate(zip(self.smooth, domains(df, [t.column for t in self.smooth]) if self.smooth else [], strict=True)):
@@ -71,110 +118,143 @@ class DistributedLagSpline:
             work = kn.columns(work, F.col(t.column), f"__s{i}_")
             terms.append((t, kn, slice(1 + len(z), 1 + len(z) + t.k)))
             z += [f"__s{i}_{j + 1}" for j in range(t.k)]
-        lags = [f"{e}__lag{i}" for e in self.exposures for i in range(self.lag + 1)]
-        rows = work.select(*[F.col(f"`{c}`") for c in lags], *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(z)], F.col(self.y).cast("double").alias("y"), (F.col(self.offset).cast("double") if self.offset else F.lit(0.0)).alias("off")).persist()
+        cols = [F.col(f"`{c}`") for c in self.lag_names()] + [F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(z)]
+        number = lambda c, default: F.col(c).cast("double") if c else F.lit(default)
+        rows = work.select(*cols, F.col(self.y).cast("double").alias("y"), number(self.offset, 0.0).alias("off"), number(self.weight, 1.0).alias("w")).persist()
         try:
-            return self._fit(df, fam, rows, knots, lag_knots, basis_lag, terms, z)
+            return self._fit(fam, rows, knots, terms, z)
         finally:
             rows.unpersist()
 
-    def _fit(self, df, fam, rows, knots, lag_knots, basis_lag, terms, z) -> DistributedLagModel:
-        width, n_lag, n_e, p_l = self.k, self.lag + 1, len(self.exposures), lag_knots.k
-        size = rows.agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.exp("off")).alias("e")).first()
+    def lag_names(self) -> list[str]:
+        return [f"{e}__lag{i}" for e in self.exposures for i in range(self.lag + 1)]
+
+    def bases(self, b: pa.RecordBatch, knots: list[Knots]) -> Iterator[list[np.ndarray]]:
+        """The bases of all margins, for each lag."""
+        at = knots[-1].evaluate(np.arange(self.lag + 1.0))
+        for i in range(self.lag + 1):
+            own = [k.evaluate(np.nan_to_num(_numbers(b, f"{e}__lag{i}"), nan=k.lo)) for e, k in zip(self.exposures, knots, strict=False)]
+            yield [*own, np.repeat(at[i : i + 1], b.num_rows, axis=0)]
+
+    def _fit(self, fam, rows, knots, terms, z) -> DistributedLagModel:
+        c, sizes = self.control, [k.k for k in knots]
+        d, entries = len(sizes), int(np.prod(sizes, dtype=float))
+        bad = F.lit(False)
+        for name in rows.columns:
+            bad = bad | F.col(f"`{name}`").isNull() | F.isnan(f"`{name}`")
+        size = rows.agg(F.count("*").alias("n"), F.sum((bad | (F.col("w") < 0)).cast("long")).alias("bad"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("y"), F.sum(F.col("w") * F.exp("off")).alias("e")).first()
         if not size["n"]:
             raise ValueError("no complete window")
-        theta0 = np.zeros(n_e * width * p_l + 1 + len(z))
-
-        def block(b: pa.RecordBatch):
-            col = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)
-            parts = []
-            for e, (name, kn) in enumerate(zip(self.exposures, knots, strict=True)):
-                total = np.zeros((b.num_rows, width, p_l))
-                for i in range(n_lag):
-                    total += kn.evaluate(col(f"{name}__lag{i}"))[:, :, None] * basis_lag[i][None, None]
-                parts.append(total.reshape(b.num_rows, -1))
-            parts += [np.ones((b.num_rows, 1))] + [col(f"z{i}")[:, None] for i in range(len(z))]
-            return np.concatenate(parts, axis=1), col("y"), col("off")
-
-        def sums(theta: np.ndarray) -> dict:
-            """Working normal equations of all summed bases and additive columns at theta, and the deviance there."""
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                m = len(theta)
-                out = np.zeros(m * m + m + 2)
-                for b in batches:
-                    if b.num_rows:
-                        x, y, off = block(b)
-                        eta = off + x @ theta
-                        w, t = fam_.np_working(fam, y, eta, np.ones(len(y)))
-                        xw = x * w[:, None]
-                        out += np.concatenate([(x.T @ xw).ravel(), xw.T @ (t - off), [fam_.np_nll(fam, y, eta, np.ones(len(y))), deviance(fam, y, fam_.np_inverse(fam, eta), 1.0)]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "v"])
-
-            got = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-            out, m = np.zeros(len(theta) ** 2 + len(theta) + 2), len(theta)
-            out[got.column("i").to_numpy()] = got.column("v").to_numpy()
-            return {"S": out[: m * m].reshape(m, m), "b": out[m * m : m * m + m], "nll": out[-2], "dev": out[-1]}
-
-        rng = np.random.default_rng(self.control.seed)
-        cores = [[rng.normal(0, self.control.init_sd, (1, width, self.rank)), rng.normal(0, self.control.init_sd, (self.rank, p_l, 1))] for _ in range(n_e)]
-        beta = theta0[n_e * width * p_l :].copy()
-        beta[0] = fam_.start_intercept(fam, float(size["n"]), float(size["y"]), float(size["e"]))
-        pens = [difference_penalty(width, 2), difference_penalty(p_l, min(2, p_l - 1))]
-        lam = np.full(2, float(self.lam))
-        index = tensor.index_bases([width, p_l])
-
-        def whole(cs, bt):
-            return np.concatenate([tensor.contract(index, c) for c in cs] + [bt])
-
-        def penalty(cs, bt):
-            own = 0.0
-            for c in cs:
-                if self.penalty == "global":
-                    own += tensor.penalty_value(c, pens, lam)
-                else:
-                    for k in range(2):
-                        g = tensor.pack(c[k])
-                        own += 0.5 * lam[k] * g @ tensor.core_penalty(c, pens, lam, k, "own")[0] @ g
-            return own + sum(0.5 * (t_lam or 0) * bt[at] @ p @ bt[at] for (at, p), t_lam in zip(smooth_pens, smooth_lam, strict=True))
-
+        if size["bad"]:
+            raise ValueError(f"{size['bad']} rows with a null or NaN, or a negative weight")
+
+        def sums(cores: list[np.ndarray], beta: np.ndarray, k: int | None) -> dict:
+            """Working normal equations at the parameters: of the whole tensor (k None) or of core k, beside the additive columns."""
+
+            def part(b: pa.RecordBatch) -> dict:
+                x, f = 0.0, 0.0
+                for bases in self.bases(b, knots):
+                    f = f + tensor.contract(bases, cores)
+                    x = x + (_tensor_basis(bases) if k is None else tensor.design_core(bases, cores, k))
+                zs = np.stack([np.ones(b.num_rows)] + [_numbers(b, f"z{i}") for i in range(len(z))], axis=1)
+                y, off, w0 = (_numbers(b, n) for n in ("y", "off", "w"))
+                eta = off + zs @ beta + f
+                w, t = fam_.np_working(fam, y, eta, w0)
+                both, t = np.concatenate([x, zs], axis=1), t - off
+                bw = both * w[:, None]
+                out = {"S": both.T @ bw, "b": bw.T @ t, "zz": np.array(w @ (t * t)), "nll": np.array(fam_.np_nll(fam, y, eta, w0)), "dev": np.array(deviance(fam, y, fam_.np_inverse(fam, eta), w0))}
+                return {(0, name): v for name, v in out.items()}
+
+            return {name: v for (_, name), v in tree_sums(rows, part).items()}
+
+        rng = np.random.default_rng(c.seed)
+        r = [1] + [self.rank] * (d - 1) + [1]
+        cores = [rng.normal(0, c.init_sd, (r[i], p, r[i + 1])) for i, p in enumerate(sizes)]
+        beta = np.zeros(1 + len(z))
+        beta[0] = fam_.start_intercept(fam, float(size["w"]), float(size["y"]), float(size["e"]))
+        pens = [difference_penalty(p, min(2, p - 1)) if p > 1 else np.zeros((1, 1)) for p in sizes]
+        automatic = self.lam == "cGCV"
+        lam = np.full(d, float(c.lambda_start)) if automatic else np.full(d, float(self.lam)) if np.isscalar(self.lam) else np.asarray(self.lam, float)
+        if lam.shape != (d,) or not (lam > 0).all():
+            raise ValueError(f"lam needs 1 or {d} positive numbers, or cGCV")
+        index = tensor.index_bases(sizes) if entries <= MOMENTS else None
         smooth_pens = [(at, difference_penalty(t.k, t.m, t.bs == "cc")) for t, _, at in terms]
         smooth_lam = [1.0 if isinstance(t.lam, str) else float(t.lam) for t, _, _ in terms]
+
+        def penalty(cs, bt) -> float:
+            own = tensor.penalty_value(cs, pens, lam) if self.penalty == "global" else sum(0.5 * lam[k] * tensor.pack(cs[k]) @ tensor.core_penalty(cs, pens, lam, k, "own")[0] @ tensor.pack(cs[k]) for k in range(d))
+            return own + sum(0.5 * x * bt[at] @ p @ bt[at] for (at, p), x in zip(smooth_pens, smooth_lam, strict=True))
+
+        def core_step(m: dict, k: int) -> None:
+            """Core k given all else: m holds sums of its own design, then of the additive columns."""
+            n = cores[k].size
+            s, rest = m["S"][:n, :n], m["b"][:n] - m["S"][:n, n:] @ beta
+            own, other = tensor.core_penalty(cores, pens, lam, k, self.penalty)
+            if automatic:
+                zz = float(m["zz"] - 2 * m["b"][n:] @ beta + beta @ m["S"][n:, n:] @ beta)
+                cache = Spectral.of(float(size["w"]), zz, s, rest, own, other)
+                lam[k] = np.exp(brent(lambda x: cache.gcv(np.exp(x)), *np.log(c.lambda_bounds)))
+            cores[k] = tensor.unpack(solve_spd(s + lam[k] * own + other + ridge_scale(s) * np.eye(n), rest), cores[k].shape)
+
+        def additive_step(s: np.ndarray, rest: np.ndarray) -> np.ndarray:
+            s = s.copy()
+            plain = s.copy()
+            for i, ((pos, p), (t, _, _)) in enumerate(zip(smooth_pens, terms, strict=True)):
+                if t.target_edf is not None:
+                    own = plain[pos, pos]
+                    edf = lambda x, own=own, p=p: float(np.trace(np.linalg.solve(own + np.exp(x) * p + ridge_scale(own) * np.eye(len(own)), own)))
+                    smooth_lam[i] = float(np.exp(root(lambda x, edf=edf, t=t: edf(x) - t.target_edf, -18, 18)))
+                s[pos, pos] += smooth_lam[i] * p
+            return solve_spd(s + ridge_scale(s) * np.eye(len(s)), rest)
+
+        def sweep(m: dict | None) -> None:
+            nonlocal beta
+            for k in range(d):
+                if m is None:
+                    core_step(last := sums(cores, beta, k), k)
+                else:
+                    a = np.zeros((len(m["S"]), cores[k].size + len(beta)))
+                    a[:entries, : cores[k].size] = tensor.design_core(index, cores, k)
+                    a[entries:, cores[k].size :] = np.eye(len(beta))
+                    last = {"S": a.T @ m["S"] @ a, "b": a.T @ m["b"], "zz": m["zz"]}
+                    core_step(last, k)
+            g, n = tensor.pack(cores[-1]), cores[-1].size  # `last` is of the last core, whose design its own update leaves alone
+            beta = additive_step(last["S"][n:, n:], last["b"][n:] - last["S"][n:, :n] @ g)
+
         history, converged, old = [], False, None
-        for it in range(1, (self.control.pirls_maxit if fam != "gaussian" else 1) + 1):
-            m = sums(whole(cores, beta))
-            value = float(m["nll"]) + penalty(cores, beta)
-            history.append({"stage": "pirls", "sweep": it, "objective": value})
-            if fam != "gaussian" and old is not None and it > 2 and abs(old - value) <= self.control.tol * (abs(old) + self.control.tol):
+        steps, inner = (1, c.max_sweeps) if fam == "gaussian" else (c.pirls_maxit, c.als_sweeps_per_pirls_max)
+        if index is None and fam != "gaussian":
+            inner = 1
+        for it in range(1, steps + 1):
+            m = sums(cores, beta, None) if index is not None else None
+            for _ in range(inner):
+                before = (tensor.dense(cores) if index is not None else np.concatenate([tensor.pack(x) for x in cores])).ravel()
+                sweep(m)
+                now = (tensor.dense(cores) if index is not None else np.concatenate([tensor.pack(x) for x in cores])).ravel()
+                if fam == "gaussian" and np.abs(now - before).max() <= np.sqrt(c.tol) * max(np.abs(now).max(), 1e-12):
+                    converged = True
+                    break
+            done = sums(cores, beta, 0) if index is None or fam == "gaussian" else sums(cores, beta, None)
+            value = float(done["nll"]) + penalty(cores, beta)
+            history.append({"stage": "pirls" if fam != "gaussian" else "als", "sweep": it, "objective": value})
+            if fam != "gaussian" and old is not None and abs(old - value) <= c.tol * (abs(old) + c.tol):
                 converged = True
                 break
             old = value
-            for _ in range(self.control.max_sweeps if fam == "gaussian" else self.control.als_sweeps_per_pirls_max):
-                for e in range(n_e):
-                    at = slice(e * width * p_l, (e + 1) * width * p_l)
-                    for k in range(2):
-                        a = tensor.design_core(index, cores[e], k)
-                        theta = whole(cores, beta)
-                        rest = m["b"][at] - m["S"][at] @ theta + m["S"][at, at] @ theta[at]
-                        own, other = tensor.core_penalty(cores[e], pens, lam, k, "own" if self.penalty == "own" else "global")
-                        s = a.T @ m["S"][at, at] @ a
-                        g = solve_spd(s + lam[k] * own + other + ridge_scale(s) * np.eye(len(s)), a.T @ rest)
-                        cores[e][k] = tensor.unpack(g, cores[e][k].shape)
-                tail = slice(n_e * width * p_l, None)
-                theta = whole(cores, beta)
-                s, rest = m["S"][tail, tail].copy(), m["b"][tail] - m["S"][tail] @ theta + m["S"][tail, tail] @ theta[tail]
-                for i, ((pos, p), (t, _, _)) in enumerate(zip(smooth_pens, terms, strict=True)):
-                    if t.target_edf is not None:
-                        from ..plans.linalg import root
-
-                        own = m["S"][tail, tail][pos, pos]
-                        edf = lambda x, own=own, p=p: float(np.trace(np.linalg.solve(own + np.exp(x) * p + ridge_scale(own) * np.eye(len(own)), own)))
-                        smooth_lam[i] = float(np.exp(root(lambda x, edf=edf, t=t: edf(x) - t.target_edf, -18, 18)))
-                    s[pos, pos] += smooth_lam[i] * p
-                beta = solve_spd(s + ridge_scale(s) * np.eye(len(s)), rest)
-        last = sums(whole(cores, beta))
         medians = rows.agg(*[F.expr(f"percentile(`{e}__lag0`, 0.5)").alias(f"m{i}") for i, e in enumerate(self.exposures)]).first()
-        return DistributedLagModel(self, fam, knots, lag_knots, cores, beta, [(t.column, kn, at) for t, kn, at in terms], float(last["dev"]), float(size["n"]), converged or fam == "gaussian", history, {e: float(medians[f"m{i}"]) for i, e in enumerate(self.exposures)})
+        return DistributedLagModel(self, fam, knots, cores, beta, lam, [(t.column, kn, at) for t, kn, at in terms], float(done["dev"]), float(size["n"]), converged, history, {e: float(medians[f"m{i}"]) for i, e in enumerate(self.exposures)})
+
+
+def _numbers(b: pa.RecordBatch, c: str) -> np.ndarray:
+    return b.column(c).to_numpy(zero_copy_only=False).astype(float)
+
+
+def _tensor_basis(bases: list[np.ndarray]) -> np.ndarray:
+    """Row-wise products of all bases, the first index slowest."""
+    out = np.ones((len(bases[0]), 1))
+    for b in bases:
+        out = (out[:, :, None] * b[:, None, :]).reshape(len(b), -1)
+    return out
 
 
 @dataclass
@@ -182,9 +262,9 @@ class DistributedLagModel:
     spec: DistributedLagSpline
     family: str
     knots: list[Knots]
-    lag_knots: Knots
-    cores: list
+    cores: list[np.ndarray]
     beta: np.ndarray
+    lam: np.ndarray
     terms: list
     deviance: float
     n: float
@@ -192,22 +272,26 @@ class DistributedLagModel:
     history: list[dict]
     centre: dict[str, float]
 
-    def surface(self, exposure: str, x: np.ndarray, lags: np.ndarray) -> np.ndarray:
-        """h at pairs of values and lags."""
-        i = self.spec.exposures.index(exposure)
-        return tensor.contract([self.knots[i].evaluate(x), self.lag_knots.evaluate(lags)], self.cores[i])
-
-    def overall(self, exposure: str, x: np.ndarray) -> np.ndarray:
-        return sum(self.surface(exposure, x, np.full(len(x), float(i))) for i in range(self.spec.lag + 1))
+    def surface(self, at: np.ndarray, lag: int | None) -> np.ndarray:
+        """h at rows of exposure values: at a lag, or summed over all."""
+        lags = self.knots[-1].evaluate(np.arange(self.spec.lag + 1.0) if lag is None else np.array([float(lag)])).sum(axis=0, keepdims=True)
+        return tensor.contract([k.evaluate(at[:, i]) for i, k in enumerate(self.knots[:-1])] + [np.repeat(lags, len(at), axis=0)], self.cores)
 
-    def effect(self, spark, exposure: str, at=None, lag: int | None = None, centre: float | None = None, points: int = 50) -> DataFrame:
-        """(value, lag, h, log_rr, rr) against the centre (the median by default); over all lags, or of one."""
-        k = self.knots[self.spec.exposures.index(exposure)]
-        x = np.linspace(k.lo, k.hi, points) if at is None else np.asarray(at, float)
-        c = np.array([self.centre[exposure] if centre is None else float(centre)])
-        h, h0 = (self.overall(exposure, v) if lag is None else self.surface(exposure, v, np.full(len(v), float(lag))) for v in (x, c))
-        rows = [(float(v), lag, float(a), float(a - h0[0]), float(np.exp(a - h0[0]))) for v, a in zip(x, h, strict=True)]
-        return spark.createDataFrame(rows, "value double, lag int, h double, log_rr double, rr double")
+    def effect_rows(self, exposure: str, at=None, lag: int | None = None, centre: float | dict | None = None, points: int = 50) -> list[tuple]:
+        if lag is not None and not 0 <= lag <= self.spec.lag:
+            raise ValueError(f"lag must be in 0..{self.spec.lag}")
+        i = self.spec.exposures.index(exposure)
+        held = {**self.centre, **(centre if isinstance(centre, dict) else {} if centre is None else {exposure: float(centre)})}
+        x = np.linspace(self.knots[i].lo, self.knots[i].hi, points) if at is None else np.asarray(at, float)
+        base = np.array([[held[e] for e in self.spec.exposures]])
+        grid = np.repeat(base, len(x), axis=0)
+        grid[:, i] = x
+        h, h0 = self.surface(grid, lag), self.surface(base, lag)[0]
+        return [(float(v), lag, float(a), float(a - h0), float(np.exp(a - h0))) for v, a in zip(x, h, strict=True)]
+
+    def effect(self, spark, exposure: str, at=None, lag: int | None = None, centre: float | dict | None = None, points: int = 50) -> DataFrame:
+        """(value, lag, h, log_rr, rr) against the centre, over all lags or of one, the other exposures held at theirs (medians by default)."""
+        return spark.createDataFrame(self.effect_rows(exposure, at, lag, centre, points), "value double, lag int, h double, log_rr double, rr double")
 
     def transform(self, df: DataFrame) -> DataFrame:
         """All rows of df with eta and fit; null where the window isn't complete."""
@@ -217,24 +301,20 @@ class DistributedLagModel:
         for i, (c, kn, _) in enumerate(self.terms):
             work = kn.columns(work, F.col(c), f"__s{i}_")
             z += [f"__s{i}_{j + 1}" for j in range(kn.k)]
-        lags = [f"{e}__lag{i}" for e in spec.exposures for i in range(spec.lag + 1)]
+        lags = spec.lag_names()
         inner = work.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__in"), *[F.col(f"`{c}`") for c in lags], *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(z)], (F.coalesce(F.col(spec.offset).cast("double"), F.lit(0.0)) if spec.offset else F.lit(0.0)).alias("off"))
-        beta, n_z = self.beta, len(z)
+        beta, n_z, knots, cores = self.beta, len(z), self.knots, self.cores
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                col = lambda c, b=b: b.column(c).to_numpy(zero_copy_only=False).astype(float)
-                eta, known = col("off") + beta[0] + sum((col(f"z{i}") * beta[i + 1] for i in range(n_z)), np.zeros(b.num_rows)), np.ones(b.num_rows, bool)
-                for e, name in enumerate(spec.exposures):
-                    for i in range(spec.lag + 1):
-                        v = col(f"{name}__lag{i}")
-                        ok = np.isfinite(v)
-                        known &= ok
-                        eta = eta + self.surface(name, np.where(ok, v, self.knots[e].lo), np.full(len(v), float(i)))
+                known = np.logical_and.reduce([np.isfinite(_numbers(b, c)) for c in lags])
+                eta = _numbers(b, "off") + beta[0] + sum((_numbers(b, f"z{i}") * beta[i + 1] for i in range(n_z)), np.zeros(b.num_rows))
+                for bases in spec.bases(b, knots):
+                    eta = eta + tensor.contract(bases, cores)
                 yield pa.RecordBatch.from_arrays([b.column("__in"), pa.array(eta, pa.float64(), mask=~known)], ["__in", "eta"])
 
         out = inner.mapInArrow(run, inner.select("__in").schema.add("eta", "double"))
-        return out.select("__in.*", "eta", fam_.inverse_link(self.family, F.col("eta")).alias("fit"))
+        return out.select("__in.*", "eta", F.when(F.col("eta").isNotNull(), fam_.inverse_link(self.family, F.col("eta"))).alias("fit"))
 
 
 def with_lag(spec: DistributedLagSpline, **kw) -> DistributedLagSpline:

@@ -11,7 +11,7 @@ from ..functions.families import start_intercept
 from ..plans import tensor
 from ..plans.backends import Request, State
 from ..plans.linalg import brent, lbfgs, ridge_scale, root, solve_spd
-from .control import Control, damped_step, scale_anisotropy
+from .control import Control, anisotropy_step, damped_step, scale_anisotropy
 
 
 @dataclass
@@ -370,13 +370,6 @@ def frozen_curves(p: Problem, s: State, points: int = 61) -> list[dict]:
 def fit_cgcv(p: Problem, s: State, optimizer: str) -> tuple[State, bool, list[dict]]:
     """Fit at fixed lambda, propose by conditional GCV, damp and trust, repeat; a last fit at the end."""
     c, trace, done = p.control, [], False
-    if c.cgcv_lambda0_grid:  # isotropic scale by deviance first
-        tries = []
-        for x in c.cgcv_lambda0_grid:
-            p.lam = np.full(len(p.sizes), float(x))
-            t, _ = fit_fixed(p, s, optimizer)
-            tries.append((float(p.ask("loss", t)["dev0"]), x))
-        p.lam = np.full(len(p.sizes), float(min(tries)[1]))
     sequential = c.cgcv_update == "sequential"
     for outer in range(1, c.outer_maxit + 1):
         s, _ = fit_fixed(p, s, optimizer)
@@ -390,14 +383,20 @@ def fit_cgcv(p: Problem, s: State, optimizer: str) -> tuple[State, bool, list[di
             proposal = p.lam.copy()
         else:
             proposal = propose(p, s)
-            if c.cgcv_parameterization == "scale_anisotropy":
-                scale, omega = scale_anisotropy(proposal)
-                proposal = scale * omega
-            p.lam = damped_step(old, proposal, c.cgcv_damping, c.cgcv_max_log10_step, c.lambda_bounds)
+            step = anisotropy_step if c.cgcv_parameterization == "scale_anisotropy" else damped_step
+            p.lam = step(old, proposal, c.cgcv_damping, c.cgcv_max_log10_step, c.lambda_bounds)
         change = float(np.abs(np.log(p.lam / old)).max())
         trace += [{"outer": outer, "margin": k + 1, "old": float(old[k]), "proposal": float(proposal[k]), "new": float(p.lam[k]), "change": change} for k in range(len(old))]
         if outer > 1 and change < c.tol_lambda:
             done = True
             break
     s, ok = fit_fixed(p, s, optimizer)
+    if c.cgcv_parameterization == "scale_anisotropy" and c.cgcv_lambda0_method == "log_grid":
+        omega, tries = scale_anisotropy(p.lam)[1], []  # the scale of least deviance, the anisotropy as it settled
+        for x in c.cgcv_lambda0_grid or np.geomspace(*c.lambda_bounds, 11):
+            p.lam = float(x) * omega
+            t, _ = fit_fixed(p, s, optimizer)
+            tries.append((float(p.ask("loss", t)["dev0"]), float(x)))
+        p.lam = min(tries)[1] * omega
+        s, ok = fit_fixed(p, s, optimizer)
     return s, ok and done, trace

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import families as fam_
 from ..functions.basis import Knots, difference_penalty
 from ..plans import tensor
-from ..plans.backends import Request, State, build
+from ..plans.backends import Request, RowBackend, State, build
 from ..plans.linalg import brent, f_tail
 from . import optimizers as opt
 from .spline import Prepared, TensorSpline, TensorSplineModel
@@ -35,9 +35,10 @@ def balanced_folds(df: DataFrame, key: str, folds: int, seed: int = 1, into: str
 
 
 def normalise_folds(df: DataFrame, fold: str, into: str = "fold_id") -> DataFrame:
-    """User fold labels as 1..K, by a table of the distinct labels."""
-    labels = df.select(fold).distinct().withColumn(into, F.row_number().over(Window.orderBy(fold)))
-    return df.join(labels, fold)
+    """User fold labels as 1..K, by a table of the distinct labels; a row without a label is an error, raised when it is read."""
+    labels = df.select(F.col(fold).alias("__label")).distinct().withColumn(into, F.row_number().over(Window.orderBy("__label")))  # a row for each fold
+    out = df.join(F.broadcast(labels), df[fold].eqNullSafe(F.col("__label"))).drop("__label")
+    return out.withColumn(into, F.when(F.col(fold).isNull(), F.raise_error(F.lit(f"a row without a fold in {fold}")).cast("int")).otherwise(F.col(into)))
 
 
 def cv_loss(metric: str, family: str, y: Column, mu: Column, w: Column | None = None) -> Column:
@@ -85,9 +86,9 @@ def choose_frame(table: DataFrame, key: str = "rank", tol: float = 1e-12) -> Dat
     return table.crossJoin(at).agg(F.first("at.k").alias("min"), F.min(F.when(F.col("mean_cv") <= F.col("at.mean_cv") + F.coalesce(F.col("at.se_cv"), F.lit(0.0)), F.col(key))).alias("one_se"))
 
 
-def held_out_loss(p: Prepared, s: State, family: str, metric: str) -> float:
-    out = p.backend.total(Request("loss", family, [s]))
-    w = float(p.backend.total(Request("size"))["w"])
+def held_out_loss(be, s: State, family: str, metric: str) -> float:
+    out = be.total(Request("loss", family, [s]))
+    w = float(be.total(Request("size"))["w"])
     if metric == "auto":
         metric = "mse" if family == "gaussian" else "deviance"
     value = float(out["dev0"]) / w
@@ -143,7 +144,7 @@ def rank_select(df: DataFrame, spec: TensorSpline, ranks=(1, 2, 3, 4, 5), folds:
                         best = m
                 except (np.linalg.LinAlgError, FloatingPointError):
                     continue
-            losses.append({"rank": int(r), "fold": int(f), "loss": held_out_loss(test, best.state, whole.family, metric) if best else float("inf")})
+            losses.append({"rank": int(r), "fold": int(f), "loss": held_out_loss(test.backend, best.state, whole.family, metric) if best else float("inf")})
     return RankSelection(losses, summary_rows(losses), rule, whole)
 
 
@@ -159,9 +160,10 @@ def summary_rows(losses: list[dict], key: str = "rank") -> list[dict]:
 def rank_profile(df: DataFrame, spec: TensorSpline, ranks=(1, 2, 3, 4, 5)) -> list[dict]:
     """In-sample fits over ranks on shared statistics."""
     p, out = spec.prepare(df), []
-    for r in ranks:
+    for r in ranks:  # shared statistics
         m = p.fit(rank=r)
         out.append({"rank": int(r), "deviance": m.deviance, "objective": m.objective, "edf": m.edf, "aic": m.aic(), "bic": m.bic(), **{k: v for k, v in m.complexity().items() if k in ("stored", "intrinsic", "compression")}})
+    _close(p.backend)
     return out
 
 
@@ -172,6 +174,7 @@ def multistart(df: DataFrame, spec: TensorSpline, n_starts: int = 10, criterion:
         m = p.fit(seed=spec.control.seed + i)
         fits.append(m)
         table.append({"start": i + 1, "objective": m.objective, "deviance": m.deviance, "edf": m.edf, "converged": m.converged, "boundary": float(np.mean([b != "interior" for b in m.boundary()]))})
+    _close(p.backend)
     best = min(range(n_starts), key=lambda i: (prefer_converged and not table[i]["converged"], table[i][criterion]))
     return fits[best], table
 
@@ -217,22 +220,42 @@ class Univariate:
     edf: float
 
 
-def _curve(df: DataFrame, spec: TensorSpline, column: str, knots: Knots, fold: str):
-    """Gram sums of one margin by fold."""
-    be = build(df, [knots, Knots(0.0, 1.0, 1, 0)], [column, "__one"], spec.y, "gaussian", spec.weight, spec.offset, [], fold, "auto")
-    return be
+def _curve(df: DataFrame, spec: TensorSpline, column: str, knots: Knots, fold: str | None = None):
+    """A backend of one margin in the spec's family, beside a constant one."""
+    return build(df.withColumn("__one", F.lit(0.5)), [knots, Knots(0.0, 1.0, 1, 0)], [column, "__one"], spec.y, fam_.family(spec.family), spec.weight, spec.offset, [], fold, "auto")
 
 
-def _curve_fit(be, knots: Knots, order: int) -> tuple[np.ndarray, float, float]:
-    s = State([np.zeros((1, knots.k, 1)), np.ones((1, 1, 1))], np.zeros(1))
-    m = be.total(Request("core", "gaussian", [s], None, 0))
-    cache = opt.Spectral.of(be.n, float(m["zz"]), m["S"], m["b"], difference_penalty(knots.k, order, knots.cyclic), np.zeros_like(m["S"]))
-    lam = float(np.exp(brent(lambda x: cache.gcv(np.exp(x)), np.log(1e-4), np.log(1e4))))
-    return cache.u @ (cache.b / (1 + lam * cache.values)), lam, cache.edf(lam)
+def _curve_fit(be, knots: Knots, spec: TensorSpline, most: int = 50) -> tuple[np.ndarray, float, float]:
+    """(coefficients, lambda, EDF) of a penalised curve with GCV; for other families by working responses until it stands still."""
+    family = fam_.family(spec.family)
+    size = be.total(Request("size"))
+    g, lam, edf = np.full(knots.k, 0.0 if family == "gaussian" else fam_.start_intercept(family, float(size["w"]), float(size["wy"]), float(size["we"]))), 1.0, 0.0
+    for _ in range(1 if family == "gaussian" else most):
+        s = State([g.reshape(1, -1, 1), np.ones((1, 1, 1))], np.zeros(1))
+        m = be.total(Request("core", family, [s], None if family == "gaussian" else s, 0))
+        cache = opt.Spectral.of(be.n, float(m["zz"]), m["S"], m["b"], difference_penalty(knots.k, spec.penalty_order, knots.cyclic), np.zeros_like(m["S"]))
+        lam = float(np.exp(brent(lambda x, cache=cache: cache.gcv(np.exp(x)), np.log(1e-4), np.log(1e4))))
+        new, edf = cache.u @ (cache.b / (1 + lam * cache.values)), cache.edf(lam)
+        still, g = np.abs(new - g).max() <= 1e-6 * (1 + np.abs(new).max()), new
+        if still:
+            break
+    return g, lam, edf
+
+
+def _curve_state(g: np.ndarray) -> State:
+    return State([g.reshape(1, -1, 1), np.ones((1, 1, 1))], np.zeros(1))
+
+
+def _close(be) -> None:
+    if isinstance(be, RowBackend):
+        be.close()
 
 
 def activity_path(df: DataFrame, spec: TensorSpline, lambdas=tuple(10 ** np.linspace(2, -1, 7)), n_grid: int = 40, folds: int = 5, rule: str = "1se", reference: str = "median", seed: int = 1) -> ActivityPath:
-    """Columns ranked by the mean range of their partial curves over a path of smoothing; then nested top-m models by CV (Gaussian: MSE)."""
+    """Columns ranked by the mean range of their partial curves over a path of smoothing; then nested top-m models by CV.
+
+    One loss for all sizes: mean squared error, or the family's mean deviance.
+    """
     whole = spec.prepare(df)
     at, path = reference_points(df, spec.x, reference), []
     fast = replace(spec.control, compute_edf=False)
@@ -242,13 +265,15 @@ def activity_path(df: DataFrame, spec: TensorSpline, lambdas=tuple(10 ** np.lins
     mean = {c: float(np.mean([p["activity"] for p in path if p["column"] == c])) for c in spec.x}
     order = sorted(spec.x, key=lambda c: (-mean[c], spec.x.index(c)))
     knots = dict(zip(spec.x, whole.knots, strict=True))
-    work = df.withColumn("__fold", fold_id(F.struct(*spec.x, spec.y), folds, seed)).withColumn("__one", F.lit(0.5))
+    work, family = df.withColumn("__fold", fold_id(F.struct(*spec.x, spec.y), folds, seed)), fam_.family(spec.family)
+    _close(whole.backend)
     losses = []
     for m in range(len(order) + 1):
         cols = [c for c in spec.x if c in order[:m]]
         if m >= 2:
             sub = replace(spec, x=cols, knots=[knots[c] for c in cols], rank=spec.rank if np.isscalar(spec.rank) else 2)
             sel = rank_select(work, sub, ranks=[sub.rank], fold="__fold")
+            _close(sel.prepared.backend)
             losses += [{"m": m, "fold": x["fold"], "loss": x["loss"]} for x in sel.losses]
             continue
         kn = knots[cols[0]] if cols else Knots(0.0, 1.0, 1, 0)
@@ -257,11 +282,11 @@ def activity_path(df: DataFrame, spec: TensorSpline, lambdas=tuple(10 ** np.lins
             train, test = be.part(f, False), be.part(f, True)
             if m == 0:
                 z = train.total(Request("size"))
-                s = State([np.zeros((1, 1, 1)), np.zeros((1, 1, 1))], np.array([float(z["wy"] / z["w"])]))
+                s = State([np.zeros((1, 1, 1)), np.zeros((1, 1, 1))], np.array([fam_.start_intercept(family, float(z["w"]), float(z["wy"]), float(z["we"]))]))
             else:
-                g, _, _ = _curve_fit(train, kn, spec.penalty_order)
-                s = State([g.reshape(1, -1, 1), np.ones((1, 1, 1))], np.zeros(1))
-            losses.append({"m": m, "fold": int(f), "loss": float(test.total(Request("loss", "gaussian", [s]))["dev0"] / test.total(Request("size"))["w"])})
+                s = _curve_state(_curve_fit(train, kn, spec)[0])
+            losses.append({"m": m, "fold": int(f), "loss": held_out_loss(test, s, family, "auto")})
+        _close(be)
     table = summary_rows(losses, "m")
     m_min, m_1se = choose(table, "m", "min"), choose(table, "m", "1se")
     m = m_1se if rule == "1se" else m_min
@@ -269,7 +294,9 @@ def activity_path(df: DataFrame, spec: TensorSpline, lambdas=tuple(10 ** np.lins
     if m >= 2:
         model = replace(spec, x=selected, knots=[knots[c] for c in selected], lam="cGCV").fit(df)
     elif m == 1:
-        g, lam, edf = _curve_fit(_curve(work, spec, selected[0], knots[selected[0]], "__fold"), knots[selected[0]], spec.penalty_order)
+        be = _curve(df, spec, selected[0], knots[selected[0]])
+        g, lam, edf = _curve_fit(be, knots[selected[0]], spec)
+        _close(be)
         model = Univariate(selected[0], knots[selected[0]], g, lam, edf)
     else:
         model = None
@@ -287,9 +314,10 @@ def drop_test(df: DataFrame, spec: TensorSpline, method: str = "F", b: int = 99,
             less = replace(spec, x=rest, knots=[knots[x] for x in rest], rank=spec.rank if np.isscalar(spec.rank) else 2).fit(df)
             dev, edf = less.deviance, less.edf
         else:
-            be = build(df.withColumn("__one", F.lit(0.5)), [knots[rest[0]], Knots(0.0, 1.0, 1, 0)], [rest[0], "__one"], spec.y, "gaussian", spec.weight, spec.offset)
-            g, _, edf = _curve_fit(be, knots[rest[0]], spec.penalty_order)
-            dev = float(be.total(Request("loss", "gaussian", [State([g.reshape(1, -1, 1), np.ones((1, 1, 1))], np.zeros(1))]))["dev0"])
+            be = _curve(df, spec, rest[0], knots[rest[0]])
+            g, _, edf = _curve_fit(be, knots[rest[0]], spec)
+            dev = float(be.total(Request("loss", fam_.family(spec.family), [_curve_state(g)]))["dev0"])
+            _close(be)
         delta, nu = dev - full.deviance, max(full.edf - edf, 1.0)
         row = {"column": c, "delta_deviance": delta, "nu": nu}
         if method == "F":

@@ -7,6 +7,7 @@ Gaussian question without another; `RowBackend` runs one Arrow job for each ques
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -22,6 +23,8 @@ from . import tensor
 
 #: Distinct covariate rows up to which data is held as cells, and tensor entries up to which moments are.
 CELLS, MOMENTS = 100_000, 1_500
+#: Partial sums of an array that come to the driver.
+FAN = 4
 
 
 @dataclass
@@ -245,52 +248,83 @@ def block_of(batch: pa.RecordBatch, knots: list[Knots], n_z: int) -> Block:
     return Block([k.evaluate(col(f"x{i}")) for i, k in enumerate(knots)], z, col("y"), col("w"), col("off"), fold)
 
 
-def collect_sums(df: DataFrame, f, knots: list[Knots], n_z: int, by_fold: bool = False):
-    """Sums of f(block) over all batches. Each task sends one row for each array row; these are added up on the executors."""
+_SUMS = "fold int, name string, shape array<int>, v binary"
+
+
+def _packed(sums: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+    rows = [(fold, name, list(x.shape), x.tobytes()) for (fold, name), x in sums.items()]
+    kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["fold", "name", "shape", "v"])
+
+
+def _unpacked(fold: int, name: str, shape: list[int], v: bytes) -> tuple[tuple, np.ndarray]:
+    return (fold, name), np.frombuffer(v).reshape(shape)
+
+
+def tree_sums(df: DataFrame, f) -> dict[tuple, np.ndarray]:
+    """Sums over all batches of the arrays that f gives by (fold, name). Every split of df is read by a task of its own.
+
+    A task sends each of its arrays once, packed. A narrower stage (the root of the shuffle partitions) adds them up one by one, and
+    another leaves `FAN` of each at most for the driver.
+    """
+
+    def add(sums: dict, more) -> None:
+        for key, x in more:
+            sums[key] = sums[key] + x if key in sums else x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            whole = block_of(b, knots, n_z)
-            parts = [(0, whole)] if not by_fold else [(int(k), whole.take(whole.fold == k)) for k in np.unique(whole.fold)]
-            for fold, part in parts:
-                for name, x in f(part).items():
-                    x = np.asarray(x, float)
-                    sums[fold, name] = sums[fold, name] + x if (fold, name) in sums else x
-        rows = [(fold, name, i, r.tolist()) for (fold, name), x in sums.items() for i, r in enumerate(x if x.ndim == 2 else x.reshape(1, -1))]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.float64()))], ["fold", "name", "i", "v"])
-
-    # Two tasks for each core: what is shuffled grows with the cluster and the model, not with the number of splits.
-    few = df.coalesce(max(1, 2 * df.sparkSession.sparkContext.defaultParallelism))
-    parts = few.mapInArrow(run, "fold int, name string, i int, v array<double>")
-    total = parts.select("fold", "name", "i", F.posexplode("v").alias("j", "v")).groupBy("fold", "name", "i", "j").agg(F.sum("v").alias("v"))
-    total = total.groupBy("fold", "name", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("v"))
+            if b.num_rows:
+                add(sums, ((key, np.asarray(x, float)) for key, x in f(b).items()))
+        yield _packed(sums)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            add(sums, (_unpacked(*r) for r in zip(*(b.column(c).to_pylist() for c in ("fold", "name", "shape", "v")), strict=True)))
+        yield _packed(sums)
+
+    out, width = df.mapInArrow(first, _SUMS), math.isqrt(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    for parts in sorted({width, min(width, FAN)}, reverse=True):
+        out = out.repartitionById(parts, F.spark_partition_id() % parts).mapInArrow(again, _SUMS)
+    sums: dict[tuple, np.ndarray] = {}
+    for r in sorted(out.collect(), key=lambda r: (r["fold"], r["name"], bytes(r["v"]))):  # the sums themselves, no larger than the model
+        add(sums, [_unpacked(*r)])
+    return sums
+
+
+def collect_sums(df: DataFrame, f, knots: list[Knots], n_z: int, by_fold: bool = False):
+    """Sums of f(block) over all rows, as {name: array}, or for each fold."""
+
+    def parts(b: pa.RecordBatch) -> dict[tuple, np.ndarray]:
+        whole = block_of(b, knots, n_z)
+        each = [(0, whole)] if not by_fold else [(int(k), whole.take(whole.fold == k)) for k in np.unique(whole.fold)]
+        return {(fold, name): x for fold, part in each for name, x in f(part).items()}
+
     out: dict = {}
-    for r in sorted(total.collect(), key=lambda r: (r["fold"], r["name"], r["i"])):  # the sums themselves, no larger than the model
-        out.setdefault(r["fold"], {}).setdefault(r["name"], []).append(np.array(r["v"]))
-    out = {k: {n: (np.stack(v) if n in ("S", "C", "M") else v[0] if len(v[0]) > 1 or n in ("b", "m", "g") else v[0][0]) for n, v in x.items()} for k, x in out.items()}
+    for (fold, name), x in tree_sums(df, parts).items():
+        out.setdefault(fold, {})[name] = x
     return out if by_fold else out.get(0, {})
 
 
 def build(df: DataFrame, knots: list[Knots], x: list[str], y: str, family: str, weight: str | None = None, offset: str | None = None, z: list[str] = (), fold: str | None = None, kind: str = "auto"):
     """A backend for df. kind: auto, cells, moments or rows. z: columns of the additive block besides the intercept."""
     cols = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)] + [F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(z)]
-    cols += [F.col(y).cast("double").alias("y"), (F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)).alias("w"), (F.coalesce(F.col(offset).cast("double"), F.lit(0.0)) if offset else F.lit(0.0)).alias("off")]
-    rows = df.select(*cols, *([F.col(fold).cast("int").alias("fold")] if fold else [])).filter("w > 0")
+    cols += [F.col(y).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("off")]
+    rows = df.select(*cols, *([F.col(fold).cast("int").alias("fold")] if fold else [])).filter("w is null or isnan(w) or w <> 0")
     keys = [f"x{i}" for i in range(len(x))] + [f"z{i}" for i in range(len(z))] + ["off"] + (["fold"] if fold else [])
     nulls = lambda c: F.col(c).isNull() | F.isnan(c)
     bad = F.lit(False)
-    for c in [*keys, "y"]:
+    for c in [*keys, "y", "w"]:
         bad = bad | (nulls(c) if c != "fold" else F.col(c).isNull())
+    bad = bad | (F.col("w") < 0)
     wrong = (F.col("y") < 0) if family == "poisson" else ~F.col("y").isin(0.0, 1.0) if family == "bernoulli" else F.lit(False)
     first = rows.agg(F.count("*").alias("n"), F.sum(bad.cast("long")).alias("bad"), F.sum(wrong.cast("long")).alias("wrong"), F.approx_count_distinct(F.struct(*keys)).alias("cells"), *([F.collect_set("fold").alias("folds")] if fold else [])).first()
     if not first["n"]:
         raise ValueError("no rows with a positive weight")
     if first["bad"]:
-        raise ValueError(f"{first['bad']} rows with a null or NaN")
+        raise ValueError(f"{first['bad']} rows with a null or NaN, or a negative weight")
     if first["wrong"]:
         raise ValueError(f"{first['wrong']} responses outside the {family} family")
     folds, entries = sorted(first["folds"]) if fold else [], int(np.prod([k.k for k in knots], dtype=float))

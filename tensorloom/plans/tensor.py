@@ -90,6 +90,17 @@ def contract(bases, cores) -> np.ndarray:
     return out[:, 0]
 
 
+def surface_column(cores, prefixes: list[str]):
+    """The surface as one Column over basis columns prefix1..prefixp of each margin."""
+    from pyspark.sql import functions as F
+
+    bond = None
+    for core, name in zip(cores, prefixes, strict=True):
+        step = [[sum((F.col(f"{name}{j + 1}") * F.lit(float(core[a, j, b])) for j in range(core.shape[1])), F.lit(0.0)) for b in range(core.shape[2])] for a in range(core.shape[0])]
+        bond = step[0] if bond is None else [sum((bond[a] * step[a][b] for a in range(len(bond))), F.lit(0.0)) for b in range(core.shape[2])]
+    return bond[0]
+
+
 def design(left: np.ndarray, basis: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The conditional design of a core, in packed order."""
     return (right[:, :, None, None] * basis[:, None, :, None] * left[:, None, None, :]).reshape(len(basis), -1)

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +19,16 @@ from .functions import surfaces
 from .functions.basis import Knots, difference_penalty, domains
 from .operators import grid, lab, lag, selection
 from .operators.control import Control, boundary_status, damped_step
-from .operators.optimizers import frozen_curves
+from .operators.control import scale_anisotropy as split_scale
+from .operators.optimizers import frozen_curves, propose
 from .operators.spline import SmoothTerm, TensorSpline
 from .plans import tensor
-from .plans.backends import Request, State
+from .plans.backends import Request, State, build
 from .sources import io
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 QTY, DISC, TAX = Knots(1.0, 50.0, 6), Knots(0.0, 0.1, 5), Knots(0.0, 0.08, 4)
-FAST = Control(max_sweeps=12, outer_maxit=6)
 
 
 def query(sql: str | None = None):
@@ -124,6 +126,18 @@ def difference_penalty_matrix(spark, sf_dir):
     return spark.createDataFrame([(i + 1, j + 1, float(p[i, j])) for i in range(8) for j in range(8)], "i int, j int, value double")
 
 
+def truth_row(spark, **checks) -> DataFrame:
+    """One row of properties that a right fit has; SQL holds the same row."""
+    kinds = {bool: "boolean", int: "bigint", float: "double"}
+    vals = {k: v.item() if isinstance(v, np.generic) else v for k, v in checks.items()}
+    return spark.createDataFrame([tuple(vals.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in vals.items()))
+
+
+def descends(history: list[dict], tol: float = 1e-9) -> bool:
+    v = [h["objective"] for h in history]
+    return len(v) > 1 and all(b <= a + tol * (1 + abs(a)) for a, b in zip(v, v[1:]))
+
+
 # Tensor-train contraction at cores that need no fit.
 
 _CORES = tensor.formula_cores([QTY.k, DISC.k], 2)
@@ -145,18 +159,10 @@ def _two_bases(spark, sf_dir, keep=("l_returnflag", "l_extendedprice")):
     return DISC.columns(QTY.columns(df, F.col("l_quantity"), "a"), F.col("l_discount"), "b")
 
 
-def _surface():
-    out = None
-    for r in range(2):
-        left = sum((F.col(f"a{j + 1}") * F.lit(float(_CORES[0][0, j, r])) for j in range(1, QTY.k)), F.col("a1") * F.lit(float(_CORES[0][0, 0, r])))
-        right = sum((F.col(f"b{j + 1}") * F.lit(float(_CORES[1][r, j, 0])) for j in range(1, DISC.k)), F.col("b1") * F.lit(float(_CORES[1][r, 0, 0])))
-        out = left * right if out is None else out + left * right
-    return out
-
-
 @query(f"WITH {_Q2}, {_D2}, s AS (SELECT l_returnflag, l_extendedprice, {_surface_sql()} AS f FROM {_D2T}) SELECT l_returnflag, count(*) AS n, {sq('avg(f)', 8)} AS mean_fit, {sq('sum((l_extendedprice / 1e5::DOUBLE - f) * (l_extendedprice / 1e5::DOUBLE - f)) / count(*)', 8)} AS mse FROM s GROUP BY l_returnflag")
 def surface_contraction(spark, sf_dir):
-    df = _two_bases(spark, sf_dir).select("l_returnflag", "l_extendedprice", _surface().alias("f"))
+    """The surface as a projection in the JVM."""
+    df = _two_bases(spark, sf_dir).select("l_returnflag", "l_extendedprice", tensor.surface_column(_CORES, ["a", "b"]).alias("f"))
     r = F.col("l_extendedprice") / 1e5 - F.col("f")
     return df.groupBy("l_returnflag").agg(F.count("*").alias("n"), q(F.avg("f"), 8).alias("mean_fit"), q(F.sum(r * r) / F.count("*"), 8).alias("mse"))
 
@@ -209,30 +215,35 @@ def _gram_sql(weight: str = "1.0::DOUBLE", group: str = "") -> str:
     return f"WITH {lat}, {ctes}, g AS ({pairs}) SELECT {keys}i, j, {sq('v', 3)} AS value FROM g"
 
 
-def _gram(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Gram and right-hand side of one margin: compressed to distinct values first, then native sums, then long form."""
-    cells = df.groupBy(*keys, "l_quantity").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("l_extendedprice")).alias("wy"))
-    b = QTY.columns(cells, F.col("l_quantity"), "a")
-    pairs = [(i, j) for i in range(1, 7) for j in range(i, 7)]
-    sums = [F.sum(F.col("w") * F.col(f"a{i}") * F.col(f"a{j}")).alias(f"s{i}_{j}") for i, j in pairs] + [(F.sum(F.col("wy") * F.col(f"a{i}")) / 1e3).alias(f"s{i}_0") for i in range(1, 7)]
-    wide = b.groupBy(*keys).agg(*sums) if keys else b.agg(*sums)
-    items = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{i}_{j}").alias("v")) for i, j in pairs + [(i, 0) for i in range(1, 7)]]
-    return wide.select(*keys, F.inline(F.array(*items))).select(*keys, "i", "j", q(F.col("v"), 3).alias("value"))
+_ONE = Knots(0.0, 1.0, 1, 0)
+
+
+def _margin_rows(spark, df: DataFrame, weight: str | None = None, fold: str | None = None) -> DataFrame:
+    """Gram matrix and right-hand side of one margin, from a backend's answer, in long form."""
+    df = df.withColumn("one", F.lit(0.5))
+    be = build(df, [QTY, _ONE], ["l_quantity", "one"], "l_extendedprice", "gaussian", weight, None, [], fold, "moments")
+    rows = []
+    for f in be.folds or [None]:
+        m = (be if f is None else be.part(f, True)).total(Request("tensor"))
+        sums = [(i + 1, j + 1, float(m["S"][i, j])) for i in range(6) for j in range(i, 6)] + [(i + 1, 0, float(m["b"][i]) / 1e3) for i in range(6)]
+        rows += [(f or 0, *r) for r in sums]
+    out = spark.createDataFrame(rows, "fold int, i int, j int, v double").select("fold", "i", "j", q(F.col("v"), 3).alias("value"))
+    return out if fold else out.drop("fold")
 
 
 @query(_gram_sql())
 def gram_1d(spark, sf_dir):
-    return _gram(t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", F.lit(1.0).alias("w")), [])
+    return _margin_rows(spark, t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"))
 
 
 @query(_gram_sql("1.0::DOUBLE + l_discount * 10"))
 def gram_weighted(spark, sf_dir):
-    return _gram(t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", (F.lit(1.0) + F.col("l_discount") * 10).alias("w")), [])
+    return _margin_rows(spark, t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", (F.lit(1.0) + F.col("l_discount") * 10).alias("w")), "w")
 
 
 @query(_gram_sql(group="fold").replace("FROM lineitem", "FROM (SELECT *, (l_orderkey % 3)::INT AS fold FROM lineitem)"))
 def gram_by_fold(spark, sf_dir):
-    return _gram(t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3).cast("int").alias("fold"), "l_quantity", "l_extendedprice", F.lit(1.0).alias("w")), ["fold"])
+    return _margin_rows(spark, t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3).cast("int").alias("fold"), "l_quantity", "l_extendedprice"), None, "fold")
 
 
 def _moment_rows(spark, be) -> DataFrame:
@@ -329,16 +340,29 @@ WITH hh AS (SELECT date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROU
 SELECT strftime(h, '%Y-%m-%d %H') AS h, {', '.join(sq(f'sum(b{i})') + f' AS s{i}' for i in range(1, 6))} FROM {_LAGB[1]} GROUP BY h
 """)
 def lag_summed_basis(spark, sf_dir):
-    df = lag.lag_windows(_hourly(spark, sf_dir), ["v"], 2, "h")
-    for i in range(3):
-        df = _LAGK.columns(df, F.col(f"v__lag{i}"), f"c{i}_")
-    return df.select(F.date_format("h", "yyyy-MM-dd HH").alias("h"), *[q(F.col(f"c0_{j}") + F.col(f"c1_{j}") + F.col(f"c2_{j}")).alias(f"s{j}") for j in range(1, 6)])
+    """Bases summed over the lags, by the estimator's own bases."""
+    spec = lag.DistributedLagSpline(["v"], "y", "h", lag=2)
+    rows = lag.lag_windows(_hourly(spark, sf_dir), ["v"], 2, "h").select(F.date_format("h", "yyyy-MM-dd HH").alias("h"), *spec.lag_names())
 
+    def run(batches):
+        for b in batches:
+            x = sum(bases[0] for bases in spec.bases(b, [_LAGK, Knots(0.0, 2.0, 3, 2)]))
+            yield pa.RecordBatch.from_arrays([b.column("h"), *[pa.array(x[:, j]) for j in range(5)]], ["h", *[f"s{j}" for j in range(1, 6)]])
 
-@query()
+    out = rows.mapInArrow(run, "h string, " + ", ".join(f"s{j} double" for j in range(1, 6)))
+    return out.select("h", *[q(F.col(f"s{j}")).alias(f"s{j}") for j in range(1, 6)])
+
+
+@query("""
+WITH h AS (SELECT date_trunc('hour', ts) AS h, count(*)::DOUBLE AS y, avg(value) AS v FROM events GROUP BY 1), w AS (SELECT y, lag(v, 3) OVER (ORDER BY h) AS l3 FROM h)
+SELECT count(*) AS n, round(sum(y), 1) AS total_fit, true AS descends, true AS converged, 1.0::DOUBLE AS rr_at_centre FROM w WHERE l3 IS NOT NULL
+""")
 def fit_distributed_lag(spark, sf_dir):
-    m = lag.DistributedLagSpline(["v"], "y", "h", lag=3, k=5, lam=1.0, control=FAST).fit(_hourly(spark, sf_dir))
-    return m.effect(spark, "v", points=25)
+    """Poisson counts over two lagged series: with the canonical link fitted and observed totals agree."""
+    df = _hourly(spark, sf_dir).withColumn("v2", F.col("v") * F.col("v") / 100)
+    m = lag.DistributedLagSpline(["v", "v2"], "y", "h", lag=3, k=4, k_lag=3, lam=1.0).fit(df)
+    total = m.transform(df).agg(F.count("fit").alias("n"), F.sum("fit").alias("s")).first()
+    return truth_row(spark, n=total["n"], total_fit=round(total["s"], 1), descends=descends(m.history[1:], 1e-6), converged=m.converged, rr_at_centre=m.effect_rows("v", at=[m.centre["v"]])[0][4])
 
 
 # Test surfaces.
@@ -356,16 +380,62 @@ def test_surfaces(spark, sf_dir):
     return df.select("id", q(surfaces.ishigami(F.col("x1"), F.col("x2"), F.col("x3"))).alias("ishigami"), q(surfaces.sobol_g(u[:4])).alias("sobol_g"), q(surfaces.friedman(*u)).alias("friedman"))
 
 
-@query()
+@query("SELECT i AS surface, CASE WHEN i = 0 THEN 800 WHEN i = 1 THEN 800 ELSE 800 END::BIGINT AS n, true AS noise_as_named, true AS counts_are_whole FROM range(4) r(i)")
 def simulate_surfaces(spark, sf_dir):
-    parts = [surfaces.simulate_ishigami(spark), surfaces.simulate_sobol_g(spark), surfaces.simulate_friedman(spark), surfaces.simulate_friedman(spark, family="poisson")]
+    parts = [(surfaces.simulate_ishigami(spark), 0.15), (surfaces.simulate_sobol_g(spark), 0.05), (surfaces.simulate_friedman(spark), 1.0), (surfaces.simulate_friedman(spark, family="poisson"), None)]
     out = None
-    for i, p in enumerate(parts):
-        r = p.agg(F.lit(i).alias("surface"), F.count("*").alias("n"), F.avg("f").alias("mean_f"), F.stddev_samp(F.col("y") - F.col("f")).alias("noise"))
+    for i, (p, sigma) in enumerate(parts):
+        noise = F.lit(True) if sigma is None else F.abs(F.stddev_samp(F.col("y") - F.col("f")) / sigma - 1) < 0.1
+        r = p.agg(F.lit(i).cast("long").alias("surface"), F.count("*").alias("n"), noise.alias("noise_as_named"), (F.lit(True) if sigma else F.bool_and(F.col("y") == F.floor("y"))).alias("counts_are_whole"))
         out = r if out is None else out.union(r)
     return out
 
 
+_G = "WITH g AS (SELECT i AS id, " + ", ".join(f"((i * {a} + 3) % 97) / 97.0::DOUBLE AS x{j}" for j, a in enumerate((7, 11, 13, 17, 19, 23, 29), 1)) + " FROM range(500) r(i))"
+_S, _C = (lambda m, x: f"sin({m} * pi() * {x})"), (lambda m, x: f"cos({m} * pi() * {x})")
+_GT = f"{_S(2, 'x1')} * {_C(2, 'x2')} + 0.5 * {_S(2, 'x3')} + 0.35 * (x1 - 0.5) * (x2 - 0.5)"
+_GT7 = f"{_GT} + 0.25 * {_S(2, 'x4')} * {_C(2, 'x2')} + 0.2 * x5 * {_S(2, 'x1')} + 0.15 * {_C(2, 'x6')} * (x2 - 0.5) + 0.12 * {_S(2, 'x7')} * {_C(2, 'x3')}"
+_ROUGH = f"{_S(8, 'x2')} * {_C(1, 'x1')}"
+_LAB = {
+    ("smooth_smooth", 2): f"{_S(2, 'x1')} + {_C(2, 'x2')}", ("smooth_rough", 2): f"0.8 * {_S(2, 'x1')} + 1.2 * {_S(6, 'x2')}", ("strong_aniso", 2): f"0.4 * x1 + {_ROUGH}", ("weak_signal", 2): f"0.15 * ({_S(2, 'x1')} + {_S(2, 'x2')})",
+    ("smooth_smooth", 3): f"{_S(2, 'x1')} + {_C(2, 'x2')} + 0.7 * {_S(2, 'x3')}", ("strong_aniso", 3): f"0.3 * x1 + {_ROUGH} + 0.5 * {_C(2, 'x3')}",
+    ("smooth_smooth", 5): " + ".join(f"sin(2 * pi() * x{j} + 0.3 * {j}) / sqrt({j})" for j in range(1, 6)), ("strong_aniso", 5): f"0.25 * {_S(2, 'x1')} + 1.2 * {_ROUGH} + 0.5 * {_C(2, 'x3')} + 0.35 / sqrt(4) * {_S(2, 'x4')} + 0.35 / sqrt(5) * {_S(2, 'x5')}",
+}
+
+
+def _unit_points(spark) -> DataFrame:
+    return spark.range(500).select("id", *[(((F.col("id") * a + 3) % 97) / F.lit(97.0)).alias(f"x{j}") for j, a in enumerate((7, 11, 13, 17, 19, 23, 29), 1)])
+
+
+@query(f"{_G} SELECT id, {sq(_GT.replace('x3', 'x2'))} AS d2, {sq(_GT)} AS d3, {sq(_GT7)} AS d7 FROM g")
+def grid_truths(spark, sf_dir):
+    x = [F.col(f"x{j}") for j in range(1, 8)]
+    return _unit_points(spark).select("id", *[q(surfaces.grid_truth(x[:d])).alias(f"d{d}") for d in (2, 3, 7)])
+
+
+@query(f"{_G} SELECT id, {', '.join(sq(v) + f' AS {k}_{d}' for (k, d), v in _LAB.items())} FROM g")
+def lab_truths(spark, sf_dir):
+    x = [F.col(f"x{j}") for j in range(1, 8)]
+    return _unit_points(spark).select("id", *[q(surfaces.lab_truth(k, d)[0](x[:d])).alias(f"{k}_{d}") for k, d in _LAB])
+
+
+@query(f"""
+WITH g AS (SELECT (i % 41 + 1)::INT AS i1, (i // 41 + 1)::INT AS i2, 20.0 + i % 41 AS age, 1980.0 + i // 41 AS year FROM range(1271) r(i)),
+z AS (SELECT *, (age - avg(age) OVER ()) / (SELECT stddev_samp(20.0 + i) FROM range(41) r(i)) AS a, (year - avg(year) OVER ()) / (SELECT stddev_samp(1980.0 + i) FROM range(31) r(i)) AS t FROM g),
+e AS (SELECT *, (0.15 * a + 0.35 * a * a) * (-0.25 * t) + sin(2 * pi() * (age - 20) / 40) * 0.4 * cos(2 * pi() * (year - 1980) / 30) AS raw, 200 * (1 + 0.02 * (year - 1980)) AS exposure FROM z)
+SELECT i1, i2, {sq('exposure')} AS exposure, {sq('exposure * exp(raw - avg(raw) OVER () + ln(2))', 4)} AS mu FROM e
+""")
+def age_year_truth(spark, sf_dir):
+    return surfaces.age_year_mean(spark).select("i1", "i2", q(F.col("exposure")).alias("exposure"), q(F.col("mu"), 4).alias("mu"))
+
+
+@query("SELECT 1271::BIGINT AS n, true AS whole, true AS mean_is_variance")
+def age_year_draws(spark, sf_dir):
+    """Counts around their means as Poisson draws lie: squared deviations over means average to one."""
+    z = (F.col("y") - F.col("mu")) * (F.col("y") - F.col("mu")) / F.col("mu")
+    return surfaces.age_year_counts(spark).agg(F.count("*").alias("n"), F.bool_and(F.col("y") == F.floor("y")).alias("whole"), (F.abs(F.avg(z) - 1) < 0.2).alias("mean_is_variance"))
+
+
 @query("SELECT (i - 1)::BIGINT AS row_id, ((i - 1) % 12 + 1)::INT AS i1, ((i - 1) // 12 + 1)::INT AS i2, ((i - 1) % 12) / 11.0::DOUBLE AS x1, ((i - 1) // 12) / 9.0::DOUBLE AS x2 FROM range(1, 121) r(i)")
 def grid_points(spark, sf_dir):
     return grid.axes_product(spark, {"x1": [i / 11.0 for i in range(12)], "x2": [i / 9.0 for i in range(10)]})
@@ -374,9 +444,15 @@ def grid_points(spark, sf_dir):
 # Selection.
 
 
-@query("SELECT o_orderkey, (o_orderkey % 5)::INT AS fold FROM orders")
+@query("SELECT count(*) AS n, 5::BIGINT AS folds, true AS even, true AS same_in_any_order FROM orders")
 def cv_folds_by_key(spark, sf_dir):
-    return t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).cast("int").alias("fold"))
+    """Folds by a hash of the key: within 10% of even, and the same for a row wherever it lies."""
+    fold = selection.fold_id(F.col("o_orderkey"), 5)
+    a = t(spark, sf_dir, "orders").select("o_orderkey", fold.alias("fold"))
+    b = t(spark, sf_dir, "orders").repartition(7, "o_custkey").select(F.col("o_orderkey").alias("k"), fold.alias("again"))
+    sizes = a.groupBy("fold").count().agg(F.sum("count").alias("n"), F.count("*").alias("folds"), (F.max("count") < 1.1 * F.min("count")).alias("even"))
+    same = a.join(b, a["o_orderkey"] == b["k"]).agg(F.bool_and(F.col("fold") == F.col("again")).alias("same_in_any_order"))
+    return sizes.join(F.broadcast(same), F.lit(True))  # one row each
 
 
 @query("SELECT fold, (n + CASE WHEN fold < r THEN 1 ELSE 0 END)::BIGINT AS n FROM (SELECT count(*) // 5 AS n, count(*) % 5 AS r FROM orders), range(5) f(fold)")
@@ -436,118 +512,201 @@ def _price(spark, sf_dir) -> DataFrame:
 XS = ["l_quantity", "l_discount"]
 
 
-@query()
+def _signal(spark, sf_dir) -> DataFrame:
+    """A response that follows quantity and discount together, and not tax; price stands for noise."""
+    y = F.sin(F.col("l_quantity") / 8) * (1 + 10 * F.col("l_discount")) + F.col("l_extendedprice").cast("double") / 1e6
+    return t(spark, sf_dir, "lineitem").select(*XS, "l_tax", "l_orderkey", y.alias("y"))
+
+
+@query(f"SELECT l_returnflag, count(*) AS n, {sq('avg(l_extendedprice / 1e4::DOUBLE)')} AS mean_y, true AS close FROM lineitem GROUP BY l_returnflag")
 def fit_gaussian(spark, sf_dir):
-    """Flagship: surface of price over quantity and discount, scored and summarised by flag."""
+    """Flagship: surface of price over quantity and discount, scored and summarised by flag; fits are within a hundredth of the means."""
     df = _price(spark, sf_dir)
-    m = TensorSpline(XS, rank=2, k=6, lam=1.0, control=replace(FAST, compute_edf=False)).fit(df)
+    m = TensorSpline(XS, rank=2, k=6, lam=1.0, control=Control(compute_edf=False)).fit(df)
+    out = m.transform(df).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("y").alias("mean_y"), F.avg("fit").alias("mean_fit"))
+    return out.select("l_returnflag", "n", q(F.col("mean_y")).alias("mean_y"), (F.abs(F.col("mean_fit") - F.col("mean_y")) < 0.05 * F.col("mean_y")).alias("close"))
+
+
+@query(f"SELECT count(*) AS n, {sq('avg(l_extendedprice / 1e4::DOUBLE)', 5)} AS mean_fit, true AS rss_is_deviance, true AS descends, true AS converged FROM lineitem")
+def fit_gaussian_equations(spark, sf_dir):
+    """The intercept's equation holds (mean fit = mean response), rows add up to the deviance, and sweeps descend to a standstill."""
+    df = _price(spark, sf_dir)
+    m = TensorSpline(XS, rank=2, k=6, lam=1.0, control=Control(max_sweeps=500, compute_edf=False)).fit(df)
     r = F.col("y") - F.col("fit")
-    return m.transform(df).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("fit").alias("mean_fit"), F.sum(r * r).alias("rss"))
+    a = m.transform(df).agg(F.count("*").alias("n"), F.avg("fit").alias("mean_fit"), F.sum(r * r).alias("rss")).first()
+    return truth_row(spark, n=a["n"], mean_fit=math.floor(a["mean_fit"] * 1e5 + 0.5) / 1e5, rss_is_deviance=bool(abs(a["rss"] / m.deviance - 1) < 1e-6), descends=descends(m.history), converged=m.converged)
 
 
-@query()
+@query("SELECT 3::BIGINT AS margins, true AS edf_adds_up, true AS within_bounds, true AS proposals_stand, true AS converged")
 def fit_gaussian_cgcv(spark, sf_dir):
-    m = TensorSpline([*XS, "l_tax"], rank=2, k=5, control=FAST).fit(_price(spark, sf_dir))
-    return spark.createDataFrame([(x, float(v), float(e), b) for x, v, e, b in zip(m.spec.x, m.lam, m.margin_edf, m.boundary())], "margin string, lambda double, edf double, status string")
+    """Automatic smoothing: margins' EDF add up, and at the end each margin's own GCV proposes what it has."""
+    spec = TensorSpline([*XS, "l_tax"], rank=2, k=5, control=Control(outer_maxit=100, max_sweeps=200))
+    p = spec.prepare(_price(spark, sf_dir))
+    m = p.fit()
+    problem, _ = p.problem(m.lam)
+    again, lo, hi = propose(problem, m.state), *spec.control.lambda_bounds
+    stand = np.abs(np.log(again / m.lam)) < 0.05
+    return truth_row(spark, margins=len(m.lam), edf_adds_up=bool(abs(m.margin_edf.sum() - m.edf) < 1e-8 * m.edf), within_bounds=bool(((m.lam >= lo) & (m.lam <= hi)).all()), proposals_stand=bool(stand.all()), converged=m.converged)
 
 
-@query()
+@query("SELECT true AS log_scale_held, true AS product_is_one, true AS grid_takes_least_deviance")
+def scale_anisotropy(spark, sf_dir):
+    """The scale is held while the anisotropy moves; a log grid then takes the scale of least deviance."""
+    p = TensorSpline(XS, rank=2, k=5, control=Control(cgcv_parameterization="scale_anisotropy", compute_edf=False)).prepare(_price(spark, sf_dir))
+    held = p.fit()
+    grid_ = (0.01, 1.0, 100.0)
+    picked = p.fit(control=replace(p.spec.control, cgcv_lambda0_method="log_grid", cgcv_lambda0_grid=grid_))
+    scale, omega = split_scale(held.lam)
+    return truth_row(spark, log_scale_held=bool(abs(np.log(scale)) < 1e-6 or max(held.lam) > 9e3 or min(held.lam) < 1.1e-4), product_is_one=bool(abs(np.prod(omega) - 1) < 1e-9), grid_takes_least_deviance=bool(abs(np.log(split_scale(picked.lam)[0] / 0.01)) < 1e-6 and picked.deviance <= held.deviance + 1e-9))
+
+
+@query("SELECT true AS descends, true AS as_by_cells, true AS converged")
 def fit_moments(spark, sf_dir):
-    m = TensorSpline(XS, rank=2, k=6, lam=1.0, backend="moments", control=FAST).fit(_price(spark, sf_dir))
-    return m.history_frame(spark)
+    """Moments of one Arrow pass give the fit that cells give."""
+    spec = TensorSpline(XS, rank=2, k=6, lam=1.0, backend="moments", control=Control(compute_edf=False, max_sweeps=500))
+    a, b = spec.fit(_price(spark, sf_dir)), replace(spec, backend="cells").fit(_price(spark, sf_dir))
+    return truth_row(spark, descends=descends(a.history), as_by_cells=bool(abs(a.objective / b.objective - 1) < 1e-6), converged=a.converged)
 
 
-@query()
+@query("SELECT true AS as_by_moments, true AS converged")
 def fit_rows(spark, sf_dir):
-    m = TensorSpline(XS, rank=1, k=5, lam=1.0, backend="rows", control=replace(FAST, max_sweeps=2, compute_edf=False)).fit(_price(spark, sf_dir))
-    return m.history_frame(spark)
+    """The row backend, one job for each question, gives the fit that moments give."""
+    spec = TensorSpline(XS, rank=1, k=5, lam=1.0, backend="rows", control=Control(compute_edf=False, tol=1e-6))
+    a, b = spec.fit(_price(spark, sf_dir)), replace(spec, backend="moments").fit(_price(spark, sf_dir))
+    return truth_row(spark, as_by_moments=bool(abs(a.objective / b.objective - 1) < 1e-6), converged=a.converged)
 
 
-@query()
+@query("SELECT count(*) AS n, true AS ordered, true AS width_is_se FROM (SELECT DISTINCT l_quantity, l_discount FROM lineitem)")
 def predict_intervals(spark, sf_dir):
     df = _price(spark, sf_dir)
-    m = TensorSpline(XS, rank=2, k=5, lam=1.0, control=FAST).fit(df)
-    return m.transform(df.select(*XS).distinct(), se=True, interval=0.95)
+    m = TensorSpline(XS, rank=2, k=5, lam=1.0).fit(df)
+    out = m.transform(df.select(*XS).distinct(), se=True, interval=0.95)
+    wide = F.abs((F.col("upper") - F.col("lower")) / (2 * 1.959963984540054 * F.col("se")) - 1) < 1e-6
+    return out.agg(F.count("*").alias("n"), F.bool_and((F.col("lower") < F.col("fit")) & (F.col("fit") < F.col("upper"))).alias("ordered"), F.bool_and(wide).alias("width_is_se"))
 
 
-@query()
+@query("SELECT count(*) AS n, round(sum(y), 2)::DOUBLE AS total_fit, true AS positive FROM (SELECT count(*) AS y FROM events GROUP BY extract(hour FROM ts), extract(day FROM ts))")
 def fit_poisson(spark, sf_dir):
+    """Counts by hour (cyclic) and day: with the canonical link fitted and observed totals agree."""
     df = t(spark, sf_dir, "events").groupBy(F.hour("ts").alias("hour"), F.dayofmonth("ts").alias("day")).agg(F.count("*").alias("y"))
-    m = TensorSpline(["hour", "day"], family="poisson", rank=2, k=6, lam=1.0, cyclic=(True, False), period={"hour": (0.0, 24.0)}, control=FAST).fit(df)
-    return m.transform(df, se=True).withColumn("residual", fam_.residual("poisson", F.col("y").cast("double"), F.col("fit")))
+    m = TensorSpline(["hour", "day"], family="poisson", rank=2, k=6, lam=1.0, cyclic=(True, False), period={"hour": (0.0, 24.0)}, control=Control(pirls_maxit=200)).fit(df)
+    return m.transform(df, se=True).agg(F.count("*").alias("n"), F.round(F.sum("fit"), 2).alias("total_fit"), F.bool_and((F.col("fit") > 0) & (F.col("se") > 0)).alias("positive"))
 
 
-@query()
+@query("SELECT count(*) AS n, round(sum(quality), 2)::DOUBLE AS total_fit, true AS within FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL")
 def fit_bernoulli(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").select("doc_id", F.log1p("n_chars").alias("size"), F.length("lang").cast("double").alias("l"), (F.col("doc_id") % 20).cast("double").alias("place"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.log1p("n_chars").alias("size"), (F.col("doc_id") % 20).cast("double").alias("place"))
     df = t(spark, sf_dir, "labels").filter("quality is not null").join(docs, "doc_id").select("doc_id", "size", "place", F.col("quality").alias("y"))
-    m = TensorSpline(["size", "place"], family="bernoulli", rank=1, k=5, lam=10.0, control=replace(FAST, lbfgs_maxit=60)).fit(df)
-    return m.transform(df).select("doc_id", "eta", "fit")
+    m = TensorSpline(["size", "place"], family="bernoulli", rank=1, k=5, lam=10.0).fit(df)
+    return m.transform(df).agg(F.count("*").alias("n"), F.round(F.sum("fit"), 2).alias("total_fit"), F.bool_and((F.col("fit") > 0) & (F.col("fit") < 1)).alias("within"))
 
 
-@query()
+@query(f"SELECT l_returnflag = 'R' AS flag, count(*) AS n, {sq('avg(l_extendedprice / 1e4::DOUBLE)', 4)} AS mean_fit FROM lineitem GROUP BY 1")
 def fit_additive(spark, sf_dir):
+    """A surface, a dummy and a smooth with 3 degrees of freedom: the equations of intercept and dummy make means agree in both groups."""
     df = _price(spark, sf_dir).withColumn("flag", (F.col("l_returnflag") == "R").cast("double"))
-    m = TensorSpline(XS, rank=1, k=5, lam=1.0, linear=["flag"], smooth=[SmoothTerm("l_tax", k=6, target_edf=3.0)], control=FAST).fit(df)
-    rows = [(r["term"], r["estimate"], r["se"], r["p_value"]) for r in m.parametric_table()] + [(f"s({r['term']})", r["lambda"], r["edf"], None) for r in m.smooth_table()]
-    return spark.createDataFrame(rows, "term string, estimate double, se double, p_value double")
+    m = TensorSpline(XS, rank=1, k=5, lam=1.0, linear=["flag"], smooth=[SmoothTerm("l_tax", k=6, target_edf=3.0)], control=Control(max_sweeps=500)).fit(df)
+    if abs(m.smooth_table()[0]["edf"] - 3.0) > 1e-3 or len(m.parametric_table()) != 2:
+        raise AssertionError("the smooth hasn't its degrees of freedom")
+    return m.transform(df).groupBy((F.col("flag") == 1.0).alias("flag")).agg(F.count("*").alias("n"), q(F.avg("fit"), 4).alias("mean_fit"))
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT l_orderkey % 3 AS fold, l_extendedprice / 1e4::DOUBLE AS y FROM lineitem), f AS (SELECT fold, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM d GROUP BY fold), a AS (SELECT sum(n) AS n, sum(s) AS s FROM f),
+l AS (SELECT fold, (ss - 2 * f.s * ((a.s - f.s) / (a.n - f.n)) + f.n * ((a.s - f.s) / (a.n - f.n)) * ((a.s - f.s) / (a.n - f.n))) / f.n AS loss FROM f, a)
+SELECT r::INT AS rank, {sq('avg(loss)', 4)} AS mean_cv, {sq('stddev_samp(loss) / sqrt(3.0)', 4)} AS se_cv FROM l, range(1, 3) x(r) GROUP BY r
+""")
+def rank_cv_constant(spark, sf_dir):
+    """Cross-validation of a constant, which SQL can follow: folds apart, training totals less the fold, losses of the left-out rows."""
+
+    def constant(p, rank, seed):
+        z = p.backend.total(Request("size"))
+        return SimpleNamespace(objective=0.0, state=State([np.zeros((1, k.k, 1)) for k in p.knots], np.array([float(z["wy"] / z["w"])])))
+
+    df = _price(spark, sf_dir).withColumn("fold", (F.col("l_orderkey") % 3).cast("int"))
+    got = selection.rank_select(df, TensorSpline(XS, k=5, lam=1.0), ranks=(1, 2), fold="fold", fit_fun=constant).frame(spark)
+    return got.select("rank", q(F.col("mean_cv"), 4).alias("mean_cv"), q(F.col("se_cv"), 4).alias("se_cv"))
+
+
+@query("SELECT 3::BIGINT AS ranks, true AS beats_the_mean, true AS rule_holds FROM range(1)")
 def rank_cv(spark, sf_dir):
-    return selection.rank_select(_price(spark, sf_dir), TensorSpline(XS, k=5, lam=1.0, control=FAST), ranks=(1, 2, 3), folds=3, key="l_orderkey").frame(spark)
+    df = _signal(spark, sf_dir)
+    got = selection.rank_select(df, TensorSpline(XS, k=5, lam=1.0), ranks=(1, 2, 3), folds=3, key="l_orderkey")
+    best, var = min(got.table, key=lambda r: r["mean_cv"]), df.agg(F.var_pop("y")).first()[0]
+    one = next(r for r in got.table if r["rank"] == got.rank_1se)
+    return truth_row(spark, ranks=len(got.table), beats_the_mean=bool(best["mean_cv"] < 0.5 * var), rule_holds=bool(one["mean_cv"] <= best["mean_cv"] + best["se_cv"] and got.rank_1se <= got.rank_min))
 
 
-@query()
+@query("SELECT r::INT AS rank, (10 * r)::DOUBLE AS stored, (10 * r - r * r)::DOUBLE AS intrinsic, true AS criteria_agree FROM range(1, 4) x(r)")
 def rank_profile(spark, sf_dir):
-    rows = selection.rank_profile(_price(spark, sf_dir), TensorSpline(XS, k=5, lam=1.0, control=FAST), (1, 2, 3))
-    return spark.createDataFrame([(r["rank"], r["deviance"], r["edf"], r["aic"], r["bic"]) for r in rows], "rank int, deviance double, edf double, aic double, bic double")
+    rows = selection.rank_profile(_price(spark, sf_dir), TensorSpline(XS, k=5, lam=1.0), (1, 2, 3))
+    n = t(spark, sf_dir, "lineitem").count()
+    agree = lambda r: bool(abs(r["bic"] - r["aic"] - (math.log(n) - 2) * (r["edf"] + 1)) < 1e-6 * abs(r["aic"]))
+    return spark.createDataFrame([(r["rank"], float(r["stored"]), float(r["intrinsic"]), agree(r)) for r in rows], "rank int, stored double, intrinsic double, criteria_agree boolean")
 
 
-@query()
+@query("SELECT 3::BIGINT AS starts, true AS best_is_least")
 def multistart(spark, sf_dir):
-    _, table = selection.multistart(_price(spark, sf_dir), TensorSpline(XS, rank=2, k=5, lam=1.0, control=FAST), 3)
-    return spark.createDataFrame([(r["start"], r["objective"], r["edf"], r["converged"]) for r in table], "start int, objective double, edf double, converged boolean")
+    best, table = selection.multistart(_price(spark, sf_dir), TensorSpline(XS, rank=2, k=5, lam=1.0), 3)
+    pool = [r["objective"] for r in table if r["converged"]] or [r["objective"] for r in table]
+    return truth_row(spark, starts=len(table), best_is_least=bool(best.objective == min(pool)))
 
 
-@query()
+@query("SELECT 'l_quantity' AS first, true AS keeps_quantity, 2::BIGINT AS lambdas")
 def margin_activity(spark, sf_dir):
-    a = selection.activity_path(_price(spark, sf_dir), TensorSpline([*XS, "l_tax"], rank=2, k=5, lam=1.0, control=FAST), lambdas=(10.0, 1.0), folds=3)
-    return spark.createDataFrame([(r["lambda"], r["column"], r["activity"]) for r in a.path], "lambda double, column string, activity double")
+    a = selection.activity_path(_signal(spark, sf_dir), TensorSpline([*XS, "l_tax"], rank=2, k=5, lam=1.0), lambdas=(10.0, 1.0), folds=3)
+    return spark.createDataFrame([(a.order[0], "l_quantity" in a.selected, len({r["lambda"] for r in a.path}))], "first string, keeps_quantity boolean, lambdas long")
 
 
-@query()
+@query("SELECT c AS \"column\", c <> 'l_tax' AS matters FROM (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) v(c)")
 def margin_drop(spark, sf_dir):
-    rows = selection.drop_test(_price(spark, sf_dir), TensorSpline([*XS, "l_tax"], rank=2, k=5, lam=1.0, control=FAST))
-    return spark.createDataFrame([(r["column"], r["delta_deviance"], r["nu"], r["p_value"]) for r in rows], "column string, delta_deviance double, nu double, p_value double")
+    """The deviance without a column: large for the two that matter, next to nothing for the third."""
+    rows = selection.drop_test(_signal(spark, sf_dir), TensorSpline([*XS, "l_tax"], rank=2, k=5, lam=1.0))
+    most = max(r["delta_deviance"] for r in rows)
+    return spark.createDataFrame([(r["column"], bool(r["keep"] and r["delta_deviance"] > 0.01 * most)) for r in rows], "column string, matters boolean")
 
 
-@query()
+@query("SELECT m::INT AS margin, 61::BIGINT AS points, -4.0::DOUBLE AS lo, 4.0::DOUBLE AS hi, true AS edf_falls FROM range(1, 3) r(m)")
 def gcv_curves(spark, sf_dir):
-    p = TensorSpline(XS, rank=2, k=5, lam=1.0, control=FAST).prepare(_price(spark, sf_dir))
+    p = TensorSpline(XS, rank=2, k=5, lam=1.0).prepare(_price(spark, sf_dir))
     m = p.fit()
-    problem, _ = p.problem(m.lam)
-    return spark.createDataFrame([(r["margin"], r["log10_lambda"], float(r["gcv"]), float(r["edf"])) for r in frozen_curves(problem, m.state)], "margin int, log10_lambda double, gcv double, edf double")
+    rows = frozen_curves(p.problem(m.lam)[0], m.state)
+    out = []
+    for k in (1, 2):
+        own = [r for r in rows if r["margin"] == k]
+        x, e = [r["log10_lambda"] for r in own], [r["edf"] for r in own]
+        out.append((k, len(own), round(min(x), 6), round(max(x), 6), all(b <= a + 1e-9 for a, b in zip(e, e[1:]))))
+    return spark.createDataFrame(out, "margin int, points long, lo double, hi double, edf_falls boolean")
 
 
-@query()
+@query("SELECT true AS train_at_full_rank_is_dense, true AS oracle_is_least")
 def dense_baseline(spark, sf_dir):
-    df = grid.axes_product(spark, {"x1": np.linspace(0, 1, 12).tolist(), "x2": np.linspace(0, 1, 10).tolist()})
-    df = df.withColumn("truth", F.sin(F.lit(2 * math.pi) * F.col("x1")) * F.cos(F.lit(2 * math.pi) * F.col("x2"))).withColumn("y", F.col("truth") + 0.2 * surfaces.normal(F.col("row_id"), 1, 0))
+    """At full rank and little smoothing a train reaches the dense solve's surface."""
+    axes = {"x1": np.linspace(0, 1, 12).tolist(), "x2": np.linspace(0, 1, 10).tolist()}
+    df = grid.axes_product(spark, axes).withColumn("truth", surfaces.grid_truth([F.col("x1"), F.col("x2")])).withColumn("y", F.col("truth") + 0.2 * surfaces.normal(F.col("row_id"), 1, 0))
+    dense = grid.fit_dense(df, ["x1", "x2"], k=5, lam=1e-6).transform(df).select("row_id", F.col("fit").alias("dense"))
+    train = TensorSpline(["x1", "x2"], rank=5, k=5, lam=1e-6, control=Control(max_sweeps=500, compute_edf=False)).fit(df).transform(df)
+    far = train.join(dense, "row_id").agg(F.max(F.abs(F.col("fit") - F.col("dense")))).first()[0]
     rows = grid.compare(df, ["x1", "x2"], "truth", k=6, lam=0.1, ranks=(1, 2))
-    return spark.createDataFrame([(r["method"], r["rank"], r["rmse"], r["edf"]) for r in rows], "method string, rank int, rmse double, edf double")
+    by = {r["method"]: r["rmse"] for r in rows}
+    return truth_row(spark, train_at_full_rank_is_dense=bool(far < 1e-2), oracle_is_least=bool(by["oracle"] <= min(v for k, v in by.items() if k.startswith("tt")) + 1e-12))
 
 
-@query()
+@query("SELECT 4::BIGINT AS coefficients, true AS left_is_orthogonal")
 def profiled_null(spark, sf_dir):
-    coef, s, _ = grid.fit_profiled_null(_price(spark, sf_dir), TensorSpline(XS, rank=2, k=5, lam=1.0, control=FAST))
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(coef)], "i int, value double")
+    """What is left is orthogonal to the null space of the penalties."""
+    coef, s, be = grid.fit_profiled_null(_price(spark, sf_dir), TensorSpline(XS, rank=2, k=5, lam=1.0))
+    null, theta = np.kron(grid.null_basis(5), grid.null_basis(5)), tensor.contract(tensor.index_bases([5, 5]), s.cores)
+    left = null.T @ (be.m["b"] - be.m["S"] @ (null @ coef + theta))
+    return truth_row(spark, coefficients=len(coef), left_is_orthogonal=bool(np.abs(left).max() < 1e-8 * max(1.0, np.abs(be.m["b"]).max())))
 
 
-@query()
+@query("SELECT a.v AS l1, b.v AS l2, true AS gcv_is_its_formula, true AS gdf_positive FROM (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) a(v), (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) b(v)")
 def global_gcv(spark, sf_dir):
-    rows = lab.lambda_grid(_price(spark, sf_dir), TensorSpline(XS, rank=1, k=5, lam=1.0, control=FAST), (-1.0, 1.0))
-    return spark.createDataFrame([tuple(map(float, (*r["log10_lambda"], r["gdf"], r["rss"], r["gcv"]))) for r in rows], "l1 double, l2 double, gdf double, rss double, gcv double")
+    rows = lab.lambda_grid(_price(spark, sf_dir), TensorSpline(XS, rank=1, k=5, lam=1.0), (-1.0, 1.0))
+    n = t(spark, sf_dir, "lineitem").count()
+    ok = lambda r: bool(abs(r["gcv"] / (n * r["rss"] / (n - r["gdf"]) ** 2) - 1) < 1e-6 or abs(r["gcv"] / (r["rss"] / n / (1 - r["gdf"] / n) ** 2) - 1) < 1e-6)
+    return spark.createDataFrame([(*map(float, r["log10_lambda"]), ok(r), bool(r["gdf"] > 0)) for r in rows], "l1 double, l2 double, gcv_is_its_formula boolean, gdf_positive boolean")
 
 
 @query("SELECT doc_id, dense_rank() OVER (ORDER BY lang)::INT AS fold_id FROM documents WHERE lang IS NOT NULL")
@@ -599,16 +758,18 @@ def compare_baselines(spark, sf_dir):
     return grid.summarise_comparisons(grid.compare_scale(spark))
 
 
-@query()
+@query("SELECT s AS scenario, d::BIGINT AS d, n::BIGINT AS n, true AS noise_as_named FROM (VALUES ('smooth_smooth', 2, 200), ('smooth_rough', 2, 200), ('strong_aniso', 2, 200), ('weak_signal', 2, 200), ('smooth_smooth', 3, 250), ('strong_aniso', 3, 250), ('smooth_smooth', 5, 250), ('strong_aniso', 5, 250)) v(s, d, n)")
 def lab_designs(spark, sf_dir):
     out = None
-    for d, s in ((2, "smooth_smooth"), (2, "smooth_rough"), (2, "strong_aniso"), (2, "weak_signal"), (3, "mixed"), (4, "sparse")):
-        r = surfaces.lab_design(spark, s, d=d).agg(F.lit(s).alias("scenario"), F.lit(d).alias("d"), F.stddev_samp("f").alias("signal"), F.stddev_samp(F.col("y") - F.col("f")).alias("noise"))
+    for s, d in _LAB:
+        sigma = surfaces.lab_truth(s, d)[1]
+        noise = F.abs(F.stddev_samp(F.col("y") - F.col("f")) / sigma - 1) < 0.2
+        r = surfaces.lab_design(spark, s, d=d).agg(F.lit(s).alias("scenario"), F.lit(d).cast("long").alias("d"), F.count("*").alias("n"), noise.alias("noise_as_named"))
         out = r if out is None else out.union(r)
     return out
 
 
-@query()
+@query("SELECT margin, true AS within_bounds FROM (VALUES ('l_quantity'), ('l_discount')) v(margin)")
 def joint_smoothing(spark, sf_dir):
-    o = lab.optimise(_price(spark, sf_dir), TensorSpline(XS, rank=1, k=5, lam=1.0, control=FAST), n_global=6, starts=1, probes=2, local=6, expand=False)
-    return spark.createDataFrame([(x, float(v), s) for x, v, s in zip(XS, o["lambda"], o["identifiability"])], "margin string, lambda double, status string")
+    o = lab.optimise(_price(spark, sf_dir), TensorSpline(XS, rank=1, k=5, lam=1.0))
+    return spark.createDataFrame([(x, bool(v > 0 and np.isfinite(v))) for x, v in zip(XS, o["lambda"])], "margin string, within_bounds boolean")
\ No newline at end of file

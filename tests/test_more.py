@@ -93,6 +93,52 @@ def test_lag_family(spark):
     assert np.isfinite(p.deviance) and p.effect(spark, "temp", at=[p.centre["temp"]]).first()["rr"] == pytest.approx(1)
 
 
+def test_lag_interaction_of_two_exposures(spark):
+    """y holds a product of two exposures at lag 1, which no sum of separate surfaces can follow."""
+    rng = np.random.default_rng(4)
+    a, b = rng.uniform(-1, 1, 700), rng.uniform(-1, 1, 700)
+    y = 3 * np.concatenate([[0], a[:-1] * b[:-1]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(a, b, y))], "t int, a double, b double, y double")
+    m = lag.DistributedLagSpline(["a", "b"], "y", "t", lag=2, family="gaussian", rank=2, k=5, k_lag=3, lam=1e-4).fit(df)
+    out = m.transform(df).toPandas().sort_values("t")
+    assert len(m.cores) == 3 and ((out.fit - out.y)[2:] ** 2).mean() < 0.02 * (y**2).mean()
+    rows = m.effect_rows("a", at=[-0.9, 0.0, 0.9], lag=1, centre={"a": 0.0, "b": 0.9})
+    assert abs(rows[1][3]) < 1e-9 and rows[2][3] > 1.8 and rows[0][3] < -1.8
+    other = m.effect_rows("a", at=[0.9], lag=1, centre={"a": 0.0, "b": -0.9})
+    assert other[0][3] < -1.8
+    by_core = lag.MOMENTS
+    try:
+        lag.MOMENTS = 1
+        slow = lag.DistributedLagSpline(["a", "b"], "y", "t", lag=1, family="gaussian", rank=1, k=4, k_lag=2, lam=0.1, control=Control(max_sweeps=3)).fit(df.limit(80))
+        lag.MOMENTS = by_core
+        fast = lag.DistributedLagSpline(["a", "b"], "y", "t", lag=1, family="gaussian", rank=1, k=4, k_lag=2, lam=0.1, control=Control(max_sweeps=3)).fit(df.limit(80))
+    finally:
+        lag.MOMENTS = by_core
+    assert slow.deviance == pytest.approx(fast.deviance, rel=1e-6)
+
+
+@pytest.mark.parametrize("size", [3, 7, 50])
+def test_lag_ranges_agree_with_one_window(spark, monkeypatch, size):
+    df = spark.createDataFrame([(float(i * i % 101), float(i)) for i in range(101)], "t double, v double").dropDuplicates(["t"]).repartition(4)
+    whole = sorted(map(tuple, lag.lag_columns(df, "v", 4, "t", prefix="v__lag").collect()))
+    monkeypatch.setattr(lag, "RANGE", size)
+    got = lag.lag_windows(df, ["v"], 4, "t", complete=False)
+    assert sorted(map(tuple, got.collect())) == whole
+
+
+def test_lag_automatic_smoothing_and_weights(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 1, 200)
+    y = np.sin(6 * x) + 0.1 * rng.normal(size=200)
+    df = spark.createDataFrame([(i, float(a), float(b), float(i % 2)) for i, (a, b) in enumerate(zip(x, y))], "t int, x double, y double, w double")
+    m = lag.DistributedLagSpline(["x"], "y", "t", lag=1, family="gaussian", k=6, k_lag=2, lam="cGCV", control=Control(max_sweeps=20)).fit(df)
+    assert len(m.lam) == 2 and m.deviance / m.n < 0.05
+    fit = lambda lam, w: lag.DistributedLagSpline(["x"], "y", "t", lag=0, family="gaussian", k=6, k_lag=1, lam=lam, weight=w).fit(df.withColumn("w", F.lit(2.0)))
+    assert fit(0.2, "w").deviance == pytest.approx(2 * fit(0.1, None).deviance, rel=1e-5)
+    with pytest.raises(ValueError, match="negative weight"):
+        lag.DistributedLagSpline(["x"], "y", "t", lag=0, weight="w").fit(df.withColumn("w", F.lit(None).cast("double")))
+
+
 def test_grid_equals_scattered(spark):
     axes = {"x1": np.linspace(0, 1, 8), "x2": np.linspace(0, 1, 7), "x3": np.linspace(0, 1, 6)}
     df = grid.axes_product(spark, axes).withColumn("y", F.sin(6 * F.col("x1")) + F.col("x2") * F.col("x3"))
