@@ -43,7 +43,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_documents(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
