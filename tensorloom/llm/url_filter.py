@@ -5,8 +5,8 @@ on the first digits of their SHA-256, and a hit counts only if the whole digest
 the longest (host and path together, then host) wins; of equal rules "block" wins.
 
 Only suffixes with as many labels, and prefixes with as many characters, as some rule has are made, so
-the expansion is bounded by the rules and not by the URL. Those numbers are the only thing the driver reads.
-Rules are broadcast by Spark if their measured size is under its threshold, and shuffled beyond it.
+the expansion is bounded by the rules and not by the URL. Up to `BROADCAST_RULES` counted rules of at most `SHAPES` such shapes are broadcast and
+met in the URL's own row, a join for each shape, so that no URL is shuffled. More rules or shapes are met by distinct (host, path), each expanded once.
 
 Defined results: null url or none with "://": host and path empty, which no rule fits; repeated page rows are
 judged each; an empty table gives an empty result; further columns pass through. The verdict without a
@@ -23,6 +23,8 @@ from .common import ascii_lower, materialise
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 PREFIX_DIGITS = 8
+#: Rules (some 200 bytes each) up to which they are broadcast, and shapes up to which each has a join.
+BROADCAST_RULES, SHAPES = 100_000, 32
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -43,24 +45,56 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     known = known.filter(F.col("r_host") != "")
     known = known.withColumn("r_rule", F.concat("r_host", "r_path")).groupBy("r_host", "r_path", "r_rule").agg(F.max("r_verdict").alias("r_verdict"))
     known = known.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("r_short", F.substring("r_digest", 1, PREFIX_DIGITS))
-    shape = known.agg(F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths")).first()
-    labels, lengths = sorted(shape["labels"] or []), sorted(shape["lengths"] or [])
+    known = materialise(known.withColumn("r_labels", F.size(F.split("r_host", r"\."))).withColumn("r_length", F.length("r_path")), "url-known")
+    n = known.count()
+    shapes = [tuple(r) for r in known.select("r_labels", "r_length").distinct().limit(SHAPES + 1).collect()]
     host, path = url_parts(F.col(url))
     base = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    if not labels:
-        return base.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    parts = F.size(F.split("host", r"\."))
-    tries = [F.when((F.col("host") != "") & (parts >= n) & (F.length("path") >= k), F.struct(F.substring_index("host", ".", -n).alias("h"), F.substring("path", 1, k).alias("p"))) for n in labels for k in lengths]
-    # The rule depends on host and path alone: each distinct pair is expanded once, however often it occurs.
-    pairs = pages.select(host.alias("host"), path.alias("path")).distinct()
+    if n <= BROADCAST_RULES and len(shapes) <= SHAPES:
+        out = _in_row(base, known, sorted(shapes))
+    else:
+        out = _by_pair(base, known, pages.select(host.alias("host"), path.alias("path")).distinct())
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+
+
+def _expression(labels: int, length: int) -> tuple[Column, Column, Column]:
+    """Whether a URL has so many labels and characters, and the host suffix and path prefix."""
+    fits = (F.col("host") != "") & (F.size(F.split("host", r"\.")) >= labels) & (F.length("path") >= length)
+    return fits, F.substring_index("host", ".", -labels), F.substring("path", 1, length)
+
+
+def _best(n: Column, m: Column, v: Column, rule: Column) -> Column:
+    """What the greatest of is the rule that decides: the longest, then of the longest host, then block."""
+    return F.struct(n.alias("n"), m.alias("m"), v.alias("v"), rule.alias("rule"))
+
+
+def _in_row(base: DataFrame, known: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """Each URL meets the broadcast rules of each shape on the short hash, confirmed by the whole; at most one rule has a digest."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("whole")
+    out, hits = base.select(whole, "host", "path"), []
+    for i, (labels, length) in enumerate(shapes):
+        fits, h, p = _expression(labels, length)
+        out = out.withColumn(f"d{i}", F.when(fits, _digest(h, p))).withColumn(f"s{i}", F.substring(f"d{i}", 1, PREFIX_DIGITS))
+        own = known.filter((F.col("r_labels") == labels) & (F.col("r_length") == length))
+        own = own.select(F.col("r_short").alias("k_short"), F.col("r_digest").alias("k_digest"), _best(F.length("r_rule"), F.length("r_host"), F.col("r_verdict"), F.col("r_rule")).alias(f"hit{i}"))
+        out = out.join(F.broadcast(own), (F.col(f"s{i}") == F.col("k_short")) & (F.col(f"d{i}") == F.col("k_digest")), "left").drop("k_short", "k_digest", f"d{i}", f"s{i}")
+        hits.append(F.col(f"hit{i}"))
+    best = F.array_max(F.array_compact(F.array(*hits))) if hits else F.lit(None).cast("struct<n:int,m:int,v:string,rule:string>")
+    return out.withColumn("best", best).select("whole.*", F.col("best.rule").alias("rule"), F.col("best.v").alias("verdict"))
+
+
+def _by_pair(base: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each distinct (host, path) is expanded once, by the label counts and path lengths of the rules, and met in a shuffled join."""
+    shape = known.agg(F.collect_set("r_labels").alias("labels"), F.collect_set("r_length").alias("lengths")).first()
+    tries = [F.when(fits, F.struct(h.alias("h"), p.alias("p"))) for n in shape["labels"] for k in shape["lengths"] for fits, h, p in [_expression(n, k)]]
     hits = pairs.select("host", "path", F.explode(F.array_compact(F.array(*tries))).alias("e")).select("host", "path", _digest(F.col("e.h"), F.col("e.p")).alias("digest"))
     hits = hits.withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     hits = hits.join(known, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("r_rule").alias("n"), F.length("r_host").alias("m"), F.col("r_verdict").alias("v"), F.col("r_rule").alias("rule"))).alias("e"))
+    best = hits.groupBy("host", "path").agg(F.max(_best(F.length("r_rule"), F.length("r_host"), F.col("r_verdict"), F.col("r_rule"))).alias("e"))
     # Written first, so that both sides of the join are dealt anew and a hot pair can be split.
     best = materialise(best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("e.rule").alias("rule"), F.col("e.v").alias("verdict")), "url-rules")
     out = base.join(best, (base["host"] == best["b_host"]) & (base["path"] == best["b_path"]), "left")
-    return out.select(*[base[c] for c in base.columns], best["rule"], F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
+    return out.select(*[base[c] for c in base.columns], best["rule"], best["verdict"])
 
 
 def _digest(host: Column, path: Column) -> Column:

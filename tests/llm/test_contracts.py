@@ -180,7 +180,23 @@ def test_mixing_targets(spark, docs):
     assert mixing.mix_documents(frame(spark, docs.head(0))).count() == 0
 
 
-def test_url_filter_edges(spark):
+def test_mixing_includes_by_size(spark):
+    """Inclusion is unequal: of a source that is drawn in part, longer documents are taken more often, and words meet the target."""
+    rows = [(i, "w " * (2 if i % 2 else 128), "a" if i < 4000 else "b") for i in range(4400)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 40)).toPandas()
+    own = got[(got.source == "a") & (got.target < 2 * got.source_size)]
+    extra = own.copies - (own.target // own.source_size)
+    short, long_ = extra[own["size"] == 2].mean(), extra[own["size"] == 128].mean()
+    assert len(own) == 4000 and long_ > 2 * short > 0
+    assert abs(own.taken.sum() - own.target.iloc[0]) <= 128
+    # Rows of one id but other texts are drawn apart.
+    same = mixing.mix_documents(spark.createDataFrame([(None, f"t{i} x y", "a") for i in range(400)] + [(1, "z " * 4000, "b")], "doc_id long, text string, source string"), weights=(1, 40)).toPandas()
+    assert same[same.source == "a"].copies.nunique() == 2
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_url_filter_edges(spark, monkeypatch, bound):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", bound)
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?y#z", "https://example.org/en/123", "https://notexample.org/es/", "x://com/de/", "http://com", "http://a.com?q=/fr/", "http://u:p@b.com:80/fr/1", "http://b.com/fr/1", "://org/"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, url_filter.rules_frame(spark)).collect()}
