@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Pieces in a block of `with_matches`; a maximal run of characters other than ASCII white space.
-BLOCK = 256
+#: Pieces in a block of `with_matches`, and blocks in a block of blocks; a maximal run of characters other than ASCII white space.
+BLOCK = 64
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -109,14 +109,17 @@ def with_matches(df: DataFrame, text: str, pattern: str, into: str, guard: Colum
     mark = F.concat(F.lit("\x01"), F.md5(t.cast("binary")), F.lit("\x02"))
     df = df.withColumn(pieces, F.when(ok, F.split(F.regexp_replace(t, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark, -1)))
     df = df.withColumn(n, F.when(F.size(pieces) > 1, (F.floor(F.size(pieces) / 2) - 1).cast("int")))  # the last match
-    # Where each piece starts: sums of whole blocks of pieces and of what is left. Each step is a column that is named
+    # Where each piece starts: sums of whole blocks of blocks, whole blocks and single pieces. Each step is a column that is named
     # more than once, so that the optimiser keeps it and nothing is worked out anew for each piece.
-    sizes, blocks = into + "_sizes", into + "_blocks"
+    sizes, blocks, most = into + "_sizes", into + "_blocks", into + "_most"
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
-    df = df.withColumn(sizes, F.when(F.col(n).isNotNull(), F.transform(pieces, lambda x: F.length(x))))
-    df = df.withColumn(blocks, F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), lambda k: total(F.slice(sizes, k * BLOCK + 1, F.lit(BLOCK))))))
-    begin = lambda _, i: total(F.slice(blocks, F.lit(1), F.floor(i / BLOCK).cast("int"))) + total(F.slice(sizes, (i - i % BLOCK + 1).cast("int"), (i % BLOCK).cast("int")))
-    df = df.withColumn(at, F.when(F.size(blocks) > 0, F.transform(sizes, begin)))
+    sums = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / BLOCK).cast("int")), lambda k: total(F.slice(x, k * BLOCK + 1, F.lit(BLOCK)))))
+    df = df.withColumn(sizes, F.when(F.col(n).isNotNull(), F.transform(pieces, lambda x: F.length(x).cast("long"))))
+    df = df.withColumn(blocks, sums(F.col(sizes))).withColumn(most, sums(F.col(blocks)))
+    whole = lambda i: F.floor(i / BLOCK).cast("int")
+    upto = lambda x, i: total(F.slice(x, (i - i % BLOCK + 1).cast("int"), (i % BLOCK).cast("int")))
+    begin = lambda _, i: total(F.slice(most, F.lit(1), whole(whole(i)))) + upto(F.col(blocks), whole(i)) + upto(F.col(sizes), i)
+    df = df.withColumn(at, F.when(F.size(most) > 0, F.transform(sizes, begin)))
     piece = lambda i: F.get(pieces, i)
     one = lambda i: F.struct(
         F.get(at, 2 * i + 1).cast("int").alias("start"),
@@ -127,4 +130,18 @@ def with_matches(df: DataFrame, text: str, pattern: str, into: str, guard: Colum
     )
     kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
     found = F.when(F.col(n).isNotNull(), F.transform(F.sequence(F.lit(0), F.col(n)), one)).otherwise(F.array().cast(kind))
-    return df.withColumn(into, found).drop(pieces, n, at, sizes, blocks)
+    return df.withColumn(into, found).drop(pieces, n, at, sizes, blocks, most)
+
+
+def without_spans(df: DataFrame, text: str, spans: str) -> DataFrame:
+    """df with each of the spans (array<struct<start, end, label>>, in order and apart, in code points) of text replaced by its label.
+
+    The text is cut into characters once, as a column that is named more than once and so kept; the work is linear in it.
+    """
+    chars = spans + "_chars"
+    df = df.withColumn(chars, F.when(F.size(spans) > 0, F.split(text, "")))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+    part = lambda x, i: F.concat(F.array_join(F.slice(chars, before(i) + 1, x["start"] - before(i)), ""), x["label"])
+    last = F.element_at(spans, -1)["end"]
+    cut = F.concat(F.array_join(F.transform(spans, part), ""), F.array_join(F.slice(chars, last + 1, F.greatest(F.size(chars) - last, F.lit(0))), ""))
+    return df.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(F.col(text))).drop(chars)
