@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise
+from ..plans.backends import tree_sums
+from .common import held_out, materialise, spare_name
 
 THRESHOLD, RIDGE, BETA, STEPS, BINS = 0.3, 3.0, 0.0, 12, 8
 FEATURES = ("size", "upper", "digit", "symbol", "space", "word_len", "distinct", "top_word", "repeat_next", "repeat_line", "repeat_pair", "marked_words", "bare_marks", "shouted", "stops", "line_len")
@@ -153,14 +154,12 @@ def fit(table: DataFrame, labels: DataFrame, mod: int = 5, threshold_bins: int =
 
 
 def _risks(train: DataFrame, model: QualityModel, w: np.ndarray):
-    """Sums over all training rows: losses, gradients and Hessian. Each task sends one row for each weight and pair in use."""
+    """Sums over all training rows: losses, gradients and Hessian. Each task sends them once, packed, and narrower stages add them up."""
     size = len(w)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(b: pa.RecordBatch) -> dict:
         total = np.zeros(3 + 3 * size + size * size)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        if b.num_rows:
             rows, trusted = model.design(_matrix(b.column("x"))), b.column("trusted").to_numpy(zero_copy_only=False)
             z = w[rows].sum(axis=1)
             s = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
@@ -172,12 +171,9 @@ def _risks(train: DataFrame, model: QualityModel, w: np.ndarray):
             dense = np.zeros((len(z), size))
             np.put_along_axis(dense, rows, 1.0, axis=1)
             total[3 + 3 * size :] += (dense.T @ (dense * (s * (1 - s))[:, None])).ravel()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "v"])
+        return {(0, "sums"): total}
 
-    out = np.zeros(3 + 3 * size + size * size)
-    sums = train.select("x", "trusted").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # as many rows as sums
-    out[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
+    out = tree_sums(train.select("x", "trusted"), sums).get((0, "sums"), np.zeros(3 + 3 * size + size * size))
     g = [out[3 + i * size : 3 + (i + 1) * size] for i in range(3)]
     h = out[3 + 3 * size :].reshape(size, size)
     return out[0], out[1], out[2], *g, h
@@ -208,13 +204,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """docs whose own text scores at least the threshold; the texts are judged where they lie."""
-    model = fit(materialise(feature_table(docs, doc_id, text), "pu-features"), labels, mod)
+    """docs whose own text scores at least the threshold. Features are worked out once and written beside the documents."""
+    x = spare_name(docs, "quality_x")
+
+    @F.pandas_udf("array<double>")
+    def measured(texts):
+        import pandas as pd
+
+        return pd.Series([features(t) for t in texts])
+
+    whole = materialise(docs.withColumn(x, measured(F.col(text))), "pu-docs")
+    model = fit(whole.select(F.col(doc_id).alias("doc_id"), F.col(x).alias("x")), labels, mod)
 
     @F.pandas_udf("double")
-    def score(texts):
+    def score(rows):
         import pandas as pd
 
-        return pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))))
+        return pd.Series(model.score(np.array(rows.tolist(), float).reshape(-1, len(FEATURES))))
 
-    return docs.filter(score(F.col(text)) >= F.lit(threshold))
+    return whole.filter(score(F.col(x)) >= F.lit(threshold)).drop(x)
