@@ -24,10 +24,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
 from .common import materialise
 
@@ -117,45 +118,47 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def range_bounds(kept: DataFrame, parts: int) -> list:
+    """At most parts - 1 values of doc_id that cut it into even ranges: approximate quantiles of numbers, else those of a sample by hash of some 10,000 values."""
+    if parts == 1:
+        return []
+    if isinstance(kept.schema["doc_id"].dataType, NumericType):
+        found = kept.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    else:
+        ids = kept.select("doc_id").filter("doc_id is not null").distinct()
+        one_of = max(1, ids.count() // 10_000)
+        sample = sorted(r[0] for r in ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0).collect())
+        found = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
+    return sorted(set(found or []))
+
+
 def with_following(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(range, copy, doc_id, text), dealt by range of doc_id and sorted; each range ends with a copy of the row after it."""
-    spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    bounds = np.array(sorted(set([] if parts == 1 else kept.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or [])))
-    place = _numbers(lambda ids, known: np.where(known, np.searchsorted(bounds, ids, side="right"), 0) if len(bounds) else np.zeros(len(ids)))
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("first")
-    firsts = kept.select("doc_id").groupBy(place(F.col("doc_id")).alias("range")).agg(first).collect()  # a row for each range
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    bounds, id_ = range_bounds(kept, parts), F.col("doc_id")
+    known = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{kind}>")
+    place = F.coalesce(F.size(F.filter(known, lambda b: b <= id_)), F.lit(0)).cast("long")
+    place = F.when(id_.isNull(), F.lit(0).cast("long")).otherwise(place)
+    first = F.min(F.struct(id_.isNotNull().alias("known"), id_.alias("id"))).alias("first")
+    firsts = kept.select("doc_id").groupBy(place.alias("range")).agg(first).collect()  # a row for each range
     firsts = sorted((r["range"], r["first"]["id"]) for r in firsts)
     before = {low: firsts[i - 1][0] for i, (_, low) in enumerate(firsts)}  # the first range follows the last
-    lows = np.array(sorted(k for k in before if k is not None))
-    of = np.array([before[k] for k in lows.tolist()], np.int64)
-
-    def copied(ids, known):
-        at = np.minimum(np.searchsorted(lows, ids), max(len(lows) - 1, 0))
-        hit = np.where(known & (lows[at] == ids), of[at], -1) if len(lows) else np.full(len(ids), -1)
-        return np.where(known, hit, before.get(None, -1))
-
-    rows = kept.withColumn("range", place(F.col("doc_id"))).withColumn("prev", _numbers(copied)(F.col("doc_id")))
-    copies = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("copy")), F.when(F.col("prev") >= 0, F.struct(F.col("prev").alias("range"), F.lit(True).alias("copy")))))
-    rows = rows.select(F.explode(copies).alias("e"), "doc_id", "text").select("e.range", "e.copy", F.col("doc_id").cast(kind), "text")
+    lows = [k for k in before if k is not None]
+    lead = F.create_map(*[x for k in lows for x in (F.lit(k).cast(kind), F.lit(before[k]).cast("long"))]) if lows else None
+    prev = F.when(id_.isNull(), F.lit(before.get(None)).cast("long"))
+    prev = prev.otherwise(F.try_element_at(lead, id_)) if lows else prev
+    rows = kept.withColumn("range", place).withColumn("prev", prev)
+    copies = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("copy")), F.when(F.col("prev").isNotNull(), F.struct(F.col("prev").alias("range"), F.lit(True).alias("copy")))))
+    rows = rows.select(F.explode(copies).alias("e"), "doc_id", "text").select("e.range", "e.copy", "doc_id", "text")
     # A range is a partition, so that partitions are as even as the ranges.
     return rows.repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("range", "copy", F.col("doc_id").asc_nulls_first(), "text")
 
 
-def _numbers(f):
-    @F.pandas_udf("long")
-    def number(ids):
-        known = ids.notna().to_numpy()
-        return pd.Series(np.asarray(f(ids.fillna(0).to_numpy(), known), np.int64))
-
-    return number
-
-
 def edit_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind, arrow = docs.schema[doc_id].dataType.simpleString(), to_arrow_type(docs.schema[doc_id].dataType)
 
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
@@ -167,7 +170,7 @@ def edit_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         fps = fingerprints(list(index))
         own, nxt, new = (fps[[index[x] for x in xs]] for xs in ([r[1] for r in rows], [r[2] for r in rows], news))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], _ARROW.get(kind)), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in news])]
+            [pa.array([r[0] for r in rows], arrow), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in news])]
             + [pa.array([x.tobytes().hex() for x in fp]) for fp in (own, new)]
             + [pa.array(likeness(own, fp)) for fp in (new, nxt)],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
@@ -191,10 +194,6 @@ def edit_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return with_following(docs, doc_id, text).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-#: Arrow types of the keys that are handed through Python.
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint): lower-case hexadecimal digits."""
 
@@ -246,20 +245,21 @@ def band_links(fps: DataFrame, alike: float = ALIKE) -> DataFrame:
     A band is a fixed sample of BAND_SLOTS slots. Two fingerprints alike in the share s of their slots meet in a band with
     probability 1 - (1 - s^BAND_SLOTS)^BANDS, 0.95 at s = 0.8; those that meet and are alike are always linked, directly or by way of others.
     """
-    fp = F.col("fingerprint")
-    keys = F.array(*[F.concat(*[F.substring(fp, 2 * k + 1, 2) for k in ks]) for ks in band_slots()])
-    keyed = materialise(fps.select("fingerprint").distinct().select("fingerprint", F.posexplode(keys).alias("band", "key")), "edit-bands")
+    fp = F.col("fp")
+    keys = F.array(*[F.xxhash64(F.concat(*[F.substring(fp, k + 1, 1) for k in ks])) for ks in band_slots()])
+    keyed = fps.select(F.unhex("fingerprint").alias("fp")).distinct().select("fp", F.posexplode(keys).alias("band", "key"))
+    # Fingerprints are handed on only where a bucket has more than one.
     sizes = materialise(keyed.groupBy("band", "key").count().filter("count > 1"), "edit-buckets")
     tiles = F.ceil(F.col("count") / F.lit(TILE)).cast("int")
     met = keyed.join(sizes, ["band", "key"]).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64(fp), F.col("tiles")).cast("int"))
-    dealt = met.select("band", "key", "fingerprint", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("upper"), "fingerprint")
+    dealt = met.select("band", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("upper"), "fp")
     group = ["band", "key", "i", "j"]
-    dealt = dealt.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
+    dealt = dealt.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group, "fp")
 
-    def compare(at: tuple, texts: list[str], side: list[int]) -> list[tuple[str, str, float]]:
-        x, y, near = forest(np.frombuffer(bytes.fromhex("".join(texts)), np.uint8).reshape(-1, SLOTS), np.array(side), at[2] == at[3], alike)
-        return [(*sorted((texts[i], texts[j])), n) for i, j, n in zip(x.tolist(), y.tolist(), near.tolist(), strict=True)]
+    def compare(at: tuple, codes: list[bytes], side: list[int]) -> list[tuple[str, str, float]]:
+        x, y, near = forest(np.frombuffer(b"".join(codes), np.uint8).reshape(-1, SLOTS), np.array(side), at[2] == at[3], alike)
+        return [(*sorted((codes[i].hex(), codes[j].hex())), n) for i, j, n in zip(x.tolist(), y.tolist(), near.tolist(), strict=True)]
 
     def out(links: list[tuple[str, str, float]]) -> pa.RecordBatch:
         kinds = (pa.string(), pa.string(), pa.float64())
@@ -269,7 +269,7 @@ def band_links(fps: DataFrame, alike: float = ALIKE) -> DataFrame:
         now, texts, side = None, [], []  # the open group: two tiles at most
         for b in batches:
             done = []
-            for *at, upper, x in zip(*(b.column(c).to_pylist() for c in (*group, "upper", "fingerprint")), strict=True):
+            for *at, upper, x in zip(*(b.column(c).to_pylist() for c in (*group, "upper", "fp")), strict=True):
                 if at != now:
                     if len(texts) > 1:
                         done += compare(now, texts, side)
@@ -283,11 +283,21 @@ def band_links(fps: DataFrame, alike: float = ALIKE) -> DataFrame:
     return dealt.mapInArrow(run, "a string, b string, near double").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: float = ALIKE) -> DataFrame:
-    """(doc_id, fingerprint, component): component is the smallest fingerprint reachable over verified links."""
+def with_classes(each: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """each (with fingerprint) and class_fingerprint: the smallest fingerprint reachable over verified links of the bands."""
     from .simhash import components
 
+    roots = components(band_links(each.select("fingerprint"), alike).select("a", "b")).select(F.col("node").alias("class_node"), "root")
+    out = each.join(roots, F.col("fingerprint") == F.col("class_node"), "left")
+    return out.select(*[each[c] for c in each.columns], F.coalesce("root", "fingerprint").alias("class_fingerprint"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: float = ALIKE) -> DataFrame:
+    """(doc_id, fingerprint, component): component is the smallest fingerprint reachable over verified links."""
     each = materialise(fingerprint_table(docs, doc_id, text), "edit-docs")
-    roots = components(band_links(each, alike).select("a", "b"))
-    out = each.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    return out.select("doc_id", "fingerprint", F.coalesce("root", "fingerprint").alias("component"))
+    return with_classes(each, alike).withColumnRenamed("class_fingerprint", "component")
+
+
+def likeness_and_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: float = ALIKE) -> DataFrame:
+    """`edit_likeness` with the class of near-duplicates that each document's fingerprint belongs to."""
+    return with_classes(materialise(edit_likeness(docs, doc_id, text), "edit-likeness"), alike)

@@ -29,7 +29,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embed.edit_likeness(table(spark, sf_dir, "documents"))
+    return edit_embed.likeness_and_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,46 @@ def test_decontamination_counts_items_without_an_id(spark):
     assert {d: (r["n_hit"], r["n_items"], r["contaminated"]) for d, r in got.items()} == {1: (40, 1, True), 2: (80, 2, True), 3: (0, 0, False)}
     assert [got[d]["items_sha256"] for d in (1, 2)] == [hashlib.sha256(x).hexdigest() for x in (b"", b"2")]
     assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [3]
+
+
+def test_band_recall_on_edited_texts(spark):
+    """Near copies of whole texts: pairs that brute force finds alike end in one class, at least nine of ten."""
+    import random
+
+    r = random.Random(8)
+    base = [x["text"] for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) > 400").limit(120).collect()]
+    texts = []
+    for t in base:
+        texts.append(t)
+        for _ in range(2):
+            u = list(t)
+            for _ in range(max(1, len(u) // 100)):
+                u[r.randrange(len(u))] = r.choice("abcdefgh ")
+            texts.append("".join(u))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    fps = edit_embed.fingerprints(texts)
+    near = (fps[:, None] == fps[None]).mean(axis=2) >= edit_embed.ALIKE
+    pairs = [(i, j) for i, j in zip(*np.nonzero(near)) if i < j]
+    got = {x["doc_id"]: x["class_fingerprint"] for x in edit_embed.likeness_and_classes(docs).collect()}
+    assert len(pairs) > 100
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+    # No class holds what no chain of alike fingerprints joins.
+    root = np.arange(len(texts))
+    while (low := np.where(near, root[None], len(texts)).min(axis=1)).tolist() != root.tolist():
+        root = low
+    for i in range(len(texts)):
+        for j in range(i):
+            assert got[i] != got[j] or root[i] == root[j]
+
+
+def test_edit_likeness_of_string_and_wide_ids(spark):
+    texts = [f"text number {i} " * (i + 2) for i in range(40)]
+    for ids, kind in (([f"id-{i:03d}" for i in range(40)], "string"), ([(1 << 60) + i for i in range(40)], "long")):
+        docs = spark.createDataFrame([(d, t) for d, t in zip(ids, texts)] + [(None, "none")], f"doc_id {kind}, text string").repartition(3)
+        got = {x["doc_id"]: x for x in edit_embed.edit_likeness(docs).collect()}
+        order = [None, *ids]
+        whole = dict(zip(ids, texts)) | {None: "none"}
+        assert len(got) == 41
+        for i, d in enumerate(order):
+            e = edit_embed.edited(whole[d], whole[order[(i + 1) % 41]])
+            assert got[d]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
