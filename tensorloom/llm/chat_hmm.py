@@ -1,17 +1,20 @@
 """Chat formatting: a hidden Markov model recovers roles, then turns are rendered in one canonical form.
 
-Units (turns, or lines of a transcript) are observed through a speaker marker and line features (length, lines, question, list or code,
-place in the conversation); roles are the hidden states. Start, transition and emission tables are counted with add-one smoothing from units
+A text is cut into units where a line has a speaker marker; a text without one is one unit (a turn), and in `format_transcripts` it is cut at blank lines. Units are
+observed through the speaker marker and line features (length, lines, question, list or code,
+opening); roles are the hidden states. Start, transition and emission tables are counted with add-one smoothing from units
 whose role is known and whose conversation isn't held out. Viterbi gives the best roles of each conversation, markers are cut off, and each turn
 is rendered as "<|role|>\\ntext\\n<|end|>\\n".
 
-Scale: model tables are some hundred counts. A conversation is cut into chunks of `CHUNK` places; in max-plus algebra a chunk is a
+Scale: model tables are some hundred counts. Units of a conversation are numbered in order, without a window over it: counts by ranges of places come first, and
+only rows of one range are numbered together. A conversation is cut into chunks of `CHUNK` units by number; in max-plus algebra a chunk is a
 small matrix, so chunks are reduced apart, chained by conversation, and each chunk is traced back apart from its entering and leaving
-state. No task holds more of a conversation's text than a chunk, and the result is that of one chain.
+state. No task holds more of a conversation's text than a chunk, and the result is that of one chain. Many units of one and the same place (repeated rows) are numbered by a hash of their text;
+equal units are numbered together.
 
-Defined results: null or empty text is a unit without features; units of a conversation with the same place go by their text; a null
+Defined results: null or empty text is a unit without features; units of a conversation with the same place go by a hash of their text; a null
 conversation or place counts as one of its own, first; repeated rows are units each; an empty table gives an empty result; a training table
-without known roles gives an even model; ties go to the role first in `ROLES`.
+without known roles gives an even model; transitions from a place with several known roles are shared evenly among them; ties go to the role first in `ROLES`.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from .common import held_out, materialise
 
@@ -32,6 +36,8 @@ CHUNK = 1024
 #: What speakers are called.
 CALLED = {"system": "system|instructions?|context", "user": "user|human|question|q|customer|me|prompter", "assistant": "assistant|bot|ai|answer|a|agent|model|gpt"}
 MARKER = r"^[ \t]*(?:[#>*]+\s*)?(?:<\|?|\[|\*\*)?({})(?:\|?>|\]|\*\*)?\s*(?::|(?<=[>\]])|\n)\s*(?:\*\*)?"
+#: Before a line that opens with a speaker marker.
+MARKED = "(?im)^(?=" + MARKER[1:].format("|".join(CALLED.values())) + ")"
 FEATURES = {"marker": 4, "length": 8, "lines": 4, "question": 2, "code": 2, "opening": 3}
 
 
@@ -67,15 +73,18 @@ def train(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: st
     state = F.coalesce(*[F.when(F.col(role) == r, F.lit(i)) for i, r in enumerate(ROLES)])
     known = turns.filter(~held_out(F.col(conv), mod)).select(F.col(conv).alias("c"), F.col(order).alias("o"), state.alias("s"), observed(F.col(text)).alias("x")).filter("s is not null")
     known = materialise(known, "hmm-train")
-    # The place before, by a join on the place: no window over a conversation.
-    prior = known.select(F.col("c").alias("pc"), (F.col("o") + 1).alias("po"), F.col("s").alias("ps"))
-    steps = known.select("c", "o", "s").join(prior, (F.col("c") == F.col("pc")) & (F.col("o") == F.col("po")), "left").groupBy("ps", "s").count().collect()
+    # Known roles of each place, counted first; a join with the place before then meets at most S x S rows of a place.
+    each = known.groupBy("c", "o", "s").agg(F.count("*").alias("n"))
+    all_ = each.groupBy("c", "o").agg(F.sum("n").alias("of"))
+    prior = each.join(all_.select(F.col("c").alias("ac"), F.col("o").alias("ao"), "of"), F.col("c").eqNullSafe(F.col("ac")) & F.col("o").eqNullSafe(F.col("ao")))
+    prior = prior.select(F.col("c").alias("pc"), (F.col("o") + 1).alias("po"), F.col("s").alias("ps"), (F.col("n") / F.col("of")).alias("share"))
+    steps = each.join(prior, F.col("c").eqNullSafe(F.col("pc")) & (F.col("o") == F.col("po")), "left").groupBy("ps", "s").agg(F.sum(F.col("n") * F.coalesce("share", F.lit(1.0))).alias("n")).collect()
     start, move = np.ones(s), np.ones((s, s))
     for r in steps:  # (S + 1) x S rows
         if r["ps"] is None:
-            start[r["s"]] += r["count"]
+            start[r["s"]] += r["n"]
         else:
-            move[r["ps"], r["s"]] += r["count"]
+            move[r["ps"], r["s"]] += r["n"]
     tables = {k: np.ones((s, n)) for k, n in FEATURES.items()}
     for r in known.select("s", F.posexplode("x").alias("f", "v")).groupBy("s", "f", "v").count().collect():
         tables[list(FEATURES)[r["f"]]][r["s"], r["v"]] += r["count"]
@@ -90,15 +99,36 @@ def _emissions(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return sum(model[k][:, x[:, i]].T for i, k in enumerate(FEATURES))
 
 
+def numbered(units: DataFrame) -> DataFrame:
+    """units (c, o, t, ...) with number: 0, 1, ... within each conversation c, in the order of place o (nulls first) and a hash of the text t."""
+    units = materialise(units.withColumn("h", F.xxhash64("t")).withColumn("part", F.floor(F.col("o") / F.lit(CHUNK))).withColumn("slot", F.when(F.col("o").isNull(), F.pmod("h", F.lit(CHUNK)))), "hmm-placed")
+    # Ranges of places; units without a place are dealt by ranges of their hash, so that these too are numbered apart.
+    own = ["c", "part", "slot"]
+    sizes = materialise(units.groupBy(*own).agg(F.count("*").alias("n")), "hmm-sizes")
+    before = F.sum("n").over(Window.partitionBy("c").orderBy(F.col("part").asc_nulls_first(), F.col("slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("c").alias("sc"), F.col("part").alias("sp"), F.col("slot").alias("ss"), F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy(F.col("o").asc_nulls_first(), "h")) - 1
+    ranked = units.withColumn("rank", rank)
+    same = ranked["c"].eqNullSafe(starts["sc"]) & ranked["part"].eqNullSafe(starts["sp"]) & ranked["slot"].eqNullSafe(starts["ss"])
+    return ranked.join(starts, same).withColumn("number", F.col("before") + F.col("rank")).drop("sc", "sp", "ss", "before", "rank", "h", "part", "slot")
+
+
+def spoken_units(turns: DataFrame, text: str = "text") -> DataFrame:
+    """turns with unit_piece and unit_text: a row for each piece of a text that is cut where a line opens with a speaker marker, one for a text without."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    pieces = F.when(t.rlike(MARKED), F.filter(F.split(t, MARKED), lambda x: x.rlike(r"\S"))).otherwise(F.array(t))
+    return turns.select("*", F.posexplode(F.when(F.size(pieces) > 0, pieces).otherwise(F.array(t))).alias("unit_piece", "unit_text"))
+
+
 def recover_roles(units: DataFrame, training: DataFrame, conv: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """units with recovered (role), bare (text without its marker) and rendered."""
     model, s = train(training), len(ROLES)
     rest = [c for c in units.columns if c not in ("recovered", "bare", "rendered")]
     base = units.select(F.col(conv).alias("c"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.struct(*[F.col(f"`{k}`") for k in rest]).alias("rest"))
-    base = base.withColumn("k", F.coalesce(F.floor(F.col("o") / F.lit(CHUNK)), F.lit(-(1 << 40))).cast("long")).withColumn("x", observed(F.col("t")))
+    base = numbered(base.withColumn("x", observed(F.col("t")))).withColumn("k", F.floor(F.col("number") / F.lit(CHUNK)).cast("long"))
     base = materialise(base, "hmm-units")
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = ("c", "k", F.col("o").asc_nulls_first(), "t")
+    place = ("c", "k", "number")
     key = base.schema["c"].dataType.simpleString()
     arrow = to_arrow_type(base.schema["c"].dataType)
 
@@ -126,7 +156,7 @@ def recover_roles(units: DataFrame, training: DataFrame, conv: str = "conv_id",
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["c", "k", "m", "f"])
 
     # m: best sums from a state before the chunk to one at its end; f: from the start of a conversation.
-    chunks = base.select("c", "k", "o", "t", "x").repartition(parts, "c", "k").sortWithinPartitions(*place).select("c", "k", "x")
+    chunks = base.select("c", "k", "number", "x").repartition(parts, "c", "k").sortWithinPartitions(*place).select("c", "k", "x")
     chunks = materialise(chunks.mapInArrow(reduce, f"c {key}, k long, m array<double>, f array<double>"), "hmm-chunks")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,20 +189,24 @@ def recover_roles(units: DataFrame, training: DataFrame, conv: str = "conv_id",
     spoken = StructType([f for f in met.schema.fields if f.name in ("t", "rest")]).add("state", "integer")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, held_keys, now = [], [], None  # the open chunk, CHUNK units at most
         for b in batches:
             if not b.num_rows:
                 continue
-            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            keys = list(zip(held.column("c").to_pylist(), held.column("k").to_pylist(), strict=True))
-            last = len(keys) - 1
+            keys = list(zip(b.column("c").to_pylist(), b.column("k").to_pylist(), strict=True))
+            last = len(keys)
             while last and keys[last - 1] == keys[-1]:
-                last -= 1
-            if last:
-                yield from states(held.slice(0, last), keys[:last])
-                held = held.slice(last)
-        if held is not None:
-            yield from states(held, list(zip(held.column("c").to_pylist(), held.column("k").to_pylist(), strict=True)))
+                last -= 1  # the chunk that is open at the batch's end
+            if held and (last or keys[-1] != now):
+                yield from states(pa.Table.from_batches([*held, b.slice(0, last)]), held_keys + keys[:last])
+                held, held_keys = [], []
+            elif last:
+                yield from states(pa.Table.from_batches([b.slice(0, last)]), keys[:last])
+            held.append(b.slice(last))
+            held_keys += keys[last:]
+            now = keys[-1]
+        if held:
+            yield from states(pa.Table.from_batches(held), held_keys)
 
     def states(t: pa.Table, keys: list[tuple]) -> Iterator[pa.RecordBatch]:
         e, enter, leave = _emissions(model, _matrix(t.combine_chunks().to_batches()[0])), t.column("enter").to_pylist(), t.column("leave").to_pylist()
@@ -214,9 +248,8 @@ def format_transcripts(docs: DataFrame, training: DataFrame, id_: str = "id", te
     A line with a speaker marker opens a turn, an unmarked line goes on with the one before it; a text without markers is cut at blank
     lines. What opens a turn is a unit of the model, so roles of unmarked turns are recovered too. Each transcript is one row's text, which bounds its turns.
     """
-    marked = "(?im)^(?=" + MARKER[1:].format("|".join(CALLED.values())) + ")"
     t = F.trim(F.coalesce(F.col(text), F.lit("")))
-    pieces = F.split(t, F.when(t.rlike(marked), F.lit(marked)).otherwise(F.lit(r"\n\s*\n")))
+    pieces = F.split(t, F.when(t.rlike(MARKED), F.lit(MARKED)).otherwise(F.lit(r"\n\s*\n")))
     units = docs.select(F.col(id_).alias("id"), F.posexplode(F.filter(F.transform(pieces, lambda x: F.rtrim(x)), lambda x: x.rlike(r"\S"))).alias("turn", "text"))
     out = recover_roles(units, training, "id", "turn", "text")
     return out.select("id", "turn", F.col("recovered").alias("role"), F.trim(F.regexp_replace("bare", r"^\s+|\s+$", "")).alias("text"), render(F.col("recovered"), F.regexp_replace("bare", r"^\s+|\s+$", "")).alias("rendered"))

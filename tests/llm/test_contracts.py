@@ -259,11 +259,49 @@ def test_quality_without_positives(spark, docs):
     assert pu_quality.quality_scores(frame(spark, docs.head(0)), labels).count() == 0
 
 
-def test_chat_roles(spark):
-    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    got = chat_hmm.recover_roles(turns, turns).toPandas()
-    assert len(got) == turns.count()
-    assert (got.role == got.recovered).mean() > 0.8
+def plain_viterbi(model, features):
+    """The best path of one conversation, by the definition."""
+    import numpy as np
+
+    e = [sum(model[k][:, v] for k, v in zip(chat_hmm.FEATURES, x)) for x in features]
+    v, back = model["start"] + e[0], []
+    for x in e[1:]:
+        sums = v[:, None] + model["move"]
+        back.append(sums.argmax(axis=0))
+        v = sums.max(axis=0) + x
+    path = [int(np.argmax(v))]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return [chat_hmm.ROLES[i] for i in reversed(path)]
+
+
+def test_chat_roles_held_out(spark):
+    """Roles of conversations that the model hasn't learnt from, and all paths against a plain Viterbi."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").dropDuplicates(["conv_id", "turn"])
+    got = chat_hmm.recover_roles(turns, turns).withColumn("held", chat_hmm.held_out(F.col("conv_id"), 5)).withColumn("x", chat_hmm.observed(F.col("text"))).toPandas().sort_values(["conv_id", "turn"])
+    held = got[got.held & got.role.isin(chat_hmm.ROLES)]
+    assert len(got) == turns.count() and len(held) > 50
+    assert (held.role == held.recovered).mean() > 0.8
+    model = chat_hmm.train(turns)
+    for _, c in got.groupby("conv_id"):
+        assert list(c.recovered) == plain_viterbi(model, list(c.x))
+
+
+def test_chat_query_parses_marked_turns(spark):
+    """A text with several speakers gives a unit for each, one without gives one; nothing of it is lost."""
+    df = spark.createDataFrame([(1, 0, "User: hi\nthere\nAssistant: hello"), (1, 1, "plain text"), (2, 0, None), (2, 1, "")], "conv_id long, turn long, text string")
+    got = [(r["conv_id"], r["turn"], r["unit_piece"], r["unit_text"]) for r in chat_hmm.spoken_units(df).orderBy("conv_id", "turn", "unit_piece").collect()]
+    assert got == [(1, 0, 0, "User: hi\nthere\n"), (1, 0, 1, "Assistant: hello"), (1, 1, 0, "plain text"), (2, 0, 0, ""), (2, 1, 0, "")]
+
+
+def test_chat_numbers_units_of_one_place(spark, monkeypatch):
+    """Units without a place, or all at one, are numbered from 0 without a gap."""
+    monkeypatch.setattr(chat_hmm, "CHUNK", 5)
+    rows = [(None, None, f"t{i}") for i in range(23)] + [(1, 7, f"t{i}") for i in range(12)] + [(2, i, "same") for i in range(17)]
+    got = chat_hmm.numbered(spark.createDataFrame(rows, "c long, o long, t string").repartition(4)).collect()
+    for c, n in ((None, 23), (1, 12), (2, 17)):
+        assert sorted(r["number"] for r in got if r["c"] == c) == list(range(n))
+    assert [r["o"] for r in sorted((r for r in got if r["c"] == 2), key=lambda r: r["number"])] == list(range(17))
 
 
 def test_chat_chunks_agree_with_one_chain(spark, monkeypatch):
