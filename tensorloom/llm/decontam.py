@@ -55,22 +55,24 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     shape = known.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
     lengths = sorted(set(shape["lengths"]) | {size}, reverse=True)  # `size` numbers at most
     parts = -(-shape["n"] // BROADCAST_WINDOWS) or 1
+    # One scan counts rows itself; several must agree on the numbers, so these are written.
+    docs, row = number_rows(docs.select(doc_id, text) if doc_id != text else docs.select(doc_id), "decontam-parts") if parts > 1 else (docs, None)
     hits = None
     for i in range(parts):
         part = known if parts == 1 else known.filter(F.pmod(F.xxhash64("anchor"), F.lit(parts)) == i)
         anchors = [r[0] for r in part.select("anchor").distinct().collect()]  # no more than BROADCAST_WINDOWS words
-        here = _scan(docs, part.drop("anchor"), anchors, doc_id, text, lengths)
+        here = _scan(docs, part.drop("anchor"), anchors, doc_id, text, lengths, row)
         hits = here if hits is None else hits.union(here)
     return hits.groupBy("row", "doc_id", "n_words").agg(F.collect_list("h").alias("hits"))
 
 
-def _scan(docs: DataFrame, known: DataFrame, anchors: list[str], doc_id: str, text: str, lengths: list[int]) -> DataFrame:
-    """(row, doc_id, n_words, h): a row for each hit, and one with null for each document. row is the place in the scan.
+def _scan(docs: DataFrame, known: DataFrame, anchors: list[str], doc_id: str, text: str, lengths: list[int], row: str | None = None) -> DataFrame:
+    """(row, doc_id, n_words, h): a row for each hit, and one with null for each document. row is the column of that name, or the place in the scan.
 
     A window can only occur around its anchor, so only windows that hold a word of the anchor set are hashed.
     """
     w, none = F.col("w"), F.lit(None).cast("struct<at:int,length:int,hash:bigint>")
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
+    base = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
     marks = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(anchors), i))) if anchors else F.array().cast("array<int>")
     base = base.select("row", "doc_id", "w", F.size(w).alias("size"), marks.alias("marks"))
 
@@ -119,15 +121,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         bad = score_documents(numbered, benchmark, row, text, size).filter("contaminated").select(F.col("doc_id").alias(row))
         return numbered.join(materialise(bad, "decontam-bad"), row, "left_anti").drop(row)
     found = find_windows(numbered, benchmark, row, text, size).filter(F.size("hits") > 0)
-    hit_words = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1))))
-    found = materialise(found.select(F.col("doc_id").alias("bad_id"), hit_words.alias("bad_words")), "decontam-spans")
+    hit_words = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1)))))
+    found = found.withColumn("at", hit_words)
+    # For each word up to the last hit whether it is hit.
+    gap = lambda x, i: x - F.when(i == 0, F.lit(-1)).otherwise(F.get("at", i - 1)) - 1
+    flags = F.flatten(F.transform("at", lambda x, i: F.concat(F.array_repeat(F.lit(False), gap(x, i)), F.array(F.lit(True)))))
+    found = materialise(found.select(F.col("doc_id").alias("bad_id"), flags.alias("bad_words")), "decontam-spans")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     joined = numbered.select(F.col(row).alias("id"), F.col(text).alias("t"), whole)
     joined = joined.join(found, joined["id"] == found["bad_id"], "left")
     t = F.col("t")
     mark = F.concat(F.lit("\x01"), F.md5(t.cast("binary")), F.lit("\x02"))
     joined = joined.withColumn("pieces", F.when(F.col("bad_words").isNotNull(), F.split(F.regexp_replace(t, F.lit(_any_case()), F.concat(mark, F.lit("$0"), mark)), mark, -1)))
-    hit = lambda i: F.array_contains("bad_words", i)
+    hit = lambda i: F.coalesce(F.get("bad_words", i), F.lit(False))
     odd, word = (lambda i: i % 2 == 1), (lambda i: F.floor(i / 2).cast("int"))
     # Pieces at odd places are words, those at even places what stands before the next word.
     cut_word = lambda i: F.when(hit(word(i) - 1), F.lit("")).otherwise(F.lit(placeholder))
