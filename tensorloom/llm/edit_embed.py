@@ -246,39 +246,42 @@ def band_links(fps: DataFrame, alike: float = ALIKE) -> DataFrame:
     probability 1 - (1 - s^BAND_SLOTS)^BANDS, 0.95 at s = 0.8; those that meet and are alike are always linked, directly or by way of others.
     """
     fp = F.col("fp")
-    keys = F.array(*[F.xxhash64(F.concat(*[F.substring(fp, k + 1, 1) for k in ks])) for ks in band_slots()])
-    keyed = fps.select(F.unhex("fingerprint").alias("fp")).distinct().select("fp", F.posexplode(keys).alias("band", "key"))
-    # Fingerprints are handed on only where a bucket has more than one.
-    sizes = materialise(keyed.groupBy("band", "key").count().filter("count > 1"), "edit-buckets")
-    tiles = F.ceil(F.col("count") / F.lit(TILE)).cast("int")
-    met = keyed.join(sizes, ["band", "key"]).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64(fp), F.col("tiles")).cast("int"))
-    dealt = met.select("band", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("upper"), "fp")
-    group = ["band", "key", "i", "j"]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.concat(*[F.substring(fp, k + 1, 1) for k in ks])) for i, ks in enumerate(band_slots())])
+    keyed = fps.select(F.unhex("fingerprint").alias("fp")).distinct().select("fp", F.explode(keys).alias("key"))
+    # Buckets beyond a tile, at most rows / TILE of them; all others are one tile.
+    large = materialise(keyed.groupBy("key").count().filter(F.col("count") > TILE), "edit-large")
+    tiles = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(TILE)).cast("int")
+    met = keyed.join(large, "key", "left").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64(fp), F.col("tiles")).cast("int"))
+    dealt = met.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("upper"), "fp")
+    group = ["key", "i", "j"]
     dealt = dealt.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group, "fp")
 
-    def compare(at: tuple, codes: list[bytes], side: list[int]) -> list[tuple[str, str, float]]:
-        x, y, near = forest(np.frombuffer(b"".join(codes), np.uint8).reshape(-1, SLOTS), np.array(side), at[2] == at[3], alike)
-        return [(*sorted((codes[i].hex(), codes[j].hex())), n) for i, j, n in zip(x.tolist(), y.tolist(), near.tolist(), strict=True)]
-
-    def out(links: list[tuple[str, str, float]]) -> pa.RecordBatch:
+    def compare(at: np.ndarray, codes: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        found: list[tuple[str, str, float]] = []
+        for s, e in zip(cuts, cuts[1:]):
+            if e - s > 1:
+                x, y, near = forest(codes[s:e], at[s:e, 3], bool(at[s, 1] == at[s, 2]), alike)
+                found += [(*sorted((codes[s + i].tobytes().hex(), codes[s + j].tobytes().hex())), n) for i, j, n in zip(x.tolist(), y.tolist(), near.tolist(), strict=True)]
         kinds = (pa.string(), pa.string(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in links], k) for i, k in enumerate(kinds)], ["a", "b", "near"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], ["a", "b", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, texts, side = None, [], []  # the open group: two tiles at most
+        open_ = None  # the open group: two tiles at most
         for b in batches:
-            done = []
-            for *at, upper, x in zip(*(b.column(c).to_pylist() for c in (*group, "upper", "fp")), strict=True):
-                if at != now:
-                    if len(texts) > 1:
-                        done += compare(now, texts, side)
-                    now, texts, side = at, [], []
-                texts.append(x)
-                side.append(upper)
-            yield out(done)
-        if len(texts) > 1:
-            yield out(compare(now, texts, side))
+            if not b.num_rows:
+                continue
+            at = np.stack([b.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in (*group, "upper")], axis=1)
+            codes = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, SLOTS)
+            if open_ is not None:
+                at, codes = np.concatenate([open_[0], at]), np.concatenate([open_[1], codes])
+            cuts = np.flatnonzero((at[1:, :3] != at[:-1, :3]).any(axis=1)) + 1
+            last = cuts[-1] if len(cuts) else 0
+            open_ = at[last:], codes[last:]
+            if last:
+                yield compare(at, codes, np.concatenate([[0], cuts]))
+        if open_ is not None:
+            yield compare(*open_, np.array([0, len(open_[0])]))
 
     return dealt.mapInArrow(run, "a string, b string, near double").distinct()
 
