@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +55,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df, written once with a number of its own for each row, and the name of that column."""
+    """df with a key of its own for each row, the same in every scan, and the name of that column.
+
+    Rows of a file scan have their file (a 64-bit hash of its path) and their place in it; any other table is numbered and written once.
+    """
     row = spare_name(df, "row_number")
-    return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
+    try:
+        return df.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))), row
+    except AnalysisException:  # no file scan
+        return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def drop_scratch(spark: SparkSession) -> None:

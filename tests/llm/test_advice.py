@@ -102,3 +102,21 @@ def test_edit_likeness_of_string_and_wide_ids(spark):
         for i, d in enumerate(order):
             e = edit_embed.edited(whole[d], whole[order[(i + 1) % 41]])
             assert got[d]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+
+
+def test_row_keys_of_file_scans(spark, tmp_path):
+    """Rows of a written table have keys of their own that agree between scans and partitionings; dedup and decontamination by them equal those by written numbers."""
+    from tensorloom.llm.common import number_rows
+
+    rows = [(1, "a"), (5, "a"), (5, "b"), (6, "b"), (None, "a"), (None, "c"), (None, "d"), (None, "d"), (7, "e"), (7, "e")]
+    frame = spark.createDataFrame([(i, PROSE[k]) for i, k in rows], "doc_id long, text string")
+    frame.repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    numbered, row = number_rows(docs, "t")
+    one = {(x[row], x["text"]) for x in numbered.collect()}
+    two = {(x[row], x["text"]) for x in numbered.coalesce(1).filter("text is not null").collect()}
+    assert len({k for k, _ in one}) == len(rows) and one == two and "Row" in type(next(iter(one))[0]).__name__
+    bench = spark.createDataFrame([(1, PROSE["a"])], "item_id long, text string")
+    for f in (simhash.drop_near_duplicates, lambda d: decontam.decontaminate(d, bench), lambda d: decontam.decontaminate(d, bench, remove="spans")):
+        key = lambda x: (x["doc_id"] is None, x["doc_id"] or 0, x["text"])
+        assert sorted(f(docs).collect(), key=key) == sorted(f(frame.repartition(2)).collect(), key=key)

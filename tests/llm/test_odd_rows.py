@@ -13,6 +13,8 @@ def on_docs(f):
     return lambda spark, df: f(df, spark)
 
 
+#: Secrets are here what has 12 characters: odd rows are tested, not the forest.
+TREE = [(0, 11.5, 0.0, 1.0)]
 DOCS = {
     "quality": on_docs(lambda d, s: pu_quality.quality_scores(d, s.read.parquet(f"{SF}/labels.parquet"))),
     "keep_quality": on_docs(lambda d, s: pu_quality.keep_quality(d, s.read.parquet(f"{SF}/labels.parquet"))),
@@ -20,8 +22,8 @@ DOCS = {
     "spans_removed": on_docs(lambda d, s: decontam.decontaminate(d, s.read.parquet(f"{SF}/benchmark.parquet"), remove="spans")),
     "near_duplicates": on_docs(lambda d, s: simhash.near_duplicates(d)),
     "suffix_tree": on_docs(lambda d, s: suffix_tree.score_texts(d)),
-    "secrets": on_docs(lambda d, s: secrets.scan_secrets(d)),
-    "redact_secrets": on_docs(lambda d, s: secrets.redact_secrets(d)),
+    "secrets": on_docs(lambda d, s: secrets.scan_secrets(d, forest=TREE)),
+    "redact_secrets": on_docs(lambda d, s: secrets.redact_secrets(d, forest=TREE)),
     "edit": on_docs(lambda d, s: edit_embed.edit_likeness(d)),
     "edit_near": on_docs(lambda d, s: edit_embed.near_duplicates(d)),
     "pii": on_docs(lambda d, s: pii.find_personal_data(d)),
