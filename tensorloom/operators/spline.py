@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 from statistics import NormalDist
@@ -121,6 +122,9 @@ class Prepared:
         )
         if p.control.compute_edf:
             model.infer(self.backend)
+        edge = [f"{x} ({b})" for x, b in zip(self.spec.x, model.boundary(), strict=True) if b != "interior"]
+        if method == "cGCV" and edge:
+            warnings.warn(f"smoothing at the bounds: {', '.join(edge)}", stacklevel=2)
         return model
 
 
@@ -246,6 +250,10 @@ class TensorSplineModel:
     def complexity(self) -> dict:
         return tensor.complexity(self.cores) | {"edf": self.edf}
 
+    def outside(self, df: DataFrame) -> DataFrame:
+        """One row: for each covariate how many rows of df lie outside the span that the fit saw, where its basis is zero."""
+        return df.agg(*[F.coalesce(F.sum(k.outside(F.col(c).cast("double")).cast("long")), F.lit(0)).alias(c) for c, k in zip(self.spec.x, self.knots, strict=True)])
+
     def boundary(self) -> list[str]:
         return boundary_status(self.lam, self.spec.control.lambda_bounds)
 

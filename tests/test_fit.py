@@ -167,3 +167,12 @@ def test_input_errors(spark, wave):
         TensorSpline(["x1", "x2"], lam="cREML").fit(wave)
     with pytest.raises(ValueError):
         TensorSpline(["x1", "x2"]).fit(wave.withColumn("y", F.lit(None).cast("double")))
+
+
+def test_rows_outside_the_span_and_smoothing_at_the_bounds(spark, wave):
+    m = TensorSpline(["x1", "x2"], rank=1, k=5, lam=1.0, control=FAST).fit(wave)
+    beyond = spark.createDataFrame([(0.5, 0.5), (-3.0, 0.5), (2.0, 9.0), (None, 0.5)], "x1 double, x2 double")
+    assert m.outside(beyond).first().asDict() == {"x1": 2, "x2": 1} and m.outside(beyond.limit(0)).first()["x1"] == 0
+    noise = wave.withColumn("y", surfaces.normal(F.col("row_id"), 9, 0))
+    with pytest.warns(UserWarning, match="at the bounds"):
+        TensorSpline(["x1", "x2"], rank=1, k=5, control=Control(max_sweeps=10, lambda_bounds=(0.9, 1.1))).fit(noise)
