@@ -1,12 +1,16 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
 Minimises  pi * R_P(+) + max(-beta, R_U(-) - pi * R_P(-))  with the logistic loss over trusted positives P and
-unlabelled web text U, for an estimated class prior pi, plus a ridge. The scorer is additive: every text feature is
+unlabelled web text U, for an estimated class prior pi, plus a ridge. Where the second part falls below -beta a step
+goes back along it, and of the steps that of the least risk is kept: the stopping is part of the method, as the risk's
+own minimum gives nearly every text a high score (45% of held-out negatives over 0.3 in a trial). The scorer is additive: every text feature is
 cut at its corpus quantiles and each bin has a weight.
 
 Scale: a text is read once for its features (one Arrow pass, whole texts); the features, a few numbers for each
 document, are written and all statistics come from them by distributed sums over all documents: quantiles, prior,
 and for each Newton step one gradient and Hessian of some hundred weights. The driver holds those sums alone.
+Quantiles are read off counts on a fixed grid, and what a row adds to a sum is rounded to a power of two that lets the sum
+be exact, so a run's scores don't depend on how rows are dealt to tasks or on the order in which tasks end.
 
 The prior is the share of positives among the labelled training rows. Where these hold no negatives it is the
 largest share that the bins allow: the least ratio, over bins of any one feature, of U's density to P's.
@@ -18,6 +22,7 @@ empty table gives an empty result; further columns pass through `keep_quality`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,11 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.backends import tree_sums
 from .common import held_out, materialise, spare_name
 
 THRESHOLD, RIDGE, BETA, STEPS, BINS = 0.3, 3.0, 0.0, 12, 8
+#: Steps of the grid on which quantiles are counted, per unit of a feature.
+GRID = 1 << 15
 FEATURES = ("size", "upper", "digit", "symbol", "space", "word_len", "distinct", "top_word", "repeat_next", "repeat_line", "repeat_pair", "marked_words", "bare_marks", "shouted", "stops", "line_len")
 _UPPER, _DIGIT, _SPACE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c"
 _SYMBOL, _STOP = b"#$%&*|<>{}[]\\^~=@_+/!", (b".", b",", b";", b":", b"?")
@@ -116,23 +124,19 @@ def fit(table: DataFrame, labels: DataFrame, mod: int = 5, threshold_bins: int =
     known = labels.select(F.col("doc_id").alias("known_id"), "quality").filter("quality is not null").groupBy("known_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     train = train.join(known, train["doc_id"] == known["known_id"], "left").select("x", F.coalesce(F.col("low") == 1, F.lit(False)).alias("trusted"), F.col("low").isNotNull().alias("known"))
     train = materialise(train, "pu-train")
-    quantiles = [i / threshold_bins for i in range(1, threshold_bins)] + [0.02, 0.05, 0.95, 0.98]
-    first = train.agg(
-        F.count("*").alias("n"), F.sum(F.col("trusted").cast("long")).alias("p"), F.sum(F.col("known").cast("long")).alias("k"),
-        *[F.percentile_approx(F.get("x", i), quantiles, 2000).alias(f"q{i}") for i in range(len(FEATURES))],
-    ).first()
+    first = train.agg(F.count("*").alias("n"), F.sum(F.col("trusted").cast("long")).alias("p"), F.sum(F.col("known").cast("long")).alias("k")).first()
     n, p, k = first["n"] or 0, first["p"] or 0, first["k"] or 0
     model = QualityModel(prior=p / k if k else 0.5)
     if not p:
         return model
-    model.cuts = [sorted({float(q) for q in first[f"q{i}"]}) for i in range(len(FEATURES))]
+    model.cuts = _cuts(train, n, [i / threshold_bins for i in range(1, threshold_bins)] + [0.02, 0.05, 0.95, 0.98])
     if p == k:
         model.prior = _prior_bound(train, model, n, p)
     pi, size = min(max(model.prior, 1e-3), 1 - 1e-3), model.n_weights
     w, best = np.zeros(size), None
     w[0] = np.log(pi / (1 - pi))
     for _ in range(STEPS):
-        u_neg, p_pos, p_neg, g_u, g_p, g_pn, h_u = _risks(train, model, w)
+        u_neg, p_pos, p_neg, g_u, g_p, g_pn, h_u = _risks(train, model, w, n)
         u_neg, p_pos, p_neg = u_neg / n, p_pos / p, p_neg / p
         rest = u_neg - pi * p_neg
         value = pi * p_pos + max(rest, -BETA) + ridge / (2 * n) * (w[1:] ** 2).sum()
@@ -153,9 +157,28 @@ def fit(table: DataFrame, labels: DataFrame, mod: int = 5, threshold_bins: int =
     return model
 
 
-def _risks(train: DataFrame, model: QualityModel, w: np.ndarray):
-    """Sums over all training rows: losses, gradients and Hessian. Each task sends them once, packed, and narrower stages add them up."""
+def _cuts(train: DataFrame, n: int, quantiles: list[float]) -> list[list[float]]:
+    """For each feature its quantiles over all rows, up to the next step of the grid: one map-side-combined count by (feature, step).
+
+    Features lie between 0 and 2, so there are at most 2 x GRID steps of each whatever the rows.
+    """
+    counts = train.select(F.posexplode("x").alias("i", "v")).groupBy("i", F.ceil(F.col("v") * GRID).alias("step")).count()
+    upto = counts.withColumn("upto", F.sum("count").over(Window.partitionBy("i").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    ranks = [max(1, math.ceil(q * n)) for q in quantiles]
+    rows = upto.groupBy("i").agg(F.array(*[F.min(F.when(F.col("upto") >= r, F.col("step"))) for r in ranks]).alias("steps")).collect()  # a row for each feature
+    at = {r["i"]: r["steps"] for r in rows}
+    return [sorted({step / GRID for step in at[i]}) for i in range(len(FEATURES))]
+
+
+def _risks(train: DataFrame, model: QualityModel, w: np.ndarray, n: int):
+    """Sums over the n training rows: losses, gradients and Hessian. Each task sends them once, packed, and narrower stages add them up.
+
+    A loss is below 1 + the sum of the largest weights, so multiples of `unit` add up without rounding in any order.
+    """
     size = len(w)
+    most = 1 + float(np.abs(w).max(initial=0.0)) * (1 + len(model.cuts))
+    unit = 2.0 ** (math.ceil(math.log2(max(n, 1))) + math.ceil(math.log2(most)) - 52)
+    even = lambda v: np.round(v / unit) * unit
 
     def sums(b: pa.RecordBatch) -> dict:
         total = np.zeros(3 + 3 * size + size * size)
@@ -163,14 +186,14 @@ def _risks(train: DataFrame, model: QualityModel, w: np.ndarray):
             rows, trusted = model.design(_matrix(b.column("x"))), b.column("trusted").to_numpy(zero_copy_only=False)
             z = w[rows].sum(axis=1)
             s = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-            total[0] += np.logaddexp(0, z).sum()
-            total[1] += np.logaddexp(0, -z[trusted]).sum()
-            total[2] += np.logaddexp(0, z[trusted]).sum()
-            for at, rows_, v in ((3, rows, s), (3 + size, rows[trusted], s[trusted] - 1), (3 + 2 * size, rows[trusted], s[trusted])):
+            total[0] += even(np.logaddexp(0, z)).sum()
+            total[1] += even(np.logaddexp(0, -z[trusted])).sum()
+            total[2] += even(np.logaddexp(0, z[trusted])).sum()
+            for at, rows_, v in ((3, rows, even(s)), (3 + size, rows[trusted], even(s[trusted] - 1)), (3 + 2 * size, rows[trusted], even(s[trusted]))):
                 total[at : at + size] += np.bincount(rows_.ravel(), np.repeat(v, rows_.shape[1]), size)
             dense = np.zeros((len(z), size))
             np.put_along_axis(dense, rows, 1.0, axis=1)
-            total[3 + 3 * size :] += (dense.T @ (dense * (s * (1 - s))[:, None])).ravel()
+            total[3 + 3 * size :] += (dense.T @ (dense * even(s * (1 - s))[:, None])).ravel()
         return {(0, "sums"): total}
 
     out = tree_sums(train.select("x", "trusted"), sums).get((0, "sums"), np.zeros(3 + 3 * size + size * size))
@@ -181,7 +204,7 @@ def _risks(train: DataFrame, model: QualityModel, w: np.ndarray):
 
 def _prior_bound(train: DataFrame, model: QualityModel, n: int, p: int) -> float:
     zero = np.zeros(model.n_weights)
-    g_u, g_p = _risks(train, model, zero)[3:5]
+    g_u, g_p = _risks(train, model, zero, n)[3:5]
     u, pos = 2 * g_u[1:] / n, -2 * g_p[1:] / p  # at zero weights each row counts a half
     return float(min(1.0, (u[pos > 0.05] / pos[pos > 0.05]).min(initial=1.0)))
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pytest
 import xxhash
@@ -253,6 +254,40 @@ def test_quality_beats_chance_on_held_out(spark):
     assert (pos >= 0.3).mean() > 0.9
 
 
+def test_quality_does_not_depend_on_how_rows_are_dealt(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    runs = [sorted(map(tuple, pu_quality.quality_scores(d, labels).select("doc_id", "score").collect())) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("doc_id")).repartition(3, "source"))]
+    assert runs[0] == runs[1] == runs[2] and len({s for _, s in runs[0]}) > 50
+
+
+def test_quality_against_plain_quantiles_and_risk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = pu_quality.fit(pu_quality.feature_table(docs), labels)
+    train = [(r["doc_id"], pu_quality.features(r["text"])) for r in docs.collect() if crc32(str(r["doc_id"]).encode()) % 5]
+    x, known = np.array([f for _, f in train]), {}
+    for r in labels.filter("quality is not null").collect():
+        known.setdefault(r["doc_id"], set()).add(r["quality"])
+    trusted = np.array([known.get(d) == {1} for d, _ in train])
+    n, pi = len(x), trusted.sum() / sum(d in known for d, _ in train)
+    assert model.prior == pytest.approx(pi)
+    for i, cuts in enumerate(model.cuts):  # each quantile of the sorted column, at most a step of the grid below its cut
+        column = np.sort(x[:, i])
+        want = {column[max(1, int(np.ceil(q * n))) - 1] for q in [j / 8 for j in range(1, 8)] + [0.02, 0.05, 0.95, 0.98]}
+        assert sorted({np.ceil(v * pu_quality.GRID) / pu_quality.GRID for v in want}) == cuts
+
+    def risk(w):
+        z = np.array([w[0] + sum(w[1 + sum(len(c) + 1 for c in model.cuts[:i]) + sum(v > c for c in cuts)] for i, (v, cuts) in enumerate(zip(row, model.cuts))) for row in x])
+        plus, minus = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+        return pi * plus[trusted].mean() + max(0.0, minus.mean() - pi * minus[trusted].mean()) + pu_quality.RIDGE / (2 * n) * (w[1:] ** 2).sum()
+
+    flat = np.zeros(model.n_weights)
+    flat[0] = np.log(pi / (1 - pi))
+    assert risk(model.weights) < risk(flat)
+    got = {r["doc_id"]: r["score"] for r in pu_quality.quality_scores(docs, labels).collect()}
+    z = [model.weights[0] + sum(model.weights[1 + sum(len(c) + 1 for c in model.cuts[:i]) + sum(v > c for c in cuts)] for i, (v, cuts) in enumerate(zip(row, model.cuts))) for _, row in train]
+    assert [got[d] for d, _ in train] == pytest.approx([1 / (1 + math.exp(-v)) for v in z], abs=1e-9)
+
+
 def test_quality_without_positives(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in pu_quality.quality_scores(frame(spark, docs), labels).collect()} == {0.5}
