@@ -70,6 +70,23 @@ def simulate_friedman(spark, n=800, sigma=1.0, seed=1, family="gaussian"):
     return simulate(spark, n, 5, lambda x: friedman(*x), 0.0, 1.0, sigma, seed, family)
 
 
+#: The named example sets: 800 rows of each surface, and a grid of counts.
+DATASETS = ("ishigami", "sobol_g", "friedman", "glam_poisson")
+
+
+def dataset(spark: SparkSession, name: str) -> DataFrame:
+    """A named example set, made anew from its seed: the same rows in every run."""
+    made = {
+        "ishigami": lambda: simulate_ishigami(spark, 800, 0.15, 1),
+        "sobol_g": lambda: simulate_sobol_g(spark, 800, 4, SOBOL_A, 0.05, 2),
+        "friedman": lambda: simulate_friedman(spark, 800, 1.0, 3),
+        "glam_poisson": lambda: age_year_counts(spark, 41, 31, seed=44),
+    }
+    if name not in made:
+        raise ValueError(f"no data set {name!r}; there are {', '.join(DATASETS)}")
+    return made[name]()
+
+
 def grid_truth(xs: list[Column]) -> Column:
     """An interactive surface on the unit cube for 2 to 7 columns."""
     if not 2 <= len(xs) <= 7:

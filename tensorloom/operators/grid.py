@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import families as fam_
 from ..functions.basis import Knots, difference_penalty
 from ..plans import tensor
-from ..plans.backends import Request, State, build
+from ..plans.backends import MomentBackend, Request, State, build
 from ..plans.linalg import solve_spd
-from .spline import TensorSpline
+from .control import parse_lambda
+from .spline import TensorSpline, TensorSplineModel
 
 
 def rotated_product(x: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -80,16 +81,7 @@ class DenseGridModel:
     n: float
 
     def transform(self, df: DataFrame) -> DataFrame:
-        from .spline import TensorSplineModel
-
-        k = [kn.k for kn in self.knots]
-        cores, left = [], self.theta.reshape(1, *k)
-        # An exact train: the tensor itself in the first cores' bonds.
-        for i in range(len(k) - 1):
-            a = left.shape[0]
-            cores.append(np.eye(a * k[i]).reshape(a, k[i], a * k[i]))
-            left = left.reshape(a * k[i], *k[i + 1 :])
-        cores.append(left.reshape(left.shape[0], k[-1], 1))
+        cores = dense_train(self.theta, [kn.k for kn in self.knots])
         spec = TensorSpline(self.x, family=self.family, knots=self.knots)
         m = TensorSplineModel(spec, self.family, self.knots, State(cores, np.array([self.intercept])), self.lam, "dense", True, self.n, self.n, self.deviance, float("nan"), [], [], [], [])
         return m.transform(df, offset=False)
@@ -114,12 +106,7 @@ def fit_dense(df: DataFrame, x: list[str], y: str = "y", family: str = "gaussian
     shapes = [np.zeros((1, p, 1)) for p in sizes]
 
     def state(theta: np.ndarray) -> State:
-        cores, left = [], theta.reshape(1, *sizes)
-        for i in range(len(sizes) - 1):
-            a = left.shape[0]
-            cores.append(np.eye(a * sizes[i]).reshape(a, sizes[i], a * sizes[i]))
-            left = left.reshape(a * sizes[i], *sizes[i + 1 :])
-        return State([*cores, left.reshape(left.shape[0], sizes[-1], 1)], np.zeros(1))
+        return State(dense_train(theta, sizes), np.zeros(1))
 
     theta = np.full(int(np.prod(sizes)), start)
     for _ in range(1 if fam == "gaussian" else maxit):
@@ -164,6 +151,22 @@ def summarise_comparisons(rows: DataFrame) -> DataFrame:
     return rows.groupBy("d", "n_grid", "k").pivot("method").agg(F.avg("rmse"))
 
 
+def analyse_comparisons(rows: DataFrame) -> DataFrame:
+    """(d, n_grid, k, method, rmse, seconds) with the choices by CV -> one row for each design: how far each choice is from the best
+    rank and from the dense fit (ratios, and percent over the best rank), and how often the fit's time the choice takes.
+
+    A ratio is null where either side is null or not finite, or the divisor is nearly 0.
+    """
+    wide = rows.groupBy("d", "n_grid", "k").pivot("method", ["dense", "oracle", "minCV", "1-SE"]).agg(F.avg("rmse").alias("rmse"), F.avg("seconds").alias("seconds"))
+    known = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(float("inf"))) & ~F.isnan(c)
+    ratio = lambda a, b: F.when(known(a) & known(b) & (F.abs(F.col(b)) > 1e-12), F.col(a) / F.col(b))
+    percent = lambda a, b: 100 * (ratio(a, b) - 1)
+    return wide.select(
+        "d", "n_grid", "k", known("dense_rmse").alias("dense_feasible"), ratio("minCV_rmse", "oracle_rmse").alias("min_over_oracle"), ratio("1-SE_rmse", "oracle_rmse").alias("one_se_over_oracle"),
+        percent("minCV_rmse", "oracle_rmse").alias("min_excess_pct"), percent("1-SE_rmse", "oracle_rmse").alias("one_se_excess_pct"), ratio("1-SE_rmse", "dense_rmse").alias("one_se_over_dense"), ratio("1-SE_seconds", "oracle_seconds").alias("select_over_fit"),
+    )
+
+
 def compare_scale(spark: SparkSession, designs=((2, 12, 6), (3, 8, 5)), lam: float = 1.0, ranks=(1, 2), sigma: float = 0.2, seed: int = 1) -> DataFrame:
     """Comparisons over designs (d, points on each axis, k): d, n_grid, k, method, rank, rmse, edf, seconds."""
     from ..functions.surfaces import grid_truth, normal
@@ -183,7 +186,7 @@ def prepare_array(df: DataFrame, axes: dict[str, list[float]], spec: TensorSplin
     Only for a whole grid with even weights; equal to the scattered fit of the same rows.
     """
     from ..functions.basis import make_knots
-    from ..plans.backends import MomentBackend, collect_sums
+    from ..plans.backends import collect_sums
     from .spline import Prepared
 
     knots = spec.knots or make_knots(df, spec.x, spec.k, spec.degree)
@@ -216,34 +219,78 @@ def null_basis(k: int, order: int = 2) -> np.ndarray:
     return np.linalg.qr(np.vander(np.arange(k) - (k - 1) / 2, order, increasing=True))[0]
 
 
-def fit_profiled_null(df: DataFrame, spec: TensorSpline) -> tuple[np.ndarray, State, object]:
-    """Gaussian: the tensor product of null bases is projected out, a train fitted to what is left. Returns (null coefficients, state, backend).
+@dataclass
+class ProfiledNull:
+    """A train beside unshrunk null coefficients. `left` answers for what the null design leaves of the rows, `backend` for the rows."""
+
+    null: np.ndarray
+    model: TensorSplineModel
+    backend: MomentBackend
+    left: MomentBackend
+
+    @property
+    def coef(self) -> np.ndarray:
+        """Null coefficients that are best for the train as it stands."""
+        m, theta = self.backend.m, self._train()
+        return np.linalg.pinv(self.null.T @ m["S"] @ self.null) @ (self.null.T @ (m["b"] - m["S"] @ theta))
+
+    @property
+    def null_rank(self) -> int:
+        return int(np.linalg.matrix_rank(self.null.T @ self.backend.m["S"] @ self.null, hermitian=True))
+
+    @property
+    def edf(self) -> float:
+        """The null design counts in full, the train by the influence of its residualised map."""
+        return self.null_rank + self.model.edf
+
+    def _train(self) -> np.ndarray:
+        return tensor.contract(tensor.index_bases([k.k for k in self.model.knots]), self.model.cores)
 
-    All of it happens in moments: with X0 = T N, the sums become S - C'M^-1 C and b - C'M^-1 m.
+    def theta(self) -> np.ndarray:
+        """The whole coefficient tensor, null part included, flat."""
+        return self.null @ self.coef + self._train()
+
+    def deviance(self) -> float:
+        m, t = self.backend.m, self.theta()
+        return float(m["zz"] - 2 * m["b"] @ t + t @ m["S"] @ t)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        whole = State(dense_train(self.theta(), [k.k for k in self.model.knots]), np.zeros(1))
+        return replace(self.model, state=whole, vcov_=None).transform(df)
+
+
+def dense_train(theta: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """An exact train of a flat tensor: the tensor itself in the last core, index selectors before it."""
+    cores, a = [], 1
+    for p in sizes[:-1]:
+        cores.append(np.eye(a * p).reshape(a, p, a * p))
+        a *= p
+    return [*cores, theta.reshape(a, sizes[-1], 1)]
+
+
+def fit_profiled_null(df: DataFrame, spec: TensorSpline) -> ProfiledNull:
+    """Gaussian: the tensor product of null bases is projected out, a train fitted to what is left, at fixed or automatic smoothing.
+
+    All of it happens in moments (one pass; at most 1,500 tensor entries): with X0 = T N, the sums become S - C'M^-1 C and b - C'M^-1 m.
     """
     from ..functions.basis import make_knots
-    from ..plans.backends import MomentBackend
-    from . import optimizers as opt
+    from .spline import Prepared
 
-    knots = spec.knots or make_knots(df, spec.x, spec.k, spec.degree)
+    if fam_.family(spec.family) != "gaussian" or spec.linear or spec.smooth:
+        raise ValueError("a profiled null space is for Gaussian surfaces without further terms")
+    knots = spec.knots or make_knots(df, spec.x, spec.k, spec.degree, spec.cyclic, spec.period)
     sizes = [kn.k for kn in knots]
-    n_null = spec.penalty_order ** len(sizes)
-    if n_null > spec.control.null_space_max_npar:
+    if spec.penalty_order ** len(sizes) > spec.control.null_space_max_npar:
         raise ValueError("the null space is too large")
     be = build(df, knots, spec.x, spec.y, "gaussian", spec.weight, spec.offset, kind="moments")
     null = np.eye(1)
-    for p in sizes:
-        null = np.kron(null, null_basis(p, spec.penalty_order))
+    for kn in knots:  # the penalty of a cyclic column sees all but the constant
+        null = np.kron(null, null_basis(kn.k, 1 if kn.cyclic else spec.penalty_order))
     m = be.m
     gram, cross, rhs = null.T @ m["S"] @ null, null.T @ m["S"], null.T @ m["b"]
     inv = np.linalg.pinv(gram)
     left = MomentBackend(sizes, m | {"S": m["S"] - cross.T @ inv @ cross, "b": m["b"] - cross.T @ inv @ rhs, "zz": m["zz"] - rhs @ inv @ rhs, "C": np.zeros_like(m["C"]), "m": np.zeros_like(m["m"])})
-    pens = [difference_penalty(p, spec.penalty_order) for p in sizes]
-    from .control import parse_lambda
-
-    _, lam = parse_lambda(1.0 if isinstance(spec.lam, str) else spec.lam, len(sizes), spec.control)
-    p = opt.Problem(left, "gaussian", sizes, pens, lam, replace(spec.control, refit_intercept=False), 1)
-    s = State(tensor.init_cores(sizes, spec.rank, spec.control.seed, spec.control.init_sd), np.zeros(1))
-    s, _ = opt.als(p, s)
-    theta = tensor.contract(tensor.index_bases(sizes), s.cores)
-    return inv @ (rhs - cross @ theta), s, be
+    ready = Prepared(replace(spec, knots=knots, control=replace(spec.control, refit_intercept=False)), "gaussian", knots, [], 1, left)
+    method, lam = parse_lambda(spec.lam, len(sizes), spec.control)
+    flat = State(tensor.init_cores(sizes, spec.rank, spec.control.seed, spec.control.init_sd), np.zeros(1))
+    return ProfiledNull(null, ready.fit(lam=spec.lam if method == "cGCV" else tuple(lam), init=flat), be, left)

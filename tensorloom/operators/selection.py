@@ -124,6 +124,13 @@ class RankSelection:
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(r["rank"], float(r["mean_cv"]), float(r["se_cv"])) for r in self.table], "rank int, mean_cv double, se_cv double")
 
+    def plot_frame(self, spark: SparkSession) -> DataFrame:
+        """For plots of error, compression and their tradeoff: error bars, the train's stored numbers and their share of the dense tensor, and both choices."""
+        sizes = [k.k for k in self.prepared.knots]
+        stored = lambda r: tensor.complexity(tensor.init_cores(sizes, r, 1, 0.1))
+        rows = [(r["rank"], float(r["mean_cv"]), float(r["mean_cv"] - r["se_cv"]), float(r["mean_cv"] + r["se_cv"]), int(stored(r["rank"])["stored"]), float(stored(r["rank"])["compression"]), r["rank"] == self.rank_min, r["rank"] == self.rank_1se) for r in self.table]
+        return spark.createDataFrame(rows, "rank int, mean_cv double, lower double, upper double, stored int, compression double, is_min boolean, is_1se boolean")
+
 
 def rank_select(df: DataFrame, spec: TensorSpline, ranks=(1, 2, 3, 4, 5), folds: int = 5, fold: str | None = None, key: str | None = None, rule: str = "1se", metric: str = "auto", n_starts: int = 1, seed: int = 1, fit_fun=None) -> RankSelection:
     """K-fold CV over ranks. fit_fun(prepared, rank, seed) replaces the fit of a training part. Knots come from all rows and are shared; training data is the total less a fold; smoothing is chosen within."""
@@ -208,6 +215,16 @@ class ActivityPath:
     selected: list[str]
     model: object
 
+    def path_frame(self, spark: SparkSession) -> DataFrame:
+        """For the plot of activity over the path: a row for each smoothing and column, with the column's place in the ranking from 1."""
+        rows = [(float(r["lambda"]), r["column"], float(r["activity"]), self.order.index(r["column"]) + 1) for r in self.path]
+        return spark.createDataFrame(rows, "lambda double, column string, activity double, place int")
+
+    def cv_frame(self, spark: SparkSession) -> DataFrame:
+        """For the plot of loss by number of columns: error bars, the column that each size adds, and both choices."""
+        rows = [(int(r["m"]), self.order[r["m"] - 1] if r["m"] else None, float(r["mean_cv"]), float(r["mean_cv"] - r["se_cv"]), float(r["mean_cv"] + r["se_cv"]), r["m"] == self.m_min, r["m"] == self.m_1se) for r in self.table]
+        return spark.createDataFrame(rows, "m int, added string, mean_cv double, lower double, upper double, is_min boolean, is_1se boolean")
+
 
 @dataclass
 class Univariate:
@@ -334,6 +351,13 @@ def drop_test(df: DataFrame, spec: TensorSpline, method: str = "F", b: int = 99,
     return out
 
 
+def drop_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """The rows of `drop_test` as a table, by falling statistic."""
+    cols = ("column", "delta_deviance", "nu", "statistic", "p_value", "keep")
+    rows = sorted(rows, key=lambda r: (-r["statistic"], r["column"]))
+    return spark.createDataFrame([tuple(r[c] if c in ("column", "keep") else float(r[c]) for c in cols) for r in rows], "column string, delta_deviance double, nu double, statistic double, p_value double, keep boolean")
+
+
 def spec_with(spec: TensorSpline, knots) -> TensorSpline:
     return replace(spec, knots=knots, control=replace(spec.control, compute_edf=False))
 

@@ -26,6 +26,17 @@ def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
+def operator_norm(a: np.ndarray) -> float:
+    """The spectral norm of the symmetric part; the Frobenius norm where its eigenvalues can't be had."""
+    if not a.size:
+        return 0.0
+    a = (a + a.T) / 2
+    try:
+        return float(np.abs(np.linalg.eigvalsh(a)).max())
+    except np.linalg.LinAlgError:
+        return float(np.linalg.norm(a))
+
+
 def brent(f: Callable[[float], float], a: float, b: float, tol: float = 1e-6, most: int = 100) -> float:
     """The minimum of f on [a, b] by golden sections and parabolas."""
     gold = 0.5 * (3 - math.sqrt(5))

@@ -692,13 +692,18 @@ def dense_baseline(spark, sf_dir):
     return truth_row(spark, train_at_full_rank_is_dense=bool(far < 1e-2), oracle_is_least=bool(by["oracle"] <= min(v for k, v in by.items() if k.startswith("tt")) + 1e-12))
 
 
-@query("SELECT 4::BIGINT AS coefficients, true AS left_is_orthogonal")
+@query("SELECT s AS smoothing, 4::BIGINT AS coefficients, true AS left_is_orthogonal, true AS edf_adds_null_rank, true AS deviance_is_that_of_predictions FROM (VALUES ('fixed'), ('cGCV')) v(s)")
 def profiled_null(spark, sf_dir):
-    """What is left is orthogonal to the null space of the penalties."""
-    coef, s, be = grid.fit_profiled_null(_price(spark, sf_dir), TensorSpline(XS, rank=2, k=5, lam=1.0))
-    null, theta = np.kron(grid.null_basis(5), grid.null_basis(5)), tensor.contract(tensor.index_bases([5, 5]), s.cores)
-    left = null.T @ (be.m["b"] - be.m["S"] @ (null @ coef + theta))
-    return truth_row(spark, coefficients=len(coef), left_is_orthogonal=bool(np.abs(left).max() < 1e-8 * max(1.0, np.abs(be.m["b"]).max())))
+    """What is left is orthogonal to the null space of the penalties; the predictions of the rows have the deviance that the moments give."""
+    df, rows = _price(spark, sf_dir), []
+    for name, lam in (("fixed", 1.0), ("cGCV", "cGCV")):
+        f = grid.fit_profiled_null(df, TensorSpline(XS, rank=2, k=5, lam=lam))
+        m = f.backend.m
+        left = f.null.T @ (m["b"] - m["S"] @ f.theta())
+        y = F.col("y").cast("double")
+        dev = f.transform(df).agg(F.sum((y - F.col("fit")) * (y - F.col("fit")))).first()[0]
+        rows.append((name, len(f.coef), bool(np.abs(left).max() < 1e-8 * max(1.0, np.abs(m["b"]).max())), bool(abs(f.edf - f.model.edf - 4) < 1e-9 and f.model.edf > 0), bool(abs(dev / f.deviance() - 1) < 1e-8)))
+    return spark.createDataFrame(rows, "smoothing string, coefficients long, left_is_orthogonal boolean, edf_adds_null_rank boolean, deviance_is_that_of_predictions boolean")
 
 
 @query("SELECT a.v AS l1, b.v AS l2, true AS gcv_is_its_formula, true AS gdf_positive FROM (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) a(v), (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) b(v)")

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from tensorloom.operators import grid, lab, lag, selection
 from tensorloom.operators.control import Control, boundary_status, damped_step, scale_anisotropy
 from tensorloom.operators.spline import SmoothTerm, TensorSpline
 from tensorloom.plans.backends import Request, State
-from tensorloom.plans.linalg import brent, f_tail, sobol, t_two_sided
+from tensorloom.plans.linalg import brent, f_tail, operator_norm, sobol, t_two_sided
 from tensorloom.plans import tensor
 from tensorloom.sources import io
 from tensorloom.streaming.moments import StreamMoments
@@ -170,12 +172,51 @@ def test_poisson_grid(spark):
 
 
 def test_profiled_null_space(spark, wave):
-    coef, s, be = grid.fit_profiled_null(wave, TensorSpline(["x1", "x2"], rank=2, k=5, lam=1.0, control=FAST))
-    assert len(coef) == 4 and np.isfinite(coef).all()
-    null = np.kron(grid.null_basis(5), grid.null_basis(5))
-    theta = tensor.contract(tensor.index_bases([5, 5]), s.cores)
-    left = null.T @ (be.m["b"] - be.m["S"] @ (null @ coef + theta))
-    assert np.abs(left).max() < 1e-8
+    spec = TensorSpline(["x1", "x2"], rank=2, k=5, lam=1.0, control=FAST)
+    f = grid.fit_profiled_null(wave, spec)
+    assert len(f.coef) == 4 and f.null_rank == 4 and f.edf == pytest.approx(4 + f.model.edf)
+    assert np.abs(f.null.T @ (f.backend.m["b"] - f.backend.m["S"] @ f.theta())).max() < 1e-8
+    got = f.transform(wave).selectExpr("sum((y - fit) * (y - fit))").first()[0]
+    assert got == pytest.approx(f.deviance(), rel=1e-8)
+    # Under heavy smoothing a surface of the null space is left as it is, and nothing else is fitted.
+    flat = State(grid.dense_train(f.null @ np.array([1.0, 2.0, -1.0, 3.0]), [5, 5]), np.zeros(1))
+    bent = replace(f.model, state=flat, vcov_=None).transform(wave).selectExpr("x1", "x2", "eta as y")
+    heavy = grid.fit_profiled_null(bent, replace(spec, lam=1e8, knots=f.model.knots))
+    assert heavy.deviance() < 1e-8 * heavy.backend.m["zz"] and heavy.coef == pytest.approx([1, 2, -1, 3], abs=1e-4)
+    chosen = grid.fit_profiled_null(wave, replace(spec, lam="cGCV"))
+    assert chosen.model.trace and (chosen.model.lam != 1).any() and chosen.deviance() < heavy.backend.m["zz"]
+    with pytest.raises(ValueError):
+        grid.fit_profiled_null(wave, replace(spec, family="poisson"))
+
+
+def test_comparison_analysis(spark):
+    rows = [(2, 10, 6, "dense", 0.2, 1.0), (2, 10, 6, "oracle", 0.1, 0.5), (2, 10, 6, "minCV", 0.11, 2.0), (2, 10, 6, "1-SE", 0.15, 2.0), (4, 5, 6, "oracle", 0.0, 1.0), (4, 5, 6, "1-SE", 0.1, 3.0)]
+    a, b = grid.analyse_comparisons(spark.createDataFrame(rows, "d int, n_grid int, k int, method string, rmse double, seconds double")).orderBy("d").collect()
+    assert (a["min_over_oracle"], a["one_se_over_oracle"], a["one_se_excess_pct"], a["one_se_over_dense"], a["select_over_fit"]) == pytest.approx((1.1, 1.5, 50.0, 0.75, 4.0)) and a["dense_feasible"]
+    assert not b["dense_feasible"] and b["one_se_over_oracle"] is None and b["min_over_oracle"] is None and b["select_over_fit"] == 3.0
+
+
+def test_data_sets(spark):
+    for name in surfaces.DATASETS:
+        df = surfaces.dataset(spark, name)
+        assert df.count() == (41 * 31 if name == "glam_poisson" else 800)
+        assert df.agg(F.sum(F.xxhash64(*df.columns) % 1000)).first() == surfaces.dataset(spark, name).agg(F.sum(F.xxhash64(*df.columns) % 1000)).first()
+    with pytest.raises(ValueError):
+        surfaces.dataset(spark, "cars")
+
+
+def test_plot_frames(spark, wave):
+    spec = TensorSpline(["x1", "x2"], rank=2, k=5, lam=1.0, control=FAST)
+    sel = selection.rank_select(wave, spec, ranks=(1, 2), folds=3)
+    rows = sel.plot_frame(spark).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2] and [r["stored"] for r in rows] == [10, 20] and sum(r["is_min"] for r in rows) == 1
+    assert all(r["lower"] <= r["mean_cv"] <= r["upper"] for r in rows)
+    path = selection.activity_path(wave, spec, lambdas=(1.0, 0.1), folds=3)
+    assert path.path_frame(spark).count() == 4 and {r["place"] for r in path.path_frame(spark).collect()} == {1, 2}
+    assert [r["added"] for r in path.cv_frame(spark).orderBy("m").collect()] == [None, *path.order]
+    table = selection.drop_frame(spark, selection.drop_test(wave, replace(spec, control=Control(max_sweeps=12)))).collect()
+    assert [r["statistic"] for r in table] == sorted((r["statistic"] for r in table), reverse=True)
+    assert operator_norm(np.array([[0.0, 2.0], [2.0, 0.0]])) == pytest.approx(2) and operator_norm(np.zeros((0, 0))) == 0
 
 
 def test_laboratory(spark, wave):
