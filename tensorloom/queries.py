@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import families as fam_
 from .functions import surfaces
 from .functions.basis import Knots, difference_penalty, domains
-from .operators import grid, lab, lag, selection
+from .operators import grid, lab, lab_adaptive, lag, selection
 from .operators.control import Control, boundary_status, damped_step
 from .operators.control import scale_anisotropy as split_scale
 from .operators.optimizers import frozen_curves, propose
@@ -779,4 +779,14 @@ def lab_designs(spark, sf_dir):
 @query("SELECT margin, true AS within_bounds FROM (VALUES ('l_quantity'), ('l_discount')) v(margin)")
 def joint_smoothing(spark, sf_dir):
     o = lab.optimise(_price(spark, sf_dir), TensorSpline(XS, rank=1, k=5, lam=1.0))
-    return spark.createDataFrame([(x, bool(v > 0 and np.isfinite(v))) for x, v in zip(XS, o["lambda"])], "margin string, within_bounds boolean")
\ No newline at end of file
+    return spark.createDataFrame([(x, bool(v > 0 and np.isfinite(v))) for x, v in zip(XS, o["lambda"])], "margin string, within_bounds boolean")
+
+
+@query("SELECT margin, true AS inside_box, true AS named, true AS gcv_is_least_of_final, true AS fitted_there FROM (VALUES ('l_quantity'), ('l_discount')) v(margin)")
+def adaptive_smoothing(spark, sf_dir):
+    """The adaptive search over all rows, with smaller budgets of points and probes than its defaults (which took 78 s on sf0.01)."""
+    o = lab_adaptive.optimise_adaptive(_price(spark, sf_dir), TensorSpline(XS, rank=1, k=5, lam=1.0), batches=(16, 16), probes=5, probes_final=10, starts=2, local=20)
+    names = ("effectively_unpenalized", "weakly_identified", "boundary_unresolved", "well_identified")
+    least = bool(o.gcv <= min(r["gcv"] for r in o.final))
+    rows = [(x, bool(lo <= v <= hi), label in names, least, bool(abs(np.log10(lam) - v) < 1e-9)) for x, v, (lo, hi), label, lam in zip(XS, o.log10_lambda, o.box, o.identifiability, o.model.lam)]
+    return spark.createDataFrame(rows, "margin string, inside_box boolean, named boolean, gcv_is_least_of_final boolean, fitted_there boolean")

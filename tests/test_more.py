@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions import surfaces
 from tensorloom.functions.basis import Knots
-from tensorloom.operators import grid, lab, lag, selection
+from tensorloom.operators import grid, lab, lab_adaptive, lag, selection
 from tensorloom.operators.control import Control, boundary_status, damped_step, scale_anisotropy
 from tensorloom.operators.spline import SmoothTerm, TensorSpline
 from tensorloom.plans.backends import Request, State
@@ -230,6 +230,39 @@ def test_laboratory(spark, wave):
     assert sobol(3, 2).tolist() == [[0.5, 0.5], [0.75, 0.25], [0.25, 0.75]]
 
 
+def test_adaptive_search_parts():
+    box, best = np.array([[-5.0, 5.0], [-5.0, 5.0]]), np.array([0.0, -4.8])
+    bowl = lambda v: 1 + (v[0] - 0.2) ** 2 + 1e-4 * (v[1] + 5) ** 2
+    forced = lab_adaptive.edge_probe(bowl, best, box)
+    assert forced.tolist() == [[False, False], [True, True]]
+    grown = lab_adaptive.grow_box(box, best, None, forced)
+    assert grown.tolist() == [[-5.0, 5.0], [-8.0, 8.0]]
+    assert lab_adaptive.grow_box(np.array([[-11.0, 7.0]]), np.array([-10.9]), None, np.array([[False, True]])).tolist() == [[-12.0, 8.0]]
+    assert lab_adaptive.grow_box(box, np.array([0.0, -4.2]), np.array([[-1.0, 1.0], [-4.9, -4.0]]), np.zeros((2, 2), bool)).tolist() == [[-5.0, 5.0], [-8.0, 5.0]]
+    slab = lab_adaptive.new_slab(12, box, grown, 5)
+    assert slab.shape == (12, 2) and (np.abs(slab[:, 1]) > 5).all() and (np.abs(slab) <= 8).all()
+    pts = np.array([[0.0, 1.0], [1.0, 2.0], [3.0, 3.0], [4.0, 4.0]])
+    assert lab_adaptive.near_optimal(pts, np.array([1.0, 1.005, 1.5, np.inf])).tolist() == [[0.0, 1.0], [1.0, 2.0]]
+    assert lab_adaptive.near_optimal(pts, np.full(4, np.inf)) is None
+    assert lab_adaptive.tied(1.0, 1.05, 0.03, 0.03) and not lab_adaptive.tied(1.0, 1.1, 0.03, 0.03) and lab_adaptive.tied(1.0, 1.009) and not lab_adaptive.tied(1.0, np.inf)
+    curve = lambda f: [(float(x), float(f(x))) for x in np.linspace(-5, 5, 15)]
+    faces = box[0]
+    assert lab_adaptive.classify(np.array([-0.4, 0.4]), faces, curve(lambda x: 1 + x * x)) == "well_identified"
+    assert lab_adaptive.classify(np.array([-4.9, -4.0]), faces, curve(lambda x: 1 + max(x, -3) + 3)) == "effectively_unpenalized"
+    assert lab_adaptive.classify(np.array([-3.0, 3.0]), faces, curve(lambda x: 1 + 0.1 * x * x)) == "weakly_identified"
+    assert lab_adaptive.classify(np.array([-4.9, -3.0]), faces, curve(lambda x: 6 + x)) == "boundary_unresolved"
+    assert [n for n, _ in lab_adaptive.anchors(box, None)][:4] == ["centre", "corner_low", "corner_high", "corner_mixed"]
+
+
+def test_adaptive_search(spark, wave):
+    spec = TensorSpline(["x1", "x2"], rank=2, k=5, lam=1.0, control=FAST)
+    o = lab_adaptive.optimise_adaptive(wave, spec, batches=(6, 6), probes=2, probes_final=3, sweeps=(4, 6, 10), starts=2, local=6, expansions=1)
+    q = [x for _, _, x in o.explored if np.isfinite(x)]
+    assert np.isfinite(o.gcv) and len(o.identifiability) == 2 and len(q) > 20 and o.batches == 2
+    assert ((o.log10_lambda >= o.box[:, 0]) & (o.log10_lambda <= o.box[:, 1])).all() and o.model.lam == pytest.approx(10**o.log10_lambda)
+    assert any(r["tied"] for r in o.final) and o.frame(spark).count() == len(o.explored)
+
+
 def test_smoothing_helpers():
     assert boundary_status([1e-4, 1.0, 1e4], (1e-4, 1e4)) == ["lower", "interior", "upper"]
     assert damped_step([1.0], [1e4], 0.25, 1.0, (1e-4, 1e4))[0] == pytest.approx(10.0)
