@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_hmm, decontam, edit_embed, mixing, pii, pu_quality, secrets, simhash, suffix_tree, url_filter
+from . import chat_hmm, decontam, edit_embed, mixing, pii, pu_quality, secrets, simhash, source_audit, suffix_tree, url_filter
 from .common import table
 
 
@@ -55,5 +55,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_decontaminate, op3_simhash, op4_suffix_tree, op5_secret_scan, op6_edit_embedding, op7_chat_format, op8_personal_data, op9_mixing, op10_url_filter)}
-ORACLE_SQL = {"op2_decontaminate": decontam.ORACLE, "op9_mixing": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_decontaminate, op3_simhash, op4_suffix_tree, op5_secret_scan, op6_edit_embedding, op7_chat_format, op8_personal_data, op9_mixing, op10_url_filter, op11_source_audit)}
+ORACLE_SQL = {"op2_decontaminate": decontam.ORACLE, "op9_mixing": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_source_audit": source_audit.ORACLE}
