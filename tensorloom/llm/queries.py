@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_hmm, decontam, dual_tree, edit_embed, mixing, pii, pu_quality, secrets, simhash, source_audit, suffix_tree, url_filter
+from . import chat_hmm, decontam, dual_tree, edit_embed, mixing, pii, pu_quality, quality_rules, secrets, simhash, source_audit, suffix_tree, url_filter
 from .common import table
 
 
@@ -63,5 +63,9 @@ def op12_dual_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_decontaminate, op3_simhash, op4_suffix_tree, op5_secret_scan, op6_edit_embedding, op7_chat_format, op8_personal_data, op9_mixing, op10_url_filter, op11_source_audit, op12_dual_tree_clusters)}
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_decontaminate, op3_simhash, op4_suffix_tree, op5_secret_scan, op6_edit_embedding, op7_chat_format, op8_personal_data, op9_mixing, op10_url_filter, op11_source_audit, op12_dual_tree_clusters, op13_quality_rules)}
 ORACLE_SQL = {"op2_decontaminate": decontam.ORACLE, "op9_mixing": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_source_audit": source_audit.ORACLE, "op12_dual_tree_clusters": dual_tree.ORACLE}
