@@ -9,7 +9,7 @@ import numpy as np
 
 from ..functions.families import start_intercept
 from ..plans import tensor
-from ..plans.backends import Request, State
+from ..plans.backends import Request, RowBackend, State
 from ..plans.linalg import brent, lbfgs, ridge_scale, root, solve_spd
 from .control import Control, anisotropy_step, damped_step, scale_anisotropy
 
@@ -165,6 +165,58 @@ def blend(a: State, b: State, t: float) -> State:
     return State([(1 - t) * x + t * y for x, y in zip(a.cores, b.cores, strict=True)], (1 - t) * a.beta + t * b.beta)
 
 
+def joint_sweeps(p: Problem, s: State, sweeps: int | None = None) -> tuple[State, bool]:
+    """All cores and additive terms in one block solve for each pass over the data.
+
+    A pass gives, at a trial state, the curvature and score of everything at once and the true penalised objective. The trial is taken if the
+    objective has fallen, and the next is solved for from those sums; else the last state's equations are solved anew with more damping
+    (Levenberg-Marquardt), which asks nothing of the data. So a sweep is one question, a refused one included.
+    """
+    c, sizes = p.control, [g.size for g in s.cores]
+    n, shapes = sum(sizes), [g.shape for g in s.cores]
+    free = np.r_[np.ones(n, bool), np.full(p.n_beta, c.refit_intercept)]
+
+    def look(state: State) -> tuple[float, np.ndarray, np.ndarray]:
+        out = p.ask("sweep", state)
+        h, g = np.array(out["S"], float), np.array(out["g"], float)
+        h[:n, :n] += tensor.joint_penalty(state.cores, p.penalties, p.lam)
+        g[:n] += tensor.penalty_gradient(state.cores, p.penalties, p.lam)
+        for t in p.smooths:
+            at = slice(n + t.at.start, n + t.at.stop)
+            h[at, at] += t.lam * t.penalty
+            g[at] += t.lam * t.penalty @ state.beta[t.at]
+        return float(out["nll"]) + p.penalty(state), h, g
+
+    s, damping, grow = s.copy(), 1e-3, 2.0
+    value, h, g = look(s)
+    for sweep in range(1, (sweeps or 4 * c.max_sweeps) + 1):
+        own, left = h[np.ix_(free, free)], g[free]
+        scale = np.maximum(np.diag(own), 1e-6 * max(float(np.diag(own).max()), 1e-300))
+        move = solve_spd(own + damping * np.diag(scale), left)
+        fall = float(left @ move - 0.5 * move @ own @ move)  # as the sums foretell
+        if fall <= 0.1 * c.tol * (abs(value) + c.tol) and damping <= 1:
+            return s, True
+        v = np.concatenate([tensor.pack_all(s.cores), s.beta])
+        v[free] -= move
+        trial = State(tensor.unpack_all(v[:n], shapes), v[n:])
+        new, h_new, g_new = look(trial)
+        gain = (value - new) / fall if fall > 0 and np.isfinite(new) else -1.0
+        p.history.append({"stage": "joint", "sweep": sweep, "objective": min(new, value) if np.isfinite(new) else value, "taken": gain > 0})
+        if gain > 0:
+            s, value, h, g = trial, new, h_new, g_new
+            damping, grow = damping * max(1 / 3, 1 - (2 * gain - 1) ** 3), 2.0
+        else:
+            damping, grow = max(damping, 1e-8) * grow, 2 * grow
+            if damping > 1e12:
+                return s, bool(np.abs(g[free]).max() <= np.sqrt(c.tol) * (1 + abs(value)))
+    return s, False
+
+
+def _one_scan(p: Problem) -> bool:
+    """Whether a question costs a pass over rows, the global penalty holds and no smooth term's own smoothing waits for its turn in a sweep."""
+    return isinstance(p.backend, RowBackend) and p.control.penalty == "global" and all(t.target_edf is None and t.method != "cGCV" for t in p.smooths)
+
+
 # Direct and conditional optimisers.
 
 
@@ -278,7 +330,7 @@ def lbfgs_als(p: Problem, s: State) -> tuple[State, bool]:
     return s, False
 
 
-OPTIMIZERS = ("als", "pirls-als", "lbfgs", "gd", "dn-als", "lbfgs-als", "hybrid", "adam")
+OPTIMIZERS = ("als", "pirls-als", "joint", "lbfgs", "gd", "dn-als", "lbfgs-als", "hybrid", "adam")
 
 
 def resolve_optimizer(name: str, family: str, additive: bool) -> str:
@@ -296,7 +348,12 @@ def resolve_optimizer(name: str, family: str, additive: bool) -> str:
 
 
 def fit_fixed(p: Problem, s: State, optimizer: str) -> tuple[State, bool]:
-    run = {"als": als, "pirls-als": pirls, "lbfgs": global_lbfgs, "gd": gradient_descent, "dn-als": damped_newton_als, "lbfgs-als": lbfgs_als}
+    """Over rows, alternating sweeps are taken jointly: one scan each in place of one for each core."""
+    run = {"als": als, "pirls-als": pirls, "joint": joint_sweeps, "lbfgs": global_lbfgs, "gd": gradient_descent, "dn-als": damped_newton_als, "lbfgs-als": lbfgs_als}
+    if optimizer == "joint" and p.control.penalty != "global":
+        raise ValueError("joint sweeps take the global penalty")
+    if optimizer in ("als", "pirls-als") and _one_scan(p):
+        return joint_sweeps(p, s)
     if optimizer == "hybrid":
         first, _ = (als if p.family == "gaussian" else pirls)(p, s)
         return global_lbfgs(p, first, p.control.hybrid_lbfgs_maxit)
@@ -340,28 +397,36 @@ class Spectral:
         return self.n * rss / max(self.n - self.edf(lam), 1e-6) ** 2
 
 
-def spectral(p: Problem, s: State, k: int) -> Spectral:
-    """The conditional system of core k with everything else frozen."""
-    sums = p.ask("core", s, anchor=s if p.family != "gaussian" else None, k=k)
+def spectral(p: Problem, s: State, k: int, sums: dict | None = None) -> Spectral:
+    """The conditional system of core k with everything else frozen. sums: those of all cores, if they are at hand."""
+    if sums is None:
+        sums, at = p.ask("core", s, anchor=s if p.family != "gaussian" else None, k=k), slice(None)
+    else:
+        at = slice(sum(c.size for c in s.cores[:k]), sum(c.size for c in s.cores[: k + 1]))
     zz = float(sums["zz"] - 2 * sums["m"] @ s.beta + s.beta @ sums["M"] @ s.beta)
     own, other = p.core_penalty(s.cores, k)
-    return Spectral.of(p.backend.n, zz, sums["S"], sums["b"] - sums["C"] @ s.beta, own, other)
+    return Spectral.of(p.backend.n, zz, sums["S"][at, at], sums["b"][at] - sums["C"][at] @ s.beta, own, other)
+
+
+def all_cores(p: Problem, s: State) -> dict:
+    """The sums of every core's conditional system, from one question."""
+    return p.ask("blocks", s, anchor=s if p.family != "gaussian" else None)
 
 
 def propose(p: Problem, s: State) -> np.ndarray:
     lo, hi = np.log(p.control.lambda_bounds)
-    out = p.lam.copy()
+    out, sums = p.lam.copy(), all_cores(p, s)
     for k in p.control.cgcv_margin_order or range(len(out)):
-        cache = spectral(p, s, k)
+        cache = spectral(p, s, k, sums)
         out[k] = np.exp(brent(lambda x, cache=cache: cache.gcv(np.exp(x)), lo, hi))
     return out
 
 
 def frozen_curves(p: Problem, s: State, points: int = 61) -> list[dict]:
     """GCV of each margin over a log grid with all else frozen."""
-    out = []
+    out, sums = [], all_cores(p, s)
     for k in range(len(p.sizes)):
-        cache = spectral(p, s, k)
+        cache = spectral(p, s, k, sums)
         for x in np.linspace(*np.log10(p.control.lambda_bounds), points):
             out.append({"margin": k + 1, "lambda": float(10**x), "log10_lambda": float(x), "gcv": cache.gcv(10**x), "edf": cache.edf(10**x)})
     return out

@@ -213,8 +213,10 @@ class TensorSplineModel:
     def conditional_edf(self, backend) -> np.ndarray:
         """Trace of each core's own smoother with the others held; not additive."""
         pens, out = [difference_penalty(k.k, self.spec.penalty_order, k.cyclic) for k in self.knots], []
+        whole = backend.total(Request("blocks", self.family, [self.state], None if self.family == "gaussian" else self.state))["S"]
+        cuts = np.cumsum([0, *(c.size for c in self.cores)])
         for k in range(len(self.cores)):
-            s = backend.total(Request("core", self.family, [self.state], None if self.family == "gaussian" else self.state, k))["S"]
+            s = whole[cuts[k] : cuts[k + 1], cuts[k] : cuts[k + 1]]
             own, other = tensor.core_penalty(self.cores, pens, self.lam, k)
             out.append(np.trace(np.linalg.solve(s + self.lam[k] * own + other + ridge_scale(s) * np.eye(len(s)), s)))
         return np.array(out, float)
@@ -346,10 +348,6 @@ class TensorSplineModel:
         w = F.coalesce(F.col(self.spec.weight).cast("double"), F.lit(1.0)) if self.spec.weight else None
         return self.transform(df).withColumn("residual", fam_.residual(self.family, F.col(self.spec.y).cast("double"), F.col("fit"), kind, w))
 
-    def outside(self, df: DataFrame) -> DataFrame:
-        """One row: for each covariate how many rows lie outside its span."""
-        return df.agg(*[F.coalesce(F.sum(k.outside(F.col(c).cast("double")).cast("long")), F.lit(0)).alias(c) for k, c in zip(self.knots, self.spec.x, strict=True)])
-
     def slice_frame(self, spark, margin: int, at: dict[str, float], points: int = 50) -> DataFrame:
         """Plot data: one covariate over its span, the others held."""
         k = self.knots[margin]

@@ -82,6 +82,10 @@ def answer(b: Block, q: Request) -> dict[str, np.ndarray]:
         j = np.concatenate([tensor.jacobian(b.bases, s.cores), b.z], axis=1)
         eta = b.eta(s)
         return {"nll": np.array(fam_.np_nll(q.family, b.y, eta, b.w)), "g": j.T @ fam_.np_score(q.family, b.y, eta, b.w)}
+    if q.kind == "sweep":  # curvature and score of all cores and the additive block at once, with the loss there
+        x, eta = np.concatenate([tensor.jacobian(b.bases, s.cores), b.z], axis=1), b.eta(s)
+        w = fam_.np_curvature(q.family, eta, b.w)
+        return {"S": x.T @ (x * w[:, None]), "g": x.T @ fam_.np_score(q.family, b.y, eta, b.w), "nll": np.array(fam_.np_nll(q.family, b.y, eta, b.w))}
     if q.anchor is None and q.family == "gaussian":
         w, t = b.w, b.y - b.off
     else:
@@ -90,6 +94,8 @@ def answer(b: Block, q: Request) -> dict[str, np.ndarray]:
         t = t - b.off
     if q.kind == "core":
         x = tensor.design_core(b.bases, s.cores, q.k)
+    elif q.kind == "blocks":  # the working equations of every core given the others, side by side
+        x = tensor.jacobian(b.bases, s.cores)
     elif q.kind == "joint":
         x = tensor.jacobian(b.bases, s.cores)
         if q.family != "gaussian":
@@ -211,12 +217,13 @@ class MomentBackend:
                 out[f"nll{i}"], out[f"dev{i}"] = np.array(max(rss, 0) / 2), np.array(max(rss, 0))
             return out
         s = q.states[0]
-        if q.kind == "gradient":
+        if q.kind in ("gradient", "sweep"):
             a, t = tensor.jacobian(self._index, s.cores), tensor.contract(self._index, s.cores)
             left = m["S"] @ t + m["C"] @ s.beta - m["b"]
             g = np.concatenate([a.T @ left, m["C"].T @ t + m["M"] @ s.beta - m["m"]])
-            return {"nll": self.total(replace(q, kind="loss"))["nll0"], "g": g}
-        a = tensor.jacobian(self._index, s.cores) if q.kind == "joint" else tensor.design_core(self._index, s.cores, q.k)
+            out = {"nll": self.total(replace(q, kind="loss"))["nll0"], "g": g}
+            return out if q.kind == "gradient" else out | {"S": np.block([[a.T @ m["S"] @ a, a.T @ m["C"]], [m["C"].T @ a, m["M"]]])}
+        a = tensor.jacobian(self._index, s.cores) if q.kind in ("joint", "blocks") else tensor.design_core(self._index, s.cores, q.k)
         out = {"S": a.T @ m["S"] @ a, "b": a.T @ m["b"], "C": a.T @ m["C"], "M": m["M"], "m": m["m"], "zz": m["zz"], "w": m["w"]}
         if q.kind == "newton":
             t = tensor.contract(self._index, s.cores)
@@ -225,7 +232,9 @@ class MomentBackend:
 
 
 class RowBackend:
-    """One Arrow job for each question over (x0.., z0.., y, w, off[, fold]); only sums leave the executors."""
+    """One Arrow job for each question over (x0.., z0.., y, w, off[, fold]); only sums leave the executors. `jobs` counts them."""
+
+    jobs = 0
 
     def __init__(self, df: DataFrame, knots: list[Knots], n_z: int, n: float, fold: tuple[int, bool] | None = None, folds: list[int] | None = None):
         self.df, self.knots, self.n_z, self.n, self.fold, self.folds = df, knots, n_z, n, fold, folds or []
@@ -238,6 +247,7 @@ class RowBackend:
         self.df.unpersist()
 
     def total(self, q: Request) -> dict[str, np.ndarray]:
+        self.jobs += 1
         return collect_sums(self.df, lambda b: answer(b, q), self.knots, self.n_z)
 
 

@@ -209,6 +209,37 @@ def penalty_gradient(cores, penalties, lam) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def joint_penalty(cores, penalties, lam) -> np.ndarray:
+    """J' P J over all cores, J the Jacobian of the tensor and P its penalty: what the penalty adds to the normal equations of all cores at once.
+
+    Blocks between two cores come from environments as well: a chain with core k open on one side and core l on the other. Each link is a pair
+    (plain, penalised so far), which multiply by the product rule, as a penalised chain has one margin penalised and the rest plain.
+    """
+    left, right = bond_grams(cores, penalties, lam)
+    at = np.cumsum([0, *(c.size for c in cores)])
+    out = np.zeros((at[-1],) * 2)
+    for k in range(len(cores)):
+        own, other = core_penalty(cores, penalties, lam, k)
+        out[at[k] : at[k + 1], at[k] : at[k + 1]] = lam[k] * own + other
+        (l0, lp), g, dg = left[k], cores[k], lam[k] * np.einsum("ij,ajb->aib", penalties[k], cores[k])
+        # x[a, j, y]: the open slot (a, j) of core k against the other side's bond y; its bond to the right stays open.
+        x0, xp = np.einsum("ac,cjy->ajy", l0, g), np.einsum("ac,cjy->ajy", lp, g) + np.einsum("ac,cjy->ajy", l0, dg)
+        b = g.shape[2]
+        # link[b, y, u, v]: from the bonds after core k to those before core l, through the cores between.
+        m0, mp = np.einsum("bu,yv->byuv", np.eye(b), np.eye(b)), np.zeros((b,) * 4)
+        for n in range(k + 1, len(cores)):
+            g, dg, (r0, rp) = cores[n], lam[n] * np.einsum("ij,ajb->aib", penalties[n], cores[n]), right[n]
+            z0, zp = np.einsum("uif,fe->uie", g, r0), np.einsum("uif,fe->uie", dg, r0) + np.einsum("uif,fe->uie", g, rp)
+            join = lambda x, m, z: np.einsum("ajy,byuv,uie->bjaeiv", x, m, z, optimize=True)
+            block = join(xp, m0, z0) + join(x0, mp, z0) + join(x0, m0, zp)
+            # Packed order: the left index fastest, the right one slowest.
+            block = block.reshape(cores[k].size, cores[n].size)
+            out[at[k] : at[k + 1], at[n] : at[n + 1]], out[at[n] : at[n + 1], at[k] : at[k + 1]] = block, block.T
+            step = lambda m, p, q: np.einsum("byuv,uif,vih->byfh", m, p, q, optimize=True)
+            m0, mp = step(m0, g, g), step(mp, g, g) + step(m0, dg, g)
+    return out
+
+
 def dense_penalty(sizes, penalties, lam) -> np.ndarray:
     """Of the dense tensor (first index slowest); for small tensors."""
     total = np.zeros((int(np.prod(sizes)),) * 2)
