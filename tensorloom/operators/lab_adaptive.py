@@ -1,6 +1,7 @@
 """Adaptive joint smoothing, experimental: batched Sobol search, edge probes, directed growth of the box, margin profiles, ties.
 
-Everything is in log10 lambda. The evaluations ride on one prepared set of Gaussian cells (see `lab`); no further pass over the rows.
+Everything is in log10 lambda. The evaluations ride on one prepared set of Gaussian cells or, with the rows' key, moments (see `lab`): a pass for each bank of probes, none for
+an evaluation.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.linalg import nelder_mead, sobol
 from .lab import Evaluator, diverse_top
+from .lab import ready as laboratory
 from .spline import TensorSpline, TensorSplineModel
 
 #: How near to a face counts as touching it, the widest interval of an identified margin, what counts as flat, and where growth ends.
@@ -128,15 +130,15 @@ class Adaptive:
 
 def optimise_adaptive(
     df: DataFrame, spec: TensorSpline, box=(-5.0, 5.0), batches=(64, 64, 128), probes: int = 15, probes_final: int = 40, sweeps=(10, 25, 50), starts: int = 5, diverse: int = 10, apart: float = 0.75,
-    expansions: int = 2, local: int = 60, share: float = 0.01, seed: int = 1,
+    expansions: int = 2, local: int = 60, share: float = 0.01, seed: int = 1, key: list[str] | str | None = None,
 ) -> Adaptive:
     """Search in batches until the near-optimal region stands still, refine diverse points, grow the box where a face still competes, profile each
     margin, and choose on fully converged fits with two banks of probes. sweeps: of a fit while searching, refining and choosing.
 
     The tie rule uses the criterion's own standard error, carried over from that of the degrees of freedom.
     """
-    ready = replace(spec, backend="cells").prepare(df)
-    coarse, fine = (Evaluator(ready, spec.rank, probes, seed=seed + 11, sweeps=s) for s in sweeps[:2])
+    ready = laboratory(df, spec, key)
+    coarse, fine = (Evaluator(ready, spec.rank, probes, seed=seed + 11, sweeps=s, df=df, key=key) for s in sweeps[:2])
     faces = np.array([box] * len(spec.x), float)
     fast = replace(spec.control, compute_edf=False)
     chosen = np.log10(ready.fit(lam="cGCV", control=fast).lam)
@@ -186,7 +188,7 @@ def optimise_adaptive(
     intervals = near_optimal(pts, q, share)
     if intervals is None:
         raise ValueError("no smoothing gave finite degrees of freedom")
-    banks = [Evaluator(ready, spec.rank, probes_final, seed=seed + s, sweeps=sweeps[2]) for s in (11, 911)]
+    banks = [Evaluator(ready, spec.rank, probes_final, seed=seed + s, sweeps=sweeps[2], df=df, key=key) for s in (11, 911)]
     final = []
     for i in diverse_top(pts, np.where(np.isfinite(q), q, np.inf), starts, apart):
         first, second = (b.at(pts[i]) for b in banks)

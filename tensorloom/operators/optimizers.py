@@ -168,12 +168,13 @@ def blend(a: State, b: State, t: float) -> State:
 def joint_sweeps(p: Problem, s: State, sweeps: int | None = None) -> tuple[State, bool]:
     """All cores and additive terms in one block solve for each pass over the data.
 
-    A pass gives, at a trial state, the curvature and score of everything at once and the true penalised objective. The trial is taken if the
+    A pass gives, at a trial state, the normal equations of everything at once and the true penalised objective. The trial is taken if the
     objective has fallen, and the next is solved for from those sums; else the last state's equations are solved anew with more damping
-    (Levenberg-Marquardt), which asks nothing of the data. So a sweep is one question, a refused one included.
+    (Levenberg-Marquardt), which asks nothing of the data. So a sweep is one question, a refused one included. Before each look all
+    cores but the last are made orthonormal, as damping is not indifferent to how the cores share the tensor's size; it then weighs least on the last, which enters linearly.
     """
-    c, sizes = p.control, [g.size for g in s.cores]
-    n, shapes = sum(sizes), [g.shape for g in s.cores]
+    c, s = p.control, State(tensor.left_orthogonal(s.cores), s.beta.copy())  # which also takes ranks beyond what bonds can hold off
+    n, shapes = sum(g.size for g in s.cores), [g.shape for g in s.cores]
     free = np.r_[np.ones(n, bool), np.full(p.n_beta, c.refit_intercept)]
 
     def look(state: State) -> tuple[float, np.ndarray, np.ndarray]:
@@ -187,24 +188,23 @@ def joint_sweeps(p: Problem, s: State, sweeps: int | None = None) -> tuple[State
             g[at] += t.lam * t.penalty @ state.beta[t.at]
         return float(out["nll"]) + p.penalty(state), h, g
 
-    s, damping, grow = s.copy(), 1e-3, 2.0
+    damping, grow = 0.1, 2.0
     value, h, g = look(s)
     for sweep in range(1, (sweeps or 4 * c.max_sweeps) + 1):
         own, left = h[np.ix_(free, free)], g[free]
-        scale = np.maximum(np.diag(own), 1e-6 * max(float(np.diag(own).max()), 1e-300))
-        move = solve_spd(own + damping * np.diag(scale), left)
+        move = solve_spd(own + damping * max(float(np.diag(own).mean()), 1e-300) * np.eye(len(own)), left)
         fall = float(left @ move - 0.5 * move @ own @ move)  # as the sums foretell
         if fall <= 0.1 * c.tol * (abs(value) + c.tol) and damping <= 1:
             return s, True
         v = np.concatenate([tensor.pack_all(s.cores), s.beta])
         v[free] -= move
-        trial = State(tensor.unpack_all(v[:n], shapes), v[n:])
+        trial = State(tensor.left_orthogonal(tensor.unpack_all(v[:n], shapes)), v[n:])
         new, h_new, g_new = look(trial)
         gain = (value - new) / fall if fall > 0 and np.isfinite(new) else -1.0
         p.history.append({"stage": "joint", "sweep": sweep, "objective": min(new, value) if np.isfinite(new) else value, "taken": gain > 0})
         if gain > 0:
             s, value, h, g = trial, new, h_new, g_new
-            damping, grow = damping * max(1 / 3, 1 - (2 * gain - 1) ** 3), 2.0
+            damping, grow = damping * max(1 / 5, 1 - (2 * gain - 1) ** 3), 2.0
         else:
             damping, grow = max(damping, 1e-8) * grow, 2 * grow
             if damping > 1e12:

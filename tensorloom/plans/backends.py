@@ -48,9 +48,11 @@ class Block:
     w: np.ndarray
     off: np.ndarray
     fold: np.ndarray | None = None
+    probes: np.ndarray | None = None
 
     def take(self, mask: np.ndarray) -> Block:
-        return Block([b[mask] for b in self.bases], self.z[mask], self.y[mask], self.w[mask], self.off[mask], None if self.fold is None else self.fold[mask])
+        own = lambda a: None if a is None else a[mask]
+        return Block([b[mask] for b in self.bases], self.z[mask], self.y[mask], self.w[mask], self.off[mask], own(self.fold), own(self.probes))
 
     def eta(self, s: State) -> np.ndarray:
         return self.off + self.z @ s.beta + tensor.contract(self.bases, s.cores)
@@ -84,8 +86,8 @@ def answer(b: Block, q: Request) -> dict[str, np.ndarray]:
         return {"nll": np.array(fam_.np_nll(q.family, b.y, eta, b.w)), "g": j.T @ fam_.np_score(q.family, b.y, eta, b.w)}
     if q.kind == "sweep":  # curvature and score of all cores and the additive block at once, with the loss there
         x, eta = np.concatenate([tensor.jacobian(b.bases, s.cores), b.z], axis=1), b.eta(s)
-        w = fam_.np_curvature(q.family, eta, b.w)
-        return {"S": x.T @ (x * w[:, None]), "g": x.T @ fam_.np_score(q.family, b.y, eta, b.w), "nll": np.array(fam_.np_nll(q.family, b.y, eta, b.w))}
+        w, score = fam_.np_curvature(q.family, eta, b.w), fam_.np_score(q.family, b.y, eta, b.w)
+        return {"S": x.T @ (x * w[:, None]), "g": x.T @ score, "nll": np.array(fam_.np_nll(q.family, b.y, eta, b.w))}
     if q.anchor is None and q.family == "gaussian":
         w, t = b.w, b.y - b.off
     else:
@@ -255,7 +257,8 @@ def block_of(batch: pa.RecordBatch, knots: list[Knots], n_z: int) -> Block:
     col = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
     z = np.stack([np.ones(batch.num_rows)] + [col(f"z{i}") for i in range(n_z)], axis=1)
     fold = batch.column("fold").to_numpy(zero_copy_only=False) if "fold" in batch.schema.names else None
-    return Block([k.evaluate(col(f"x{i}")) for i, k in enumerate(knots)], z, col("y"), col("w"), col("off"), fold)
+    named = sorted((c for c in batch.schema.names if c.startswith("probe")), key=lambda c: int(c[5:]))
+    return Block([k.evaluate(col(f"x{i}")) for i, k in enumerate(knots)], z, col("y"), col("w"), col("off"), fold, np.stack([col(c) for c in named], axis=1) if named else None)
 
 
 _SUMS = "fold int, name string, shape array<int>, v binary"

@@ -560,20 +560,38 @@ def scale_anisotropy(spark, sf_dir):
     return truth_row(spark, log_scale_held=bool(abs(np.log(scale)) < 1e-6 or max(held.lam) > 9e3 or min(held.lam) < 1.1e-4), product_is_one=bool(abs(np.prod(omega) - 1) < 1e-9), grid_takes_least_deviance=bool(abs(np.log(split_scale(picked.lam)[0] / 0.01)) < 1e-6 and picked.deviance <= held.deviance + 1e-9))
 
 
-@query("SELECT true AS descends, true AS as_by_cells, true AS converged")
+# Bases of degree 0 are indicators of bins, so a surface of full rank that is hardly smoothed is the mean of each bin: a fit that SQL can do.
+
+BINS = [Knots(1.0, 50.0, 5, 0), Knots(0.0, 0.1, 3, 0)]
+_BIN = "least(floor((l_quantity - 1.0::DOUBLE) / 9.8::DOUBLE), 4)::INT AS q, least(floor(l_discount::DOUBLE / (0.1::DOUBLE / 3)), 2)::INT AS d"
+_BIN_MEANS = f"SELECT q, d, count(*) AS n, {sq('avg(y)', 3)} AS fit FROM (SELECT {_BIN}, l_extendedprice / 1e4::DOUBLE AS y FROM lineitem) GROUP BY q, d"
+
+
+def bin_of(column: str, knots: Knots):
+    return F.least(F.floor((F.col(column) - knots.lo) / ((knots.hi - knots.lo) / knots.k)), F.lit(knots.k - 1)).cast("int")
+
+
+def bin_means(model, df: DataFrame) -> DataFrame:
+    out = model.transform(df).groupBy(bin_of(XS[0], BINS[0]).alias("q"), bin_of(XS[1], BINS[1]).alias("d"))
+    return out.agg(F.count("*").alias("n"), q(F.avg("fit"), 3).alias("fit"))
+
+
+def bin_spec(**kw) -> TensorSpline:
+    return TensorSpline(XS, knots=BINS, rank=3, lam=1e-6, control=Control(compute_edf=False, max_sweeps=2000), **kw)
+
+
+@query(_BIN_MEANS)
 def fit_moments(spark, sf_dir):
-    """Moments of one Arrow pass give the fit that cells give."""
-    spec = TensorSpline(XS, rank=2, k=6, lam=1.0, backend="moments", control=Control(compute_edf=False, max_sweeps=500))
-    a, b = spec.fit(_price(spark, sf_dir)), replace(spec, backend="cells").fit(_price(spark, sf_dir))
-    return truth_row(spark, descends=descends(a.history), as_by_cells=bool(abs(a.objective / b.objective - 1) < 1e-6), converged=a.converged)
+    """Alternating sweeps on the moments of one Arrow pass."""
+    df = _price(spark, sf_dir)
+    return bin_means(bin_spec(backend="moments").fit(df), df)
 
 
-@query("SELECT true AS as_by_moments, true AS converged")
+@query(_BIN_MEANS)
 def fit_rows(spark, sf_dir):
-    """The row backend, one job for each question, gives the fit that moments give."""
-    spec = TensorSpline(XS, rank=1, k=5, lam=1.0, backend="rows", control=Control(compute_edf=False, tol=1e-6))
-    a, b = spec.fit(_price(spark, sf_dir)), replace(spec, backend="moments").fit(_price(spark, sf_dir))
-    return truth_row(spark, as_by_moments=bool(abs(a.objective / b.objective - 1) < 1e-6), converged=a.converged)
+    """Joint sweeps over rows, a scan each."""
+    df = _price(spark, sf_dir)
+    return bin_means(bin_spec(backend="rows").fit(df), df)
 
 
 @query("SELECT count(*) AS n, true AS ordered, true AS width_is_se FROM (SELECT DISTINCT l_quantity, l_discount FROM lineitem)")
@@ -645,11 +663,11 @@ def rank_profile(spark, sf_dir):
     return spark.createDataFrame([(r["rank"], float(r["stored"]), float(r["intrinsic"]), agree(r)) for r in rows], "rank int, stored double, intrinsic double, criteria_agree boolean")
 
 
-@query("SELECT 3::BIGINT AS starts, true AS best_is_least")
+@query(_BIN_MEANS)
 def multistart(spark, sf_dir):
-    best, table = selection.multistart(_price(spark, sf_dir), TensorSpline(XS, rank=2, k=5, lam=1.0), 3)
-    pool = [r["objective"] for r in table if r["converged"]] or [r["objective"] for r in table]
-    return truth_row(spark, starts=len(table), best_is_least=bool(best.objective == min(pool)))
+    """The best of three starts."""
+    df = _price(spark, sf_dir)
+    return bin_means(selection.multistart(df, bin_spec(), 3)[0], df)
 
 
 @query("SELECT 'l_quantity' AS first, true AS keeps_quantity, 2::BIGINT AS lambdas")
@@ -706,12 +724,36 @@ def profiled_null(spark, sf_dir):
     return spark.createDataFrame(rows, "smoothing string, coefficients long, left_is_orthogonal boolean, edf_adds_null_rank boolean, deviance_is_that_of_predictions boolean")
 
 
-@query("SELECT a.v AS l1, b.v AS l2, true AS gcv_is_its_formula, true AS gdf_positive FROM (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) a(v), (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) b(v)")
+@query(f"""
+WITH b AS (SELECT l_extendedprice::DOUBLE AS x, l_extendedprice / 1e4::DOUBLE + l_discount::DOUBLE AS y, {_BIN} FROM lineitem), m AS (SELECT q, d, sum(y * y) - sum(y) * sum(y) / count(*) AS ss, count(*) AS n FROM b GROUP BY q, d),
+a AS (SELECT count(*)::DOUBLE AS n, sum(y * y) - sum(y) * sum(y) / count(*) AS ss FROM b), w AS (SELECT sum(ss) AS rss, count(*)::DOUBLE AS df, sum(n)::DOUBLE AS n FROM m)
+SELECT 'least' AS smoothing, {sq('df', 4)} AS edf, {sq('rss / n', 4)} AS mean_rss, {sq('n * rss / ((n - df) * (n - df))', 4)} AS gcv FROM w
+UNION ALL SELECT 'most', 1.0::DOUBLE, {sq('ss / n', 4)}, {sq('n * ss / ((n - 1) * (n - 1))', 4)} FROM a
+""")
+def full_tensor_gcv(spark, sf_dir):
+    """Exact degrees of freedom and GCV of the full tensor: bins without smoothing have one for each bin, with the most there is one in all (order 1)."""
+    df = t(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in XS], (F.col("l_extendedprice").cast("double") / 1e4 + F.col("l_discount").cast("double")).alias("y"))
+    full = lab.FullTensor.of(df, TensorSpline(XS, knots=BINS, penalty_order=1))
+    rows = [(name, r["edf"], r["rss"] / full.n, r["gcv"]) for name, r in (("least", full.at((1e-7, 1e-7))), ("most", full.at((1e11, 1e11))))]
+    return spark.createDataFrame(rows, "smoothing string, edf double, mean_rss double, gcv double").select("smoothing", *[q(F.col(c), 4).alias(c) for c in ("edf", "mean_rss", "gcv")])
+
+
+_PRICE_BIN = "least(floor(l_extendedprice::DOUBLE / 22000.0::DOUBLE), 4)::INT AS q, least(floor(l_discount::DOUBLE / (0.1::DOUBLE / 3)), 2)::INT AS d"
+
+
+@query(f"""
+WITH b AS (SELECT l_quantity::DOUBLE AS y, {_PRICE_BIN} FROM lineitem), m AS (SELECT sum(y * y) - sum(y) * sum(y) / count(*) AS ss, count(*) AS n FROM b GROUP BY q, d),
+w AS (SELECT sum(ss) AS rss, sum(n)::DOUBLE AS n, count(*)::DOUBLE AS df FROM m)
+SELECT n::BIGINT AS n, {sq('rss / n', 4)} AS mean_rss, true AS df_within_error FROM w
+""")
 def global_gcv(spark, sf_dir):
-    rows = lab.lambda_grid(_price(spark, sf_dir), TensorSpline(XS, rank=1, k=5, lam=1.0), (-1.0, 1.0))
-    n = t(spark, sf_dir, "lineitem").count()
-    ok = lambda r: bool(abs(r["gcv"] / (n * r["rss"] / (n - r["gdf"]) ** 2) - 1) < 1e-6 or abs(r["gcv"] / (r["rss"] / n / (1 - r["gdf"] / n) ** 2) - 1) < 1e-6)
-    return spark.createDataFrame([(*map(float, r["log10_lambda"]), ok(r), bool(r["gdf"] > 0)) for r in rows], "l1 double, l2 double, gcv_is_its_formula boolean, gdf_positive boolean")
+    """Monte Carlo degrees of freedom over a continuous column, by probes projected to moments: next to no smoothing leaves the bins' own sums of squares and one degree for each bin."""
+    df = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price"), F.col("l_discount").cast("double").alias("disc"), F.col("l_quantity").cast("double").alias("y"))
+    knots = [Knots(0.0, 110_000.0, 5, 0), Knots(0.0, 0.1, 3, 0)]
+    spec = TensorSpline(["price", "disc"], knots=knots, rank=3, backend="moments", control=Control(compute_edf=False))
+    r, n = lab.gdf_mc(df, spec, 1e-5, probes=8, key=["l_orderkey", "l_linenumber"], sweeps=500), df.count()
+    used = df.select(bin_of("price", knots[0]), bin_of("disc", knots[1])).distinct().count()
+    return spark.createDataFrame([(n, r["rss"] / n, bool(abs(r["gdf"] - used) < 4 * (2 * used / 8) ** 0.5))], "n long, mean_rss double, df_within_error boolean").select("n", q(F.col("mean_rss"), 4).alias("mean_rss"), "df_within_error")
 
 
 @query("SELECT doc_id, dense_rank() OVER (ORDER BY lang)::INT AS fold_id FROM documents WHERE lang IS NOT NULL")

@@ -41,7 +41,7 @@ def test_a_sweep_is_one_job_and_reaches_the_moments_objective(spark, rows):
     sweeps = [h for h in m.history if h["stage"] == "joint"]
     # Sums for the start, the first look, the sweeps, and the fit's own loss and size.
     assert m.converged and p.backend.jobs == len(sweeps) + 4
-    assert len(sweeps) < 60 and all(b["objective"] <= a["objective"] for a, b in zip(sweeps, sweeps[1:]))
+    assert len(sweeps) < 100 and all(b["objective"] <= a["objective"] for a, b in zip(sweeps, sweeps[1:]))
     jobs = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("sweep", "one question")
     p.backend.total(Request("sweep", "gaussian", [m.state]))
