@@ -9,8 +9,8 @@ is rendered as "<|role|>\\ntext\\n<|end|>\\n".
 Scale: model tables are some hundred counts. Units of a conversation are numbered in order, without a window over it: counts by ranges of places come first, and
 only rows of one range are numbered together. A conversation is cut into chunks of `CHUNK` units by number; in max-plus algebra a chunk is a
 small matrix, so chunks are reduced apart, chained by conversation, and each chunk is traced back apart from its entering and leaving
-state. No task holds more of a conversation's text than a chunk, and the result is that of one chain. Many units of one and the same place (repeated rows) are numbered by a hash of their text;
-equal units are numbered together.
+state. No task holds more of a conversation's text than a chunk, and the result is that of one chain. The units of CHUNK places are numbered together, in the order of their place, of their piece within a text, and of a hash of their
+text; only places that are null are dealt by the hash, as they have no order.
 
 Defined results: null or empty text is a unit without features; units of a conversation with the same place go by a hash of their text; a null
 conversation or place counts as one of its own, first; repeated rows are units each; an empty table gives an empty result; a training table
@@ -100,17 +100,18 @@ def _emissions(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def numbered(units: DataFrame) -> DataFrame:
-    """units (c, o, t, ...) with number: 0, 1, ... within each conversation c, in the order of place o (nulls first) and a hash of the text t."""
+    """units (c, o, t, ...; w if units of a place have an order there) with number: 0, 1, ... within each conversation c, in the order of place o (nulls first), w and a hash of the text t."""
+    within = [F.col("w").asc_nulls_first()] if "w" in units.columns else []
     units = materialise(units.withColumn("h", F.xxhash64("t")).withColumn("part", F.floor(F.col("o") / F.lit(CHUNK))).withColumn("slot", F.when(F.col("o").isNull(), F.pmod("h", F.lit(CHUNK)))), "hmm-placed")
     # Ranges of places; units without a place are dealt by ranges of their hash, so that these too are numbered apart.
     own = ["c", "part", "slot"]
     sizes = materialise(units.groupBy(*own).agg(F.count("*").alias("n")), "hmm-sizes")
     before = F.sum("n").over(Window.partitionBy("c").orderBy(F.col("part").asc_nulls_first(), F.col("slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(F.col("c").alias("sc"), F.col("part").alias("sp"), F.col("slot").alias("ss"), F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy(*own).orderBy(F.col("o").asc_nulls_first(), "h")) - 1
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy(F.col("o").asc_nulls_first(), *within, "h")) - 1
     ranked = units.withColumn("rank", rank)
     same = ranked["c"].eqNullSafe(starts["sc"]) & ranked["part"].eqNullSafe(starts["sp"]) & ranked["slot"].eqNullSafe(starts["ss"])
-    return ranked.join(starts, same).withColumn("number", F.col("before") + F.col("rank")).drop("sc", "sp", "ss", "before", "rank", "h", "part", "slot")
+    return ranked.join(starts, same).withColumn("number", F.col("before") + F.col("rank")).drop("sc", "sp", "ss", "before", "rank", "h", "part", "slot", "w")
 
 
 def spoken_units(turns: DataFrame, text: str = "text") -> DataFrame:
@@ -120,11 +121,11 @@ def spoken_units(turns: DataFrame, text: str = "text") -> DataFrame:
     return turns.select("*", F.posexplode(F.when(F.size(pieces) > 0, pieces).otherwise(F.array(t))).alias("unit_piece", "unit_text"))
 
 
-def recover_roles(units: DataFrame, training: DataFrame, conv: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """units with recovered (role), bare (text without its marker) and rendered."""
+def recover_roles(units: DataFrame, training: DataFrame, conv: str = "conv_id", order: str = "turn", text: str = "text", within: str | None = None) -> DataFrame:
+    """units with recovered (role), bare (text without its marker) and rendered. within: the order of units that share a place."""
     model, s = train(training), len(ROLES)
     rest = [c for c in units.columns if c not in ("recovered", "bare", "rendered")]
-    base = units.select(F.col(conv).alias("c"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.struct(*[F.col(f"`{k}`") for k in rest]).alias("rest"))
+    base = units.select(F.col(conv).alias("c"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.struct(*[F.col(f"`{k}`") for k in rest]).alias("rest"), *([F.col(within).cast("long").alias("w")] if within else []))
     base = numbered(base.withColumn("x", observed(F.col("t")))).withColumn("k", F.floor(F.col("number") / F.lit(CHUNK)).cast("long"))
     base = materialise(base, "hmm-units")
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat_hmm, decontam, dual_tree, edit_embed, mixing, pii, pu_quality, quality_rules, secrets, simhash, source_audit, suffix_tree, url_filter
 from .common import table
@@ -36,8 +35,8 @@ def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn's text is parsed for speaker markers; roles are recovered without looking at the column that names them."""
     turns = table(spark, sf_dir, "conversations")
-    units = chat_hmm.spoken_units(turns.select("conv_id", "turn", "text")).withColumn("place", F.col("turn") * 1024 + F.least("unit_piece", F.lit(1023)))
-    out = chat_hmm.recover_roles(units, turns, order="place", text="unit_text")
+    units = chat_hmm.spoken_units(turns.select("conv_id", "turn", "text"))
+    out = chat_hmm.recover_roles(units, turns, text="unit_text", within="unit_piece")
     return out.select("conv_id", "turn", "unit_piece", "unit_text", "recovered", "bare", "rendered")
 
 

@@ -69,27 +69,36 @@ def _best(n: Column, m: Column, v: Column, rule: Column) -> Column:
 
 
 def _in_row(base: DataFrame, known: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
-    """Each URL meets the broadcast rules of each shape on the short hash, confirmed by the whole; at most one rule has a digest."""
+    """Each URL meets the broadcast rules of each shape on the short hash alone: all rules that share it, which the whole digest then confirms or not.
+
+    The rules of one short hash are gathered, so that a URL stays one row; there are as many of them as short hashes collide.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("whole")
     out, hits = base.select(whole, "host", "path"), []
     for i, (labels, length) in enumerate(shapes):
         fits, h, p = _expression(labels, length)
         out = out.withColumn(f"d{i}", F.when(fits, _digest(h, p))).withColumn(f"s{i}", F.substring(f"d{i}", 1, PREFIX_DIGITS))
         own = known.filter((F.col("r_labels") == labels) & (F.col("r_length") == length))
-        own = own.select(F.col("r_short").alias("k_short"), F.col("r_digest").alias("k_digest"), _best(F.length("r_rule"), F.length("r_host"), F.col("r_verdict"), F.col("r_rule")).alias(f"hit{i}"))
-        out = out.join(F.broadcast(own), (F.col(f"s{i}") == F.col("k_short")) & (F.col(f"d{i}") == F.col("k_digest")), "left").drop("k_short", "k_digest", f"d{i}", f"s{i}")
-        hits.append(F.col(f"hit{i}"))
+        rule = F.struct(F.col("r_digest").alias("digest"), _best(F.length("r_rule"), F.length("r_host"), F.col("r_verdict"), F.col("r_rule")).alias("best"))
+        own = own.groupBy(F.col("r_short").alias("k_short")).agg(F.collect_list(rule).alias(f"rules{i}"))
+        out = out.join(F.broadcast(own), F.col(f"s{i}") == F.col("k_short"), "left").drop("k_short", f"s{i}")
+        hits.append(F.get(F.filter(f"rules{i}", _confirmed(i)), F.lit(0))["best"])
     best = F.array_max(F.array_compact(F.array(*hits))) if hits else F.lit(None).cast("struct<n:int,m:int,v:string,rule:string>")
     return out.withColumn("best", best).select("whole.*", F.col("best.rule").alias("rule"), F.col("best.v").alias("verdict"))
 
 
+def _confirmed(i: int):
+    return lambda x: x["digest"] == F.col(f"d{i}")
+
+
 def _by_pair(base: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each distinct (host, path) is expanded once, by the label counts and path lengths of the rules, and met in a shuffled join."""
     shape = known.agg(F.collect_set("r_labels").alias("labels"), F.collect_set("r_length").alias("lengths")).first()
     tries = [F.when(fits, F.struct(h.alias("h"), p.alias("p"))) for n in shape["labels"] for k in shape["lengths"] for fits, h, p in [_expression(n, k)]]
     hits = pairs.select("host", "path", F.explode(F.array_compact(F.array(*tries))).alias("e")).select("host", "path", _digest(F.col("e.h"), F.col("e.p")).alias("digest"))
     hits = hits.withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
-    hits = hits.join(known, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
+    rules = known.groupBy("r_short").agg(F.collect_list(F.struct("r_digest", "r_rule", "r_host", "r_verdict")).alias("rules"))  # as many as short hashes collide
+    hits = hits.join(rules, F.col("short") == F.col("r_short")).select("host", "path", "digest", F.explode("rules").alias("r")).select("host", "path", "digest", "r.*").filter(F.col("digest") == F.col("r_digest"))
     best = hits.groupBy("host", "path").agg(F.max(_best(F.length("r_rule"), F.length("r_host"), F.col("r_verdict"), F.col("r_rule"))).alias("e"))
     # Written first, so that both sides of the join are dealt anew and a hot pair can be split.
     best = materialise(best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("e.rule").alias("rule"), F.col("e.v").alias("verdict")), "url-rules")

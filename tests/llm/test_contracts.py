@@ -352,3 +352,29 @@ def test_chat_transcripts(spark):
     got = chat_hmm.format_transcripts(spark.createDataFrame([(1, t), (2, None), (3, "")], "id long, text string"), spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).orderBy("id", "turn").collect()
     assert [(r["role"], r["text"]) for r in got if r["id"] == 1] == [("system", "be kind"), ("user", "hi there?\nand more"), ("assistant", "hello"), ("user", "bye")]
     assert got[0]["rendered"] == "<|system|>\nbe kind\n<|end|>\n"
+
+
+def test_chat_keeps_the_order_of_a_long_transcript(spark):
+    """5,000 marked units of one text, and a short text after it, are numbered and chained as they stand."""
+    says = lambda i: f"{'User' if i % 2 == 0 else 'Assistant'}: unit {i}"
+    turns = spark.createDataFrame([(1, 0, "\n".join(says(i) for i in range(5000))), (1, 1, "User: last"), (2, 0, "hello?")], "conv_id long, turn long, text string")
+    units = chat_hmm.spoken_units(turns)
+    base = units.selectExpr("conv_id AS c", "turn AS o", "unit_text AS t", "cast(unit_piece AS long) AS w")
+    rows = chat_hmm.numbered(base).filter("c = 1").orderBy("number").collect()
+    assert [r["number"] for r in rows] == list(range(5001))
+    assert [r["t"].strip() for r in rows] == [says(i) for i in range(5000)] + ["User: last"]
+    known = spark.createDataFrame([(9, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(20)], "conv_id long, turn long, role string, text string")
+    out = chat_hmm.recover_roles(units, known, text="unit_text", within="unit_piece").filter("conv_id = 1 and turn = 0").orderBy("unit_piece").collect()
+    assert [r["recovered"] for r in out] == [("user", "assistant")[i % 2] for i in range(5000)]
+
+
+def test_rules_that_share_a_short_hash_are_told_apart(spark, monkeypatch):
+    """With short hashes of one digit most rules collide; the digest tells them apart on both paths."""
+    rules = [("block" if i % 3 else "allow", f"h{i}.com", f"/p{i % 7}") for i in range(80)]
+    pages = spark.createDataFrame([(i, f"http://a.h{i % 90}.com/p{i % 7}/x") for i in range(300)], "page_id long, url string")
+    want = sorted(map(tuple, url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules)).collect()))
+    monkeypatch.setattr(url_filter, "PREFIX_DIGITS", 1)
+    assert sorted(map(tuple, url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules)).collect())) == want
+    monkeypatch.setattr(url_filter, "SHAPES", 0)
+    assert sorted(map(tuple, url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules)).select(pages.columns + ["host", "path", "rule", "verdict"]).collect())) == want
+    assert {r[-2] for r in want if r[-2]} == {f"h{i}.com/p{i % 7}" for i in range(80) if any(j % 90 == i and j % 7 == i % 7 for j in range(300))}
