@@ -211,54 +211,6 @@ def prepare_array(df: DataFrame, axes: dict[str, list[float]], spec: TensorSplin
     return Prepared(spec, "gaussian", knots, [], 1, MomentBackend([k.k for k in knots], full))
 
 
-# Profiled null space: what no difference penalty sees, fitted without shrinkage.
-
-
-def null_basis(k: int, order: int = 2) -> np.ndarray:
-    """Polynomial coefficients of degree below the order, orthonormal."""
-    return np.linalg.qr(np.vander(np.arange(k) - (k - 1) / 2, order, increasing=True))[0]
-
-
-@dataclass
-class ProfiledNull:
-    """A train beside unshrunk null coefficients. `left` answers for what the null design leaves of the rows, `backend` for the rows."""
-
-    null: np.ndarray
-    model: TensorSplineModel
-    backend: MomentBackend
-    left: MomentBackend
-
-    @property
-    def coef(self) -> np.ndarray:
-        """Null coefficients that are best for the train as it stands."""
-        m, theta = self.backend.m, self._train()
-        return np.linalg.pinv(self.null.T @ m["S"] @ self.null) @ (self.null.T @ (m["b"] - m["S"] @ theta))
-
-    @property
-    def null_rank(self) -> int:
-        return int(np.linalg.matrix_rank(self.null.T @ self.backend.m["S"] @ self.null, hermitian=True))
-
-    @property
-    def edf(self) -> float:
-        """The null design counts in full, the train by the influence of its residualised map."""
-        return self.null_rank + self.model.edf
-
-    def _train(self) -> np.ndarray:
-        return tensor.contract(tensor.index_bases([k.k for k in self.model.knots]), self.model.cores)
-
-    def theta(self) -> np.ndarray:
-        """The whole coefficient tensor, null part included, flat."""
-        return self.null @ self.coef + self._train()
-
-    def deviance(self) -> float:
-        m, t = self.backend.m, self.theta()
-        return float(m["zz"] - 2 * m["b"] @ t + t @ m["S"] @ t)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        whole = State(dense_train(self.theta(), [k.k for k in self.model.knots]), np.zeros(1))
-        return replace(self.model, state=whole, vcov_=None).transform(df)
-
-
 def dense_train(theta: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     """An exact train of a flat tensor: the tensor itself in the last core, index selectors before it."""
     cores, a = [], 1
@@ -268,29 +220,4 @@ def dense_train(theta: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     return [*cores, theta.reshape(a, sizes[-1], 1)]
 
 
-def fit_profiled_null(df: DataFrame, spec: TensorSpline) -> ProfiledNull:
-    """Gaussian: the tensor product of null bases is projected out, a train fitted to what is left, at fixed or automatic smoothing.
-
-    All of it happens in moments (one pass; at most 1,500 tensor entries): with X0 = T N, the sums become S - C'M^-1 C and b - C'M^-1 m.
-    """
-    from ..functions.basis import make_knots
-    from .spline import Prepared
-
-    if fam_.family(spec.family) != "gaussian" or spec.linear or spec.smooth:
-        raise ValueError("a profiled null space is for Gaussian surfaces without further terms")
-    knots = spec.knots or make_knots(df, spec.x, spec.k, spec.degree, spec.cyclic, spec.period)
-    sizes = [kn.k for kn in knots]
-    if spec.penalty_order ** len(sizes) > spec.control.null_space_max_npar:
-        raise ValueError("the null space is too large")
-    be = build(df, knots, spec.x, spec.y, "gaussian", spec.weight, spec.offset, kind="moments")
-    null = np.eye(1)
-    for kn in knots:  # the penalty of a cyclic column sees all but the constant
-        null = np.kron(null, null_basis(kn.k, 1 if kn.cyclic else spec.penalty_order))
-    m = be.m
-    gram, cross, rhs = null.T @ m["S"] @ null, null.T @ m["S"], null.T @ m["b"]
-    inv = np.linalg.pinv(gram)
-    left = MomentBackend(sizes, m | {"S": m["S"] - cross.T @ inv @ cross, "b": m["b"] - cross.T @ inv @ rhs, "zz": m["zz"] - rhs @ inv @ rhs, "C": np.zeros_like(m["C"]), "m": np.zeros_like(m["m"])})
-    ready = Prepared(replace(spec, knots=knots, control=replace(spec.control, refit_intercept=False)), "gaussian", knots, [], 1, left)
-    method, lam = parse_lambda(spec.lam, len(sizes), spec.control)
-    flat = State(tensor.init_cores(sizes, spec.rank, spec.control.seed, spec.control.init_sd), np.zeros(1))
-    return ProfiledNull(null, ready.fit(lam=spec.lam if method == "cGCV" else tuple(lam), init=flat), be, left)
+from .null_space import ProfiledNull, fit_profiled_null, null_basis  # noqa: E402, F401

@@ -9,7 +9,7 @@ import numpy as np
 
 from ..functions.families import start_intercept
 from ..plans import tensor
-from ..plans.backends import Request, RowBackend, State
+from ..plans.backends import Request, State
 from ..plans.linalg import brent, lbfgs, ridge_scale, root, solve_spd
 from .control import Control, anisotropy_step, damped_step, scale_anisotropy
 
@@ -214,7 +214,7 @@ def joint_sweeps(p: Problem, s: State, sweeps: int | None = None) -> tuple[State
 
 def _one_scan(p: Problem) -> bool:
     """Whether a question costs a pass over rows, the global penalty holds and no smooth term's own smoothing waits for its turn in a sweep."""
-    return isinstance(p.backend, RowBackend) and p.control.penalty == "global" and all(t.target_edf is None and t.method != "cGCV" for t in p.smooths)
+    return getattr(p.backend, "by_rows", False) and p.control.penalty == "global" and all(t.target_edf is None and t.method != "cGCV" for t in p.smooths)
 
 
 # Direct and conditional optimisers.

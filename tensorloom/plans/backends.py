@@ -236,7 +236,7 @@ class MomentBackend:
 class RowBackend:
     """One Arrow job for each question over (x0.., z0.., y, w, off[, fold]); only sums leave the executors. `jobs` counts them."""
 
-    jobs = 0
+    jobs, by_rows = 0, True
 
     def __init__(self, df: DataFrame, knots: list[Knots], n_z: int, n: float, fold: tuple[int, bool] | None = None, folds: list[int] | None = None):
         self.df, self.knots, self.n_z, self.n, self.fold, self.folds = df, knots, n_z, n, fold, folds or []

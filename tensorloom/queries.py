@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import families as fam_
 from .functions import surfaces
 from .functions.basis import Knots, difference_penalty, domains
-from .operators import grid, lab, lab_adaptive, lag, selection
+from .operators import grid, lab, lab_adaptive, lag, null_space, selection
 from .operators.control import Control, boundary_status, damped_step
 from .operators.control import scale_anisotropy as split_scale
 from .operators.optimizers import frozen_curves, propose
@@ -710,18 +710,17 @@ def dense_baseline(spark, sf_dir):
     return truth_row(spark, train_at_full_rank_is_dense=bool(far < 1e-2), oracle_is_least=bool(by["oracle"] <= min(v for k, v in by.items() if k.startswith("tt")) + 1e-12))
 
 
-@query("SELECT s AS smoothing, 4::BIGINT AS coefficients, true AS left_is_orthogonal, true AS edf_adds_null_rank, true AS deviance_is_that_of_predictions FROM (VALUES ('fixed'), ('cGCV')) v(s)")
+@query(f"SELECT s AS smoothing, 4::BIGINT AS coefficients, l_returnflag = 'R' AS flag, count(*) AS n, {sq('avg(l_extendedprice / 1e4::DOUBLE)', 4)} AS mean_fit FROM lineitem, (VALUES ('fixed'), ('cGCV')) v(s) GROUP BY s, l_returnflag = 'R'")
 def profiled_null(spark, sf_dir):
-    """What is left is orthogonal to the null space of the penalties; the predictions of the rows have the deviance that the moments give."""
-    df, rows = _price(spark, sf_dir), []
+    """Null space and a linear term unshrunk beside a train: at any smoothing the equations of both make fitted means those of the rows."""
+    df = _price(spark, sf_dir).withColumn("flag", (F.col("l_returnflag") == "R").cast("double"))
+    out = None
     for name, lam in (("fixed", 1.0), ("cGCV", "cGCV")):
-        f = grid.fit_profiled_null(df, TensorSpline(XS, rank=2, k=5, lam=lam))
-        m = f.backend.m
-        left = f.null.T @ (m["b"] - m["S"] @ f.theta())
-        y = F.col("y").cast("double")
-        dev = f.transform(df).agg(F.sum((y - F.col("fit")) * (y - F.col("fit")))).first()[0]
-        rows.append((name, len(f.coef), bool(np.abs(left).max() < 1e-8 * max(1.0, np.abs(m["b"]).max())), bool(abs(f.edf - f.model.edf - 4) < 1e-9 and f.model.edf > 0), bool(abs(dev / f.deviance() - 1) < 1e-8)))
-    return spark.createDataFrame(rows, "smoothing string, coefficients long, left_is_orthogonal boolean, edf_adds_null_rank boolean, deviance_is_that_of_predictions boolean")
+        f = null_space.fit_profiled_null(df, TensorSpline(XS, rank=2, k=5, lam=lam, linear=["flag"], backend="cells"))
+        got = f.transform(df).groupBy((F.col("flag") == 1.0).alias("flag")).agg(F.count("*").alias("n"), q(F.avg("fit"), 4).alias("mean_fit"))
+        got = got.select(F.lit(name).alias("smoothing"), F.lit(len(f.coef)).cast("long").alias("coefficients"), "flag", "n", "mean_fit")
+        out = got if out is None else out.union(got)
+    return out
 
 
 @query(f"""
