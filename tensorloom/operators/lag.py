@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import families as fam_
 from ..functions.basis import Knots, difference_penalty, domains
+from ..functions.quantiles import exact_quantiles
 from ..plans import tensor
 from ..plans.backends import MOMENTS, deviance, tree_sums
 from ..plans.linalg import brent, ridge_scale, root, solve_spd
@@ -241,8 +242,8 @@ class DistributedLagSpline:
                 converged = True
                 break
             old = value
-        medians = rows.agg(*[F.expr(f"percentile(`{e}__lag0`, 0.5)").alias(f"m{i}") for i, e in enumerate(self.exposures)]).first()
-        return DistributedLagModel(self, fam, knots, cores, beta, lam, [(t.column, kn, at) for t, kn, at in terms], float(done["dev"]), float(size["n"]), converged, history, {e: float(medians[f"m{i}"]) for i, e in enumerate(self.exposures)})
+        medians = exact_quantiles(rows, [f"{e}__lag0" for e in self.exposures], [0.5])
+        return DistributedLagModel(self, fam, knots, cores, beta, lam, [(t.column, kn, at) for t, kn, at in terms], float(done["dev"]), float(size["n"]), converged, history, {e: medians[f"{e}__lag0"][0] for e in self.exposures})
 
 
 def _numbers(b: pa.RecordBatch, c: str) -> np.ndarray:

@@ -40,6 +40,16 @@ class Problem:
     n_beta: int
     smooths: list[Smooth] = field(default_factory=list)
     history: list[dict] = field(default_factory=list)
+    monitor: object = None
+
+    def saw(self, stage: str, s: State, sweep: int, **more) -> None:
+        """Tells the monitor, if there is one, where a fit stands: enough to go on from."""
+        if self.monitor is not None:
+            self.monitor.record(self, stage, s, sweep, more)
+
+    def going_on(self, stage: str, s: State) -> tuple[State, int, dict]:
+        """Where an interrupted fit stood in this stage, or (s, 0, {})."""
+        return self.monitor.take(self, stage, s) if self.monitor is not None else (s, 0, {})
 
     def ask(self, kind: str, *states: State, anchor: State | None = None, k: int = 0) -> dict:
         return self.backend.total(Request(kind, self.family, list(states), anchor, k))
@@ -123,7 +133,11 @@ def core_update(p: Problem, s: State, k: int, anchor: State | None = None, addit
 def als(p: Problem, s: State, sweeps: int | None = None, anchor: State | None = None) -> tuple[State, bool]:
     """Sweeps of core solves until the penalised objective stands still; working responses from the anchor, if any."""
     s, old = s.copy(), None
-    for sweep in range(1, (sweeps or p.control.max_sweeps) + 1):
+    start_at, more = 0, {}
+    if anchor is None:
+        s, start_at, more = p.going_on("als", s)
+        old = more.get("old")
+    for sweep in range(start_at + 1, (sweeps or p.control.max_sweeps) + 1):
         for k in p.order():
             sums = core_update(p, s, k, anchor, additive=k == p.order()[-1])
         g = tensor.pack(s.cores[k])
@@ -131,6 +145,7 @@ def als(p: Problem, s: State, sweeps: int | None = None, anchor: State | None =
         value = 0.5 * max(rss, 0) + p.penalty(s)
         if anchor is None:
             p.history.append({"stage": "als", "sweep": sweep, "rss": rss, "objective": value})
+            p.saw("als", s, sweep, old=value, objective=value)
         if old is not None and sweep > 2 and abs(old - value) <= p.control.tol * (abs(old) + p.control.tol):
             return s, True
         old = value
@@ -140,8 +155,9 @@ def als(p: Problem, s: State, sweeps: int | None = None, anchor: State | None =
 def pirls(p: Problem, s: State) -> tuple[State, bool]:
     """Working responses at the current fit, a few ALS sweeps on them, step halving on the true objective."""
     c = p.control
-    value, sweeps = p.objective(s)[0], c.als_sweeps_per_pirls
-    for it in range(1, c.pirls_maxit + 1):
+    s, start_at, more = p.going_on("pirls", s)
+    value, sweeps = (more["old"], more["sweeps"]) if more else (p.objective(s)[0], c.als_sweeps_per_pirls)
+    for it in range(start_at + 1, c.pirls_maxit + 1):
         new, _ = als(p, s, sweeps, anchor=s)
         steps = [1.0]
         while steps[-1] * c.step_factor >= c.step_min:
@@ -158,6 +174,7 @@ def pirls(p: Problem, s: State) -> tuple[State, bool]:
         if it > 2 and change < c.tol and steps[best] == 1:
             return s, True
         sweeps = min(c.als_sweeps_per_pirls_max, sweeps + (change < 1e-2))
+        p.saw("pirls", s, it, old=value, sweeps=sweeps, objective=value)
     return s, False
 
 
@@ -188,9 +205,10 @@ def joint_sweeps(p: Problem, s: State, sweeps: int | None = None) -> tuple[State
             g[at] += t.lam * t.penalty @ state.beta[t.at]
         return float(out["nll"]) + p.penalty(state), h, g
 
-    damping, grow = 0.1, 2.0
+    s, start_at, more = p.going_on("joint", s)
+    damping, grow = more.get("damping", 0.1), more.get("grow", 2.0)
     value, h, g = look(s)
-    for sweep in range(1, (sweeps or 4 * c.max_sweeps) + 1):
+    for sweep in range(start_at + 1, (sweeps or 4 * c.max_sweeps) + 1):
         own, left = h[np.ix_(free, free)], g[free]
         move = solve_spd(own + damping * max(float(np.diag(own).mean()), 1e-300) * np.eye(len(own)), left)
         fall = float(left @ move - 0.5 * move @ own @ move)  # as the sums foretell
@@ -209,6 +227,7 @@ def joint_sweeps(p: Problem, s: State, sweeps: int | None = None) -> tuple[State
             damping, grow = max(damping, 1e-8) * grow, 2 * grow
             if damping > 1e12:
                 return s, bool(np.abs(g[free]).max() <= np.sqrt(c.tol) * (1 + abs(value)))
+        p.saw("joint", s, sweep, damping=float(damping), grow=float(grow), objective=value)
     return s, False
 
 
@@ -436,7 +455,9 @@ def fit_cgcv(p: Problem, s: State, optimizer: str) -> tuple[State, bool, list[di
     """Fit at fixed lambda, propose by conditional GCV, damp and trust, repeat; a last fit at the end."""
     c, trace, done = p.control, [], False
     sequential = c.cgcv_update == "sequential"
-    for outer in range(1, c.outer_maxit + 1):
+    s, start_at, more = p.going_on("outer", s)
+    trace = more.get("trace", trace)
+    for outer in range(start_at + 1, c.outer_maxit + 1):
         s, _ = fit_fixed(p, s, optimizer)
         old = p.lam.copy()
         if sequential:
@@ -455,6 +476,7 @@ def fit_cgcv(p: Problem, s: State, optimizer: str) -> tuple[State, bool, list[di
         if outer > 1 and change < c.tol_lambda:
             done = True
             break
+        p.saw("outer", s, outer, trace=trace)
     s, ok = fit_fixed(p, s, optimizer)
     if c.cgcv_parameterization == "scale_anisotropy" and c.cgcv_lambda0_method == "log_grid":
         omega, tries = scale_anisotropy(p.lam)[1], []  # the scale of least deviance, the anisotropy as it settled

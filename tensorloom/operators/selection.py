@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 from ..functions import families as fam_
 from ..functions.basis import Knots, difference_penalty
+from ..functions.quantiles import exact_quantiles
 from ..plans import tensor
-from ..plans.backends import Request, RowBackend, State, build
+from ..plans.backends import MOMENTS, MomentBackend, Request, RowBackend, State, answer, block_of, build, tree_sums
 from ..plans.linalg import brent, f_tail
 from . import optimizers as opt
 from .spline import Prepared, TensorSpline, TensorSplineModel
@@ -23,15 +24,26 @@ def fold_id(key: Column, folds: int, seed: int = 1) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def balanced_folds(df: DataFrame, key: str, folds: int, seed: int = 1, into: str = "fold") -> DataFrame:
-    """Folds whose sizes differ by one at most: rows are numbered in hash order. The numbering counts rows by ranges of the hash first."""
-    buckets = 1024
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    work = df.withColumn("__h", h).withColumn("__b", F.shiftrightunsigned("__h", 54).cast("int"))
+#: Rows that are numbered in one task, about.
+BUCKET = 1 << 20
+
+
+def number_rows(df: DataFrame, key: str, into: str = "__row", *ties: str) -> DataFrame:
+    """Rows numbered from 0 in the order of a 64-bit hash key (and of `ties` within it), by as many ranges of it as the count of rows asks for."""
+    n = df.count()
+    buckets = max(1, -(-n // BUCKET))
+    # The high 32 bits, as a share of their range, give the bucket: equal shares of a hash hold about equally many rows.
+    b = F.floor((F.shiftright(key, 32) + F.lit(1 << 31)) * F.lit(buckets) / F.lit(1 << 32)).cast("int")
+    work = df.withColumn("__b", b)
     before = work.groupBy("__b").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__b", "__before")
-    assert buckets == 1 << 10
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1
-    return work.join(F.broadcast(before), "__b").withColumn(into, ((F.col("__before") + rank) % folds).cast("int")).drop("__h", "__b", "__before")  # 1024 rows
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy(key, *ties)) - 1
+    return work.join(before, "__b").withColumn(into, F.col("__before") + rank).drop("__b", "__before")
+
+
+def balanced_folds(df: DataFrame, key: str, folds: int, seed: int = 1, into: str = "fold") -> DataFrame:
+    """Folds whose sizes differ by one at most: rows are numbered in hash order."""
+    work = number_rows(df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), "__h", "__row", key)
+    return work.withColumn(into, (F.col("__row") % folds).cast("int")).drop("__h", "__row")
 
 
 def normalise_folds(df: DataFrame, fold: str, into: str = "fold_id") -> DataFrame:
@@ -190,8 +202,12 @@ def multistart(df: DataFrame, spec: TensorSpline, n_starts: int = 10, criterion:
 
 
 def reference_points(df: DataFrame, columns: list[str], how: str = "median") -> dict[str, float]:
-    f = {"median": lambda c: F.expr(f"percentile(`{c}`, 0.5)"), "mean": F.avg}[how]
-    r = df.agg(*[f(c).alias(c) for c in columns]).first()
+    """Exact medians, or means."""
+    if how == "median":
+        return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5]).items()}
+    if how != "mean":
+        raise ValueError(f"unknown reference {how!r}")
+    r = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     return {c: float(r[c]) for c in columns}
 
 
@@ -321,8 +337,12 @@ def activity_path(df: DataFrame, spec: TensorSpline, lambdas=tuple(10 ** np.lins
 
 
 def drop_test(df: DataFrame, spec: TensorSpline, method: str = "F", b: int = 99, alpha: float = 0.05, seed: int = 1) -> list[dict]:
-    """For each column the deviance without it, and an F or permutation p-value."""
-    full = spec.fit(df)
+    """For each column the deviance without it, and an F or permutation p-value.
+
+    All permutations of a Gaussian surface are gathered in one pass where its moments can be held (see `permuted_moments`); else each is a fit of its own, over
+    the same turned rows.
+    """
+    full, turned = spec.fit(df), None
     knots = dict(zip(spec.x, full.knots, strict=True))
     out = []
     for c in spec.x:
@@ -341,12 +361,16 @@ def drop_test(df: DataFrame, spec: TensorSpline, method: str = "F", b: int = 99,
             stat = max(delta, 0) / nu / (full.deviance / max(full.n - full.edf, 1))
             p = f_tail(stat, nu, max(full.n - full.edf, 1))
         else:
-            # The column's values dealt anew: rows in hash order meet rows in another hash order.
-            stat, hits = delta, 0
-            for i in range(b):
-                m = spec_with(spec, full.knots).fit(permuted(df, c, seed + i))
-                hits += m.deviance <= full.deviance
-            p = (1 + hits) / (b + 1)
+            # The column's values dealt anew, b times.
+            held = spec_with(spec, full.knots)
+            if turned is None:
+                turned = permuted_moments(df, held, b, seed) if _gathers(held) else rotations(df, spec.x, b, seed)
+            if isinstance(turned, dict):
+                fits = [Prepared(held, "gaussian", full.knots, [], 1 + len(spec.linear), be).fit() for be in turned[c]]
+            else:
+                fits = [held.fit(turned.withColumn(c, F.get("__turned", F.lit(t))[f"v{spec.x.index(c)}"])) for t in range(min(b, int(full.n) - 1))]
+            stat, hits = delta, sum(m.deviance <= full.deviance for m in fits)
+            p = (1 + hits) / (len(fits) + 1)
         out.append(row | {"statistic": float(stat), "p_value": float(p), "keep": bool(p < alpha)})
     return out
 
@@ -358,23 +382,74 @@ def drop_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[c] if c in ("column", "keep") else float(r[c]) for c in cols) for r in rows], "column string, delta_deviance double, nu double, statistic double, p_value double, keep boolean")
 
 
-def spec_with(spec: TensorSpline, knots) -> TensorSpline:
-    return replace(spec, knots=knots, control=replace(spec.control, compute_edf=False))
+def rotations(df: DataFrame, columns: list[str], b: int, seed: int = 1, into: str = "__turned") -> DataFrame:
+    """df with, for each row, an array of b structs: the columns' values of the rows 1, 2, ..., b places on in the order of a hash, around the end.
 
+    In that order a turn by any number of places is a random dealing of the values. Rows are numbered by ranges of the hash, and blocks of the
+    numbers overlap by b rows, so no task holds more than a block; a table of n rows has n - 1 turns at most.
+    """
+    own = number_rows(df.withColumn("__h", F.xxhash64(F.struct(*df.columns), F.lit(seed))), "__h", "__row", *df.columns)
+    own = own.drop("__h")
+    n = df.count()
+    b, step = min(b, max(n - 1, 0)), max(BUCKET, b)
+    last, block = (n - 1) // step if n else 0, F.floor(F.col("__row") / step)
+    # A row stands at its own number, and for the block before it, or for the last from the front, at a number beyond that block's end.
+    at = lambda k, no, halo: F.struct(k.cast("long").alias("k"), no.cast("long").alias("no"), F.lit(halo).alias("halo"))
+    places = F.array_compact(F.array(at(block, F.col("__row"), False), F.when((F.col("__row") % step < b) & (block > 0), at(block - 1, F.col("__row"), True)), F.when(F.col("__row") < b, at(F.lit(last), F.col("__row") + n, True))))
+    # The last block may be shorter than b: what follows it there begins again at the front, so the block before it looks around the end too.
+    if last and n - last * step < b:
+        places = F.array_compact(F.concat(places, F.array(F.when(F.col("__row") < b, at(F.lit(last - 1), F.col("__row") + n, True)))))
+    own = own.withColumn("__at", F.explode(places))
+    w = Window.partitionBy("__at.k").orderBy("__at.no").rowsBetween(1, b)
+    turned = F.collect_list(F.struct(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])).over(w)
+    return own.withColumn(into, turned).filter(~F.col("__at.halo")).drop("__at", "__row")
 
-def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """df with the values of one column dealt anew: both sides are numbered by range-sorted hashes and joined on the number."""
-    n = lambda x, s: number_rows(x.withColumn("__k", F.xxhash64(F.struct(*x.columns), F.lit(s))), "__k")
-    left = n(df, seed).drop(column, "__k")
-    right = n(df, seed + 7919).select("__row", column)
-    return left.join(right, "__row").drop("__row").select(*df.columns)
 
+def _gathers(spec: TensorSpline) -> bool:
+    return fam_.family(spec.family) == "gaussian" and not spec.smooth and np.prod([k.k for k in spec.knots], dtype=float) <= MOMENTS
 
-def number_rows(df: DataFrame, key: str, into: str = "__row") -> DataFrame:
-    """Rows numbered from 0 in the order of a hash key, by buckets of it, so that no task sees all rows."""
-    b = F.shiftrightunsigned(F.col(key), 54).cast("int")
-    work = df.withColumn("__b", b)
-    before = work.groupBy("__b").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__b", "__before")
-    return work.join(F.broadcast(before), "__b").withColumn(into, F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1).drop("__b", "__before")  # 1024 rows
 
+#: Numbers that the sums of all permutations may have together in one pass.
+GATHERED = 100_000_000
 
+
+def permuted_moments(df: DataFrame, spec: TensorSpline, b: int, seed: int = 1) -> dict[str, list[MomentBackend]]:
+    """{column: moments with that column's values dealt anew, b times}, all gathered by one pass over the rows (or as few as `GATHERED` allows).
+
+    spec: Gaussian with knots, no smooth terms. A permutation turns the hash order of the rows (see `rotations`).
+    """
+    if not spec.knots or not _gathers(spec):
+        raise ValueError(f"permutations in one pass are for Gaussian surfaces with knots, at most {MOMENTS} tensor entries and no smooth terms")
+    sizes, d = [k.k for k in spec.knots], len(spec.x)
+    entries = int(np.prod(sizes, dtype=float))
+    number = lambda c, default: F.col(c).cast("double") if c else F.lit(default)
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(spec.x)], *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(spec.linear)], F.col(spec.y).cast("double").alias("y"), number(spec.weight, 1.0).alias("w"), number(spec.offset, 0.0).alias("off"))
+    turned = rotations(rows.filter("w is null or w <> 0"), [f"x{i}" for i in range(d)], b, seed)
+    each = max(1, min(b, GATHERED // (d * entries * entries)))
+    out: dict[str, list[MomentBackend]] = {c: [] for c in spec.x}
+    dummy, knots, n_z = State([np.zeros((1, p, 1)) for p in sizes], np.zeros(1 + len(spec.linear))), spec.knots, len(spec.linear)
+    for first in range(0, b, each):
+        # The turns of this pass, flat: turn by turn, column by column.
+        part = turned.withColumn("__turned", F.transform(F.slice("__turned", first + 1, each), lambda v: F.array(*[v[f"v{i}"] for i in range(d)])))
+
+        def sums(batch, n_z=n_z) -> dict:
+            own, flat = block_of(batch, knots, n_z), batch.column("__turned")
+            values = np.asarray(flat.flatten().flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1, d)
+            found: dict = {}
+            for i in range(d):
+                for t in range(values.shape[1]):
+                    b_ = replace(own, bases=[knots[j].evaluate(values[:, t, j]) if j == i else x for j, x in enumerate(own.bases)])
+                    got = answer(b_, Request("tensor", states=[dummy])) | answer(b_, Request("size"))
+                    found |= {(i * 1_000_000 + t, name): v for name, v in got.items()}
+            return found
+
+        got: dict[int, dict] = {}
+        for (key, name), v in tree_sums(part, sums).items():
+            got.setdefault(key, {})[name] = v
+        for key in sorted(got):
+            out[spec.x[key // 1_000_000]].append(MomentBackend(sizes, got[key]))
+    return out
+
+
+def spec_with(spec: TensorSpline, knots) -> TensorSpline:
+    return replace(spec, knots=knots, control=replace(spec.control, compute_edf=False))

@@ -75,10 +75,11 @@ class TensorSpline:
         be = build(work, knots, self.x, self.y, fam, self.weight, self.offset, z, fold, self.backend)
         return Prepared(self, fam, knots, terms, 1 + len(z), be)
 
-    def fit(self, df: DataFrame, seed: int | None = None) -> TensorSplineModel:
+    def fit(self, df: DataFrame, seed: int | None = None, monitor=None) -> TensorSplineModel:
+        """monitor: a `monitor.FitMonitor`, which records each sweep and lets an interrupted fit go on."""
         ready = self.prepare(df)
         try:
-            return ready.fit(seed=seed)
+            return ready.fit(seed=seed, monitor=monitor)
         finally:
             if isinstance(ready.backend, RowBackend):
                 ready.backend.close()
@@ -105,8 +106,9 @@ class Prepared:
         smooths = [opt.Smooth(t.column, at, difference_penalty(t.k, t.m, t.bs == "cc"), 1.0 if isinstance(t.lam, str) else float(t.lam), "cGCV" if isinstance(t.lam, str) else "fixed", t.target_edf) for t, _, at in self.terms]
         return opt.Problem(self.backend, self.family, [k.k for k in self.knots], pens, values, c, self.n_beta, smooths), method
 
-    def fit(self, rank=None, lam=None, seed: int | None = None, init: State | None = None, control: Control | None = None) -> TensorSplineModel:
+    def fit(self, rank=None, lam=None, seed: int | None = None, init: State | None = None, control: Control | None = None, monitor=None) -> TensorSplineModel:
         p, method = self.problem(lam, control)
+        p.monitor = monitor
         name = opt.resolve_optimizer(self.spec.optimizer, self.family, bool(self.spec.linear or self.spec.smooth))
         s = init.copy() if init else opt.start(p, self.spec.rank if rank is None else rank, seed, 1.0 if name == "als" else 0.05 / p.control.init_sd if name == "pirls-als" else 1.0)
         trace: list[dict] = []
@@ -114,6 +116,8 @@ class Prepared:
             s, ok, trace = opt.fit_cgcv(p, s, name)
         else:
             s, ok = opt.fit_fixed(p, s, name)
+        if monitor is not None:
+            monitor.done()
         loss = p.ask("loss", s)
         size = self.backend.total(Request("size"))
         model = TensorSplineModel(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions import families as fam_
 from .functions import surfaces
 from .functions.basis import Knots, difference_penalty, domains
+from .functions.quantiles import exact_quantiles
 from .operators import grid, lab, lab_adaptive, lag, null_space, selection
 from .operators.control import Control, boundary_status, damped_step
 from .operators.control import scale_anisotropy as split_scale
@@ -484,6 +485,15 @@ def cv_rules(spark, sf_dir):
     return out
 
 
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", {p}::DOUBLE AS p, {sq(f'quantile_cont({c}::DOUBLE, {p})', 4)} AS value FROM {table}""" for c, table in (("l_extendedprice", "lineitem"), ("o_totalprice", "orders")) for p in (0.0, 0.01, 0.25, 0.5, 0.999, 1.0)))
+def continuous_quantiles(spark, sf_dir):
+    """Order statistics of continuous columns, by counts over narrowing ranges."""
+    at, rows = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0], []
+    for c, name in (("l_extendedprice", "lineitem"), ("o_totalprice", "orders")):
+        rows += [(c, p, v) for p, v in zip(at, exact_quantiles(t(spark, sf_dir, name), [c], at)[c])]
+    return spark.createDataFrame(rows, 'column string, p double, value double').select("column", "p", q(F.col("value"), 4).alias("value"))
+
+
 @query(f"SELECT {sq('quantile_cont(l_quantity, 0.5)')} AS l_quantity, {sq('quantile_cont(l_discount, 0.5)')} AS l_discount, {sq('quantile_cont(l_extendedprice, 0.5)', 2)} AS l_extendedprice FROM lineitem")
 def reference_medians(spark, sf_dir):
     r = selection.reference_points(t(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"])
