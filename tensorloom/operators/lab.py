@@ -113,6 +113,7 @@ class Evaluator:
     sweeps: int = 25
     df: DataFrame | None = None
     key: list[str] | str | None = None
+    fit_fun: object = None  # fit_fun(problem, start) -> state, in place of alternating sweeps
 
     def __post_init__(self):
         be, spec = self.prepared.backend, self.prepared.spec
@@ -135,24 +136,32 @@ class Evaluator:
     def _fit(self, lam: np.ndarray, backend, start: State | None) -> State:
         p, _ = replace(self.prepared, backend=backend).problem(lam)
         p.control = replace(p.control, max_sweeps=self.sweeps)
-        return opt.fit_fixed(p, start or opt.start(p, self.rank, self.seed), "als")[0]
+        start = start or opt.start(p, self.rank, self.seed)
+        return self.fit_fun(p, start) if self.fit_fun else opt.fit_fixed(p, start, "als")[0]
 
     def at(self, log10_lam) -> dict:
+        """One evaluation; where a fit fails its row says so (ok false, with the error), its criterion is infinite and a search goes on."""
         key = tuple(np.round(np.asarray(log10_lam, float), 10))
         if key not in self.cache:
-            lam, be = 10 ** np.asarray(log10_lam, float), self.prepared.backend
-            s = self._fit(lam, be, self.base)
-            self.base = self.base or s
-            gdf = []
-            for m in range(self.probes):
-                # Central: what a start that hasn't quite converged still moves cancels.
-                up, down = (self._fit(lam, self.bank.moved(m, t), s) for t in (self.step, -self.step))
-                gdf.append(self.bank.effect(m, up, down) / (2 * self.step))
-            rss = float(be.total(Request("loss", "gaussian", [s]))["dev0"])
-            df = float(np.mean(gdf))
-            self.cache[key] = {"log10_lambda": key, "gdf": df, "gdf_se": float(np.std(gdf) / max(len(gdf), 1) ** 0.5), "rss": rss, "gcv": global_gcv(self.n, rss, df)}
+            try:
+                self.cache[key] = self._evaluated(key, log10_lam) | {"ok": True, "error": None}
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+                self.cache[key] = {"log10_lambda": key, "gdf": float("nan"), "gdf_se": float("nan"), "rss": float("nan"), "gcv": float("inf"), "ok": False, "error": str(e)}
         return self.cache[key]
 
+    def _evaluated(self, key: tuple, log10_lam) -> dict:
+        lam, be = 10 ** np.asarray(log10_lam, float), self.prepared.backend
+        s = self._fit(lam, be, self.base)
+        self.base = self.base or s
+        gdf = []
+        for m in range(self.probes):
+            # Central: what a start that hasn't quite converged still moves cancels.
+            up, down = (self._fit(lam, self.bank.moved(m, t), s) for t in (self.step, -self.step))
+            gdf.append(self.bank.effect(m, up, down) / (2 * self.step))
+        rss = float(be.total(Request("loss", "gaussian", [s]))["dev0"])
+        df = float(np.mean(gdf))
+        return {"log10_lambda": key, "gdf": df, "gdf_se": float(np.std(gdf) / max(len(gdf), 1) ** 0.5), "rss": rss, "gcv": global_gcv(self.n, rss, df)}
+
     def gcv(self, log10_lam) -> float:
         return self.at(log10_lam)["gcv"]
 
@@ -167,9 +176,9 @@ def gdf_mc(df: DataFrame, spec: TensorSpline, lam, probes: int = 5, seed: int =
     return Evaluator(ready(df, spec, key), spec.rank, probes, seed=seed, sweeps=sweeps, df=df, key=key).at(np.log10(np.full(len(spec.x), float(lam)) if np.isscalar(lam) else np.asarray(lam, float)))
 
 
-def lambda_grid(df: DataFrame, spec: TensorSpline, points, key: list[str] | str | None = None) -> list[dict]:
+def lambda_grid(df: DataFrame, spec: TensorSpline, points, key: list[str] | str | None = None, fit_fun=None) -> list[dict]:
     """Global GCV over a grid of log10 lambda for every margin."""
-    e = Evaluator(ready(df, spec, key), spec.rank, df=df, key=key)
+    e = Evaluator(ready(df, spec, key), spec.rank, df=df, key=key, fit_fun=fit_fun)
     mesh = np.stack([m.ravel() for m in np.meshgrid(*[np.asarray(points, float)] * len(spec.x), indexing="ij")], axis=1)
     return [e.at(v) for v in mesh]
 

@@ -32,44 +32,53 @@ def lag_columns(df: DataFrame, column: str, lag: int, order_by: str, series: str
     return df.select("*", *[F.lag(F.col(column).cast("double"), i).over(w).alias(f"{prefix or column + '_lag'}{i}") for i in range(lag + 1)])
 
 
-def ordered_ranges(df: DataFrame, lag: int, order_by: str) -> tuple[DataFrame, str]:
-    """df cut into ranges of some `RANGE` ordered rows, each with the `lag` rows before it as a halo (column __halo), and the range's column.
+def ordered_ranges(df: DataFrame, lag: int, order_by: str, series: str | None = None) -> DataFrame:
+    """df cut into blocks of some `RANGE` ordered rows of a series, each with the `lag` rows before it as a halo: columns __block, __row (the row's number in its series) and __halo.
 
-    Ranges of the order column (a number, date or time) come from approximate quantiles; counts for each range number the rows, and blocks of the
-    numbers overlap by the halo. So a long series needs no task that holds more than a block.
+    Series of more than `RANGE` rows are cut at approximate quantiles of their own order (a number, date or time), which come as a table with a row for
+    each such series, so the plan is the same for any data. Counts of the cuts number the rows, and blocks of the numbers overlap by the
+    halo, so no task holds more than a block of a series. Rows of equal order go by a hash of the row.
     """
-    n = df.count()
-    blocks = max(1, -(-n // RANGE))
-    cuts = df.agg(F.percentile_approx(order_by, [i / blocks for i in range(1, blocks)] or [0.5], 10_000)).first()[0] if blocks > 1 else []
-    at = F.lit(0)
-    for c in sorted(set(cuts or [])):
-        at = at + F.coalesce(F.col(order_by) > F.lit(c), F.lit(False)).cast("int")
-    work = df.withColumn("__range", at)
-    sizes = dict(sorted(map(tuple, work.groupBy("__range").count().collect())))  # a row for each range
-    before, total = {}, 0
-    for r, c in sizes.items():
-        before[r], total = total, total + c
-    start = F.get(F.array(*[F.lit(before.get(r, 0)).cast("long") for r in range(max(sizes, default=0) + 1)]), F.col("__range"))
-    number = start + F.row_number().over(Window.partitionBy("__range").orderBy(order_by)) - 1
+    s = F.col(series) if series else F.lit(0)
+    work = df.withColumn("__series", s).withColumn("__hash", F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    sizes = work.groupBy("__series").agg(F.count("*").alias("n")).filter(F.col("n") > RANGE)
+    most = sizes.agg(F.max("n")).first()[0]
+    if most:
+        shares = [i / (-(-most // RANGE)) for i in range(1, -(-most // RANGE))]
+        long = work.join(sizes.select(F.col("__series").alias("__s")), F.col("__series").eqNullSafe(F.col("__s")), "left_semi")
+        cuts = long.groupBy(F.col("__series").alias("__s")).agg(F.percentile_approx(order_by, shares, 10_000).alias("__cuts"))
+        work = work.join(cuts, F.col("__series").eqNullSafe(F.col("__s")), "left").drop("__s")
+        at = F.size(F.filter("__cuts", lambda c: c < F.col(order_by)))
+        work = work.withColumn("__range", F.when(F.col("__cuts").isNull() | F.col(order_by).isNull(), F.lit(0)).otherwise(at)).drop("__cuts")
+    else:
+        work = work.withColumn("__range", F.lit(0))
+    counts = work.groupBy("__series", "__range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__series").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("__series").alias("__s"), F.col("__range").alias("__r"), before.alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__series", "__range").orderBy(order_by, "__hash")) - 1
+    work = work.withColumn("__rank", rank).join(starts, F.col("__series").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    work = work.withColumn("__row", F.col("__before") + F.col("__rank")).drop("__s", "__r", "__before", "__rank", "__range", "__hash")
     step = max(RANGE, lag)
-    work = work.withColumn("__row", number).drop("__range")
     block, none = F.floor(F.col("__row") / step), F.lit(None).cast("long")
     both = F.array_compact(F.array(block, F.when((F.col("__row") % step >= step - lag) & F.lit(lag > 0), block + 1).otherwise(none)))
     work = work.withColumn("__block", F.explode(both))
-    return work.withColumn("__halo", F.col("__block") != F.floor(F.col("__row") / step)), "__block"
+    return work.withColumn("__halo", F.col("__block") != F.floor(F.col("__row") / step))
 
 
 def lag_windows(df: DataFrame, exposures: list[str], lag: int, order_by: str, series: str | None = None, complete: bool = True) -> DataFrame:
     """All lag columns, and with `complete` only rows whose windows have no null.
 
-    Without series the table is one ordered series; where its order is a number, date or time it is worked through in overlapping ranges.
+    Without series the table is one ordered series. Where a series has more than `RANGE` rows and its order is a number, date or time, it is worked through in
+    overlapping blocks; shorter ones are a window each. Rows of equal order go by a hash of the row, so that windows don't change from run to run.
     """
-    kind = df.schema[order_by].dataType
-    ranged = not series and isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType))
-    columns = df.columns
+    kind, columns = df.schema[order_by].dataType, df.columns
+    longest = (df.groupBy(series).count() if series else df.agg(F.count("*").alias("count"))).agg(F.max("count")).first()[0] or 0
+    ranged = longest > RANGE and isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType))
     if ranged:
-        df, series = ordered_ranges(df, lag, order_by)
-    w = Window.partitionBy(series).orderBy("__row" if ranged else order_by) if series else Window.orderBy(order_by)
+        df = ordered_ranges(df, lag, order_by, series)
+        w = Window.partitionBy("__series", "__block").orderBy("__row")
+    else:
+        w = (Window.partitionBy(series) if series else Window.partitionBy(F.lit(0))).orderBy(order_by, F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in columns])))
     lags = [F.lag(F.col(e).cast("double"), i).over(w).alias(f"{e}__lag{i}") for e in exposures for i in range(lag + 1)]
     df = df.select("*", *lags)
     if ranged:
@@ -168,6 +177,20 @@ class DistributedLagSpline:
 
             return {name: v for (_, name), v in tree_sums(rows, part).items()}
 
+        def losses(tries: list[tuple[list[np.ndarray], np.ndarray]]) -> list[tuple[float, float]]:
+            """(loss, deviance) of all candidates in one pass."""
+
+            def part(b: pa.RecordBatch) -> dict:
+                surfaces = [0.0] * len(tries)
+                for bases in self.bases(b, knots):
+                    surfaces = [f + tensor.contract(bases, cs) for f, (cs, _) in zip(surfaces, tries, strict=True)]
+                zs = np.stack([np.ones(b.num_rows)] + [_numbers(b, f"z{i}") for i in range(len(z))], axis=1)
+                y, off, w0 = (_numbers(b, n) for n in ("y", "off", "w"))
+                etas = [off + zs @ bt + f for f, (_, bt) in zip(surfaces, tries, strict=True)]
+                return {(0, "loss"): np.array([[fam_.np_nll(fam, y, e, w0), deviance(fam, y, fam_.np_inverse(fam, e), w0)] for e in etas])}
+
+            return [(float(a), float(b)) for a, b in tree_sums(rows, part)[0, "loss"]]
+
         rng = np.random.default_rng(c.seed)
         r = [1] + [self.rank] * (d - 1) + [1]
         cores = [rng.normal(0, c.init_sd, (r[i], p, r[i + 1])) for i, p in enumerate(sizes)]
@@ -222,28 +245,41 @@ class DistributedLagSpline:
             g, n = tensor.pack(cores[-1]), cores[-1].size  # `last` is of the last core, whose design its own update leaves alone
             beta = additive_step(last["S"][n:, n:], last["b"][n:] - last["S"][n:, :n] @ g)
 
-        history, converged, old = [], False, None
+        history, converged = [], False
         steps, inner = (1, c.max_sweeps) if fam == "gaussian" else (c.pirls_maxit, c.als_sweeps_per_pirls_max)
         if index is None and fam != "gaussian":
             inner = 1
+        lengths = [1.0]
+        while lengths[-1] * c.step_factor >= c.step_min:
+            lengths.append(lengths[-1] * c.step_factor)
+        dense = lambda: (tensor.dense(cores) if index is not None else np.concatenate([tensor.pack(x) for x in cores])).ravel()
+        loss, dev = losses([(cores, beta)])[0]
         for it in range(1, steps + 1):
+            first = [x.copy() for x in cores], beta.copy()
             m = sums(cores, beta, None) if index is not None else None
             for _ in range(inner):
-                before = (tensor.dense(cores) if index is not None else np.concatenate([tensor.pack(x) for x in cores])).ravel()
+                before = dense()
                 sweep(m)
-                now = (tensor.dense(cores) if index is not None else np.concatenate([tensor.pack(x) for x in cores])).ravel()
+                now = dense()
                 if fam == "gaussian" and np.abs(now - before).max() <= np.sqrt(c.tol) * max(np.abs(now).max(), 1e-12):
                     converged = True
                     break
-            done = sums(cores, beta, 0) if index is None or fam == "gaussian" else sums(cores, beta, None)
-            value = float(done["nll"]) + penalty(cores, beta)
-            history.append({"stage": "pirls" if fam != "gaussian" else "als", "sweep": it, "objective": value})
-            if fam != "gaussian" and old is not None and abs(old - value) <= c.tol * (abs(old) + c.tol):
+            # How far to go: the longest step that doesn't raise the penalised objective, all of them tried in one pass.
+            tries = [([a + t * (b - a) for a, b in zip(first[0], cores, strict=True)], first[1] + t * (beta - first[1])) for t in (lengths if fam != "gaussian" else [1.0])]
+            old, found = loss + penalty(*first), losses(tries)
+            values = [x + penalty(*t) for (x, _), t in zip(found, tries, strict=True)]
+            best = next((i for i, v in enumerate(values) if np.isfinite(v) and v <= old + c.objective_tol * abs(old)), None) if fam != "gaussian" else 0
+            if best is None:
+                cores[:], beta = first[0], first[1]
+                converged = True  # no step along this direction goes down
+                break
+            cores[:], beta, (loss, dev) = tries[best][0], tries[best][1], found[best]
+            history.append({"stage": "pirls" if fam != "gaussian" else "als", "sweep": it, "objective": values[best], "step": lengths[best]})
+            if fam != "gaussian" and best == 0 and abs(old - values[best]) <= c.tol * (abs(old) + c.tol):
                 converged = True
                 break
-            old = value
         medians = exact_quantiles(rows, [f"{e}__lag0" for e in self.exposures], [0.5])
-        return DistributedLagModel(self, fam, knots, cores, beta, lam, [(t.column, kn, at) for t, kn, at in terms], float(done["dev"]), float(size["n"]), converged, history, {e: medians[f"{e}__lag0"][0] for e in self.exposures})
+        return DistributedLagModel(self, fam, knots, cores, beta, lam, [(t.column, kn, at) for t, kn, at in terms], dev, float(size["n"]), converged, history, {e: medians[f"{e}__lag0"][0] for e in self.exposures})
 
 
 def _numbers(b: pa.RecordBatch, c: str) -> np.ndarray:

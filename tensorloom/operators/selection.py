@@ -186,15 +186,26 @@ def rank_profile(df: DataFrame, spec: TensorSpline, ranks=(1, 2, 3, 4, 5)) -> li
     return out
 
 
-def multistart(df: DataFrame, spec: TensorSpline, n_starts: int = 10, criterion: str = "objective", prefer_converged: bool = True) -> tuple[TensorSplineModel, list[dict]]:
-    """The best of several random starts, with the table of all."""
+def multistart(df: DataFrame, spec: TensorSpline, n_starts: int = 10, criterion: str = "objective", prefer_converged: bool = True, fit_fun=None) -> tuple[TensorSplineModel, list[dict]]:
+    """The best of several random starts, with the table of all. fit_fun(prepared, rank, seed): a fit of one's own.
+
+    A start that fails is a row of the table (ok false, with its error) and is never the best.
+    """
     p, fits, table = spec.prepare(df), [], []
     for i in range(n_starts):
-        m = p.fit(seed=spec.control.seed + i)
+        seed = spec.control.seed + i
+        try:
+            m = fit_fun(p, spec.rank, seed) if fit_fun else p.fit(seed=seed)
+            row = {"objective": m.objective, "deviance": getattr(m, "deviance", float("nan")), "edf": getattr(m, "edf", float("nan")), "converged": getattr(m, "converged", True), "boundary": float(np.mean([b != "interior" for b in m.boundary()])) if hasattr(m, "boundary") else float("nan"), "ok": True, "error": None}
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+            m, row = None, {"objective": float("inf"), "deviance": float("inf"), "edf": float("nan"), "converged": False, "boundary": float("nan"), "ok": False, "error": str(e)}
         fits.append(m)
-        table.append({"start": i + 1, "objective": m.objective, "deviance": m.deviance, "edf": m.edf, "converged": m.converged, "boundary": float(np.mean([b != "interior" for b in m.boundary()]))})
+        table.append({"start": i + 1, **row})
     _close(p.backend)
-    best = min(range(n_starts), key=lambda i: (prefer_converged and not table[i]["converged"], table[i][criterion]))
+    able = [i for i in range(n_starts) if table[i]["ok"]]
+    if not able:
+        raise ValueError(f"every start failed: {table[0]['error'] if table else 'none asked for'}")
+    best = min(able, key=lambda i: (prefer_converged and not table[i]["converged"], table[i][criterion]))
     return fits[best], table
 
 

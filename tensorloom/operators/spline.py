@@ -265,20 +265,26 @@ class TensorSplineModel:
 
     def parametric_table(self) -> list[dict]:
         """Intercept and linear terms with the surface as an offset: t for Gaussian, else z; aliased terms without values."""
-        n_lin = 1 + len(self.spec.linear)
+        n_lin, names = 1 + len(self.spec.linear), ["(Intercept)", *self.spec.linear]
         at = len(self.vcov_["H"]) - len(self.state.beta)
         m = self.vcov_["H"][at : at + n_lin, at : at + n_lin]
-        _, r = np.linalg.qr(m)
-        aliased = np.abs(np.diag(r)) < 1e-10 * max(np.abs(np.diag(r)).max(), 1e-300)
-        inv, out = np.linalg.pinv(m) * self.scale, []
-        for i, name in enumerate(["(Intercept)", *self.spec.linear]):
-            if aliased[i]:
+        kept: list[int] = []
+        for i in range(n_lin):  # a term within the span of those before it is aliased
+            left = m[i, i] - m[i, kept] @ np.linalg.solve(m[np.ix_(kept, kept)], m[kept, i]) if kept else m[i, i]
+            if left > 1e-10 * max(m[i, i], 1e-300):
+                kept.append(i)
+        # The fitted linear part, told by the kept terms alone.
+        inv = np.linalg.inv(m[np.ix_(kept, kept)])
+        estimate = dict(zip(kept, inv @ (m[kept] @ self.state.beta[:n_lin]), strict=True))
+        out = []
+        for i, name in enumerate(names):
+            if i not in estimate:
                 out.append({"term": name, "estimate": None, "se": None, "statistic": None, "p_value": None})
                 continue
-            se = float(np.sqrt(max(inv[i, i], 0)))
-            stat = float(self.state.beta[i] / se) if se else float("inf")
+            se = float(np.sqrt(max(inv[kept.index(i), kept.index(i)] * self.scale, 0)))
+            stat = float(estimate[i] / se) if se else float("inf")
             p = t_two_sided(stat, max(self.n - self.vcov_["edf"], 1)) if self.family == "gaussian" else 2 * (1 - NormalDist().cdf(abs(stat)))
-            out.append({"term": name, "estimate": float(self.state.beta[i]), "se": se, "statistic": stat, "p_value": p})
+            out.append({"term": name, "estimate": float(estimate[i]), "se": se, "statistic": stat, "p_value": p})
         return out
 
     def smooth_table(self) -> list[dict]:
@@ -295,9 +301,10 @@ class TensorSplineModel:
             z += [f"__s{i}_{j + 1}" for j in range(kn.k)]
         return work, z
 
-    def transform(self, df: DataFrame, kind: str = "response", se: bool = False, interval: float | None = None, offset: bool = True, freq: bool = False, contrast: dict | None = None) -> DataFrame:
+    def transform(self, df: DataFrame, kind: str = "response", se: bool = False, interval: float | None = None, offset: bool = True, freq: bool = False, contrast: dict | None = None, mark: str | None = "outside") -> DataFrame:
         """df with eta, fit and, if asked for, se (link scale), lower and upper. Narrow: rows are scored where they lie.
 
+        mark: a column that is true where a covariate lies outside the span that the fit saw, so that its basis is zero there; none if df has one of that name.
         contrast: covariate values of a row whose surface is subtracted. Without the offset column its value is 0.
         """
         work, z = self._design_columns(df)
@@ -346,12 +353,22 @@ class TensorSplineModel:
         if interval is not None:
             q = NormalDist().inv_cdf(0.5 + interval / 2)
             cols += [link(eta - q * F.col("se")).alias("lower"), link(eta + q * F.col("se")).alias("upper")]
+        if mark and mark.lower() not in {c.lower() for c in df.columns}:
+            beyond = F.lit(False)
+            for c, k in zip(x, knots, strict=True):
+                beyond = beyond | F.coalesce(k.outside(F.col(f"{key}.`{c}`").cast("double")), F.lit(False))
+            cols.append(beyond.alias(mark))
         return out.select(*cols)
 
     def residuals(self, df: DataFrame, kind: str = "deviance") -> DataFrame:
         w = F.coalesce(F.col(self.spec.weight).cast("double"), F.lit(1.0)) if self.spec.weight else None
         return self.transform(df).withColumn("residual", fam_.residual(self.family, F.col(self.spec.y).cast("double"), F.col("fit"), kind, w))
 
+    def refit(self, df: DataFrame, rank=None, lam=None, control: Control | None = None, **changes) -> TensorSplineModel:
+        """A fresh fit with this one's knots, at another rank or smoothing or with other settings of the estimator, degrees of freedom included."""
+        spec = replace(self.spec, knots=self.knots, rank=self.spec.rank if rank is None else rank, lam=self.spec.lam if lam is None else lam, **changes)
+        return replace(spec, control=replace(control or spec.control, compute_edf=True)).fit(df)
+
     def slice_frame(self, spark, margin: int, at: dict[str, float], points: int = 50) -> DataFrame:
         """Plot data: one covariate over its span, the others held."""
         k = self.knots[margin]
