@@ -122,7 +122,7 @@ def fit_dense(df: DataFrame, x: list[str], y: str = "y", family: str = "gaussian
     return DenseGridModel(x, fam, knots, theta, 0.0, lam, edf, dev, be.n)
 
 
-def compare(df: DataFrame, x: list[str], truth: str, k: int = 8, lam: float = 1.0, ranks=(1, 2, 3), y: str = "y", select: bool = True) -> list[dict]:
+def compare(df: DataFrame, x: list[str], truth: str, k: int = 8, lam: float = 1.0, ranks=(1, 2, 3), y: str = "y", select: bool = True, knots: list[Knots] | None = None) -> list[dict]:
     """Dense baseline, trains of several ranks and the CV choices, with RMSE against the truth, EDF and seconds."""
     from .selection import rank_select
 
@@ -133,8 +133,8 @@ def compare(df: DataFrame, x: list[str], truth: str, k: int = 8, lam: float = 1.
         rmse = m.transform(df).agg(F.sqrt(F.avg((F.col("fit") - F.col(truth)) * (F.col("fit") - F.col(truth)))).alias("r")).first()["r"]
         return {"method": method, "rank": rank, "rmse": float(rmse), "edf": float(m.edf), "seconds": s}
 
-    spec = TensorSpline(x, y, k=k, lam=lam)
-    out = [row("dense", lambda: fit_dense(df, x, y, k=k, lam=lam))]
+    spec = TensorSpline(x, y, k=k, lam=lam, knots=knots)
+    out = [row("dense", lambda: fit_dense(df, x, y, knots=knots, k=k, lam=lam))]
     trains = [row(f"tt{r}", lambda r=r: replace(spec, rank=r).fit(df), r) for r in ranks]
     out += trains + [min(trains, key=lambda r: r["rmse"]) | {"method": "oracle"}]
     if select:

@@ -464,3 +464,11 @@ def permuted_moments(df: DataFrame, spec: TensorSpline, b: int, seed: int = 1) -
 
 def spec_with(spec: TensorSpline, knots) -> TensorSpline:
     return replace(spec, knots=knots, control=replace(spec.control, compute_edf=False))
+
+
+def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
+    """df with the values of one column dealt anew: both sides are numbered in the order of a hash and joined on the number."""
+    n = lambda x, s: number_rows(x.withColumn("__k", F.xxhash64(F.struct(*x.columns), F.lit(s))), "__k", "__row", *x.columns)
+    left = n(df, seed).drop(column, "__k")
+    right = n(df, seed + 7919).select("__row", column)
+    return left.join(right, "__row").drop("__row").select(*df.columns)

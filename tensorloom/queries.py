@@ -119,12 +119,14 @@ def outside_span(spark, sf_dir):
 
 
 @query("""
-WITH d(i, j, v) AS (SELECT i, j, CASE j - i WHEN 0 THEN 1.0 WHEN 1 THEN -2.0 WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE FROM range(1, 7) a(i), range(1, 9) b(j))
-SELECT a.j::INT AS i, b.j::INT AS j, sum(a.v * b.v) AS value FROM d a JOIN d b ON a.i = b.i GROUP BY a.j, b.j
+WITH g AS (SELECT extract(month FROM o_orderdate) AS m, count(*)::DOUBLE AS n FROM orders GROUP BY 1), a AS (SELECT m, n - lag(n) OVER (ORDER BY m) AS d FROM g), b AS (SELECT m, d - lag(d) OVER (ORDER BY m) AS d FROM a), c AS (SELECT m, d - lag(d) OVER (ORDER BY m) AS d FROM b)
+SELECT 1::INT AS "order", sum(d * d) AS roughness FROM a UNION ALL SELECT 2, sum(d * d) FROM b UNION ALL SELECT 3, sum(d * d) FROM c
 """)
 def difference_penalty_matrix(spark, sf_dir):
-    p = difference_penalty(8, 2)
-    return spark.createDataFrame([(i + 1, j + 1, float(p[i, j])) for i in range(8) for j in range(8)], "i int, j int, value double")
+    """g'Pg for the counts of orders by month: the penalty matrix of each order against sums of squared differences."""
+    rows = t(spark, sf_dir, "orders").groupBy(F.month("o_orderdate").alias("m")).count().orderBy("m").collect()  # 12 months
+    g = np.array([r["count"] for r in rows], float)
+    return spark.createDataFrame([(i, float(g @ difference_penalty(len(g), i) @ g)) for i in (1, 2, 3)], "`order` int, roughness double")
 
 
 def truth_row(spark, **checks) -> DataFrame:
@@ -182,26 +184,33 @@ _theta = [f"({i + 1}, {j + 1}, {float(v)!r}::DOUBLE)" for (i, j), v in np.ndenum
 
 
 @query(f"""
-WITH th(i, j, v) AS (VALUES {', '.join(_theta)}),
+WITH th AS (SELECT l_linenumber::INT AS i, round(l_discount * 100)::INT AS j, avg(l_quantity::DOUBLE) AS v FROM lineitem GROUP BY 1, 2),
 a AS (SELECT x.i, x.j, x.v - 2 * y.v + z.v AS dv FROM th x JOIN th y ON y.i = x.i + 1 AND y.j = x.j JOIN th z ON z.i = x.i + 2 AND z.j = x.j),
 b AS (SELECT x.i, x.j, x.v - 2 * y.v + z.v AS dv FROM th x JOIN th y ON y.j = x.j + 1 AND y.i = x.i JOIN th z ON z.j = x.j + 2 AND z.i = x.i)
-SELECT {sq('0.5 * (0.7 * (SELECT sum(dv * dv) FROM a) + 1.9 * (SELECT sum(dv * dv) FROM b))', 9)} AS penalty
+SELECT {sq('0.5 * (0.7 * (SELECT sum(dv * dv) FROM a) + 1.9 * (SELECT sum(dv * dv) FROM b))')} AS penalty
 """)
 def penalty_value(spark, sf_dir):
-    v = tensor.penalty_value(_CORES, [difference_penalty(QTY.k), difference_penalty(DISC.k)], np.array([0.7, 1.9]))
-    return spark.range(1).select(q(F.lit(v), 9).alias("penalty"))
+    """The penalty of a train that holds the mean quantities by line number and discount, by its cores' environments."""
+    means = t(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("i"), F.round(F.col("l_discount").cast("double") * 100).cast("int").alias("j")).agg(F.avg(F.col("l_quantity").cast("double")).alias("v"))
+    rows = means.orderBy("i", "j").collect()  # 77 cells
+    sizes = [len({r["i"] for r in rows}), len({r["j"] for r in rows})]
+    cores = grid.dense_train(np.array([r["v"] for r in rows]), sizes)
+    v = tensor.penalty_value(cores, [difference_penalty(p) for p in sizes], np.array([0.7, 1.9]))
+    return spark.range(1).select(q(F.lit(v)).alias("penalty"))
 
 
 @query("""
-WITH c(id, k, a, p, b) AS (VALUES (1, 1, 1, 6, 2), (1, 2, 2, 5, 1), (2, 1, 1, 6, 2), (2, 2, 2, 6, 2), (2, 3, 2, 6, 1), (3, 1, 1, 4, 2), (3, 2, 2, 4, 2), (3, 3, 2, 4, 2), (3, 4, 2, 4, 2), (3, 5, 2, 4, 1))
-SELECT id, product(p)::DOUBLE AS "full", sum(a * p * b)::DOUBLE AS stored, (sum(b * b) - 1)::DOUBLE AS gauge, (sum(a * p * b) - sum(b * b) + 1)::DOUBLE AS intrinsic FROM c GROUP BY id
+WITH p AS (SELECT count(DISTINCT l_linenumber)::DOUBLE AS p1, count(DISTINCT l_discount)::DOUBLE AS p2, count(DISTINCT l_tax)::DOUBLE AS p3 FROM lineitem)
+SELECT r::INT AS rank, p1 * p2 * p3 AS "full", p1 * r + p2 * r * r + p3 * r AS stored, 2.0::DOUBLE * r * r AS gauge, p1 * r + p2 * r * r + p3 * r - 2 * r * r AS intrinsic FROM p, range(1, 5) x(r)
 """)
 def complexity(spark, sf_dir):
+    """Sizes of trains with a coefficient for each distinct value of three columns."""
+    r = t(spark, sf_dir, "lineitem").agg(*[F.count_distinct(c).alias(c) for c in ("l_linenumber", "l_discount", "l_tax")]).first()
     rows = []
-    for i, sizes in enumerate(([6, 5], [6, 6, 6], [4] * 5), 1):
-        c = tensor.complexity(tensor.formula_cores(sizes, 2))
-        rows.append((i, *(float(c[k]) for k in ("full", "stored", "gauge", "intrinsic"))))
-    return spark.createDataFrame(rows, "id int, full double, stored double, gauge double, intrinsic double")
+    for rank in range(1, 5):
+        c = tensor.complexity(tensor.formula_cores(list(r), rank))
+        rows.append((rank, *(float(c[k]) for k in ("full", "stored", "gauge", "intrinsic"))))
+    return spark.createDataFrame(rows, "rank int, full double, stored double, gauge double, intrinsic double")
 
 
 # Sums of products.
@@ -370,20 +379,24 @@ def fit_distributed_lag(spark, sf_dir):
 
 
 @query(f"""
-WITH x AS (SELECT i AS id, -3.0 + 0.006 * i AS x1, sin(i::DOUBLE) * 3 AS x2, cos(i::DOUBLE) * 3 AS x3, (i % 10) / 10.0::DOUBLE AS u1, (i % 7) / 7.0::DOUBLE AS u2, (i % 11) / 11.0::DOUBLE AS u3, (i % 13) / 13.0::DOUBLE AS u4, (i % 3) / 3.0::DOUBLE AS u5 FROM range(1000) r(i))
+WITH x AS (SELECT id, -3.0 + 0.006 * i AS x1, sin(i::DOUBLE) * 3 AS x2, cos(i::DOUBLE) * 3 AS x3, (i % 10) / 10.0::DOUBLE AS u1, (i % 7) / 7.0::DOUBLE AS u2, (i % 11) / 11.0::DOUBLE AS u3, (i % 13) / 13.0::DOUBLE AS u4, (i % 3) / 3.0::DOUBLE AS u5 FROM (SELECT o_orderkey AS id, o_orderkey % 1000 AS i FROM orders))
 SELECT id, {sq('sin(x1) + 7.0 * sin(x2) * sin(x2) + 0.1 * x3 * x3 * x3 * x3 * sin(x1)')} AS ishigami, {sq('(abs(4*u1-2)+0.0)/1.0 * (abs(4*u2-2)+0.5)/1.5 * (abs(4*u3-2)+3.0)/4.0 * (abs(4*u4-2)+9.0)/10.0')} AS sobol_g,
   {sq('10 * sin(pi() * u1 * u2) + 20 * (u3 - 0.5) * (u3 - 0.5) + 10 * u4 + 5 * u5')} AS friedman FROM x
 """)
 def test_surfaces(spark, sf_dir):
-    i = F.col("id").cast("double")
-    df = spark.range(1000).select("id", (-3.0 + 0.006 * i).alias("x1"), (F.sin(i) * 3).alias("x2"), (F.cos(i) * 3).alias("x3"), *[((F.col("id") % m).cast("double") / float(m)).alias(f"u{j}") for j, m in enumerate((10, 7, 11, 13, 3), 1)])
+    """The surfaces at points that the orders' keys spread over their domains."""
+    i = F.col("i").cast("double")
+    df = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 1000).alias("i"))
+    df = df.select("id", (-3.0 + 0.006 * i).alias("x1"), (F.sin(i) * 3).alias("x2"), (F.cos(i) * 3).alias("x3"), *[((F.col("i") % m).cast("double") / float(m)).alias(f"u{j}") for j, m in enumerate((10, 7, 11, 13, 3), 1)])
     u = [F.col(f"u{j}") for j in range(1, 6)]
     return df.select("id", q(surfaces.ishigami(F.col("x1"), F.col("x2"), F.col("x3"))).alias("ishigami"), q(surfaces.sobol_g(u[:4])).alias("sobol_g"), q(surfaces.friedman(*u)).alias("friedman"))
 
 
-@query("SELECT i AS surface, CASE WHEN i = 0 THEN 800 WHEN i = 1 THEN 800 ELSE 800 END::BIGINT AS n, true AS noise_as_named, true AS counts_are_whole FROM range(4) r(i)")
+@query("SELECT i AS surface, (SELECT count(*) FROM orders) AS n, true AS noise_as_named, true AS counts_are_whole FROM range(4) r(i)")
 def simulate_surfaces(spark, sf_dir):
-    parts = [(surfaces.simulate_ishigami(spark), 0.15), (surfaces.simulate_sobol_g(spark), 0.05), (surfaces.simulate_friedman(spark), 1.0), (surfaces.simulate_friedman(spark, family="poisson"), None)]
+    """Simulated tables with a row for each order."""
+    n = t(spark, sf_dir, "orders").count()
+    parts = [(surfaces.simulate_ishigami(spark, n), 0.15), (surfaces.simulate_sobol_g(spark, n), 0.05), (surfaces.simulate_friedman(spark, n), 1.0), (surfaces.simulate_friedman(spark, n, family="poisson"), None)]
     out = None
     for i, (p, sigma) in enumerate(parts):
         noise = F.lit(True) if sigma is None else F.abs(F.stddev_samp(F.col("y") - F.col("f")) / sigma - 1) < 0.1
@@ -392,7 +405,7 @@ def simulate_surfaces(spark, sf_dir):
     return out
 
 
-_G = "WITH g AS (SELECT i AS id, " + ", ".join(f"((i * {a} + 3) % 97) / 97.0::DOUBLE AS x{j}" for j, a in enumerate((7, 11, 13, 17, 19, 23, 29), 1)) + " FROM range(500) r(i))"
+_G = "WITH g AS (SELECT i AS id, " + ", ".join(f"((i * {a} + 3) % 97) / 97.0::DOUBLE AS x{j}" for j, a in enumerate((7, 11, 13, 17, 19, 23, 29), 1)) + " FROM (SELECT o_orderkey AS i FROM orders))"
 _S, _C = (lambda m, x: f"sin({m} * pi() * {x})"), (lambda m, x: f"cos({m} * pi() * {x})")
 _GT = f"{_S(2, 'x1')} * {_C(2, 'x2')} + 0.5 * {_S(2, 'x3')} + 0.35 * (x1 - 0.5) * (x2 - 0.5)"
 _GT7 = f"{_GT} + 0.25 * {_S(2, 'x4')} * {_C(2, 'x2')} + 0.2 * x5 * {_S(2, 'x1')} + 0.15 * {_C(2, 'x6')} * (x2 - 0.5) + 0.12 * {_S(2, 'x7')} * {_C(2, 'x3')}"
@@ -404,20 +417,20 @@ _LAB = {
 }
 
 
-def _unit_points(spark) -> DataFrame:
-    return spark.range(500).select("id", *[(((F.col("id") * a + 3) % 97) / F.lit(97.0)).alias(f"x{j}") for j, a in enumerate((7, 11, 13, 17, 19, 23, 29), 1)])
+def _unit_points(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).select("id", *[(((F.col("id") * a + 3) % 97) / F.lit(97.0)).alias(f"x{j}") for j, a in enumerate((7, 11, 13, 17, 19, 23, 29), 1)])
 
 
 @query(f"{_G} SELECT id, {sq(_GT.replace('x3', 'x2'))} AS d2, {sq(_GT)} AS d3, {sq(_GT7)} AS d7 FROM g")
 def grid_truths(spark, sf_dir):
     x = [F.col(f"x{j}") for j in range(1, 8)]
-    return _unit_points(spark).select("id", *[q(surfaces.grid_truth(x[:d])).alias(f"d{d}") for d in (2, 3, 7)])
+    return _unit_points(spark, sf_dir).select("id", *[q(surfaces.grid_truth(x[:d])).alias(f"d{d}") for d in (2, 3, 7)])
 
 
 @query(f"{_G} SELECT id, {', '.join(sq(v) + f' AS {k}_{d}' for (k, d), v in _LAB.items())} FROM g")
 def lab_truths(spark, sf_dir):
     x = [F.col(f"x{j}") for j in range(1, 8)]
-    return _unit_points(spark).select("id", *[q(surfaces.lab_truth(k, d)[0](x[:d])).alias(f"{k}_{d}") for k, d in _LAB])
+    return _unit_points(spark, sf_dir).select("id", *[q(surfaces.lab_truth(k, d)[0](x[:d])).alias(f"{k}_{d}") for k, d in _LAB])
 
 
 @query(f"""
@@ -437,9 +450,14 @@ def age_year_draws(spark, sf_dir):
     return surfaces.age_year_counts(spark).agg(F.count("*").alias("n"), F.bool_and(F.col("y") == F.floor("y")).alias("whole"), (F.abs(F.avg(z) - 1) < 0.2).alias("mean_is_variance"))
 
 
-@query("SELECT (i - 1)::BIGINT AS row_id, ((i - 1) % 12 + 1)::INT AS i1, ((i - 1) // 12 + 1)::INT AS i2, ((i - 1) % 12) / 11.0::DOUBLE AS x1, ((i - 1) // 12) / 9.0::DOUBLE AS x2 FROM range(1, 121) r(i)")
+@query(f"""
+WITH a AS (SELECT x1, row_number() OVER (ORDER BY x1) AS i1, count(*) OVER () AS n FROM (SELECT DISTINCT l_quantity::DOUBLE AS x1 FROM lineitem)), b AS (SELECT x2, row_number() OVER (ORDER BY x2) AS i2 FROM (SELECT DISTINCT l_discount::DOUBLE AS x2 FROM lineitem))
+SELECT (i1 - 1 + (i2 - 1) * n)::BIGINT AS row_id, i1::INT AS i1, i2::INT AS i2, x1, x2 FROM a, b
+""")
 def grid_points(spark, sf_dir):
-    return grid.axes_product(spark, {"x1": [i / 11.0 for i in range(12)], "x2": [i / 9.0 for i in range(10)]})
+    """The grid of all quantities and discounts."""
+    axes = {x: sorted(r[0] for r in t(spark, sf_dir, "lineitem").select(F.col(c).cast("double")).distinct().collect()) for x, c in zip(("x1", "x2"), XS)}  # 50 and 11 values
+    return grid.axes_product(spark, axes)
 
 
 # Selection.
@@ -472,16 +490,17 @@ def cv_summary(spark, sf_dir):
 
 
 @query("""
-WITH c(id, rank, mean_cv, se_cv) AS (VALUES (1, 1, 1.0, 0.1), (1, 2, 0.5, 0.1), (1, 3, 0.55, 0.1), (2, 1, 0.55, 0.1), (2, 2, 0.6, 0.1), (2, 3, 0.5, 0.1), (3, 1, 1.0, 0.1), (3, 2, 0.58, 0.1), (3, 4, 0.5, 0.1), (4, 2, 0.5, 0.1), (4, 3, 0.5, 0.1)),
+WITH c AS (SELECT o_orderpriority AS id, (o_orderkey % 4 + 1)::INT AS rank, avg(o_totalprice::DOUBLE / 1e5) AS mean_cv, stddev_samp(o_totalprice::DOUBLE / 1e5) / sqrt(count(*)) AS se_cv FROM orders GROUP BY 1, 2),
 b AS (SELECT id, min(mean_cv) AS best FROM c GROUP BY id), m AS (SELECT c.id, min(rank) AS low, arg_min(mean_cv, rank) AS best_cv, arg_min(se_cv, rank) AS best_se FROM c JOIN b USING (id) WHERE mean_cv <= best + 1e-12 GROUP BY c.id)
 SELECT c.id, any_value(low) AS "min", min(rank) AS one_se FROM c JOIN m USING (id) WHERE mean_cv <= best_cv + best_se GROUP BY c.id
 """)
 def cv_rules(spark, sf_dir):
-    out = None
-    cases = [[(1, 1.0), (2, 0.5), (3, 0.55)], [(1, 0.55), (2, 0.6), (3, 0.5)], [(1, 1.0), (2, 0.58), (4, 0.5)], [(2, 0.5), (3, 0.5)]]
-    for i, c in enumerate(cases, 1):
-        r = selection.choose_frame(spark.createDataFrame([(r, m, 0.1) for r, m in c], "rank int, mean_cv double, se_cv double")).select(F.lit(i).alias("id"), "min", "one_se")
-        out = r if out is None else out.union(r)
+    """Both rules on mean prices by key class, for each priority, as if they were losses by rank."""
+    y, out = F.col("o_totalprice").cast("double") / 1e5, None
+    c = t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("id"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("rank")).agg(F.avg(y).alias("mean_cv"), (F.stddev_samp(y) / F.sqrt(F.count("*"))).alias("se_cv"))
+    for r in c.select("id").distinct().collect():  # five priorities
+        one = selection.choose_frame(c.filter(F.col("id") == r["id"])).select(F.lit(r["id"]).alias("id"), "min", "one_se")
+        out = one if out is None else out.union(one)
     return out
 
 
@@ -500,16 +519,23 @@ def reference_medians(spark, sf_dir):
     return spark.range(1).select(q(F.lit(r["l_quantity"])).alias("l_quantity"), q(F.lit(r["l_discount"])).alias("l_discount"), q(F.lit(r["l_extendedprice"]), 2).alias("l_extendedprice"))
 
 
-@query("SELECT * FROM (VALUES (1, 0.0001::DOUBLE, 'lower'), (2, 1.0, 'interior'), (3, 9000.0, 'upper'), (4, 0.00014, 'lower'), (5, 6000.0, 'interior')) AS t(id, \"lambda\", status)")
+@query("SELECT DISTINCT p_size::INT AS size, CASE WHEN 8 * (p_size - 1) / 49.0 <= 0.16 THEN 'lower' WHEN 8 * (p_size - 1) / 49.0 >= 7.84 THEN 'upper' ELSE 'interior' END AS status FROM part")
 def lambda_boundary(spark, sf_dir):
-    v = [1e-4, 1.0, 9000.0, 1.4e-4, 6000.0]
-    return spark.createDataFrame([(i, x, s) for i, (x, s) in enumerate(zip(v, boundary_status(v, (1e-4, 1e4))), 1)], "id int, lambda double, status string")
+    """Where smoothing parameters from 1e-4 to 1e4, one for each part size, lie in those bounds."""
+    sizes = sorted(r[0] for r in t(spark, sf_dir, "part").select("p_size").distinct().collect())  # 50 sizes
+    return spark.createDataFrame(list(zip(sizes, boundary_status([10 ** (-4 + 8 * (x - 1) / 49) for x in sizes], (1e-4, 1e4)))), "size int, status string")
 
 
-@query(f"SELECT id, {sq('exp(greatest(least(ln(a) + greatest(least(0.25 * (ln(p) - ln(a)), ln(10.0)), -ln(10.0)), ln(1e4)), ln(1e-4)))')} AS value FROM (VALUES (1, 1.0::DOUBLE, 10.0::DOUBLE), (2, 1.0, 1e8), (3, 5e3, 1e9), (4, 2.0, 1e-9)) AS t(id, a, p)")
+@query(f"""
+WITH d AS (SELECT p_size::INT AS size, p_size::DOUBLE AS a, power(avg(p_retailprice::DOUBLE) / 1000, p_size) AS p FROM part GROUP BY p_size)
+SELECT size, {sq('exp(greatest(least(ln(a) + greatest(least(0.25 * (ln(p) - ln(a)), ln(10.0)), -ln(10.0)), ln(1e4)), ln(1e-4)))')} AS value FROM d
+""")
 def lambda_damped_step(spark, sf_dir):
-    a, p = [1.0, 1.0, 5e3, 2.0], [10.0, 1e8, 1e9, 1e-9]
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(damped_step(a, p, 0.25, 1.0, (1e-4, 1e4)), 1)], "id int, value double").select("id", q(F.col("value")).alias("value"))
+    """Damped and trusted steps, from each part size to a power of its mean price."""
+    rows = t(spark, sf_dir, "part").groupBy("p_size").agg(F.avg(F.col("p_retailprice").cast("double")).alias("m")).orderBy("p_size").collect()  # 50 sizes
+    old, goal = [float(r["p_size"]) for r in rows], [(r["m"] / 1000) ** r["p_size"] for r in rows]
+    out = [(int(r["p_size"]), float(v)) for r, v in zip(rows, damped_step(old, goal, 0.25, 1.0, (1e-4, 1e4)))]
+    return spark.createDataFrame(out, "size int, value double").select("size", q(F.col("value")).alias("value"))
 
 
 # Fits end to end.
@@ -707,17 +733,11 @@ def gcv_curves(spark, sf_dir):
     return spark.createDataFrame(out, "margin int, points long, lo double, hi double, edf_falls boolean")
 
 
-@query("SELECT true AS train_at_full_rank_is_dense, true AS oracle_is_least")
+@query(_BIN_MEANS)
 def dense_baseline(spark, sf_dir):
-    """At full rank and little smoothing a train reaches the dense solve's surface."""
-    axes = {"x1": np.linspace(0, 1, 12).tolist(), "x2": np.linspace(0, 1, 10).tolist()}
-    df = grid.axes_product(spark, axes).withColumn("truth", surfaces.grid_truth([F.col("x1"), F.col("x2")])).withColumn("y", F.col("truth") + 0.2 * surfaces.normal(F.col("row_id"), 1, 0))
-    dense = grid.fit_dense(df, ["x1", "x2"], k=5, lam=1e-6).transform(df).select("row_id", F.col("fit").alias("dense"))
-    train = TensorSpline(["x1", "x2"], rank=5, k=5, lam=1e-6, control=Control(max_sweeps=500, compute_edf=False)).fit(df).transform(df)
-    far = train.join(dense, "row_id").agg(F.max(F.abs(F.col("fit") - F.col("dense")))).first()[0]
-    rows = grid.compare(df, ["x1", "x2"], "truth", k=6, lam=0.1, ranks=(1, 2))
-    by = {r["method"]: r["rmse"] for r in rows}
-    return truth_row(spark, train_at_full_rank_is_dense=bool(far < 1e-2), oracle_is_least=bool(by["oracle"] <= min(v for k, v in by.items() if k.startswith("tt")) + 1e-12))
+    """The dense solve of the whole tensor."""
+    df = _price(spark, sf_dir)
+    return bin_means(grid.fit_dense(df, XS, knots=BINS, lam=1e-6), df)
 
 
 @query(f"SELECT s AS smoothing, 4::BIGINT AS coefficients, l_returnflag = 'R' AS flag, count(*) AS n, {sq('avg(l_extendedprice / 1e4::DOUBLE)', 4)} AS mean_fit FROM lineitem, (VALUES ('fixed'), ('cGCV')) v(s) GROUP BY s, l_returnflag = 'R'")
@@ -781,8 +801,8 @@ def factor_dummies(spark, sf_dir):
     return df.groupBy("l_returnflag").agg(*[F.sum(n).alias(n[-1].lower()) for n in names])
 
 
-_AX1, _AX1T = basis_sql(Knots(0.0, 1.0, 5), "(SELECT i, i / 11.0::DOUBLE AS x FROM range(12) r(i))", "x", "i", "a")
-_AX2, _AX2T = basis_sql(Knots(0.0, 1.0, 4), "(SELECT i, i / 9.0::DOUBLE AS x FROM range(10) r(i))", "x", "i", "b")
+_AX1, _AX1T = basis_sql(Knots(1.0, 50.0, 5), "(SELECT DISTINCT l_quantity::DOUBLE AS x FROM lineitem)", "x", "x", "a")
+_AX2, _AX2T = basis_sql(Knots(0.0, 0.1, 4), "(SELECT DISTINCT l_discount::DOUBLE AS x FROM lineitem)", "x", "x", "b")
 
 
 @query(f"""
@@ -791,10 +811,10 @@ u AS (SELECT id, k, x[k] AS v FROM g, range(1, 21) r(k))
 SELECT a.k::INT AS i, b.k::INT AS j, {sq('sum(a.v * b.v)', 8)} AS value FROM u a JOIN u b ON a.id = b.id GROUP BY a.k, b.k
 """)
 def gram_array(spark, sf_dir):
-    """The Gram matrix of a whole grid from its axes alone."""
-    axes = {"x1": [i / 11.0 for i in range(12)], "x2": [i / 9.0 for i in range(10)]}
-    df = grid.axes_product(spark, axes).withColumn("y", F.col("x1") * F.col("x2"))
-    p = grid.prepare_array(df, axes, TensorSpline(["x1", "x2"], knots=[Knots(0.0, 1.0, 5), Knots(0.0, 1.0, 4)]))
+    """The Gram matrix of the grid of all quantities and discounts from its axes alone, its response the mean prices."""
+    df = _price(spark, sf_dir).groupBy(*[F.col(c).cast("double").alias(c) for c in XS]).agg(F.avg("y").alias("y"))
+    axes = {c: sorted(r[0] for r in df.select(c).distinct().collect()) for c in XS}  # 50 and 11 values
+    p = grid.prepare_array(df, axes, TensorSpline(XS, knots=[Knots(1.0, 50.0, 5), Knots(0.0, 0.1, 4)]))
     m = p.backend.m["S"]
     return spark.createDataFrame([(i + 1, j + 1, float(m[i, j])) for i in range(20) for j in range(20)], "i int, j int, value double").select("i", "j", q(F.col("value"), 8).alias("value"))
 
@@ -809,20 +829,25 @@ def glm_objective(spark, sf_dir):
     return df.agg(q(F.sum(mu - F.col("y") * _eta()) / F.count("*")).alias("nll"), q(F.sum(fam_.unit_deviance("poisson", F.col("y"), mu)) / F.count("*")).alias("deviance"))
 
 
-@query("SELECT d::INT AS d, n::INT AS n_grid, k::INT AS k, true AS oracle_is_least FROM (VALUES (2, 12, 6), (3, 8, 5)) v(d, n, k)")
+@query(f"""
+WITH b AS (SELECT y, avg(y) OVER (PARTITION BY q, d) AS m, avg(y) OVER () AS a FROM (SELECT {_BIN}, l_extendedprice / 1e4::DOUBLE AS y FROM lineitem))
+SELECT m AS method, {sq('sqrt(avg((y - m) * (y - m)))', 4)} AS rmse FROM b, (VALUES ('dense'), ('tt3'), ('oracle')) v(m) GROUP BY v.m
+""".replace("SELECT m AS method", "SELECT v.m AS method").replace("(y - m) * (y - m)", "(y - b.m) * (y - b.m)"))
 def compare_baselines(spark, sf_dir):
-    """Trains beside the dense solve on the grid truths, by size: the oracle rank has the least error of the trains."""
-    out = grid.summarise_comparisons(grid.compare_scale(spark))
-    return out.select("d", "n_grid", "k", (F.col("oracle") <= F.least("tt1", "tt2") + 1e-12).alias("oracle_is_least"))
+    """The dense solve, a train of full rank and the oracle's choice, all of them the means of bins, against the rows."""
+    df = _price(spark, sf_dir)
+    rows = grid.compare(df, XS, "y", lam=1e-6, ranks=(3,), select=False, knots=BINS)
+    return spark.createDataFrame([(r["method"], float(r["rmse"])) for r in rows], "method string, rmse double").select("method", q(F.col("rmse"), 4).alias("rmse"))
 
 
-@query("SELECT s AS scenario, d::BIGINT AS d, n::BIGINT AS n, true AS noise_as_named FROM (VALUES ('smooth_smooth', 2, 200), ('smooth_rough', 2, 200), ('strong_aniso', 2, 200), ('weak_signal', 2, 200), ('smooth_smooth', 3, 250), ('strong_aniso', 3, 250), ('smooth_smooth', 5, 250), ('strong_aniso', 5, 250)) v(s, d, n)")
+@query("SELECT s AS scenario, d::BIGINT AS d, n::BIGINT AS n, true AS noise_as_named FROM (SELECT count(*) AS n FROM customer), (VALUES ('smooth_smooth', 2), ('smooth_rough', 2), ('strong_aniso', 2), ('weak_signal', 2), ('smooth_smooth', 3), ('strong_aniso', 3), ('smooth_smooth', 5), ('strong_aniso', 5)) v(s, d)")
 def lab_designs(spark, sf_dir):
-    out = None
+    """Laboratory designs with a row for each customer."""
+    out, n = None, t(spark, sf_dir, "customer").count()
     for s, d in _LAB:
         sigma = surfaces.lab_truth(s, d)[1]
         noise = F.abs(F.stddev_samp(F.col("y") - F.col("f")) / sigma - 1) < 0.2
-        r = surfaces.lab_design(spark, s, d=d).agg(F.lit(s).alias("scenario"), F.lit(d).cast("long").alias("d"), F.count("*").alias("n"), noise.alias("noise_as_named"))
+        r = surfaces.lab_design(spark, s, n, d).agg(F.lit(s).alias("scenario"), F.lit(d).cast("long").alias("d"), F.count("*").alias("n"), noise.alias("noise_as_named"))
         out = r if out is None else out.union(r)
     return out
 
