@@ -690,13 +690,16 @@ def rank_cv_constant(spark, sf_dir):
     return got.select("rank", q(F.col("mean_cv"), 4).alias("mean_cv"), q(F.col("se_cv"), 4).alias("se_cv"))
 
 
-@query("SELECT 3::BIGINT AS ranks, true AS beats_the_mean, true AS rule_holds FROM range(1)")
+@query(f"""
+WITH b AS (SELECT (l_orderkey % 3)::INT AS fold, {_BIN}, l_extendedprice / 1e4::DOUBLE AS y FROM lineitem), f AS (SELECT fold, q, d, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM b GROUP BY fold, q, d),
+a AS (SELECT q, d, sum(n) AS n, sum(s) AS s FROM f GROUP BY q, d), l AS (SELECT fold, sum(f.ss - 2 * f.s * (a.s - f.s) / (a.n - f.n) + f.n * ((a.s - f.s) / (a.n - f.n)) * ((a.s - f.s) / (a.n - f.n))) / sum(f.n) AS loss FROM f JOIN a ON f.q = a.q AND f.d = a.d GROUP BY fold)
+SELECT 3::INT AS rank, {sq('avg(loss)', 4)} AS mean_cv, {sq('stddev_samp(loss) / sqrt(3.0)', 4)} AS se_cv FROM l
+""")
 def rank_cv(spark, sf_dir):
-    df = _signal(spark, sf_dir)
-    got = selection.rank_select(df, TensorSpline(XS, k=5, lam=1.0), ranks=(1, 2, 3), folds=3, key="l_orderkey")
-    best, var = min(got.table, key=lambda r: r["mean_cv"]), df.agg(F.var_pop("y")).first()[0]
-    one = next(r for r in got.table if r["rank"] == got.rank_1se)
-    return truth_row(spark, ranks=len(got.table), beats_the_mean=bool(best["mean_cv"] < 0.5 * var), rule_holds=bool(one["mean_cv"] <= best["mean_cv"] + best["se_cv"] and got.rank_1se <= got.rank_min))
+    """Cross-validated loss of the full rank: each fold's rows against the bin means of the others."""
+    df = _price(spark, sf_dir).withColumn("fold", (F.col("l_orderkey") % 3).cast("int"))
+    got = selection.rank_select(df, bin_spec(), ranks=(1, 3), fold="fold").frame(spark).filter("rank = 3")
+    return got.select("rank", q(F.col("mean_cv"), 4).alias("mean_cv"), q(F.col("se_cv"), 4).alias("se_cv"))
 
 
 @query("SELECT r::INT AS rank, (10 * r)::DOUBLE AS stored, (10 * r - r * r)::DOUBLE AS intrinsic, true AS criteria_agree FROM range(1, 4) x(r)")
@@ -720,25 +723,33 @@ def margin_activity(spark, sf_dir):
     return spark.createDataFrame([(a.order[0], "l_quantity" in a.selected, len({r["lambda"] for r in a.path}))], "first string, keeps_quantity boolean, lambdas long")
 
 
-@query("SELECT c AS \"column\", c <> 'l_tax' AS matters FROM (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) v(c)")
+_THREE = {"l_quantity": Knots(1.0, 50.0, 3, 0), "l_discount": Knots(0.0, 0.1, 3, 0), "l_tax": Knots(0.0, 0.08, 3, 0)}
+_CELL = {c: f"least(floor(({c}::DOUBLE - {k.lo!r}::DOUBLE) / {(k.hi - k.lo) / 3!r}::DOUBLE), 2)" for c, k in _THREE.items()}
+_WITHIN = "(SELECT sum(ss) FROM (SELECT sum(y * y) - sum(y) * sum(y) / count(*) AS ss FROM b GROUP BY {}))"
+
+
+@query("WITH b AS (SELECT l_extendedprice / 1e4::DOUBLE + l_discount::DOUBLE * l_quantity AS y, " + ", ".join(f"{v} AS b{i}" for i, v in enumerate(_CELL.values())) + " FROM lineitem) " + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {sq(f"({_WITHIN.format(', '.join(f'b{j}' for j in range(3) if j != i))} - {_WITHIN.format('b0, b1, b2')}) / (SELECT count(*) FROM b)", 4)} AS delta""" for i, c in enumerate(_CELL)))
 def margin_drop(spark, sf_dir):
-    """The deviance without a column: large for the two that matter, next to nothing for the third."""
-    rows = selection.drop_test(_signal(spark, sf_dir), TensorSpline([*XS, "l_tax"], rank=2, k=5, lam=1.0))
-    most = max(r["delta_deviance"] for r in rows)
-    return spark.createDataFrame([(r["column"], bool(r["keep"] and r["delta_deviance"] > 0.01 * most)) for r in rows], "column string, matters boolean")
+    """The deviance that a column is worth: here, sums of squares within bins of two columns less those within bins of three."""
+    df = t(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in _THREE], (F.col("l_extendedprice").cast("double") / 1e4 + F.col("l_discount").cast("double") * F.col("l_quantity").cast("double")).alias("y"))
+    rows, n = selection.drop_test(df, TensorSpline(list(_THREE), rank=3, knots=list(_THREE.values()), lam=1e-6, control=Control(max_sweeps=500))), df.count()
+    return spark.createDataFrame([(r["column"], float(r["delta_deviance"] / n)) for r in rows], '`column` string, delta double').select("column", q(F.col("delta"), 4).alias("delta"))
 
 
-@query("SELECT m::INT AS margin, 61::BIGINT AS points, -4.0::DOUBLE AS lo, 4.0::DOUBLE AS hi, true AS edf_falls FROM range(1, 3) r(m)")
+@query(f"""
+WITH m AS (SELECT sum(y * y) - sum(y) * sum(y) / count(*) AS ss, count(*) AS n FROM (SELECT {_BIN}, l_extendedprice / 1e4::DOUBLE AS y FROM lineitem) GROUP BY q, d), w AS (SELECT sum(ss) AS rss, count(*)::DOUBLE AS df, sum(n)::DOUBLE AS n FROM m)
+SELECT 1::INT AS margin, 61::BIGINT AS points, {sq('df', 2)} AS edf_at_least, {sq('n * rss / ((n - df) * (n - df))', 4)} AS gcv_at_least, true AS edf_falls FROM w
+""")
 def gcv_curves(spark, sf_dir):
-    p = TensorSpline(XS, rank=2, k=5, lam=1.0).prepare(_price(spark, sf_dir))
+    """Curves of each core's smoothing, the rest held. The first core spans all bins: at its least it has a degree of freedom for each of them, and leaves their sums of squares."""
+    spec = bin_spec(backend="moments")
+    p = spec.prepare(_price(spark, sf_dir))
     m = p.fit()
-    rows = frozen_curves(p.problem(m.lam)[0], m.state)
-    out = []
-    for k in (1, 2):
-        own = [r for r in rows if r["margin"] == k]
-        x, e = [r["log10_lambda"] for r in own], [r["edf"] for r in own]
-        out.append((k, len(own), round(min(x), 6), round(max(x), 6), all(b <= a + 1e-9 for a, b in zip(e, e[1:]))))
-    return spark.createDataFrame(out, "margin int, points long, lo double, hi double, edf_falls boolean")
+    rows, out = frozen_curves(p.problem(m.lam)[0], m.state), []
+    for k in (1,):
+        own = sorted((r for r in rows if r["margin"] == k), key=lambda r: r["lambda"])
+        out.append((k, len(own), float(own[0]["edf"]), float(own[0]["gcv"]), all(b["edf"] <= a["edf"] + 1e-9 for a, b in zip(own, own[1:]))))
+    return spark.createDataFrame(out, "margin int, points long, edf_at_least double, gcv_at_least double, edf_falls boolean").select("margin", "points", q(F.col("edf_at_least"), 2).alias("edf_at_least"), q(F.col("gcv_at_least"), 4).alias("gcv_at_least"), "edf_falls")
 
 
 @query(_BIN_MEANS)
