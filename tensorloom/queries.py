@@ -745,11 +745,11 @@ def gcv_curves(spark, sf_dir):
     spec = bin_spec(backend="moments")
     p = spec.prepare(_price(spark, sf_dir))
     m = p.fit()
-    rows, out = frozen_curves(p.problem(m.lam)[0], m.state), []
-    for k in (1,):
-        own = sorted((r for r in rows if r["margin"] == k), key=lambda r: r["lambda"])
-        out.append((k, len(own), float(own[0]["edf"]), float(own[0]["gcv"]), all(b["edf"] <= a["edf"] + 1e-9 for a, b in zip(own, own[1:]))))
-    return spark.createDataFrame(out, "margin int, points long, edf_at_least double, gcv_at_least double, edf_falls boolean").select("margin", "points", q(F.col("edf_at_least"), 2).alias("edf_at_least"), q(F.col("gcv_at_least"), 4).alias("gcv_at_least"), "edf_falls")
+    rows = frozen_curves(p.problem(m.lam)[0], m.state)
+    by = {k: sorted((r for r in rows if r["margin"] == k), key=lambda r: r["lambda"]) for k in (1, 2)}
+    falls = all(b["edf"] <= a["edf"] + 1e-9 for own in by.values() for a, b in zip(own, own[1:]))
+    out = spark.createDataFrame([(1, len(by[1]), float(by[1][0]["edf"]), float(by[1][0]["gcv"]), falls)], "margin int, points long, edf_at_least double, gcv_at_least double, edf_falls boolean")
+    return out.select("margin", "points", q(F.col("edf_at_least"), 2).alias("edf_at_least"), q(F.col("gcv_at_least"), 4).alias("gcv_at_least"), "edf_falls")
 
 
 @query(_BIN_MEANS)
