@@ -8,6 +8,8 @@ before the walk's end counts), so sampled steps are uniform over the walk and mo
 A slot holds a byte hashed from its character; 0 is kept for the empty text. The likeness of two fingerprints is their
 share of equal slots, which estimates the share of equal steps.
 
+The shared coins repeat every 4,096 steps and characters beyond ASCII share 127 codes, so two such characters may be taken for one.
+
 Scale: fingerprints need one text (two for the edited text, which is handed to its predecessor by a range partition of
 doc_id whose boundaries are a bounded sample). Candidate pairs come from bands of sampled slots; all members of a
 bucket are compared, in tiles of some `TILE` whose pairs are separate tasks, and each task returns a spanning forest of the verified links,

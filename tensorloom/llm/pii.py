@@ -10,6 +10,8 @@ posteriors, with the votes and features of the span itself (`SHAPE`), and admits
 Scale: texts are read once and nothing is shuffled but counts of vote patterns, at most 4 x 3^7 rows, which is also all that the
 driver sees. Candidates that touch base spans are found by sorting, not pair by pair. Decisions are made in each row from its written candidates.
 
+What is bounded: features of a span read its first 64 characters, and the context up to 48 on either side.
+
 Defined results: null counts as an empty text, without spans; repeated rows are judged each; an empty table gives an empty
 result and a classifier that admits nothing; further columns pass through `redact`.
 """

@@ -9,6 +9,9 @@ first candidate of each text is the finding). The dictionary holds the `DICTIONA
 Scale: the dictionary is a bounded top of word counts, pre-aggregated before they are shuffled; the forest is small and bounded (`TREES`, `DEPTH`) and learnt anew in each run
 from `FINDINGS` findings. Both are applied as expressions in each row; candidates of a text never leave its row.
 
+What is bounded: a forest's features read the first 100 characters of a candidate and up to 48 on either side of it; the password of an address is looked for within 64
+characters, and a credential's name may go on for 24.
+
 Defined results: null or empty text has no candidates; repeated rows are judged each; an empty table gives an empty result; further columns
 pass through `redact_secrets`.
 """

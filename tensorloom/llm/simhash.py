@@ -7,7 +7,7 @@ Scale: not all tiles meet. The 64 bits are cut into blocks such that two fingerp
 agree on at least `agree` whole blocks (pigeonhole); tiles are made within groups of equal blocks, which loses no
 link. `agree` rises with the number of distinct fingerprints, so that groups stay small. A group beyond `TILE` fingerprints
 (near copies) is dealt into tiles whose pairs are separate tasks, and each task returns a spanning forest of its
-links, not the links. Components are found by contraction in rounds of joins; nothing is collected.
+links, not the links: a hot block of n fingerprints makes some n^2 / 1,024 dealt rows, as its tiles must all meet. Components are found by contraction in rounds of joins; nothing is collected.
 
 Defined results: null or empty text has fingerprint zero and is linked like any other; repeated rows give equal rows;
 a null doc_id belongs to its fingerprint's component, which takes the smallest other id; an empty table gives an empty

@@ -7,7 +7,8 @@ floor((p - q)^2 / (p + q)), a whole number that both see alike; a term sets a gr
 The groups of a language sit in seats of SEAT sources, and its terms fall into blocks of about BLOCK, so what one seat holds of one
 block is bounded whatever the corpus. A seat's vectors stay in their partition, sorted there by round; the others' vectors, compressed,
 visit it one after another in the rounds of a round-robin tournament (circle method), so that any two seats meet once in each block, at
-one of the two, where both directions are evaluated. Only one visitor is held at a time. Sums over blocks are then added up.
+one of the two, where both directions are evaluated. Only one visitor is opened at a time, out of Arrow batches that Spark bounds
+(64 MB by default). Sums over blocks are then added up.
 Heaps over a seat's own block rank its terms, and the blocks' best are ranked again.
 
 Scale: texts are read once, and a task counts terms in dictionaries of FLUSH entries at most before anything is shuffled. No join has a
