@@ -49,7 +49,7 @@ def balanced_folds(df: DataFrame, key: str, folds: int, seed: int = 1, into: str
 def normalise_folds(df: DataFrame, fold: str, into: str = "fold_id") -> DataFrame:
     """User fold labels as 1..K, by a table of the distinct labels; a row without a label is an error, raised when it is read."""
     labels = df.select(F.col(fold).alias("__label")).distinct().withColumn(into, F.row_number().over(Window.orderBy("__label")))  # a row for each fold
-    out = df.join(F.broadcast(labels), df[fold].eqNullSafe(F.col("__label"))).drop("__label")
+    out = df.join(labels, df[fold].eqNullSafe(F.col("__label"))).drop("__label")  # Spark broadcasts the labels where they are few
     return out.withColumn(into, F.when(F.col(fold).isNull(), F.raise_error(F.lit(f"a row without a fold in {fold}")).cast("int")).otherwise(F.col(into)))
 
 
