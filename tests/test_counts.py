@@ -20,7 +20,7 @@ def test_quantiles_of_odd_columns(spark, monkeypatch):
     rows = [tuple(float(v[i]) for v in data.values()) + (None,) for i in range(n)] + [(None, float("nan"), float("inf"), None, None, None, None)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*data, "none"])).repartition(3)
     at = [0.0, 0.001, 0.25, 0.5, 0.731, 1.0]
-    for few, bins in ((1024, 512), (3, 7)):
+    for few, bins in ((1024, 512), (3, 64)):
         monkeypatch.setattr(quantiles, "FEW", few)
         monkeypatch.setattr(quantiles, "BINS", bins)
         got = quantiles.exact_quantiles(df, [*data, "none"], at)
