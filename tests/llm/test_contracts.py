@@ -268,12 +268,19 @@ def test_quality_against_plain_quantiles_and_risk(spark):
     for r in labels.filter("quality is not null").collect():
         known.setdefault(r["doc_id"], set()).add(r["quality"])
     trusted = np.array([known.get(d) == {1} for d, _ in train])
-    n, pi = len(x), trusted.sum() / sum(d in known for d, _ in train)
-    assert model.prior == pytest.approx(pi)
+    n, p, bounds = len(x), trusted.sum(), []
     for i, cuts in enumerate(model.cuts):  # each quantile of the sorted column, at most a step of the grid below its cut
         column = np.sort(x[:, i])
         want = {column[max(1, int(np.ceil(q * n))) - 1] for q in [j / 8 for j in range(1, 8)] + [0.02, 0.05, 0.95, 0.98]}
         assert sorted({np.ceil(v * pu_quality.GRID) / pu_quality.GRID for v in want}) == cuts
+        for low, high in zip([-1.0, *cuts], [*cuts, 9.0]):  # U's density over P's, and its doubt
+            inside = (x[:, i] > low) & (x[:, i] <= high)
+            share = inside[trusted].mean()
+            if share > 0.05:
+                ratio = inside.mean() / share
+                bounds.append((ratio + pu_quality.DOUBT * ratio * math.sqrt((1 - share) / inside[trusted].sum()), ratio))
+    pi = min(1.0, min(bounds)[1])
+    assert model.prior == pytest.approx(pi) and 0.5 < pi < 0.95
 
     def risk(w):
         z = np.array([w[0] + sum(w[1 + sum(len(c) + 1 for c in model.cuts[:i]) + sum(v > c for c in cuts)] for i, (v, cuts) in enumerate(zip(row, model.cuts))) for row in x])
@@ -283,6 +290,31 @@ def test_quality_against_plain_quantiles_and_risk(spark):
     flat = np.zeros(model.n_weights)
     flat[0] = np.log(pi / (1 - pi))
     assert risk(model.weights) < risk(flat)
+    # The weights are the minimum: the risk is convex, so no way leads down from it if none does nearby. Against the ways of each single
+    # weight, random ones and the gradients of its two parts.
+    rows = np.array([[0] + [1 + sum(len(c) + 1 for c in model.cuts[:i]) + int((v > np.array(cuts)).sum()) for i, (v, cuts) in enumerate(zip(row, model.cuts))] for row in x])
+    active = np.zeros((n, model.n_weights))
+    np.put_along_axis(active, rows, 1.0, axis=1)
+
+    def fast(w):
+        z = active @ w
+        plus, minus = np.logaddexp(0, -z), np.logaddexp(0, z)
+        return pi * plus[trusted].mean() + max(0.0, minus.mean() - pi * minus[trusted].mean()) + pu_quality.RIDGE / (2 * n) * (w[1:] ** 2).sum()
+
+    least, w = fast(model.weights), model.weights
+    assert least == pytest.approx(risk(w), abs=1e-12)
+    s = 1 / (1 + np.exp(-(active @ w)))
+    ridge = np.r_[0, w[1:]] * pu_quality.RIDGE / n
+    front = pi * active[trusted].T @ (s[trusted] - 1) / p + ridge
+    rest = active.T @ s / n - pi * active[trusted].T @ s[trusted] / p
+    rng = np.random.default_rng(4)
+    ways = [*np.eye(model.n_weights), *rng.normal(size=(200, model.n_weights)), front, front + rest, rest]
+    for d in ways:
+        for step in (1e-3, -1e-3, 0.05, -0.05):
+            assert fast(w + step * d / np.linalg.norm(d)) > least - 1e-7
+    # Some mix of the two slopes, with the whole of `rest` where that part is positive and none where it is negative, is flat.
+    share = np.clip(-(front @ rest) / (rest @ rest), 0, 1)
+    assert np.abs(front + share * rest).max() < 1e-4
     got = {r["doc_id"]: r["score"] for r in pu_quality.quality_scores(docs, labels).collect()}
     z = [model.weights[0] + sum(model.weights[1 + sum(len(c) + 1 for c in model.cuts[:i]) + sum(v > c for c in cuts)] for i, (v, cuts) in enumerate(zip(row, model.cuts))) for _, row in train]
     assert [got[d] for d, _ in train] == pytest.approx([1 / (1 + math.exp(-v)) for v in z], abs=1e-9)
