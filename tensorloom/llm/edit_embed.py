@@ -8,6 +8,10 @@ before the walk's end counts), so sampled steps are uniform over the walk and mo
 A slot holds a byte hashed from its character; 0 is kept for the empty text. The likeness of two fingerprints is their
 share of equal slots, which estimates the share of equal steps.
 
+Measured against edit distance (300 texts of 2,600 characters on average, insertions and deletions only): pairs at a distance of 0.1% of
+their length are at a likeness of 0.95 on average and 93% of them are found at 0.8; at 0.2% 0.93 and 89%; at 0.5% 0.81 and 67%; at 1% 0.70
+and 42%; at 5% 0.39 and 2%. Unlike texts are at 0.09. An edit costs a walk far more than one step, so 0.8 asks for few edits.
+
 The shared coins repeat every 4,096 steps and characters beyond ASCII share 127 codes, so two such characters may be taken for one.
 
 Scale: fingerprints need one text (two for the edited text, which is handed to its predecessor by a range partition of

@@ -91,6 +91,26 @@ def test_band_recall_on_edited_texts(spark):
             assert got[i] != got[j] or root[i] == root[j]
 
 
+def test_recall_against_edit_distance(spark):
+    """Texts within an edit distance of a thousandth of their length, by insertions and deletions alone: nine of ten pairs in one class."""
+    import random
+
+    r = random.Random(12)
+    base = [x["text"] for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 400").orderBy("doc_id").limit(200).collect()]
+    texts = []
+    for t in base:
+        u = list(t)
+        for _ in range(max(1, len(t) // 1000)):
+            if r.random() < 0.5:
+                del u[r.randrange(len(u))]
+            else:
+                u.insert(r.randrange(len(u) + 1), r.choice("abcdefgh "))
+        texts += [t, "".join(u)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x["class_fingerprint"] for x in edit_embed.likeness_and_classes(docs).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, len(texts), 2)) >= 0.9 * len(base)
+
+
 def test_edit_likeness_of_string_and_wide_ids(spark):
     texts = [f"text number {i} " * (i + 2) for i in range(40)]
     for ids, kind in (([f"id-{i:03d}" for i in range(40)], "string"), ([(1 << 60) + i for i in range(40)], "long")):
