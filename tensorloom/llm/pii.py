@@ -1,7 +1,7 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
-Spans of the base patterns (`BASE`) are always kept. Looser patterns propose more candidates: disguised addresses, IPv6, card numbers that miss the
-check digit, national and 00- telephone numbers. On every candidate four labelers
+Spans of the base patterns (`BASE`) are always kept. Looser patterns propose more candidates: disguised addresses, IPv6, card numbers that stand
+beside other digits (a date, a security code) and hold their check digit, national and 00- telephone numbers. On every candidate four labelers
 vote yes, no or nothing: pattern (the base rule holds), gazetteer (top-level domains, address ranges, issuer prefixes with their lengths, calling and area codes), context
 (words nearby, in English, German, French and Spanish) and edges (what touches the span). Expectation-maximisation over the vote patterns of the whole corpus
 estimates each labeler's reliability for each kind (naive Bayes with a latent truth); a logistic span classifier is then trained on the
@@ -103,8 +103,8 @@ def _shape(kind: str, x: Column) -> Column:
 
 def _item(k: int, kind: str, loose: bool):
     def item(x: Column) -> Column:
-        strict = F.lit(False) if loose else _base_rule(kind, x["match"])
-        return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), strict.alias("base"), _votes(kind, x, strict).alias("v"), _shape(kind, x).alias("f"))
+        strict = F.lit(False) if loose and kind != "card" else _base_rule(kind, x["match"])
+        return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), (F.lit(not loose) & strict).alias("base"), _votes(kind, x, strict).alias("v"), _shape(kind, x).alias("f"))
 
     return item
 
@@ -135,7 +135,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
             out = with_matches(out, "pii_text", pattern, name, guard)
             each = F.transform(name, _item(k, kind, loose))
             if loose:
-                parts.append(each)
+                parts.append(F.filter(each, lambda y: y["v"]["pattern"] == 1) if kind == "card" else each)
             else:
                 out = out.withColumn(f"pii_base_{kind}", F.filter(each, lambda y: y["base"]))
     # A looser candidate that touches a base span, of whatever kind, is no news. Each step is a column of its own.
