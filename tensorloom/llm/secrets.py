@@ -9,8 +9,8 @@ first candidate of each text is the finding). The dictionary holds the `DICTIONA
 Scale: the dictionary is a bounded top of word counts, pre-aggregated before they are shuffled; the forest is small and bounded (`TREES`, `DEPTH`) and learnt anew in each run
 from `FINDINGS` findings. Both are applied as expressions in each row; candidates of a text never leave its row.
 
-What is bounded: a forest's features read the first 100 characters of a candidate and up to 48 on either side of it; the password of an address is looked for within 64
-characters, and a credential's name may go on for 24.
+What is bounded: a forest's features read the first 100 characters of a candidate and up to 48 on either side of it. Candidates and names are found at any length; of
+several names in a word the last counts, so that no word is read again for each of them.
 
 Defined results: null or empty text has no candidates; repeated rows are judged each; an empty table gives an empty result; further columns
 pass through `redact_secrets`.
@@ -30,14 +30,15 @@ NAMES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api[_-]?
 HARMLESS = ("example", "sample", "dummy", "placeholder", "changeme", "your", "test", "commit", "revision", "sha1", "sha256", "md5", "checksum", "digest", "etag", "uuid", "version", "build", "order", "isbn")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xox", "sk_live_", "sk-", "glpat-", "AIza", "npm_", "SG[.]", "eyJ", "-----BEGIN")
 WORDS = ("user", "name", "page", "item", "list", "data", "file", "image", "photo", "index", "home", "news", "post", "part", "chapter", "figure", "table", "model", "train", "test", "example", "version", "release", "report", "section", "product", "article", "build", "config", "server", "client", "class", "value", "string", "number", "module", "package", "update", "system", "service")
-NAMED = rf"(?i:{'|'.join(NAMES)})[A-Za-z0-9_]{{0,24}}[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"'`]?"
+NAME = f"(?i:{'|'.join(NAMES)})"
+NAMED = rf"{NAME}(?:(?!{NAME})[A-Za-z0-9_])*+[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"'`]?"
 SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 BLOCK = r"-----BEGIN (?:[A-Z]++ )*+KEY-----[^-]{16,}+-----END (?:[A-Z]++ )*+KEY-----"
-IN_URL = r"://[^\s:/@]{1,64}+:[^\s:/@]{3,64}+@"
+IN_URL = r"://[^\s:/@]++:[^\s:/@]{3,}+@"
 RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+={0,2}"
 CANDIDATE = rf"{NAMED}[^\s\"'`<>]{{6,}}+|{SIGNED}|{BLOCK}|{IN_URL}|{RUN}"
 #: What stands before the candidate itself in a match, and what is cut off its end.
-LEAD, CLOSE = rf"^(?:{NAMED}|://[^\s:/@]{{1,64}}+:)", r"(?:[.,;:!?)\]}*%$&#]+|@)$"
+LEAD, CLOSE = rf"^(?:{NAMED}|://[^\s:/@]++:)", r"(?:[.,;:!?)\]}*%$&#]+|@)$"
 TREES, DEPTH, SEED, THRESHOLD, FINDINGS, DICTIONARY = 25, 6, 7, 0.5, 4000, 2000
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "hex", "switches", "distinct", "dictionary", "path", "named", "assigned", "quoted", "harmless", "prefixed")
 

@@ -51,6 +51,22 @@ def test_candidates_agree_with_their_places(spark, forest):
     assert "abc123XYZ" not in cut and cut.startswith('é\U0001f600 password="')
 
 
+def test_names_and_passwords_of_any_length(spark, forest):
+    """Passwords of addresses and names of settings are found whatever their length, and a word of many names is read once."""
+    long = "".join(chr(97 + i * 7 % 26) + str(i % 10) for i in range(150))
+    texts = [f"at ftp://{'u' * 90}:{long}@host.example", f"my_password_{'of_the_main_site_' * 5}x = {long} ;", f"api_key_token={long}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in secrets.find_secrets(df, "text", *forest).collect():
+        assert [c["match"] for c in r["secret_candidates"]] == [long], r["text"]
+    took = {}
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([("token" * n + " " + "a://" * n,)], "text string")
+        t = time.perf_counter()
+        assert secrets.find_secrets(df, "text", *forest).first()["secret_candidates"] == []
+        took[n] = time.perf_counter() - t
+    assert took[80_000] < 8 * took[20_000] + 5
+
+
 PLANTED = [  # (text, kind of a span that no base rule holds)
     ("bitte per mail an jan.berg (at) posteo (punkt) de schreiben", "email"), ("contact: maria[at]correo[dot]es please", "email"), ("mein kontakt ist k.lang(at)web.de heute", "email"),
     ("server address 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up", "ip"), ("host fe9a::1ff:fe23:4567:890a login", "ip"), ("client ip 2a02:26f7:c9d4:1000::2 seen", "ip"),
