@@ -24,6 +24,8 @@ from .spline import SmoothTerm
 
 #: Ordered rows that a task works through at once.
 RANGE = 1 << 20
+#: What the additive columns' equations may be off by, as a share of their sums.
+EQUATIONS = 1e-12
 
 
 def lag_columns(df: DataFrame, column: str, lag: int, order_by: str, series: str | None = None, prefix: str | None = None) -> DataFrame:
@@ -191,6 +193,19 @@ class DistributedLagSpline:
 
             return [(float(a), float(b)) for a, b in tree_sums(rows, part)[0, "loss"]]
 
+        def additive(beta: np.ndarray) -> dict:
+            """Loss, deviance, score and curvature in the additive columns, the cores as they are; `size` is what the score's sums are made of."""
+
+            def part(b: pa.RecordBatch) -> dict:
+                zs = np.stack([np.ones(b.num_rows)] + [_numbers(b, f"z{i}") for i in range(len(z))], axis=1)
+                y, off, w0 = (_numbers(b, n) for n in ("y", "off", "w"))
+                eta = off + zs @ beta + sum(tensor.contract(bases, cores) for bases in self.bases(b, knots))
+                both = np.array([fam_.np_nll(fam, y, eta, w0), deviance(fam, y, fam_.np_inverse(fam, eta), w0)])
+                out = {"loss": both, "score": -zs.T @ fam_.np_score(fam, y, eta, w0), "size": np.abs(zs).T @ (w0 * np.abs(y)), "H": zs.T @ (zs * (w0 * fam_.np_curvature(fam, eta, np.ones(len(y))))[:, None])}
+                return {(0, name): v for name, v in out.items()}
+
+            return {name: v for (_, name), v in tree_sums(rows, part).items()}
+
         rng = np.random.default_rng(c.seed)
         r = [1] + [self.rank] * (d - 1) + [1]
         cores = [rng.normal(0, c.init_sd, (r[i], p, r[i + 1])) for i, p in enumerate(sizes)]
@@ -209,6 +224,7 @@ class DistributedLagSpline:
             own = tensor.penalty_value(cs, pens, lam) if self.penalty == "global" else sum(0.5 * lam[k] * tensor.pack(cs[k]) @ tensor.core_penalty(cs, pens, lam, k, "own")[0] @ tensor.pack(cs[k]) for k in range(d))
             return own + sum(0.5 * x * bt[at] @ p @ bt[at] for (at, p), x in zip(smooth_pens, smooth_lam, strict=True))
 
+        # The ridge of a step is on how far it goes, not on where it ends: at a standstill the equations hold without it.
         def core_step(m: dict, k: int) -> None:
             """Core k given all else: m holds sums of its own design, then of the additive columns."""
             n = cores[k].size
@@ -218,7 +234,8 @@ class DistributedLagSpline:
                 zz = float(m["zz"] - 2 * m["b"][n:] @ beta + beta @ m["S"][n:, n:] @ beta)
                 cache = Spectral.of(float(size["w"]), zz, s, rest, own, other)
                 lam[k] = np.exp(brent(lambda x: cache.gcv(np.exp(x)), *np.log(c.lambda_bounds)))
-            cores[k] = tensor.unpack(solve_spd(s + lam[k] * own + other + ridge_scale(s) * np.eye(n), rest), cores[k].shape)
+            a, g = s + lam[k] * own + other, tensor.pack(cores[k])
+            cores[k] = tensor.unpack(g + solve_spd(a + ridge_scale(s) * np.eye(n), rest - a @ g), cores[k].shape)
 
         def additive_step(s: np.ndarray, rest: np.ndarray) -> np.ndarray:
             s = s.copy()
@@ -229,7 +246,7 @@ class DistributedLagSpline:
                     edf = lambda x, own=own, p=p: float(np.trace(np.linalg.solve(own + np.exp(x) * p + ridge_scale(own) * np.eye(len(own)), own)))
                     smooth_lam[i] = float(np.exp(root(lambda x, edf=edf, t=t: edf(x) - t.target_edf, -18, 18)))
                 s[pos, pos] += smooth_lam[i] * p
-            return solve_spd(s + ridge_scale(s) * np.eye(len(s)), rest)
+            return beta + solve_spd(s + ridge_scale(s) * np.eye(len(s)), rest - s @ beta)
 
         def sweep(m: dict | None) -> None:
             nonlocal beta
@@ -245,6 +262,30 @@ class DistributedLagSpline:
             g, n = tensor.pack(cores[-1]), cores[-1].size  # `last` is of the last core, whose design its own update leaves alone
             beta = additive_step(last["S"][n:, n:], last["b"][n:] - last["S"][n:, :n] @ g)
 
+        def settle(bt: np.ndarray) -> tuple[np.ndarray, float, float, list[tuple[float, float]]]:
+            """Newton steps in the additive columns until their equations hold, however large the sums; the problem is convex and the cores stay."""
+            pen = np.zeros((len(bt), len(bt)))
+            for (at, p), x in zip(smooth_pens, smooth_lam, strict=True):
+                pen[at, at] = x * p
+            here, done = additive(bt), []
+            for _ in range(c.pirls_maxit):
+                grad, old = here["score"] - pen @ bt, float(here["loss"][0]) + penalty(cores, bt)
+                if (np.abs(grad) <= EQUATIONS * here["size"]).all():
+                    break
+                move = solve_spd(here["H"] + pen, grad)
+                for t in lengths:
+                    to = additive(bt + t * move)
+                    value = float(to["loss"][0]) + penalty(cores, bt + t * move)
+                    if np.isfinite(value) and value <= old + c.objective_tol * abs(old):
+                        break
+                else:
+                    break  # no step along this direction goes down
+                if value >= old and np.abs(to["score"] - pen @ (bt + t * move)).max() >= np.abs(grad).max():
+                    break  # rounding is all that is left
+                bt, here = bt + t * move, to
+                done.append((value, t))
+            return bt, *map(float, here["loss"]), done
+
         history, converged = [], False
         steps, inner = (1, c.max_sweeps) if fam == "gaussian" else (c.pirls_maxit, c.als_sweeps_per_pirls_max)
         if index is None and fam != "gaussian":
@@ -278,6 +319,8 @@ class DistributedLagSpline:
             if fam != "gaussian" and best == 0 and abs(old - values[best]) <= c.tol * (abs(old) + c.tol):
                 converged = True
                 break
+        beta, loss, dev, more = settle(beta)
+        history += [{"stage": "additive", "sweep": len(history) + i, "objective": x, "step": t} for i, (x, t) in enumerate(more, 1)]
         medians = exact_quantiles(rows, [f"{e}__lag0" for e in self.exposures], [0.5])
         return DistributedLagModel(self, fam, knots, cores, beta, lam, [(t.column, kn, at) for t, kn, at in terms], dev, float(size["n"]), converged, history, {e: medians[f"{e}__lag0"][0] for e in self.exposures})
 

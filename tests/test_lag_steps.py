@@ -52,3 +52,19 @@ def test_gaussian_lag_fit_has_its_deviance(spark):
     m = lag.DistributedLagSpline(["x"], "y", "t", lag=1, family="gaussian", k=5, lam=0.1).fit(df)
     want = m.transform(df).filter("fit is not null").selectExpr("sum((y - fit) * (y - fit))").first()[0]
     assert m.deviance == pytest.approx(want, rel=1e-8)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_equations_of_additive_columns_hold_however_large_the_counts(spark, monkeypatch, whole):
+    """Fitted and observed totals, plain and by the linear column, agree to far more digits than a ridge leaves."""
+    if not whole:
+        monkeypatch.setattr(lag, "MOMENTS", 1)
+    rng = np.random.default_rng(4)
+    x, z = rng.random(200), rng.integers(0, 2, 200)
+    y = rng.poisson(np.exp(13 + np.sin(5 * x) + 0.3 * z))
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(x, z, y))], "t long, x double, z double, y long")
+    m = lag.DistributedLagSpline(["x"], "y", "t", lag=1, k=5, k_lag=2, linear=["z"], control=Control(pirls_maxit=12)).fit(df)
+    got = m.transform(df).filter("fit is not null").selectExpr("sum(fit)", "sum(y)", "sum(z * fit)", "sum(z * y)").first()
+    assert got[0] == pytest.approx(got[1], rel=1e-11) and got[2] == pytest.approx(got[3], rel=1e-11)
+    values = [h["objective"] for h in m.history]
+    assert all(b <= a + 1e-10 * abs(a) for a, b in zip(values, values[1:]))
