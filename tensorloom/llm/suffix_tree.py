@@ -7,7 +7,7 @@ The divergence is a deleted estimate, each occurrence held against a distributio
 differ is not taken for one that predicts them. A state's distribution is smoothed by that of its longest shorter state, in the end by the
 root (c + 0.1) / (N + 0.1 (V + 1)); each token is scored in the longest state that is a suffix of what precedes it.
 
-Scale: texts are tokenised once, into chunks of some `CHUNK` tokens in written form (word numbers and 64-bit word hashes, some 2.5 bytes a token).
+Scale: texts are tokenised once, into chunks of some `CHUNK` tokens (or `BYTES` of words) in written form (word numbers and 64-bit word hashes, some 2.5 bytes a token).
 The tree stays on the executors, dealt by hash: in each round a chunk asks for the counts of its own grams, a bucket of hashes adds up what
 all chunks have and answers, and longer contexts are only asked for where the shorter ones occur `least` times. A gram is one entry for each chunk however
 frequent it is, so no word or document makes a hot bucket; buckets and tasks grow with the number of tokens. Keys go sorted, as differences, in
@@ -20,13 +20,13 @@ counts are 0, the base is 0 and there are no states; repeated rows are scored ea
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, groupby
+from itertools import chain, count, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -39,6 +39,8 @@ from .common import held_out, materialise
 DEPTH, LEAST, DIVERGENCE, WEIGHT, ADDED, SEED = 3, 2, 6.0, 8.0, 0.1, 42
 #: Tokens of a chunk, unless one document has more; and of a bucket, on average.
 CHUNK, BUCKET, SPARE = 1_000_000, 1_000_000, 20
+#: Bytes of words that fill a chunk too, and bytes of texts that are cut into words at once.
+BYTES, PIECE = 1 << 26, 1 << 22
 #: Marks outside words, and the fixed point of divergences.
 FIRST, END, SCALE = b"\r", b"\n", 1 << 8
 #: Kinds of rows: a chunk, counts of grams of 1 + d tokens (d), and divergences of contexts of d tokens (TEST + d).
@@ -47,8 +49,21 @@ _ROW = "chunk long, kind int, bucket int, a binary, b binary, c binary"
 _ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts (bytes: A-Z and ASCII white space only), and their number in each."""
+    kind = pa.string() if texts.type == pa.binary() else pa.large_string()
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(kind)))
+    words, ends = split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at the ends of a text leaves an empty word
+    upto = np.concatenate([[0], np.cumsum(some)])
+    return words.filter(pa.array(some)), np.diff(upto[ends], prepend=0)
+
+
+def pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some `most` bytes each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -87,14 +102,31 @@ def extend(key: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct value, in the order of the values, and for each place the number of its value."""
-    order = np.argsort(x)
-    y = x[order]
+    """The distinct keys in order, and for each place the number of its key.
+
+    Keys and places are sorted as one number each, several times faster than an argsort. Where both don't fit into 64 bits the last bits of the
+    keys are left out, and the rare keys that only differ there are put in order afterwards.
+    """
+    if not len(x):
+        return x, np.empty(0, np.int32)
+    places, base = np.uint64((len(x) - 1).bit_length()), x.min()
+    y = x - base
+    every = int(np.bitwise_or.reduce(y))
+    zeros = max((every & -every).bit_length() - 1, 0)
+    cut = max(every.bit_length() - zeros + int(places) - 64, 0)
+    y >>= np.uint64(zeros + cut)
+    y <<= places
+    y |= np.arange(len(x), dtype=np.uint64)
+    y.sort()
+    order = (y & np.uint64((1 << int(places)) - 1)).view(np.int64)
+    y = x[order] if cut else ((y >> places) << np.uint64(zeros)) + base
+    if cut and (y[1:] < y[:-1]).any():
+        order = np.argsort(x)
+        y = x[order]
     new = np.concatenate([[True], y[1:] != y[:-1]])
-    del y
     back = np.empty(len(x), np.int32)
     back[order] = np.cumsum(new, dtype=np.int32) - 1
-    return order[new], back
+    return y[new], back
 
 
 @dataclass
@@ -149,12 +181,7 @@ def replay(c: Chunk, told: dict[int, np.ndarray], s: Setting) -> tuple[dict[int,
             break
         # The grams that end at `at`; their numbers follow the order of their keys.
         before = rank[at - 1]
-        first, gram = distinct(before.astype(np.int64) * len(c.keys) + c.word[at])
-        own = extend(keys[before[first]], c.keys[c.word[at[first]]]) >> np.uint64(64 - s.bits) << np.uint64(64 - s.bits)
-        order = np.argsort(own)
-        number = np.empty(len(own), np.int32)
-        number[order] = np.arange(len(own), dtype=np.int32)
-        gram, own = number[gram], own[order]
+        own, gram = distinct(extend(keys[before], c.keys[c.word[at]]) >> np.uint64(64 - s.bits) << np.uint64(64 - s.bits))
         train = c.train[at]
         if d not in told:
             ask[d] = own, np.bincount(gram[train], minlength=len(own))
@@ -193,34 +220,42 @@ def chunks(docs: DataFrame, doc_id: str, text: str, mod: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, part = count(), TaskContext.get().partitionId()
-        ids, shape, seq, names = [], [], [], None
-
-        def fresh() -> defaultdict:
-            d = defaultdict(count().__next__)
-            return d if d[FIRST] < d[END] else d
+        words, sizes, ids, held, full, held_bytes = [], [], [], [], 0, 0
 
         def out() -> pa.RecordBatch:
-            flat = np.array(seq, np.int64)
-            order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")  # frequent words get small numbers
+            flat, n = pa.concat_arrays(words).dictionary_encode(), np.concatenate(sizes)
+            names = flat.dictionary
+            seq, ends = np.full(n.sum() + 2 * len(n), -1, np.int32), np.cumsum(n + 2) - 1
+            seq[ends - n - 1], seq[ends] = 0, 1
+            seq[seq < 0] = flat.indices.to_numpy(zero_copy_only=False) + np.int32(2)
+            of = np.bincount(seq, minlength=2 + len(names))
+            order = np.argsort(-of, kind="stable")  # frequent words get small numbers
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            key = np.array([xxhash.xxh64_intdigest(w, SEED) for w in names], np.uint64)[order]
-            got = [pa.array([(part << 32) + next(number)], pa.int64()), pa.array([len(seq) - len(ids)], pa.int64())]
-            got += [pa.array([x], pa.binary()) for x in (pack(place[flat]), pack(key), pack(np.array(shape, np.int64)))]
-            return pa.RecordBatch.from_arrays([*got, pa.array([ids], pa.list_(arrow))], ["chunk", "tokens", "a", "b", "c", "doc_ids"])
+            key = np.array([xxhash.xxh64_intdigest(w, SEED) for w in (FIRST, END, *names.view(pa.binary() if names.type == pa.string() else pa.large_binary()).to_pylist())], np.uint64)[order]
+            got = [pa.array([(part << 32) + next(number)], pa.int64()), pa.array([len(seq) - len(n)], pa.int64())]
+            shape = np.where(np.concatenate(held), -n - 1, n + 1)
+            got += [pa.array([x], pa.binary()) for x in (pack(place[seq]), pack(key), pack(shape))]
+            return pa.RecordBatch.from_arrays([*got, pa.array([list(chain.from_iterable(ids))], pa.list_(arrow))], ["chunk", "tokens", "a", "b", "c", "doc_ids"])
 
-        names = fresh()
         for batch in batches:
-            for id_, held, t in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ws = tokens(t)
-                seq.append(0)
-                seq.extend(map(names.__getitem__, ws))
-                seq.append(1)
-                ids.append(id_)
-                shape.append(-(len(ws) + 1) if held else len(ws) + 1)
-                if len(seq) >= CHUNK:
-                    yield out()
-                    ids, shape, seq, names = [], [], [], fresh()
+            marked = batch.column("held").to_numpy(zero_copy_only=False)
+            for start, stop in pieces(batch.column("text"), PIECE):
+                found, n = tokens(batch.column("text").slice(start, stop - start))
+                first = np.cumsum(n) - n
+                while start < stop:
+                    # Documents up to the one that fills the chunk, and all that are left otherwise.
+                    take = min(int(np.searchsorted(np.cumsum(n + 2), CHUNK - full)) + 1, len(n))
+                    end = int(first[take - 1] + n[take - 1])
+                    words.append(found.slice(int(first[0]), end - int(first[0])))
+                    sizes.append(n[:take])
+                    ids.append(batch.column("id").slice(start, take).to_pylist())
+                    held.append(marked[start : start + take])
+                    full, held_bytes = full + int(n[:take].sum()) + 2 * take, held_bytes + words[-1].nbytes
+                    start, n, first = start + take, n[take:], first[take:]
+                    if full >= CHUNK or held_bytes >= BYTES:
+                        yield out()
+                        words, sizes, ids, held, full, held_bytes = [], [], [], [], 0, 0
         if ids:
             yield out()
 
@@ -255,8 +290,8 @@ def answer(asked: DataFrame, buckets: int, divergence: float) -> DataFrame:
                 keys.append(unpack_sorted(a))
                 values.append(unpack_signed(b))
             every = np.concatenate(keys)
-            first, back = distinct(every)
-            u, sums = every[first], np.bincount(back, np.concatenate(values), len(first)).astype(np.int64)
+            u, back = distinct(every)
+            sums = np.bincount(back, np.concatenate(values), len(u)).astype(np.int64)
             told = sums if kind < TEST else (2 * sums >= divergence * SCALE).astype(np.uint8)
             ends = np.cumsum([len(k) for k in keys])
             out = [(chunk, kind, bucket, pack(told[back[e - len(k) : e]]), None, None) for chunk, e, k in zip(whose, ends, keys, strict=True)]

@@ -4,6 +4,8 @@ import math
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tensorloom.llm import suffix_tree
@@ -77,3 +79,37 @@ def test_held_out_text_gains_from_contexts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = [x for x in suffix_tree.score_texts(docs).collect() if x["held_out"]]
     assert sum(x["score"] for x in got) > sum(x["base_score"] for x in got) + 0.2 * sum(x["n_tokens"] for x in got)
+
+
+@pytest.mark.parametrize("bits", [20, 40, 64])
+def test_distinct_keys(monkeypatch, bits):
+    """Keys sorted with their places as one number, also where both together have over 64 bits and keys differ in the last ones alone."""
+    r = np.random.default_rng(bits)
+    some = r.integers(0, 1 << bits, 3000, dtype=np.uint64, endpoint=bits < 64) if bits < 64 else r.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    near = (r.integers(0, 7, 3000, dtype=np.uint64) << np.uint64(61)) + r.integers(0, 30, 3000, dtype=np.uint64)
+    for x in (some, near, some << np.uint64(64 - bits), some[:1], some[:0], np.full(5, (1 << 64) - 1, np.uint64)):
+        values, back = suffix_tree.distinct(x)
+        want, number = np.unique(x, return_inverse=True)
+        assert np.array_equal(values, want) and np.array_equal(back, number)
+    # What the CPU budget rests on: no argsort for the keys of a chunk.
+    monkeypatch.setattr(suffix_tree.np, "argsort", None)
+    assert len(suffix_tree.distinct(r.integers(0, 1 << 44, 50_000, dtype=np.uint64))[0]) > 49_000
+
+
+def test_words_of_odd_texts():
+    texts = [b" a  b\t\n\x0b\x0c\rC ", None, b"", b"   ", b"\x00A\x1cb\x1f c\x85d \xc2\xa0x", b"\xff\xfe Z", "É é\u2003x ".encode(), b"x"]
+    for kind in (pa.binary(), pa.large_binary()):
+        for part in (pa.array(texts, kind), pa.array([b"no", *texts, b"no"], kind).slice(1, len(texts)), pa.array([], kind)):
+            words, n = suffix_tree.tokens(part)
+            want = [(t or b"").lower().split() for t in part.to_pylist()]
+            assert [w.as_buffer().to_pybytes() for w in words] == sum(want, []) and n.tolist() == [len(w) for w in want]
+
+
+def test_chunks_filled_by_bytes_and_pieces_give_the_same_scores(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.union(spark.createDataFrame(ODD, docs.schema)).coalesce(1)
+    got = lambda: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], round(r["score"], 6)) for r in suffix_tree.score_texts(docs).collect()))
+    want = got()
+    monkeypatch.setattr(suffix_tree, "BYTES", 3_000)
+    monkeypatch.setattr(suffix_tree, "PIECE", 500)
+    assert suffix_tree.chunks(docs, "doc_id", "text", 10).count() > 5 and got() == want
