@@ -40,7 +40,7 @@ class FitMonitor:
             self.after(row)
         if stage == "outer":  # what the stages within it recorded belongs to the step that is done
             self.stages = {}
-        own = {"sweep": sweep, "cores": [c.tolist() for c in s.cores], "beta": s.beta.tolist(), "lam": np.asarray(p.lam, float).tolist(), "smooth": [t.lam for t in p.smooths], "more": more}
+        own = {"sweep": sweep, "cores": [c.tolist() for c in s.cores], "layout": ["C" if c.flags.c_contiguous else "F" for c in s.cores], "beta": s.beta.tolist(), "lam": np.asarray(p.lam, float).tolist(), "smooth": [t.lam for t in p.smooths], "more": more}
         self.stages[stage] = own
         if sweep % self.every == 0 or stage == "outer":
             self.number += 1
@@ -61,7 +61,8 @@ class FitMonitor:
             t.lam = x
         if not p.history:
             p.history.extend(self.open["history"])
-        return State([np.array(c) for c in own["cores"]], np.array(own["beta"])), own["sweep"], own["more"]
+        # In memory as they were: products of arrays in another order may differ in the last bits.
+        return State([np.array(c, order=o) for c, o in zip(own["cores"], own.get("layout", "C" * len(own["cores"])), strict=True)], np.array(own["beta"])), own["sweep"], own["more"]
 
     def done(self) -> None:
         """The fit has ended: its states go, so that the folder can serve another. The trace stays in `rows`."""
